@@ -89,3 +89,42 @@ def q_order_features(spark, sf_dir):
 @query("behavior_features")
 def q_behavior_features(spark, sf_dir):
     return _beh.behavior_feature_record(_behavior(spark, sf_dir))
+
+
+# ---- churn and segments -----------------------------------------------------
+from basketry.operators import churn as _churn  # noqa: E402
+
+
+@query("churn_scores")
+def q_churn_scores(spark, sf_dir):
+    return _churn.flatten_drivers(_churn.churn_scores(views(spark, sf_dir).features()))
+
+
+@query("customer_churn")
+def q_customer_churn(spark, sf_dir):
+    v = views(spark, sf_dir)
+    b = _beh.customer_behavior(v.sales(), v.views(), ORDERS_AS_OF)
+    return _churn.flatten_drivers(_churn.customer_churn(b, v.features()))
+
+
+@query("rfm_segments")
+def q_rfm_segments(spark, sf_dir):
+    return _churn.rfm_segments(views(spark, sf_dir).features())
+
+
+def _feature_lookup(spark, sf_dir):
+    v = views(spark, sf_dir)
+    b = _beh.customer_behavior(v.sales(), v.views(), ORDERS_AS_OF)
+    stored = _beh.behavior_feature_record(b).filter(F.col("customer_id") % 4 != 0)
+    return _churn.features_with_precedence([("mongodb", stored), ("redis", v.features())])
+
+
+@query("feature_lookup")
+def q_feature_lookup(spark, sf_dir):
+    return _feature_lookup(spark, sf_dir)
+
+
+@query("feature_store_segments")
+def q_feature_store_segments(spark, sf_dir):
+    f = _feature_lookup(spark, sf_dir)
+    return _churn.rfm_segments(f).join(f.select("customer_id", "source"), "customer_id")

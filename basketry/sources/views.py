@@ -205,7 +205,8 @@ class Views:
                       .agg(F.max("created_at").alias("last_at"),
                            F.count_distinct("order_id").alias("orders"),
                            F.sum(F.col("revenue").cast("decimal(18,2)")).alias("revenue"),
-                           F.avg("discount").alias("avg_discount")))
+                           (F.sum(F.col("discount").cast("decimal(18,2)")).cast("double")
+                            / F.count(F.lit(1))).alias("avg_discount")))
         v = self.views().groupBy("customer_id").agg(F.count(F.lit(1)).alias("views"))
         c = self.t.customer.select(F.col("c_custkey").alias("customer_id"))
         from basketry.functions.timefn import whole_days

@@ -6,6 +6,11 @@ the same rules as ``basketry.sources.views``.
 
 from __future__ import annotations
 
+def R(x: str, n: int) -> str:
+    """Round a double the way Spark does: half-up on its decimal text."""
+    return f"CAST(round(CAST(CAST(({x}) AS VARCHAR) AS DECIMAL(38,20)), {n}) AS DOUBLE)"
+
+
 CAT = """CASE {c} WHEN 'ECONOMY' THEN 'wellness' WHEN 'PROMO' THEN 'smart home'
   WHEN 'LARGE' THEN 'commuter' WHEN 'MEDIUM' THEN 'travel' WHEN 'STANDARD' THEN 'productivity'
   WHEN 'SMALL' THEN 'sleep' END"""
@@ -41,11 +46,11 @@ BASE = {
          CASE WHEN event_id % 13 = 0 THEN NULL ELSE CAST(25 + user_id % 24 AS DOUBLE) END AS lat,
          CASE WHEN event_id % 17 = 0 THEN NULL ELSE CAST(-125 + (7 * user_id) % 60 AS DOUBLE) END AS lon
   FROM events""",
-    "norm_events": """
+    "norm_events": f"""
   SELECT *, (event_id <> '' AND customer_id <> '' AND event_type IN ('cart', 'click', 'purchase', 'view')
              AND event_time IS NOT NULL AND quantity >= 0 AND price0 >= 0) AS is_valid,
-         round(price0, 2) AS price,
-         round(CASE WHEN event_type = 'purchase' THEN quantity * price0 ELSE 0.0 END, 2) AS revenue,
+         {R('price0', 2)} AS price,
+         {R("CASE WHEN event_type = 'purchase' THEN quantity * price0 ELSE 0.0 END", 2)} AS revenue,
          CASE WHEN lat IS NULL OR lon IS NULL THEN 'Unknown' WHEN lon <= -105 THEN 'West'
               WHEN lon <= -87 THEN 'Midwest' WHEN lat < 37 THEN 'South' ELSE 'Northeast' END AS region
   FROM (SELECT lower(regexp_replace(coalesce(event_id, ''), '^\\s+|\\s+$', '', 'g')) AS event_id,
@@ -78,16 +83,17 @@ BASE = {
   SELECT p_partkey AS id, p_name AS name, {CAT.format(c='p_type')} AS category, p_retailprice AS price,
          CASE WHEN p_partkey % 9 = 0 THEN false WHEN p_partkey % 13 = 0 THEN NULL ELSE true END AS active
   FROM part""",
-    "features": """
+    "features": f"""
   SELECT c.c_custkey AS customer_id,
          CAST(coalesce(floor(epoch(TIMESTAMP '2001-08-02 00:00:00' - s.last_at) / 86400), 90) AS BIGINT) AS recency_days,
          CAST(CASE WHEN c.c_custkey % 2 = 0 THEN coalesce(s.orders, 0) ELSE coalesce(s.orders, 0) // 3 END AS BIGINT) AS frequency,
-         round(CAST(coalesce(s.revenue, 0) AS DOUBLE) / 100, 2) AS monetary_value,
-         round(10 * coalesce(s.avg_discount, 0.0), 4) AS discount_sensitivity,
+         {R('CAST(coalesce(s.revenue, 0) AS DOUBLE) / 100', 2)} AS monetary_value,
+         {R('10 * coalesce(s.avg_discount, 0.0)', 4)} AS discount_sensitivity,
          least(coalesce(v.views, 0) / 12, 1.0) AS engagement_depth
   FROM customer c
   LEFT JOIN (SELECT customer_id, max(created_at) AS last_at, count(DISTINCT order_id) AS orders,
-                    sum(CAST(revenue AS DECIMAL(18,2))) AS revenue, avg(discount) AS avg_discount
+                    sum(CAST(revenue AS DECIMAL(18,2))) AS revenue,
+                    CAST(sum(CAST(discount AS DECIMAL(18,2))) AS DOUBLE) / count(*) AS avg_discount
              FROM sales GROUP BY customer_id) s ON c.c_custkey = s.customer_id
   LEFT JOIN (SELECT customer_id, count(*) AS views FROM views GROUP BY customer_id) v ON c.c_custkey = v.customer_id""",
 }
@@ -128,7 +134,7 @@ SELECT event_type, count(*) AS event_count FROM clean_events GROUP BY event_type
 
 ORACLE["region_revenue"] = with_views(["clean_events"], """
 SELECT region, count(*) AS event_count,
-       CAST(sum(CAST(round(revenue, 2) AS DECIMAL(18,2))) AS DOUBLE) AS revenue
+       CAST(sum(CAST(revenue AS DECIMAL(18,2))) AS DOUBLE) AS revenue
 FROM clean_events GROUP BY region""")
 
 ORACLE["clean_totals"] = with_views(["norm_events"], """
@@ -218,3 +224,60 @@ SELECT t.customer_id,
        coalesce(f.category, 'unknown') AS preferred_category,
        least(t.frequency / 12, 1.0) AS engagement_depth
 FROM tot t LEFT JOIN (SELECT * FROM first_rows WHERE rk = 1) f ON t.customer_id = f.customer_id""")
+
+
+def churn_sql(src: str, key: str = "customer_id") -> str:
+    """M1 over a relation with recency_days, frequency, monetary_value,
+    discount_sensitivity, engagement_depth (nullable)."""
+    p = R("greatest(0.02, least(cr + cf + cm + cd + ce, 0.96))", 3)
+    return f"""
+SELECT {key}, prob AS probability, {R('prob * 100', 1)} AS percent,
+       CASE WHEN prob >= 0.65 THEN 'high' WHEN prob >= 0.35 THEN 'medium' ELSE 'low' END AS risk_band,
+       CASE WHEN prob >= 0.65 THEN 'Trigger win-back offer and human review.'
+            WHEN prob >= 0.35 THEN 'Send personalized retention offer.'
+            ELSE 'Maintain normal personalized recommendations.' END AS recommended_action,
+       {R('cr', 3)} AS c_recency_days, {R('cf', 3)} AS c_frequency, {R('cm', 3)} AS c_monetary_value,
+       {R('cd', 3)} AS c_discount_sensitivity, {R('ce', 3)} AS c_engagement_depth
+FROM (SELECT *, {p} AS prob FROM (SELECT *,
+        least(coalesce(CAST(recency_days AS DOUBLE), 30.0) / 120, 1.0) * 0.42 AS cr,
+        greatest(0.0, 1 - least(coalesce(CAST(frequency AS DOUBLE), 1.0) / 12, 1.0)) * 0.24 AS cf,
+        greatest(0.0, 1 - least(coalesce(CAST(monetary_value AS DOUBLE), 0.0) / 20000, 1.0)) * 0.12 AS cm,
+        least(coalesce(CAST(discount_sensitivity AS DOUBLE), 0.35), 1.0) * 0.14 AS cd,
+        greatest(0.0, 1 - least(coalesce(CAST(engagement_depth AS DOUBLE), 0.5), 1.0)) * 0.08 AS ce
+      FROM {src}))"""
+
+
+RFM = """CASE WHEN coalesce(monetary_value, 0.0) >= 10000 AND coalesce(frequency, 1) >= 8 AND coalesce(recency_days, 30) <= 30 THEN 'high_ltv_active'
+     WHEN coalesce(recency_days, 30) > 90 THEN 'winback_risk'
+     WHEN coalesce(frequency, 1) >= 5 THEN 'loyal_growth' ELSE 'emerging' END"""
+
+ORACLE["churn_scores"] = with_views(["features"], churn_sql("features"))
+
+ORACLE["rfm_segments"] = with_views(["features"], f"SELECT customer_id, {RFM} AS segment FROM features")
+
+ORACLE["customer_churn"] = with_behavior(f"""
+, churn_in AS (
+  SELECT b.customer_id, CAST(b.recency_days AS DOUBLE) AS recency_days,
+         coalesce(nullif(CAST(b.purchase_frequency AS DOUBLE), 0.0), CAST(f.frequency AS DOUBLE), 1.0) AS frequency,
+         coalesce(nullif(b.monetary_value, 0.0), f.monetary_value, 0.0) AS monetary_value,
+         f.discount_sensitivity AS discount_sensitivity,
+         least((b.browse_events + b.orders) / 12, 1.0) AS engagement_depth
+  FROM behavior_seg b LEFT JOIN features f ON b.customer_id = f.customer_id)
+SELECT i.*, s.* EXCLUDE (customer_id) FROM churn_in i JOIN ({churn_sql('churn_in')}) s ON i.customer_id = s.customer_id""",
+    extra=["features"])
+
+FEATURE_LOOKUP = """
+, stored AS (
+  SELECT customer_id, recency_days, purchase_frequency AS frequency, monetary_value,
+         least((browse_events + orders) / 12, 1.0) AS engagement_depth
+  FROM behavior_seg WHERE customer_id % 4 <> 0),
+lookup AS (
+  SELECT customer_id, recency_days, frequency, monetary_value, engagement_depth,
+         NULL::DOUBLE AS discount_sensitivity, 'mongodb' AS source FROM stored
+  UNION ALL
+  SELECT customer_id, recency_days, frequency, monetary_value, engagement_depth, discount_sensitivity, 'redis'
+  FROM features WHERE customer_id NOT IN (SELECT customer_id FROM stored))"""
+
+ORACLE["feature_lookup"] = with_behavior(FEATURE_LOOKUP + "\nSELECT * FROM lookup", extra=["features"])
+ORACLE["feature_store_segments"] = with_behavior(
+    FEATURE_LOOKUP + f"\nSELECT customer_id, {RFM} AS segment, source FROM lookup", extra=["features"])

@@ -128,3 +128,58 @@ def q_feature_lookup(spark, sf_dir):
 def q_feature_store_segments(spark, sf_dir):
     f = _feature_lookup(spark, sf_dir)
     return _churn.rfm_segments(f).join(f.select("customer_id", "source"), "customer_id")
+
+
+# ---- baskets ----------------------------------------------------------------
+from basketry.operators import baskets as _bask  # noqa: E402
+from basketry.operators.lookup import with_product_name  # noqa: E402
+
+
+@query("basket_pairs")
+def q_basket_pairs(spark, sf_dir):
+    v = views(spark, sf_dir)
+    top = _bask.basket_analysis(v.sales(), limit=10)
+    top = with_product_name(top, v.products(), "left", "left_name", small_side=True)
+    return with_product_name(top, v.products(), "right", "right_name", small_side=True)
+
+
+@query("basket_product_counts")
+def q_basket_product_counts(spark, sf_dir):
+    b = _bask.basket_sets(views(spark, sf_dir).sales())
+    return b.groupBy("product").agg(F.count(F.lit(1)).alias("baskets"))
+
+
+@query("frequent_pairs")
+def q_frequent_pairs(spark, sf_dir):
+    """Every pair bought together by at least 8 customers (support filter)."""
+    pc = _bask.pair_counts(_bask.basket_sets(views(spark, sf_dir).sales()))
+    return pc.filter(F.col("pair_count") >= 8)
+
+
+# ---- forecasting ------------------------------------------------------------
+from basketry.operators import forecasting as _fc  # noqa: E402
+
+
+@query("demand_forecast")
+def q_demand_forecast(spark, sf_dir):
+    v = views(spark, sf_dir)
+    f = _fc.demand_forecast(_fc.daily_quantity(v.sales()), periods=7)
+    return with_product_name(f, v.products(), "product_id", "product")
+
+
+@query("revenue_forecast")
+def q_revenue_forecast(spark, sf_dir):
+    return _fc.revenue_forecast(_fc.revenue_series(views(spark, sf_dir).sales()))
+
+
+@query("weighted_revenue_forecast")
+def q_weighted_revenue_forecast(spark, sf_dir):
+    return _fc.weighted_revenue_forecast(_fc.revenue_series(views(spark, sf_dir).sales()))
+
+
+@query("seasonal_forecast")
+def q_seasonal_forecast(spark, sf_dir):
+    s = views(spark, sf_dir).sales()
+    hist = (s.groupBy(F.col("product_id").alias("series_id"), F.to_date("created_at").alias("day"))
+             .agg(F.sum(F.col("revenue").cast("decimal(18,2)")).cast("double").alias("value")))
+    return _fc.seasonal_forecast(hist, periods=7).withColumn("ds", F.col("ds").cast("string"))

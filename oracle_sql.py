@@ -281,3 +281,101 @@ lookup AS (
 ORACLE["feature_lookup"] = with_behavior(FEATURE_LOOKUP + "\nSELECT * FROM lookup", extra=["features"])
 ORACLE["feature_store_segments"] = with_behavior(
     FEATURE_LOOKUP + f"\nSELECT customer_id, {RFM} AS segment, source FROM lookup", extra=["features"])
+
+
+# ---- baskets ------------------------------------------------------------------
+BASKETS = """
+, baskets AS (SELECT DISTINCT customer_id AS basket, product_id AS product FROM sales
+              WHERE customer_id IS NOT NULL AND product_id IS NOT NULL),
+pairs AS (SELECT a.basket, a.product AS "left", b.product AS "right"
+          FROM baskets a JOIN baskets b ON a.basket = b.basket AND a.product < b.product)"""
+
+ORACLE["basket_product_counts"] = with_views(["sales"], BASKETS + """
+SELECT product, count(*) AS baskets FROM baskets GROUP BY product""")
+
+ORACLE["frequent_pairs"] = with_views(["sales"], BASKETS + """
+SELECT "left", "right", count(*) AS pair_count FROM pairs GROUP BY 1, 2 HAVING count(*) >= 8""")
+
+ORACLE["basket_pairs"] = with_views(["sales", "products"], BASKETS + f""",
+seen AS (SELECT customer_id AS basket,
+                min([-epoch_us(created_at), -order_id, line, product_id, quantity, revenue]) AS basket_seen
+         FROM sales GROUP BY customer_id),
+total AS (SELECT count(DISTINCT basket) AS total FROM baskets),
+pc AS (SELECT product, count(*) AS n FROM baskets GROUP BY product),
+top AS (SELECT p."left", p."right", count(*) AS pair_count, min(s.basket_seen) AS first_seen
+        FROM pairs p JOIN seen s ON p.basket = s.basket GROUP BY 1, 2
+        ORDER BY pair_count DESC, first_seen, "left", "right" LIMIT 10),
+ranked AS (SELECT *, row_number() OVER (ORDER BY pair_count DESC, first_seen, "left", "right") AS rank FROM top)
+SELECT r.rank, r."left", r."right", CAST(r.pair_count AS BIGINT) AS basket_count,
+       {R('r.pair_count / t.total', 3)} AS support,
+       {R('r.pair_count / greatest(l.n, 1)', 3)} AS confidence,
+       {R("CASE WHEN (l.n / t.total) * (rr.n / t.total) <> 0 THEN (r.pair_count / t.total) / ((l.n / t.total) * (rr.n / t.total)) ELSE 0.0 END", 3)} AS lift,
+       CAST(t.total AS BIGINT) AS total_baskets,
+       coalesce(pl.name, CAST(r."left" AS VARCHAR)) AS left_name,
+       coalesce(pr.name, CAST(r."right" AS VARCHAR)) AS right_name
+FROM ranked r CROSS JOIN total t
+LEFT JOIN pc l ON l.product = r."left" LEFT JOIN pc rr ON rr.product = r."right"
+LEFT JOIN products pl ON pl.id = r."left" LEFT JOIN products pr ON pr.id = r."right\"""")
+
+# ---- forecasting --------------------------------------------------------------
+ORACLE["demand_forecast"] = with_views(["sales", "products"], f"""
+, daily AS (SELECT product_id, CAST(created_at AS DATE) AS day, CAST(sum(coalesce(quantity, 1)) AS BIGINT) AS quantity
+            FROM sales WHERE product_id IS NOT NULL GROUP BY 1, 2),
+d AS (SELECT *, greatest(quantity, 0) AS q, row_number() OVER (PARTITION BY product_id ORDER BY day DESC) AS rn FROM daily),
+st AS (SELECT product_id, count(*) AS history_points,
+              count(*) FILTER (WHERE rn <= 7) AS n, avg(q) FILTER (WHERE rn <= 7) AS avg_q,
+              arg_max(q, day) FILTER (WHERE rn <= 7) AS newest, arg_min(q, day) FILTER (WHERE rn <= 7) AS oldest
+       FROM d GROUP BY product_id),
+tr AS (SELECT *, CASE WHEN n > 1 THEN (newest - oldest) / (n - 1) ELSE 0.0 END AS trend FROM st)
+SELECT tr.product_id, tr.history_points, {R('avg_q', 2)} AS daily_average_units, {R('trend', 2)} AS trend_units,
+       CAST(r.period AS INTEGER) AS period, {R('greatest(0.0, avg_q + trend * r.period)', 2)} AS predicted_units,
+       coalesce(p.name, CAST(tr.product_id AS VARCHAR)) AS product
+FROM tr CROSS JOIN range(1, 8) r(period) LEFT JOIN products p ON p.id = tr.product_id""")
+
+SERIES = """
+, daily AS (SELECT customer_id AS series_id, CAST(created_at AS DATE) AS day,
+                   CAST(sum(CAST(revenue AS DECIMAL(18,2))) AS DOUBLE) AS value FROM sales GROUP BY 1, 2),
+tail AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY day DESC) AS rn FROM daily),
+sized AS (SELECT *, count(*) OVER (PARTITION BY series_id) AS n FROM tail WHERE rn <= 30),
+series AS (SELECT series_id, day, n - rn + 1 AS t, value FROM sized WHERE n >= 3)"""
+
+ORACLE["revenue_forecast"] = with_views(["sales"], SERIES + f""",
+s AS (SELECT series_id, count(*) AS points,
+             CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) / count(*) AS mean,
+             arg_max(value, t) AS last, arg_min(value, t) AS first FROM series GROUP BY series_id),
+s2 AS (SELECT *, CASE WHEN points > 1 THEN (last - first) / (points - 1) ELSE 0.0 END AS trend FROM s)
+SELECT series_id, points, {R('greatest(0.0, last + trend)', 2)} AS prediction,
+       {R('greatest(0.55, least(1 - abs(trend) / greatest(mean, 1.0), 0.93))', 3)} AS confidence FROM s2""")
+
+ORACLE["weighted_revenue_forecast"] = with_views(["sales"], SERIES + f""",
+s AS (SELECT series_id, count(*) AS points,
+             CAST(sum(CAST(value AS DECIMAL(18,2)) * t) AS DOUBLE) / sum(t) AS wavg,
+             max(CASE WHEN t = points_n THEN value END) AS last, max(CASE WHEN t = points_n - 1 THEN value END) AS prev
+      FROM (SELECT *, max(t) OVER (PARTITION BY series_id) AS points_n FROM series) GROUP BY series_id)
+SELECT series_id, points, {R('greatest(0.0, wavg + (last - prev) * 0.35)', 2)} AS prediction,
+       {R('greatest(0.58, least(1 - abs(last - prev) / greatest(wavg, 1.0), 0.91))', 3)} AS confidence FROM s""")
+
+ORACLE["seasonal_forecast"] = with_views(["sales"], f"""
+, hist AS (SELECT product_id AS series_id, CAST(created_at AS DATE) AS day,
+                  CAST(sum(CAST(revenue AS DECIMAL(18,2))) AS DOUBLE) AS value FROM sales GROUP BY 1, 2),
+first AS (SELECT series_id, min(day) AS d0, max(day) AS d1, count(*) AS n FROM hist GROUP BY 1),
+pts AS (SELECT h.series_id, h.day, CAST(date_diff('day', f.d0, h.day) AS DECIMAL(18,0)) AS x,
+               CAST(h.value AS DECIMAL(18,2)) AS y, f.n, f.d0, f.d1
+        FROM hist h JOIN first f ON h.series_id = f.series_id WHERE f.n >= 3),
+sums AS (SELECT series_id, n, d0, d1, sum(x) AS sx, sum(y) AS sy, sum(x * y) AS sxy, sum(x * x) AS sxx
+         FROM pts GROUP BY 1, 2, 3, 4),
+fit AS (SELECT *, CASE WHEN den <> 0 THEN (CAST(n AS DOUBLE) * CAST(sxy AS DOUBLE) - CAST(sx AS DOUBLE) * CAST(sy AS DOUBLE)) / den ELSE 0.0 END AS slope
+        FROM (SELECT *, CAST(n AS DOUBLE) * CAST(sxx AS DOUBLE) - CAST(sx AS DOUBLE) * CAST(sx AS DOUBLE) AS den FROM sums)),
+fit2 AS (SELECT *, (CAST(sy AS DOUBLE) - slope * CAST(sx AS DOUBLE)) / CAST(n AS DOUBLE) AS intercept FROM fit),
+resid AS (SELECT p.series_id, dayofweek(p.day) + 1 AS dow,
+                 CAST(p.y AS DOUBLE) - (f.intercept + f.slope * CAST(p.x AS DOUBLE)) AS r
+          FROM pts p JOIN fit2 f ON p.series_id = f.series_id),
+offs AS (SELECT series_id, dow, avg(r) AS "offset" FROM resid GROUP BY 1, 2),
+sig AS (SELECT r.series_id, coalesce(stddev_samp(r.r - o."offset"), 0.0) AS sigma
+        FROM resid r JOIN offs o ON r.series_id = o.series_id AND r.dow = o.dow GROUP BY 1),
+steps AS (SELECT f.series_id, f.n, f.d0, f.slope, f.intercept, s.sigma, CAST(f.d1 + CAST(h.h AS INTEGER) AS DATE) AS ds
+          FROM fit2 f JOIN sig s ON f.series_id = s.series_id CROSS JOIN range(1, 8) h(h)),
+yh AS (SELECT st.*, st.intercept + st.slope * date_diff('day', st.d0, st.ds) + coalesce(o."offset", 0.0) AS yhat
+       FROM steps st LEFT JOIN offs o ON o.series_id = st.series_id AND o.dow = dayofweek(st.ds) + 1)
+SELECT series_id, n AS history_points, CAST(ds AS VARCHAR) AS ds, {R('yhat', 2)} AS yhat,
+       {R(f'yhat - {1.2816} * sigma', 2)} AS yhat_lower, {R(f'yhat + {1.2816} * sigma', 2)} AS yhat_upper FROM yh""")

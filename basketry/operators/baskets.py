@@ -40,20 +40,22 @@ def _basket_order(orders: DataFrame, basket_key: str) -> DataFrame:
 def pair_counts(baskets: DataFrame, hot_basket_size: int = 5000, salts: int = 32,
                 basket_seen: DataFrame | None = None) -> DataFrame:
     """J5 + count: (left, right, pair_count[, first_seen]) with left < right."""
-    sizes = baskets.groupBy("basket").agg(F.count(F.lit(1)).alias("_size"))
-    tagged = baskets.join(sizes, "basket")
+    attrs = baskets.groupBy("basket").agg(F.count(F.lit(1)).alias("_size"))
+    if basket_seen is not None:
+        attrs = attrs.join(basket_seen, "basket")
+    tagged = baskets.join(attrs, "basket")
     hot = F.col("_size") > hot_basket_size
-    left = tagged.select(F.col("basket"), F.col("product").alias("left"),
+    extra = [F.col("basket_seen")] if basket_seen is not None else []
+    left = tagged.select(F.col("basket"), F.col("product").alias("left"), *extra,
                          F.when(hot, F.pmod(F.xxhash64("product"), F.lit(salts))).otherwise(F.lit(0)).alias("salt"))
     right = tagged.select(F.col("basket"), F.col("product").alias("right"),
                           F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(salts - 1)))
                                      .otherwise(F.array(F.lit(0)))).alias("salt"))
     pairs = left.join(right, ["basket", "salt"]).filter(F.col("left") < F.col("right"))
+    aggs = [F.count(F.lit(1)).alias("pair_count")]
     if basket_seen is not None:
-        pairs = pairs.join(basket_seen, "basket")
-        return pairs.groupBy("left", "right").agg(F.count(F.lit(1)).alias("pair_count"),
-                                                  F.min("basket_seen").alias("first_seen"))
-    return pairs.groupBy("left", "right").agg(F.count(F.lit(1)).alias("pair_count"))
+        aggs.append(F.min("basket_seen").alias("first_seen"))
+    return pairs.groupBy("left", "right").agg(*aggs)
 
 
 def basket_analysis(orders: DataFrame, limit: int = 10, basket_key: str = "customer_id",

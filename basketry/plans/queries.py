@@ -183,3 +183,49 @@ def q_seasonal_forecast(spark, sf_dir):
     hist = (s.groupBy(F.col("product_id").alias("series_id"), F.to_date("created_at").alias("day"))
              .agg(F.sum(F.col("revenue").cast("decimal(18,2)")).cast("double").alias("value")))
     return _fc.seasonal_forecast(hist, periods=7).withColumn("ds", F.col("ds").cast("string"))
+
+
+# ---- recommendations --------------------------------------------------------
+from basketry.operators import recommend as _rec  # noqa: E402
+from basketry.sources.views import segment_text_of  # noqa: E402
+
+
+def _rec_customers(spark, sf_dir):
+    """Every customer with its segment text and top-3 recent categories."""
+    v = views(spark, sf_dir)
+    grain = _beh.sales_grain(v.sales())
+    cats = (_beh.ranked_categories(grain, v.views(), 3)
+            .groupBy("customer_id")
+            .agg(F.sort_array(F.collect_list(F.struct("rank", "item"))).alias("_c"))
+            .select("customer_id", F.transform("_c", lambda x: x["item"]).alias("recent_categories")))
+    c = v.t.customer.select(F.col("c_custkey").alias("customer_id"),
+                            segment_text_of(F.col("c_mktsegment")).alias("segment"))
+    return c.join(cats, "customer_id", "left")
+
+
+@query("recommendations")
+def q_recommendations(spark, sf_dir):
+    v = views(spark, sf_dir)
+    return _rec.recommend(_rec_customers(spark, sf_dir), v.catalog(), k=3)
+
+
+def _attributions(spark, sf_dir):
+    v = views(spark, sf_dir)
+    cust = _rec_customers(spark, sf_dir)
+    top = _rec.recommend(cust, v.catalog(), k=1).join(cust, "customer_id")
+    feats = v.features()
+    churn = _churn.churn_scores(feats).select("customer_id", F.col("probability").alias("churn_risk"))
+    return cust, _rec.attributions(top, feats.join(churn, "customer_id"))
+
+
+@query("recommendation_attributions")
+def q_recommendation_attributions(spark, sf_dir):
+    return _attributions(spark, sf_dir)[1]
+
+
+@query("recommendation_insight")
+def q_recommendation_insight(spark, sf_dir):
+    v = views(spark, sf_dir)
+    cust, attrib = _attributions(spark, sf_dir)
+    recs = _rec.recommend(cust, v.catalog(), k=3)
+    return _rec.recommendation_insight(recs.select("customer_id", "rank", "product_id", "score"), attrib)

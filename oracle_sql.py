@@ -74,8 +74,8 @@ BASE = {
   FROM customer""",
     "catalog": f"""
   SELECT p_partkey AS product_id, p_partkey AS ordinal, p_name || ' #' || p_partkey AS product,
-         list_distinct_ordered([{CAT.format(c='p_type')}, split_part(p_name, ' ', 1)]) AS categories,
-         list_distinct_ordered([split_part(p_name, ' ', 2), lower(p_brand),
+         list_distinct([{CAT.format(c='p_type')}, split_part(p_name, ' ', 1)]) AS categories,
+         list_distinct([split_part(p_name, ' ', 2), lower(p_brand),
                                 split_part({CAT.format(c='p_type')}, ' ', 1)]) AS keywords,
          round(0.50 + 0.01 * (p_partkey % 25), 2) AS base_score
   FROM part WHERE p_partkey < 16""",
@@ -156,11 +156,13 @@ cat_counts AS (
   SELECT customer_id, category, count(*) AS n, min(pos) AS seen FROM (
     SELECT customer_id, category, pos FROM o_rows UNION ALL SELECT customer_id, category, pos FROM v_rows)
   WHERE category IS NOT NULL AND category <> '' GROUP BY customer_id, category),
+cat_ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY customer_id ORDER BY n DESC, seen) AS rk FROM cat_counts),
 cat_top AS (
   SELECT customer_id, string_agg(category || ':' || n, ',' ORDER BY rk) AS preferred_categories,
-         max(CASE WHEN rk = 1 THEN category END) AS top_category
-  FROM (SELECT *, row_number() OVER (PARTITION BY customer_id ORDER BY n DESC, seen) AS rk FROM cat_counts)
-  WHERE rk <= 3 GROUP BY customer_id),
+         max(CASE WHEN rk = 1 THEN category END) AS top_category,
+         list(category ORDER BY rk) AS recent_categories
+  FROM cat_ranked WHERE rk <= 3 GROUP BY customer_id),
 prod_top AS (
   SELECT customer_id, string_agg(CAST(product_id AS VARCHAR) || ':' || n, ',' ORDER BY rk) AS top_products
   FROM (SELECT *, row_number() OVER (PARTITION BY customer_id ORDER BY n DESC, seen) AS rk
@@ -379,3 +381,81 @@ yh AS (SELECT st.*, st.intercept + st.slope * date_diff('day', st.d0, st.ds) + c
        FROM steps st LEFT JOIN offs o ON o.series_id = st.series_id AND o.dow = dayofweek(st.ds) + 1)
 SELECT series_id, n AS history_points, CAST(ds AS VARCHAR) AS ds, {R('yhat', 2)} AS yhat,
        {R(f'yhat - {1.2816} * sigma', 2)} AS yhat_lower, {R(f'yhat + {1.2816} * sigma', 2)} AS yhat_upper FROM yh""")
+
+
+# ---- recommendations ------------------------------------------------------------
+SEGTEXT = """CASE {c} WHEN 'HOUSEHOLD' THEN 'Premium home accounts' WHEN 'MACHINERY' THEN 'Productivity teams'
+  WHEN 'BUILDING' THEN 'Urban commuter cohort' WHEN 'AUTOMOBILE' THEN 'Dormant winback wellness'
+  WHEN 'FURNITURE' THEN 'Active shopper' END"""
+
+SEGFIT = """(CASE WHEN ns LIKE '%wellness%' AND list_has_any(categories, ['wellness', 'fitness', 'sleep']) THEN 1.0
+      WHEN ns LIKE '%commuter%' AND list_has_any(categories, ['commuter', 'travel']) THEN 1.0
+      WHEN ns LIKE '%home%' AND list_contains(categories, 'smart home') THEN 1.0
+      WHEN ns LIKE '%productivity%' AND list_contains(categories, 'productivity') THEN 1.0
+      WHEN ns LIKE '%active shopper%' THEN 0.5 ELSE 0.0 END)"""
+
+RECS = f"""
+, cust AS (
+  SELECT c.c_custkey AS customer_id, {SEGTEXT.format(c='c.c_mktsegment')} AS segment, t.recent_categories
+  FROM customer c LEFT JOIN cat_top t ON t.customer_id = c.c_custkey),
+sc1 AS (
+  SELECT cu.customer_id, cu.segment, cu.recent_categories, ca.ordinal, ca.product_id, ca.product, ca.categories,
+         ca.keywords, ca.base_score, replace(lower(cu.segment), '_', ' ') AS ns,
+         list_distinct(list_filter(list_transform(coalesce(cu.recent_categories, []), lambda c: replace(lower(c), '_', ' ')),
+                                   lambda c: c IS NOT NULL AND c <> '')) AS rc
+  FROM cust cu CROSS JOIN catalog ca),
+sc2 AS (SELECT *, list_intersect(rc, categories) AS matched,
+               list_distinct(list_filter(string_split_regex(ns, '\\s+'), lambda w: w <> '')) AS tokens FROM sc1),
+sc3 AS (SELECT *, base_score * 0.22 AS b, len(matched) / greatest(len(categories), 1) * 0.34 AS cc,
+               {SEGFIT} * 0.24 AS sc,
+               len(list_intersect(tokens, keywords)) / greatest(len(keywords), 1) * 0.12 AS kc,
+               CASE WHEN ns LIKE '%winback%' AND list_contains(categories, 'sleep') THEN 0.08 ELSE 0.0 END AS wc
+        FROM sc2),
+sc4 AS (SELECT *, {R('least(b + cc + sc + kc + wc, 0.99)', 3)} AS score,
+               list_min(CASE WHEN len(matched) > 0 THEN matched ELSE categories END) AS category FROM sc3),
+recs AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY customer_id ORDER BY score DESC, ordinal) AS rank FROM sc4)
+  WHERE rank <= 3)"""
+
+ORACLE["recommendations"] = with_behavior(RECS + f"""
+SELECT customer_id, rank, product_id, product, category, score, {R('b', 3)} AS base_product_fit,
+       {R('cc', 3)} AS recent_category_match, {R('sc', 3)} AS segment_fit, {R('kc', 3)} AS keyword_match,
+       {R('wc', 3)} AS winback_sleep_boost FROM recs""", extra=["catalog"])
+
+ATTRIB = RECS + f""",
+feat AS (SELECT f.*, ch.probability AS churn_risk FROM features f JOIN ({churn_sql('features')}) ch
+         ON f.customer_id = ch.customer_id),
+top1 AS (SELECT r.*, {R('r.cc', 3)} AS rcm, {R('r.sc', 3)} AS sfit, {R('r.kc', 3)} AS kwm, {R('r.b', 3)} AS bpf,
+                greatest(0.0, least(r.score, 1.0)) AS s01,
+                lower(replace(coalesce(r.category, ''), '_', ' ')) AS pcat,
+                greatest(0.0, least(coalesce(CAST(f.engagement_depth AS DOUBLE), 0.0), 1.0)) AS bundle,
+                coalesce(CAST(f.frequency AS DOUBLE), 0.0) AS freq_raw,
+                greatest(0.0, least(coalesce(CAST(f.discount_sensitivity AS DOUBLE), 0.0), 1.0)) AS disc,
+                greatest(0.0, least(CASE WHEN coalesce(f.churn_risk, 0.0) > 1 THEN f.churn_risk / 100
+                                         ELSE coalesce(f.churn_risk, 0.0) END, 1.0)) AS churn
+         FROM recs r LEFT JOIN feat f ON r.customer_id = f.customer_id WHERE r.rank = 1),
+items AS (
+  SELECT customer_id, product, 0 AS ord, 'Recommendation score' AS name, {R('s01 * 0.24', 3)} AS impact,
+         CAST({R('s01', 3)} AS VARCHAR) AS value FROM top1
+  UNION ALL SELECT customer_id, product, 1, 'Recent category match', rcm,
+         CASE WHEN pcat <> '' THEN pcat ELSE 'unknown' END FROM top1
+  UNION ALL SELECT customer_id, product, 2, 'Bundle affinity', {R('bundle * 0.16', 3)}, CAST({R('bundle', 3)} AS VARCHAR) FROM top1
+  UNION ALL SELECT customer_id, product, 3, 'Purchase frequency', {R('greatest(0.0, least(freq_raw / 10, 1.0)) * 0.12', 3)},
+         CAST(freq_raw AS VARCHAR) FROM top1
+  UNION ALL SELECT customer_id, product, 4, 'Segment fit', sfit, segment FROM top1
+  UNION ALL SELECT customer_id, product, 5, 'Product keyword match', kwm, CAST(kwm AS VARCHAR) FROM top1
+  UNION ALL SELECT customer_id, product, 6, 'Base product fit', bpf, CAST(bpf AS VARCHAR) FROM top1
+  UNION ALL SELECT customer_id, product, 7, 'Discount sensitivity', {R('disc * -0.12', 3)}, CAST({R('disc', 3)} AS VARCHAR) FROM top1
+  UNION ALL SELECT customer_id, product, 8, 'Churn risk', {R('churn * -0.14', 3)}, CAST({R('churn', 3)} AS VARCHAR) FROM top1),
+attrib AS (SELECT *, row_number() OVER (PARTITION BY customer_id ORDER BY abs(impact) DESC, ord) AS position FROM items)"""
+
+ORACLE["recommendation_attributions"] = with_behavior(ATTRIB + """
+SELECT customer_id, product, position, name, impact, value FROM attrib""", extra=["catalog", "features"])
+
+ORACLE["recommendation_insight"] = with_behavior(ATTRIB + f"""
+SELECT r.customer_id, r.rank, r.product_id, r.score,
+       a.product || ' is recommended primarily because ' || lower(a.name) || ' contributed '
+         || printf('%+.2f', {R('a.impact', 2)}) || '. Positive values increase recommendation confidence; negative values reduce it.' AS explanation,
+       a.name AS strongest_feature, a.impact AS strongest_impact
+FROM recs r LEFT JOIN (SELECT * FROM attrib WHERE position = 1) a ON r.customer_id = a.customer_id""",
+    extra=["catalog", "features"])

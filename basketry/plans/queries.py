@@ -229,3 +229,38 @@ def q_recommendation_insight(spark, sf_dir):
     cust, attrib = _attributions(spark, sf_dir)
     recs = _rec.recommend(cust, v.catalog(), k=3)
     return _rec.recommendation_insight(recs.select("customer_id", "rank", "product_id", "score"), attrib)
+
+
+# ---- reviews ----------------------------------------------------------------
+from basketry.operators import reviews as _rev  # noqa: E402
+from basketry.sources.views import (FIXTURE_NEGATIVE_EXTRA, FIXTURE_POSITIVE_EXTRA, NEGATIVE_WORDS,  # noqa: E402
+                                    POSITIVE_WORDS)
+
+FIXTURE_POSITIVE = POSITIVE_WORDS + FIXTURE_POSITIVE_EXTRA
+FIXTURE_NEGATIVE = NEGATIVE_WORDS + FIXTURE_NEGATIVE_EXTRA
+
+
+def _scored_reviews(spark, sf_dir):
+    return _rev.score_reviews(views(spark, sf_dir).reviews(), FIXTURE_POSITIVE, FIXTURE_NEGATIVE)
+
+
+@query("review_sentiment")
+def q_review_sentiment(spark, sf_dir):
+    s = _scored_reviews(spark, sf_dir)
+    return s.select("review_id", "product_id", "score", "label",
+                    F.array_join("positive_terms", " ").alias("positive_terms"),
+                    F.array_join("negative_terms", " ").alias("negative_terms"))
+
+
+@query("review_mix")
+def q_review_mix(spark, sf_dir):
+    return _rev.sentiment_mix(_scored_reviews(spark, sf_dir), "product_id")
+
+
+@query("recent_reviews")
+def q_recent_reviews(spark, sf_dir):
+    v = views(spark, sf_dir)
+    r = _rev.recent_reviews(_scored_reviews(spark, sf_dir), 20)
+    r = with_product_name(r, v.products(), "product_id", "product", small_side=True)
+    return r.select("review_id", "product_id", "product", "rating", "score", "label",
+                    iso_utc(F.col("created_at")).alias("created_at"))

@@ -459,3 +459,41 @@ SELECT r.customer_id, r.rank, r.product_id, r.score,
        a.name AS strongest_feature, a.impact AS strongest_impact
 FROM recs r LEFT JOIN (SELECT * FROM attrib WHERE position = 1) a ON r.customer_id = a.customer_id""",
     extra=["catalog", "features"])
+
+
+# ---- reviews ------------------------------------------------------------------
+POS = ["great", "love", "excellent", "fast", "easy", "useful", "quality", "perfect", "recommend", "happy",
+       "the", "and", "is"]
+NEG = ["bad", "slow", "broken", "poor", "return", "expensive", "late", "hard", "issue", "problem",
+       "of", "to", "a"]
+
+
+def _sql_list(words):
+    return "[" + ", ".join("'" + w + "'" for w in words) + "]"
+
+
+SCORED = f"""
+, toks AS (SELECT *, list_transform(list_filter(string_split_regex(coalesce(text, ''), '\\s+'), lambda w: w <> ''),
+                                    lambda w: lower(trim(w, '.,!?;:()[]{{}}"''')) ) AS w FROM reviews),
+hits AS (SELECT *, list_filter(w, lambda x: list_contains({_sql_list(POS)}, x)) AS pos,
+                   list_filter(w, lambda x: list_contains({_sql_list(NEG)}, x)) AS neg FROM toks),
+scored AS (SELECT *, {R('greatest(-1.0, least(1.0, CAST(len(pos) - len(neg) AS DOUBLE) / greatest(sqrt(len(w)), 1.0)))', 3)} AS score
+           FROM hits),
+labeled AS (SELECT *, CASE WHEN score > 0.12 THEN 'positive' WHEN score < -0.12 THEN 'negative' ELSE 'neutral' END AS label
+            FROM scored)"""
+
+ORACLE["review_sentiment"] = with_views(["reviews"], SCORED + """
+SELECT review_id, product_id, score, label, array_to_string(pos, ' ') AS positive_terms,
+       array_to_string(neg, ' ') AS negative_terms FROM labeled""")
+
+ORACLE["review_mix"] = with_views(["reviews"], SCORED + f""",
+grain AS (SELECT product_id, label, count(*) AS review_count FROM labeled GROUP BY 1, 2
+          UNION ALL SELECT NULL, label, count(*) FROM labeled GROUP BY label)
+SELECT product_id, label, CAST(review_count AS BIGINT) AS review_count,
+       {R('review_count / greatest(sum(review_count) OVER (PARTITION BY product_id), 1)', 3)} AS share FROM grain""")
+
+ORACLE["recent_reviews"] = with_views(["reviews", "products"], SCORED + f"""
+SELECT l.review_id, l.product_id, coalesce(p.name, CAST(l.product_id AS VARCHAR)) AS product, l.rating, l.score, l.label,
+       {ISO.format(t='l.created_at')} AS created_at
+FROM (SELECT * FROM labeled ORDER BY created_at DESC, review_id DESC LIMIT 20) l
+LEFT JOIN products p ON p.id = l.product_id""")

@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 # Total orders: created_at alone repeats (day resolution), so every scan
 # carries enough tie-breaks to be deterministic.
-SALES_NEWEST_FIRST = [F.desc("created_at"), F.desc("order_id"), F.asc("line"), F.asc("product_id"),
-                      F.asc("quantity"), F.asc("revenue")]
-SALES_OLDEST_FIRST = [F.asc("created_at"), F.asc("order_id"), F.asc("line"), F.asc("product_id"),
-                      F.asc("quantity"), F.asc("revenue")]
-VIEWS_NEWEST_FIRST = [F.desc("created_at"), F.desc("event_id")]
+def sales_newest_first() -> list[Column]:
+    return [F.desc("created_at"), F.desc("order_id"), F.asc("line"), F.asc("product_id"),
+            F.asc("quantity"), F.asc("revenue")]
+
+
+def views_newest_first() -> list[Column]:
+    return [F.desc("created_at"), F.desc("event_id")]
 
 
 def _equals(df: DataFrame, **filters) -> DataFrame:
@@ -23,12 +25,12 @@ def _equals(df: DataFrame, **filters) -> DataFrame:
 
 def order_scan(sales: DataFrame, customer_id=None, product_id=None) -> DataFrame:
     """Pushed-down equality filters, newest first."""
-    return _equals(sales, customer_id=customer_id, product_id=product_id).orderBy(*SALES_NEWEST_FIRST)
+    return _equals(sales, customer_id=customer_id, product_id=product_id).orderBy(*sales_newest_first())
 
 
 def browse_scan(views: DataFrame, customer_id=None) -> DataFrame:
     """S2."""
-    return _equals(views, customer_id=customer_id).orderBy(*VIEWS_NEWEST_FIRST)
+    return _equals(views, customer_id=customer_id).orderBy(*views_newest_first())
 
 
 def review_scan(reviews: DataFrame, product_id=None) -> DataFrame:

@@ -264,3 +264,29 @@ def q_recent_reviews(spark, sf_dir):
     r = with_product_name(r, v.products(), "product_id", "product", small_side=True)
     return r.select("review_id", "product_id", "product", "rating", "score", "label",
                     iso_utc(F.col("created_at")).alias("created_at"))
+
+
+# ---- accounts ---------------------------------------------------------------
+from basketry.operators import accounts as _acct  # noqa: E402
+from basketry.operators import scans as _scans  # noqa: E402
+
+
+def _users_with_ids(v):
+    return v.users().withColumn("customer_id", F.col("customer_key"))
+
+
+@query("customer_accounts")
+def q_customer_accounts(spark, sf_dir):
+    v = views(spark, sf_dir)
+    a = _scans.account_scan(v.users())
+    return a.select("email", "role", "customer_key", iso_utc(F.col("created_at")).alias("created_at"))
+
+
+@query("account_profiles")
+def q_account_profiles(spark, sf_dir):
+    v = views(spark, sf_dir)
+    p = _acct.account_profiles(_users_with_ids(v), v.sales())
+    return p.select("id", "label", "email", "email_customer_id", "segment",
+                    F.array_join("recent_categories", ",").alias("recent_categories"),
+                    F.array_join(F.transform("revenue_history", lambda x: x.cast("string")), ",").alias("revenue_history"),
+                    "order_count")

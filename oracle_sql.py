@@ -497,3 +497,38 @@ SELECT l.review_id, l.product_id, coalesce(p.name, CAST(l.product_id AS VARCHAR)
        {ISO.format(t='l.created_at')} AS created_at
 FROM (SELECT * FROM labeled ORDER BY created_at DESC, review_id DESC LIMIT 20) l
 LEFT JOIN products p ON p.id = l.product_id""")
+
+
+# ---- accounts -----------------------------------------------------------------
+EMAIL_CID = ("'cust-' || CASE WHEN regexp_replace(regexp_replace(lower(split_part(email, '@', 1)), '[^a-z0-9]', '-', 'g'), '^-+|-+$', '', 'g') <> '' "
+             "THEN regexp_replace(regexp_replace(lower(split_part(email, '@', 1)), '[^a-z0-9]', '-', 'g'), '^-+|-+$', '', 'g') "
+             "ELSE substr(sha256(email), 1, 8) END")
+
+ORACLE["customer_accounts"] = with_views(["users"], f"""
+SELECT email, role, customer_key, {ISO.format(t='created_at')} AS created_at FROM users WHERE role = 'customer'""")
+
+ORACLE["account_profiles"] = with_views(["users", "sales"], f"""
+, top AS (SELECT *, row_number() OVER (PARTITION BY customer_id ORDER BY created_at DESC, order_id DESC, line,
+                                         product_id, quantity, revenue) AS rn FROM sales),
+t12 AS (SELECT * FROM top WHERE rn <= 12),
+firstcat AS (SELECT customer_id, category, min(rn) AS r FROM t12 WHERE category IS NOT NULL AND category <> ''
+             GROUP BY 1, 2),
+cats AS (SELECT customer_id, list(category ORDER BY r) AS cats FROM firstcat GROUP BY 1),
+hist AS (SELECT customer_id, string_agg(CAST({R('coalesce(revenue, 0.0)', 2)} AS VARCHAR), ',' ORDER BY rn DESC) AS h
+         FROM t12 WHERE rn <= 6 AND coalesce(revenue, 0.0) > 0 GROUP BY 1),
+cnt AS (SELECT customer_id, count(*) AS order_count FROM t12 GROUP BY 1),
+prof AS (SELECT c.customer_id, c.order_count, k.cats, h.h,
+                CASE WHEN c.order_count >= 5 THEN 'Loyal repeat buyer'
+                     WHEN list_contains(k.cats, 'wellness') THEN 'Wellness shopper'
+                     WHEN list_contains(k.cats, 'commuter') THEN 'Commuter shopper'
+                     WHEN list_contains(k.cats, 'smart home') THEN 'Smart home shopper' ELSE 'Active shopper' END AS segment
+         FROM cnt c LEFT JOIN cats k ON c.customer_id = k.customer_id LEFT JOIN hist h ON c.customer_id = h.customer_id)
+SELECT CAST(u.customer_key AS VARCHAR) AS id,
+       array_to_string(list_transform(string_split(replace(replace(replace(split_part(u.email, '@', 1), '.', ' '), '-', ' '), '_', ' '), ' '),
+                                      lambda w: upper(substr(w, 1, 1)) || lower(substr(w, 2))), ' ') AS label,
+       u.email, {EMAIL_CID.replace('email', 'u.email')} AS email_customer_id,
+       coalesce(p.segment, 'Registered customer') AS segment,
+       coalesce(array_to_string(p.cats[1:4], ','), '') AS recent_categories,
+       coalesce(p.h, '') AS revenue_history,
+       CAST(coalesce(p.order_count, 0) AS BIGINT) AS order_count
+FROM users u LEFT JOIN prof p ON p.customer_id = u.customer_key WHERE u.role = 'customer'""")

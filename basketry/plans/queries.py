@@ -290,3 +290,65 @@ def q_account_profiles(spark, sf_dir):
                     F.array_join("recent_categories", ",").alias("recent_categories"),
                     F.array_join(F.transform("revenue_history", lambda x: x.cast("string")), ",").alias("revenue_history"),
                     "order_count")
+
+
+# ---- graph ------------------------------------------------------------------
+from basketry.operators import graph as _graph  # noqa: E402
+
+
+@query("purchase_edges")
+def q_purchase_edges(spark, sf_dir):
+    e = _graph.purchase_edges(views(spark, sf_dir).sales())
+    return e.withColumn("event_time", iso_utc(F.col("event_time")))
+
+
+@query("view_edges")
+def q_view_edges(spark, sf_dir):
+    e = _graph.view_edges(views(spark, sf_dir).views())
+    return e.withColumn("event_time", iso_utc(F.col("event_time")))
+
+
+def _stored_edges(v):
+    p = _graph.purchase_edges(v.sales()).select("customer_id", "target", "target_name", "category")
+    w = _graph.view_edges(v.views()).select("customer_id", "target", "target_name", "category")
+    return p.unionByName(w)
+
+
+@query("graph_nodes")
+def q_graph_nodes(spark, sf_dir):
+    v = views(spark, sf_dir)
+    return _graph.graph_nodes(v.sales(), v.views(), _stored_edges(v))
+
+
+@query("graph_edges")
+def q_graph_edges(spark, sf_dir):
+    v = views(spark, sf_dir)
+    s, w = v.sales(), v.views()
+    nodes = _graph.graph_nodes(s, w, _stored_edges(v))
+    return _graph.positioned_edges(_graph.graph_edges(s, w), nodes)
+
+
+@query("relationship_summary")
+def q_relationship_summary(spark, sf_dir):
+    v = views(spark, sf_dir)
+    return _graph.relationship_summary(v.sales(), v.views())
+
+
+@query("customer_profiles")
+def q_customer_profiles(spark, sf_dir):
+    v = views(spark, sf_dir)
+    feats = v.features()
+    churn = _churn.churn_scores(feats).select("customer_id", F.col("probability").alias("churn_risk"))
+    feats = feats.join(churn, "customer_id").withColumn(
+        "churn_risk", F.when(F.col("customer_id") % 3 == 0, F.lit(None).cast("double")).otherwise(F.col("churn_risk")))
+    feats = feats.filter(F.col("customer_id") % 11 != 0)
+    return _graph.customer_profiles(v.sales(), v.views(), feats)
+
+
+@query("graph_source")
+def q_graph_source(spark, sf_dir):
+    v = views(spark, sf_dir)
+    snaps = v.t.customer.filter(F.col("c_custkey") % 5 == 0).select(
+        F.col("c_custkey").alias("customer_id"), F.lit("mongodb_seed_snapshot").alias("snapshot_source"),
+        F.col("c_nationkey").cast("bigint").alias("snapshot_edges"))
+    return _graph.live_else_snapshot(_graph.relationship_summary(v.sales(), v.views()), snaps)

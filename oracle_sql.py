@@ -532,3 +532,131 @@ SELECT CAST(u.customer_key AS VARCHAR) AS id,
        coalesce(p.h, '') AS revenue_history,
        CAST(coalesce(p.order_count, 0) AS BIGINT) AS order_count
 FROM users u LEFT JOIN prof p ON p.customer_id = u.customer_key WHERE u.role = 'customer'""")
+
+
+# ---- graph --------------------------------------------------------------------
+ORDER_CHURN = R("""greatest(0.02, least(0.0 + 0.0 + greatest(0.0, 1 - least(1.0 / 12, 1.0)) * 0.24
+   + greatest(0.0, 1 - least(CAST(revenue AS DOUBLE) / 20000, 1.0)) * 0.12 + least(0.3, 1.0) * 0.14
+   + greatest(0.0, 1 - least(0.35, 1.0)) * 0.08, 0.96))""", 3)
+
+ORACLE["purchase_edges"] = with_views(["sales"], f"""
+SELECT customer_id, target, relationship, order_id, target_name, category, quantity, revenue, event_time, churn_percent
+FROM (SELECT customer_id, product_id AS target, 'PURCHASED' AS relationship, order_id, product_name AS target_name,
+             category, quantity, revenue, {ISO.format(t='created_at')} AS event_time,
+             {R(ORDER_CHURN + ' * 100', 1)} AS churn_percent,
+             row_number() OVER (PARTITION BY customer_id, product_id, order_id
+                                ORDER BY created_at DESC, line DESC, quantity DESC, revenue DESC) AS rn
+      FROM sales WHERE product_id IS NOT NULL) WHERE rn = 1""")
+
+ORACLE["view_edges"] = with_views(["views"], f"""
+SELECT customer_id, target, relationship, target_name, category, dwell_seconds, event_time, view_count
+FROM (SELECT customer_id, product_id AS target, 'VIEWED' AS relationship, product_name AS target_name, category,
+             dwell_seconds, {ISO.format(t='created_at')} AS event_time,
+             CAST(count(*) OVER (PARTITION BY customer_id, product_id) AS BIGINT) AS view_count,
+             row_number() OVER (PARTITION BY customer_id, product_id ORDER BY created_at DESC, event_id DESC) AS rn
+      FROM views WHERE product_id IS NOT NULL) WHERE rn = 1""")
+
+GRAPH = """
+, o_pos AS (SELECT *, row_number() OVER (PARTITION BY customer_id ORDER BY created_at DESC, order_id DESC, line,
+                                          product_id, quantity, revenue) AS pos FROM sales WHERE product_id IS NOT NULL),
+v_pos AS (SELECT *, 1000000000 + row_number() OVER (PARTITION BY customer_id ORDER BY created_at DESC, event_id DESC) AS pos
+          FROM views WHERE product_id IS NOT NULL),
+gcat AS (SELECT customer_id, category, count(*) AS n, min(pos) AS seen FROM (
+           SELECT customer_id, category, pos FROM o_pos UNION ALL SELECT customer_id, category, pos FROM v_pos)
+         GROUP BY 1, 2),
+prefs AS (SELECT customer_id, rk AS rank, category, lower(replace('category-' || category, ' ', '-')) AS target, n AS weight
+          FROM (SELECT *, row_number() OVER (PARTITION BY customer_id ORDER BY n DESC, seen) AS rk FROM gcat)
+          WHERE rk <= 3 AND category IS NOT NULL AND category <> ''),
+edges AS (
+  SELECT customer_id, 'PURCHASED' AS type, CAST(product_id AS VARCHAR) AS target, CAST(revenue AS DOUBLE) AS weight,
+         0 AS kind, pos AS ord FROM o_pos
+  UNION ALL SELECT customer_id, 'VIEWED', CAST(product_id AS VARCHAR), CAST(dwell_seconds AS DOUBLE), 1, pos FROM v_pos
+  UNION ALL SELECT customer_id, 'PREFERS', target, CAST(weight AS DOUBLE), 2, rank FROM prefs),
+stored AS (
+  SELECT customer_id, product_id AS target, product_name AS target_name, category FROM sales WHERE product_id IS NOT NULL
+  UNION ALL SELECT customer_id, product_id, product_name, category FROM views WHERE product_id IS NOT NULL),
+pnodes AS (
+  SELECT customer_id, node_id, arg_min(name, k) AS name, arg_min(category, k) AS category FROM (
+    SELECT customer_id, CAST(product_id AS VARCHAR) AS node_id, product_name AS name, category, pos AS k FROM o_pos
+    UNION ALL SELECT customer_id, CAST(product_id AS VARCHAR), product_name, category, pos FROM v_pos
+    UNION ALL SELECT s.customer_id, CAST(s.target AS VARCHAR), s.target_name, s.category, 3000000000
+    FROM stored s WHERE NOT EXISTS (SELECT 1 FROM o_pos o WHERE o.customer_id = s.customer_id AND o.product_id = s.target)
+                    AND NOT EXISTS (SELECT 1 FROM v_pos v WHERE v.customer_id = s.customer_id AND v.product_id = s.target))
+  GROUP BY 1, 2),
+nodes AS (
+  SELECT customer_id, node_id, split_part(coalesce(name, node_id), ' ', 1) AS label, 'product' AS kind, category FROM pnodes
+  UNION ALL SELECT customer_id, target, split_part(category, ' ', 1), 'segment', NULL FROM prefs p
+    WHERE NOT EXISTS (SELECT 1 FROM pnodes n WHERE n.customer_id = p.customer_id AND n.node_id = p.target)
+  UNION ALL SELECT DISTINCT customer_id, CAST(customer_id AS VARCHAR), split_part(CAST(customer_id AS VARCHAR), ' ', 1),
+    'customer', NULL FROM (SELECT customer_id FROM pnodes UNION ALL SELECT customer_id FROM prefs))"""
+
+ORACLE["graph_nodes"] = with_views(["sales", "views"], GRAPH + """
+SELECT customer_id, node_id, label, kind, category FROM nodes""")
+
+ORACLE["graph_edges"] = with_views(["sales", "views"], GRAPH + """
+SELECT e.customer_id, e.target, e.source, e.edge_ordinal, e.edge_id, e.type, e.weight,
+       s.label AS source_label, s.kind AS source_kind, t.label AS target_label, t.kind AS target_kind
+FROM (SELECT customer_id, CAST(customer_id AS VARCHAR) AS source, target, type, weight,
+             rn - 1 AS edge_ordinal, 'edge-' || CAST(rn - 1 AS VARCHAR) AS edge_id
+      FROM (SELECT *, row_number() OVER (PARTITION BY customer_id ORDER BY kind, ord) AS rn FROM edges) WHERE rn <= 14) e
+LEFT JOIN nodes s ON s.customer_id = e.customer_id AND s.node_id = e.source
+LEFT JOIN nodes t ON t.customer_id = e.customer_id AND t.node_id = e.target""")
+
+SUMMARY = """,
+summ AS (
+  SELECT coalesce(r.customer_id, c.customer_id) AS customer_id,
+         CAST(coalesce(oe.n, 0) + coalesce(ve.n, 0) + coalesce(c.n, 0) AS BIGINT) AS relationship_count,
+         coalesce(r.revenue, 0.0) AS revenue, CAST(coalesce(r.orders, 0) AS BIGINT) AS orders, c.top_category
+  FROM (SELECT customer_id, CAST(sum(CAST(revenue AS DECIMAL(18,2))) AS DOUBLE) AS revenue, count(*) AS orders
+        FROM sales GROUP BY 1) r
+  FULL OUTER JOIN (SELECT customer_id, count(*) AS n, max(CASE WHEN rank = 1 THEN category END) AS top_category
+                   FROM prefs GROUP BY 1) c ON r.customer_id = c.customer_id
+  LEFT JOIN (SELECT customer_id, count(*) AS n FROM o_pos GROUP BY 1) oe ON oe.customer_id = coalesce(r.customer_id, c.customer_id)
+  LEFT JOIN (SELECT customer_id, count(*) AS n FROM v_pos GROUP BY 1) ve ON ve.customer_id = coalesce(r.customer_id, c.customer_id))"""
+
+ORACLE["relationship_summary"] = with_views(["sales", "views"], GRAPH + SUMMARY + """
+SELECT * FROM summ""")
+
+ORACLE["graph_source"] = with_views(["sales", "views"], GRAPH + SUMMARY + """,
+snaps AS (SELECT c_custkey AS customer_id, 'mongodb_seed_snapshot' AS snapshot_source,
+                 CAST(c_nationkey AS BIGINT) AS snapshot_edges FROM customer WHERE c_custkey % 5 = 0)
+SELECT coalesce(s.customer_id, n.customer_id) AS customer_id,
+       CASE WHEN coalesce(s.relationship_count, 0) > 0 THEN 'mongodb_graph'
+            WHEN n.snapshot_source IS NOT NULL THEN n.snapshot_source ELSE 'empty' END AS source,
+       CAST(CASE WHEN coalesce(s.relationship_count, 0) > 0 THEN s.relationship_count
+            WHEN n.snapshot_source IS NOT NULL THEN n.snapshot_edges ELSE 0 END AS BIGINT) AS relationship_count
+FROM summ s FULL OUTER JOIN snaps n ON s.customer_id = n.customer_id""")
+
+
+def _title_sql(x: str) -> str:
+    return (f"array_to_string(list_transform(string_split(replace({x}, '-', ' '), ' '), "
+            "lambda w: upper(substr(w, 1, 1)) || lower(substr(w, 2))), ' ')")
+
+
+ORACLE["customer_profiles"] = with_views(["sales", "views", "features"], GRAPH + SUMMARY + f""",
+feat AS (SELECT f.customer_id, f.monetary_value AS f_monetary,
+                CASE WHEN f.customer_id % 3 = 0 THEN NULL ELSE ch.probability END AS f_churn
+         FROM features f JOIN ({churn_sql('features')}) ch ON f.customer_id = ch.customer_id
+         WHERE f.customer_id % 11 <> 0),
+lastev AS (
+  SELECT coalesce(o.customer_id, v.customer_id) AS customer_id,
+         CASE WHEN o.p IS NOT NULL THEN 'Purchased ' || o.p WHEN v.p IS NOT NULL THEN 'Viewed ' || v.p END AS last_event
+  FROM (SELECT customer_id, arg_min(coalesce(product_name, 'product'), pos) AS p FROM o_pos GROUP BY 1) o
+  FULL OUTER JOIN (SELECT customer_id, arg_min(coalesce(product_name, 'product'), pos) AS p FROM v_pos GROUP BY 1) v
+  ON o.customer_id = v.customer_id),
+prof AS (
+  SELECT s.*, {_title_sql('CAST(s.customer_id AS VARCHAR)')} AS name, l.last_event, f.f_monetary, f.f_churn,
+         f.customer_id IS NOT NULL AS has_features,
+         coalesce(nullif(s.revenue, 0.0), f.f_monetary) AS ltv_value
+  FROM summ s LEFT JOIN lastev l ON s.customer_id = l.customer_id LEFT JOIN feat f ON s.customer_id = f.customer_id)
+SELECT customer_id, name,
+       coalesce(nullif(array_to_string(list_transform(list_filter(string_split(replace(name, '-', ' '), ' '), lambda w: w <> '')[1:2],
+                                                      lambda w: upper(substr(w, 1, 1))), ''), ''), 'C') AS initials,
+       CASE WHEN orders >= 5 THEN 'Loyal active buyer' WHEN top_category IS NOT NULL THEN top_category || ' affinity'
+            ELSE 'Emerging customer' END AS segment,
+       CASE WHEN ltv_value IS NULL THEN '$0' ELSE '$' || format('{{:,.0f}}', {R('ltv_value', 0)}) END AS ltv,
+       CASE WHEN f_churn IS NOT NULL THEN
+              printf('%.1f', {R('CASE WHEN f_churn <= 1 THEN f_churn * 100 ELSE f_churn END', 1)}) || '%'
+            WHEN has_features THEN 'Calculated' ELSE 'Unknown' END AS churn_risk,
+       coalesce(last_event, 'No recent activity') AS last_event, relationship_count
+FROM prof""")

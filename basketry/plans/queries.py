@@ -352,3 +352,60 @@ def q_graph_source(spark, sf_dir):
         F.col("c_custkey").alias("customer_id"), F.lit("mongodb_seed_snapshot").alias("snapshot_source"),
         F.col("c_nationkey").cast("bigint").alias("snapshot_edges"))
     return _graph.live_else_snapshot(_graph.relationship_summary(v.sales(), v.views()), snaps)
+
+
+# ---- live insights (batch) ---------------------------------------------------
+from basketry.operators import insights as _ins  # noqa: E402
+
+
+def _stream_norm(spark, sf_dir):
+    return _ins.normalize_stream(views(spark, sf_dir).stream_events(), "stream")
+
+
+def _counted(spark, sf_dir):
+    return _ins.with_counters(_stream_norm(spark, sf_dir))
+
+
+@query("stream_insights")
+def q_stream_insights(spark, sf_dir):
+    return _ins.detect_insights(_counted(spark, sf_dir)).select("event_id", "insight_ordinal", "kind", "title",
+                                                                  "detail", "severity")
+
+
+@query("insight_kind_counts")
+def q_insight_kind_counts(spark, sf_dir):
+    i = _ins.detect_insights(_counted(spark, sf_dir))
+    return i.groupBy("kind").agg(F.count(F.lit(1)).alias("insights"))
+
+
+@query("replay_totals")
+def q_replay_totals(spark, sf_dir):
+    return _ins.replay_totals(_counted(spark, sf_dir))
+
+
+@query("live_top_categories")
+def q_live_top_categories(spark, sf_dir):
+    return _ins.top_categories(_stream_norm(spark, sf_dir), 5)
+
+
+@query("live_revenue_by_category")
+def q_live_revenue_by_category(spark, sf_dir):
+    return _ins.revenue_by_category(_stream_norm(spark, sf_dir))
+
+
+@query("live_customer_purchases")
+def q_live_customer_purchases(spark, sf_dir):
+    return _ins.purchases_per_customer(_stream_norm(spark, sf_dir))
+
+
+@query("recent_stream_events")
+def q_recent_stream_events(spark, sf_dir):
+    r = _ins.recent(_stream_norm(spark, sf_dir), 30)
+    return r.select("event_id", "event_type", "customer_id", "product_name", "category", "quantity", "revenue",
+                    iso_utc(F.col("event_time")).alias("event_time"), "source")
+
+
+@query("recent_insights")
+def q_recent_insights(spark, sf_dir):
+    r = _ins.recent(_ins.detect_insights(_counted(spark, sf_dir)), 30)
+    return r.select("event_id", "insight_ordinal", "kind", "detail")

@@ -660,3 +660,61 @@ SELECT customer_id, name,
             WHEN has_features THEN 'Calculated' ELSE 'Unknown' END AS churn_risk,
        coalesce(last_event, 'No recent activity') AS last_event, relationship_count
 FROM prof""")
+
+
+# ---- live insights --------------------------------------------------------------
+NORM_STREAM = f"""
+, norm AS (
+  SELECT coalesce(CAST(event_id AS VARCHAR), 'unknown') AS event_id,
+         lower(trim(coalesce(event_type, 'unknown'))) AS event_type,
+         CASE WHEN trim(coalesce(customer_id, 'unknown')) = '' THEN 'unknown' ELSE trim(coalesce(customer_id, 'unknown')) END AS customer_id,
+         product_id, coalesce(nullif(product_name, ''), nullif(product_id, ''), 'unknown') AS product_name,
+         lower(trim(coalesce(category, 'unknown'))) AS category, quantity,
+         coalesce(revenue, 0.0) AS raw_revenue, {R('coalesce(revenue, 0.0)', 2)} AS revenue, event_time,
+         'stream' AS source, seq
+  FROM stream_events),
+counted AS (
+  SELECT *, count(*) OVER (PARTITION BY category ORDER BY event_time, seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS category_count,
+         sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) OVER (PARTITION BY customer_id ORDER BY event_time, seq
+             ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS customer_purchases
+  FROM norm),
+ins AS (
+  SELECT event_id, event_time, seq, 0 AS insight_ordinal, 'purchase_detected' AS kind, 'Purchase event detected' AS title,
+         customer_id || ' bought ' || product_name || ' for $' || printf('%.2f', revenue) || '.' AS detail, 'info' AS severity
+  FROM counted WHERE event_type = 'purchase'
+  UNION ALL SELECT event_id, event_time, seq, 1, 'high_value_order', 'High-value order',
+         product_name || ' generated $' || printf('%.2f', revenue) || ' in one order.', 'positive' FROM counted WHERE revenue >= 100
+  UNION ALL SELECT event_id, event_time, seq, 2, 'category_momentum', 'Category momentum',
+         category || ' has ' || CAST(category_count AS VARCHAR) || ' recent events.', 'positive' FROM counted WHERE category_count >= 3
+  UNION ALL SELECT event_id, event_time, seq, 3, 'repeat_buyer', 'Repeat buyer activity',
+         customer_id || ' has ' || CAST(customer_purchases AS VARCHAR) || ' recent purchases.', 'positive'
+  FROM counted WHERE customer_purchases >= 2)"""
+
+ORACLE["stream_insights"] = with_views(["stream_events"], NORM_STREAM + """
+SELECT event_id, insight_ordinal, kind, title, detail, severity FROM ins""")
+
+ORACLE["insight_kind_counts"] = with_views(["stream_events"], NORM_STREAM + """
+SELECT kind, count(*) AS insights FROM ins GROUP BY kind""")
+
+ORACLE["replay_totals"] = with_views(["stream_events"], NORM_STREAM + """
+SELECT (SELECT count(*) FROM counted) AS processed, CAST((SELECT count(*) FROM ins) AS BIGINT) AS insights_created""")
+
+ORACLE["live_top_categories"] = with_views(["stream_events"], NORM_STREAM + """
+SELECT category, events, rank FROM (
+  SELECT category, count(*) AS events, row_number() OVER (ORDER BY count(*) DESC, min((event_time, seq))) AS rank
+  FROM norm GROUP BY category) WHERE rank <= 5""")
+
+ORACLE["live_revenue_by_category"] = with_views(["stream_events"], NORM_STREAM + """
+SELECT category, CAST(sum(CAST(raw_revenue AS DECIMAL(18,2))) AS DOUBLE) AS revenue FROM norm
+WHERE event_type = 'purchase' GROUP BY category""")
+
+ORACLE["live_customer_purchases"] = with_views(["stream_events"], NORM_STREAM + """
+SELECT customer_id, count(*) AS purchases FROM norm WHERE event_type = 'purchase' GROUP BY customer_id""")
+
+ORACLE["recent_stream_events"] = with_views(["stream_events"], NORM_STREAM + f"""
+SELECT event_id, event_type, customer_id, product_name, category, quantity, revenue,
+       {ISO.format(t='event_time')} AS event_time, source
+FROM norm ORDER BY event_time DESC, seq DESC LIMIT 30""")
+
+ORACLE["recent_insights"] = with_views(["stream_events"], NORM_STREAM + """
+SELECT event_id, insight_ordinal, kind, detail FROM ins ORDER BY event_time DESC, seq DESC, insight_ordinal DESC LIMIT 30""")

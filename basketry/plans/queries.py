@@ -409,3 +409,44 @@ def q_recent_stream_events(spark, sf_dir):
 def q_recent_insights(spark, sf_dir):
     r = _ins.recent(_ins.detect_insights(_counted(spark, sf_dir)), 30)
     return r.select("event_id", "insight_ordinal", "kind", "detail")
+
+
+# ---- screening and routing --------------------------------------------------
+from basketry.operators import screening as _scr  # noqa: E402
+from basketry.sources.views import FIXTURE_ALIASES  # noqa: E402
+
+# fixture permissions of the three fixture intents
+FIXTURE_ALLOWED = {"admin": ["a", "b", "c"], "marketing_analyst": ["b", "c"], "viewer": []}
+
+
+@query("prompt_screening")
+def q_prompt_screening(spark, sf_dir):
+    d = views(spark, sf_dir).t.documents.select(
+        "doc_id", F.col("text").alias("question"),
+        F.element_at(F.array(F.lit("marketing_analyst"), F.lit("admin"), F.lit("viewer")),
+                     (F.col("doc_id") % 3 + 1).cast("int")).alias("role"))
+    s = _scr.screen_prompts(d)
+    return s.select("doc_id", "role", "allowed", "reason", F.array_join("checks", ",").alias("checks"))
+
+
+@query("question_routing")
+def q_question_routing(spark, sf_dir):
+    q = _scr.route_intents(views(spark, sf_dir).questions(), list(FIXTURE_ALIASES))
+    a = _scr.authorize(q, FIXTURE_ALLOWED)
+    return a.select("conv_id", "turn", "role", F.array_join("requested", ",").alias("requested"),
+                    F.array_join("authorized", ",").alias("authorized"))
+
+
+# ---- k-means segmentation (iterative: rows-only check) ----------------------
+from basketry.operators import segmentation as _seg  # noqa: E402
+
+
+@query("kmeans_segments")
+def q_kmeans_segments(spark, sf_dir):
+    return _seg.segments(views(spark, sf_dir).features(), k=4, seed=42)
+
+
+@query("kmeans_cluster_profiles")
+def q_kmeans_cluster_profiles(spark, sf_dir):
+    f = views(spark, sf_dir).features()
+    return _seg.cluster_profiles(_seg.assign(_seg.fit_kmeans(f, 4, 42), f))

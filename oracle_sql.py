@@ -718,3 +718,40 @@ FROM norm ORDER BY event_time DESC, seq DESC LIMIT 30""")
 
 ORACLE["recent_insights"] = with_views(["stream_events"], NORM_STREAM + """
 SELECT event_id, insight_ordinal, kind, detail FROM ins ORDER BY event_time DESC, seq DESC, insight_ordinal DESC LIMIT 30""")
+
+
+# ---- screening ------------------------------------------------------------------
+_PII = [("email", r"(?i)\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b"),
+        ("phone", r"\b(?:\+?1[-.\s]?)?\(?\d{3}\)?[-.\s]?\d{3}[-.\s]?\d{4}\b"),
+        ("ssn", r"\b\d{3}-\d{2}-\d{4}\b"),
+        ("card", r"\b(?:\d[ -]*?){13,16}\b")]
+_SENS = " OR ".join(f"contains(lower(q), '{t}')" for t in
+                    ("export customer emails", "show raw pii", "ignore rbac", "bypass policy", "leak prompt"))
+_CASES = "\n".join(f"WHEN regexp_matches(q, '{p}') THEN 'Blocked possible {n} in prompt'" for n, p in _PII)
+_CHK = "\n".join(f"WHEN regexp_matches(q, '{p}') THEN 'role_present,prompt_length,pii_block'" for n, p in _PII)
+
+ORACLE["prompt_screening"] = f"""
+SELECT doc_id, role, reason = 'Allowed' AS allowed, reason, checks FROM (
+  SELECT doc_id, role,
+         CASE {_CASES}
+              WHEN {_SENS} THEN 'Blocked sensitive data or policy bypass request'
+              WHEN role NOT IN ('marketing_analyst', 'admin') THEN 'Role is not authorized for copilot tools'
+              ELSE 'Allowed' END AS reason,
+         CASE {_CHK}
+              WHEN {_SENS} THEN 'role_present,prompt_length,pii_block,sensitive_intent'
+              ELSE 'role_present,prompt_length,pii_block,sensitive_intent,tool_rbac' END AS checks
+  FROM (SELECT doc_id, coalesce(text, '') AS q,
+               ['marketing_analyst', 'admin', 'viewer'][CAST(doc_id % 3 + 1 AS INTEGER)] AS role FROM documents))"""
+
+ORACLE["question_routing"] = """
+SELECT conv_id, turn, role, array_to_string(req, ',') AS requested,
+       array_to_string(CASE WHEN len(kept) > 0 THEN kept ELSE allowed[1:3] END, ',') AS authorized
+FROM (SELECT *, list_filter(req, lambda i: list_contains(allowed, i)) AS kept FROM (
+  SELECT conv_id, turn, role,
+         list_filter([CASE WHEN contains(lower(text), 'with') OR contains(lower(text), 'from') THEN 'a' END,
+                      CASE WHEN contains(lower(text), 'for') OR contains(lower(text), 'are') THEN 'b' END,
+                      CASE WHEN contains(lower(text), 'this') THEN 'c' END], lambda x: x IS NOT NULL) AS req,
+         CASE role WHEN 'admin' THEN ['a', 'b', 'c'] WHEN 'marketing_analyst' THEN ['b', 'c'] ELSE []::VARCHAR[] END AS allowed
+  FROM (SELECT conv_id, turn, text,
+               CASE conv_id % 3 WHEN 0 THEN 'admin' WHEN 1 THEN 'marketing_analyst' ELSE 'viewer' END AS role
+        FROM conversations WHERE role = 'user')))"""

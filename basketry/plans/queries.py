@@ -450,3 +450,42 @@ def q_kmeans_segments(spark, sf_dir):
 def q_kmeans_cluster_profiles(spark, sf_dir):
     f = views(spark, sf_dir).features()
     return _seg.cluster_profiles(_seg.assign(_seg.fit_kmeans(f, 4, 42), f))
+
+
+# ---- streaming (drained with availableNow; compared with the batch oracle) ---
+from basketry.plans import live as _live  # noqa: E402
+from basketry.streaming import topics as _topics  # noqa: E402
+
+STREAM_CHUNKS = ["2024-01-11", "2024-01-21"]
+
+
+@query("streaming_insights")
+def q_streaming_insights(spark, sf_dir):
+    ev = views(spark, sf_dir).stream_events()
+    ins = _live.streaming_insights(spark, ev, STREAM_CHUNKS)
+    return ins.select("event_id", "insight_ordinal", "kind", "title", "detail", "severity")
+
+
+@query("streaming_hourly_revenue")
+def q_streaming_hourly_revenue(spark, sf_dir):
+    ev = views(spark, sf_dir).stream_events()
+    h = _live.streaming_hourly_revenue(spark, ev, STREAM_CHUNKS)
+    return h.select(F.col("window_start").cast("string").alias("window_start"), "event_type", "revenue", "events")
+
+
+@query("streaming_clean_events")
+def q_streaming_clean_events(spark, sf_dir):
+    c = _live.streaming_clean(spark, views(spark, sf_dir).raw_events())
+    return c.select("event_id", "customer_id", "product_id", "event_type",
+                    iso_utc(F.col("event_time")).alias("event_time"), "quantity", "price", "revenue",
+                    "lat", "lon", "region")
+
+
+@query("topic_decode")
+def q_topic_decode(spark, sf_dir):
+    """S8 over the fixture topic table: every 101st payload is cut short."""
+    ev = views(spark, sf_dir).stream_events()
+    enc = _topics.encode(ev, ["ecommerce", "purchase"], only_purchases_for={"purchase"})
+    enc = enc.withColumn("value", F.when(F.col("offset") % 101 == 0, F.substring("value", 1, 20)).otherwise(F.col("value")))
+    d = _topics.decode(enc)
+    return d.select("event_id", "event_type", "customer_id", "category", "revenue", "raw", "source", "offset")

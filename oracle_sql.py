@@ -755,3 +755,29 @@ FROM (SELECT *, list_filter(req, lambda i: list_contains(allowed, i)) AS kept FR
   FROM (SELECT conv_id, turn, text,
                CASE conv_id % 3 WHEN 0 THEN 'admin' WHEN 1 THEN 'marketing_analyst' ELSE 'viewer' END AS role
         FROM conversations WHERE role = 'user')))"""
+
+
+# ---- streaming ------------------------------------------------------------------
+ORACLE["streaming_insights"] = ORACLE["stream_insights"]
+ORACLE["streaming_clean_events"] = ORACLE["clean_events"]
+
+ORACLE["streaming_hourly_revenue"] = with_views(["stream_events"], """
+SELECT CAST(ws AS VARCHAR) AS window_start, event_type,
+       CAST(sum(CAST(revenue AS DECIMAL(18,2))) AS DOUBLE) AS revenue, count(*) AS events
+FROM (SELECT *, time_bucket(INTERVAL 1 HOUR, event_time) AS ws FROM stream_events)
+WHERE ws + INTERVAL 1 HOUR <= (SELECT max(event_time) FROM stream_events) - INTERVAL 1 HOUR
+GROUP BY ws, event_type""")
+
+ORACLE["topic_decode"] = with_views(["stream_events"], """
+, enc AS (
+  SELECT t.topic, e.*, CASE WHEN e.seq % 101 = 0 THEN 'bad' ELSE 'ok' END AS state
+  FROM stream_events e CROSS JOIN (VALUES ('ecommerce'), ('purchase')) t(topic)
+  WHERE t.topic = 'ecommerce' OR e.event_type = 'purchase')
+SELECT CASE WHEN state = 'bad' THEN 'mqtt-' || CAST(seq AS VARCHAR) ELSE event_id END AS event_id,
+       CASE WHEN state = 'bad' THEN 'unparseable' ELSE event_type END AS event_type,
+       CASE WHEN state = 'bad' THEN NULL ELSE customer_id END AS customer_id,
+       CASE WHEN state = 'bad' THEN NULL ELSE category END AS category,
+       CASE WHEN state = 'bad' THEN NULL ELSE revenue END AS revenue,
+       CASE WHEN state = 'bad' THEN substr('{"event_id":"' || event_id || '","event_type":"', 1, 20) END AS raw,
+       'emqx:' || topic AS source, seq AS "offset"
+FROM enc""")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from basketry.functions.timefn import iso_utc
 from basketry.sources.tables import TableSet
-from basketry.sources.views import EVENTS_AS_OF, ORDERS_AS_OF, Views
+from basketry.sources.views import EVENTS_AS_OF, ORDERS_AS_OF, Views, prop_k
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -489,3 +489,161 @@ def q_topic_decode(spark, sf_dir):
     enc = enc.withColumn("value", F.when(F.col("offset") % 101 == 0, F.substring("value", 1, 20)).otherwise(F.col("value")))
     d = _topics.decode(enc)
     return d.select("event_id", "event_type", "customer_id", "category", "revenue", "raw", "source", "offset")
+
+
+# ---- shop jobs ---------------------------------------------------------------
+from basketry.operators import commerce as _shop  # noqa: E402
+from basketry.operators import featurejson as _fj  # noqa: E402
+from basketry.operators import kpis as _kpi  # noqa: E402
+from basketry.operators import upserts as _ups  # noqa: E402
+
+
+def _order_requests(v):
+    """One order request per order line; every 97th asks for an unknown product."""
+    s = v.sales()
+    return s.select(F.concat_ws("-", F.col("order_id").cast("string"), F.col("line").cast("string"),
+                                F.col("product_id").cast("string")).alias("request_id"),
+                    "customer_id",
+                    F.when(F.col("order_id") % 97 == 0, F.col("product_id") + 1000000).otherwise(F.col("product_id")).alias("product_id"),
+                    "quantity", F.col("created_at").alias("event_time"))
+
+
+@query("order_events")
+def q_order_events(spark, sf_dir):
+    v = views(spark, sf_dir)
+    ev, _ = _shop.order_events(_order_requests(v), v.products())
+    return ev.select("request_id", "customer_id", "product_id", "product_name", "category", "quantity", "revenue")
+
+
+@query("rejected_order_requests")
+def q_rejected_order_requests(spark, sf_dir):
+    v = views(spark, sf_dir)
+    _, rej = _shop.order_events(_order_requests(v), v.products())
+    return rej.select("request_id", "customer_id", "product_id")
+
+
+@query("order_request_validation")
+def q_order_request_validation(spark, sf_dir):
+    from basketry.operators.cleaning import validate_orders
+    v = views(spark, sf_dir)
+    r = _order_requests(v).withColumn("customer_id", F.concat(F.lit("c"), F.col("customer_id").cast("string")))
+    chk = validate_orders(r)
+    return chk.select("request_id", "is_valid", F.array_join("reasons", ",").alias("reasons"))
+
+
+@query("browse_event_build")
+def q_browse_event_build(spark, sf_dir):
+    v = views(spark, sf_dir)
+    req = v.t.events.filter(F.col("event_type") == "view").select(
+        F.col("event_id").cast("string").alias("request_id"), F.col("user_id").alias("customer_id"),
+        (prop_k(F.col("props")) * 23).alias("product_id"),
+        F.when(F.col("event_id") % 5 == 0, F.lit(None).cast("int")).otherwise(F.floor("value").cast("int")).alias("dwell_seconds"),
+        F.col("ts").cast("timestamp").alias("event_time"))
+    b = _shop.browse_events(req, v.products())
+    return b.select("request_id", "customer_id", "product_id", "product_name", "category", "dwell_seconds")
+
+
+@query("order_scoring")
+def q_order_scoring(spark, sf_dir):
+    v = views(spark, sf_dir)
+    o = _shop.order_scoring(v.sales(), v.catalog(), k=3)
+    return o.select("order_id", "line", "customer_id", "product_id", "segment",
+                    F.array_join(F.transform("recommended", lambda x: x.cast("string")), ",").alias("recommended"),
+                    "churn_percent")
+
+
+@query("order_repair")
+def q_order_repair(spark, sf_dir):
+    s = views(spark, sf_dir).sales()
+    shaped = s.select("order_id", "line",
+                      F.when(F.col("order_id") % 3 == 0, F.lit(None).cast("double")).otherwise(F.col("revenue")).alias("revenue"),
+                      F.when(F.col("order_id") % 5 == 0, F.lit(None).cast("double")).otherwise(F.col("revenue")).alias("total"),
+                      F.when(F.col("order_id") % 7 == 0, F.lit(None).cast("double")).otherwise(F.col("price")).alias("price"),
+                      F.struct(F.when(F.col("order_id") % 11 == 0, F.lit(None).cast("double"))
+                               .otherwise(F.col("price")).alias("price")).alias("product"))
+    return _shop.repair_orders(shaped).select("order_id", "line", "revenue", "price")
+
+
+@query("product_first_listing")
+def q_product_first_listing(spark, sf_dir):
+    s = views(spark, sf_dir).sales()
+    versions = s.select(F.col("product_id").alias("id"), F.col("product_name").alias("name"),
+                        F.round(F.col("revenue") / F.col("quantity"), 2).alias("unit_price"),
+                        F.struct("created_at", "order_id", "line", "quantity", "revenue").alias("updated_at"))
+    f = _shop.first_listing(versions)
+    return f.select("id", "name", "unit_price",
+                    F.col("created_at.order_id").alias("first_order"), F.col("updated_at.order_id").alias("last_order"))
+
+
+@query("duplicate_order_lines")
+def q_duplicate_order_lines(spark, sf_dir):
+    return _ups.duplicate_keys(views(spark, sf_dir).sales().select("order_id", "line"), ["order_id", "line"])
+
+
+@query("unique_order_lines")
+def q_unique_order_lines(spark, sf_dir):
+    s = views(spark, sf_dir).sales().select("order_id", "line", "product_id", "quantity", "revenue")
+    acc, rej = _ups.enforce_unique(s, ["order_id", "line"], F.struct("product_id", "quantity", "revenue"))
+    return acc.select("order_id", "line", "product_id").withColumn("status", F.lit("accepted")) \
+              .unionByName(rej.select("order_id", "line", "product_id").withColumn("status", F.lit("rejected")))
+
+
+@query("table_row_counts")
+def q_table_row_counts(spark, sf_dir):
+    v = views(spark, sf_dir)
+    return _scans.table_counts({"orders": v.sales(), "browse_events": v.views(), "product_reviews": v.reviews()})
+
+
+@query("stored_orders")
+def q_stored_orders(spark, sf_dir):
+    v = views(spark, sf_dir)
+    rows = v.sales().withColumn("event_type", F.lit("purchase"))
+    orders, events = _shop.store_orders(rows, _topics.fresh_dir(spark, "orders-store"))
+    o = orders.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("revenue").cast("decimal(18,2)")).cast("double").alias("revenue"))
+    e = events.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("revenue").cast("decimal(18,2)")).cast("double").alias("revenue"))
+    return o.select(F.lit("orders").alias("table_name"), "n", "revenue").unionByName(
+        e.select(F.lit("ecommerce_events").alias("table_name"), "n", "revenue"))
+
+
+@query("feature_json_roundtrip")
+def q_feature_json_roundtrip(spark, sf_dir):
+    f = views(spark, sf_dir).features()
+    enc = _fj.encode_features(f)
+    schema = f.drop("customer_id").schema
+    return _fj.decode_features(enc, schema)
+
+
+@query("scalar_features")
+def q_scalar_features(spark, sf_dir):
+    f = views(spark, sf_dir).features()
+    doc = f.select("customer_id", F.to_json(F.struct(
+        "recency_days", "frequency", "monetary_value",
+        F.array(F.lit("vip")).alias("tags"), F.struct(F.col("frequency").alias("x")).alias("meta"),
+        F.when(F.col("customer_id") % 2 == 1, F.lit("ok")).alias("note")), {"ignoreNullFields": "false"}).alias("features_json"))
+    s = _fj.scalar_only(doc)
+    return s.select("customer_id", F.array_join(F.sort_array(F.map_keys("features")), ",").alias("kept_keys"),
+                    F.col("features")["frequency"].alias("frequency"))
+
+
+@query("region_heat")
+def q_region_heat(spark, sf_dir):
+    r = _clean.region_revenue(_clean.clean_events(views(spark, sf_dir).raw_events()))
+    return _kpi.region_heat(r.select("region", "revenue"))
+
+
+@query("hourly_revenue")
+def q_hourly_revenue(spark, sf_dir):
+    h = _kpi.hourly_revenue(views(spark, sf_dir).stream_events())
+    return h.select(F.col("hour").cast("string").alias("hour"), "revenue", "purchases")
+
+
+@query("daily_kpis")
+def q_daily_kpis(spark, sf_dir):
+    d = _kpi.daily_kpis(views(spark, sf_dir).stream_events())
+    return d.withColumn("day", F.col("day").cast("string"))
+
+
+@query("revenue_history_forecast")
+def q_revenue_history_forecast(spark, sf_dir):
+    s = _fc.revenue_series(views(spark, sf_dir).sales())
+    return _kpi.history_with_forecast(s, _fc.revenue_forecast(s))

@@ -394,16 +394,14 @@ SEGFIT = """(CASE WHEN ns LIKE '%wellness%' AND list_has_any(categories, ['welln
       WHEN ns LIKE '%productivity%' AND list_contains(categories, 'productivity') THEN 1.0
       WHEN ns LIKE '%active shopper%' THEN 0.5 ELSE 0.0 END)"""
 
-RECS = f"""
-, cust AS (
-  SELECT c.c_custkey AS customer_id, {SEGTEXT.format(c='c.c_mktsegment')} AS segment, t.recent_categories
-  FROM customer c LEFT JOIN cat_top t ON t.customer_id = c.c_custkey),
-sc1 AS (
+def rec_sql(cust: str, prefix: str = "") -> str:
+    return f"""
+{prefix}sc1 AS (
   SELECT cu.customer_id, cu.segment, cu.recent_categories, ca.ordinal, ca.product_id, ca.product, ca.categories,
          ca.keywords, ca.base_score, replace(lower(cu.segment), '_', ' ') AS ns,
          list_distinct(list_filter(list_transform(coalesce(cu.recent_categories, []), lambda c: replace(lower(c), '_', ' ')),
                                    lambda c: c IS NOT NULL AND c <> '')) AS rc
-  FROM cust cu CROSS JOIN catalog ca),
+  FROM {cust} cu CROSS JOIN catalog ca),
 sc2 AS (SELECT *, list_intersect(rc, categories) AS matched,
                list_distinct(list_filter(string_split_regex(ns, '\\s+'), lambda w: w <> '')) AS tokens FROM sc1),
 sc3 AS (SELECT *, base_score * 0.22 AS b, len(matched) / greatest(len(categories), 1) * 0.34 AS cc,
@@ -417,6 +415,13 @@ recs AS (
   SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY customer_id ORDER BY score DESC, ordinal) AS rank FROM sc4)
   WHERE rank <= 3)"""
 
+
+RECS = rec_sql("cust", prefix=f"""
+, cust AS (
+  SELECT c.c_custkey AS customer_id, {SEGTEXT.format(c='c.c_mktsegment')} AS segment, t.recent_categories
+  FROM customer c LEFT JOIN cat_top t ON t.customer_id = c.c_custkey),
+""")
+
 ORACLE["recommendations"] = with_behavior(RECS + f"""
 SELECT customer_id, rank, product_id, product, category, score, {R('b', 3)} AS base_product_fit,
        {R('cc', 3)} AS recent_category_match, {R('sc', 3)} AS segment_fit, {R('kc', 3)} AS keyword_match,
@@ -781,3 +786,119 @@ SELECT CASE WHEN state = 'bad' THEN 'mqtt-' || CAST(seq AS VARCHAR) ELSE event_i
        CASE WHEN state = 'bad' THEN substr('{"event_id":"' || event_id || '","event_type":"', 1, 20) END AS raw,
        'emqx:' || topic AS source, seq AS "offset"
 FROM enc""")
+
+
+# ---- shop jobs ------------------------------------------------------------------
+REQUESTS = """
+, requests AS (
+  SELECT CAST(order_id AS VARCHAR) || '-' || CAST(line AS VARCHAR) || '-' || CAST(product_id AS VARCHAR) AS request_id,
+         customer_id, CASE WHEN order_id % 97 = 0 THEN product_id + 1000000 ELSE product_id END AS product_id,
+         quantity, created_at AS event_time
+  FROM sales)"""
+
+ORACLE["order_events"] = with_views(["sales", "products"], REQUESTS + f"""
+SELECT r.request_id, r.customer_id, r.product_id, p.name AS product_name, p.category, r.quantity,
+       {R('p.price * r.quantity', 2)} AS revenue
+FROM requests r JOIN products p ON r.product_id = p.id""")
+
+ORACLE["rejected_order_requests"] = with_views(["sales", "products"], REQUESTS + """
+SELECT r.request_id, r.customer_id, r.product_id FROM requests r
+WHERE NOT EXISTS (SELECT 1 FROM products p WHERE p.id = r.product_id)""")
+
+ORACLE["order_request_validation"] = with_views(["sales"], REQUESTS + """
+SELECT request_id, len(reasons) = 0 AS is_valid, array_to_string(reasons, ',') AS reasons FROM (
+  SELECT request_id, list_filter([
+           CASE WHEN NOT coalesce(length('c' || customer_id) BETWEEN 3 AND 80, false) THEN 'customer_id_length' END,
+           CASE WHEN product_id IS NULL THEN 'product_id_missing' END,
+           CASE WHEN NOT coalesce(quantity BETWEEN 1 AND 10, false) THEN 'quantity_range' END], lambda x: x IS NOT NULL) AS reasons
+  FROM requests)""")
+
+ORACLE["browse_event_build"] = with_views(["products"], f"""
+SELECT CAST(e.event_id AS VARCHAR) AS request_id, e.user_id AS customer_id, {K} * 23 AS product_id,
+       p.name AS product_name, p.category,
+       coalesce(CASE WHEN e.event_id % 5 = 0 THEN NULL ELSE CAST(floor(e.value) AS INTEGER) END, 8) AS dwell_seconds
+FROM events e LEFT JOIN products p ON p.id = {K.replace('props', 'e.props')} * 23
+WHERE e.event_type = 'view'""")
+
+ORACLE["order_scoring"] = with_views(["sales", "catalog"], rec_sql("ocust", prefix=f"""
+, ocust AS (
+  SELECT DISTINCT category AS customer_id,
+         CASE WHEN category = 'wellness' THEN 'High-LTV wellness buyer' ELSE 'Active shopper' END AS segment,
+         [category] AS recent_categories
+  FROM sales),
+""") + f"""
+SELECT s.order_id, s.line, s.customer_id, s.product_id,
+       CASE WHEN s.category = 'wellness' THEN 'High-LTV wellness buyer' ELSE 'Active shopper' END AS segment,
+       coalesce((SELECT string_agg(CAST(r.product_id AS VARCHAR), ',' ORDER BY r.rank) FROM recs r
+                 WHERE r.customer_id IS NOT DISTINCT FROM s.category AND r.product_id IS DISTINCT FROM s.product_id), '') AS recommended,
+       {R(ORDER_CHURN + ' * 100', 1)} AS churn_percent
+FROM sales s""")
+
+ORACLE["order_repair"] = with_views(["sales"], """
+SELECT order_id, line,
+       coalesce(CASE WHEN order_id % 3 = 0 THEN NULL ELSE revenue END, CASE WHEN order_id % 5 = 0 THEN NULL ELSE revenue END, 0.0) AS revenue,
+       coalesce(CASE WHEN order_id % 7 = 0 THEN NULL ELSE price END, CASE WHEN order_id % 11 = 0 THEN NULL ELSE price END, 0.0) AS price
+FROM sales""")
+
+ORACLE["product_first_listing"] = with_views(["sales"], f"""
+SELECT product_id AS id,
+       arg_min(product_name, [epoch_us(created_at), order_id, line, quantity, revenue]) AS name,
+       arg_min({R('revenue / quantity', 2)}, [epoch_us(created_at), order_id, line, quantity, revenue]) AS unit_price,
+       arg_min(order_id, [epoch_us(created_at), order_id, line, quantity, revenue]) AS first_order,
+       arg_max(order_id, [epoch_us(created_at), order_id, line, quantity, revenue]) AS last_order
+FROM sales GROUP BY product_id""")
+
+ORACLE["duplicate_order_lines"] = with_views(["sales"], """
+SELECT order_id, line, count(*) AS "rows" FROM sales GROUP BY 1, 2 HAVING count(*) > 1""")
+
+ORACLE["unique_order_lines"] = with_views(["sales"], """
+SELECT order_id, line, product_id, CASE WHEN rn = 1 THEN 'accepted' ELSE 'rejected' END AS status
+FROM (SELECT *, row_number() OVER (PARTITION BY order_id, line ORDER BY product_id, quantity, revenue) AS rn FROM sales)""")
+
+ORACLE["table_row_counts"] = with_views(["sales", "views", "reviews"], """
+SELECT 'orders' AS table_name, count(*) AS row_count FROM sales
+UNION ALL SELECT 'browse_events', count(*) FROM views
+UNION ALL SELECT 'product_reviews', count(*) FROM reviews""")
+
+ORACLE["stored_orders"] = with_views(["sales"], """
+SELECT 'orders' AS table_name, count(*) AS n, CAST(sum(CAST(revenue AS DECIMAL(18,2))) AS DOUBLE) AS revenue FROM sales
+UNION ALL SELECT 'ecommerce_events', count(*), CAST(sum(CAST(revenue AS DECIMAL(18,2))) AS DOUBLE) FROM sales""")
+
+ORACLE["feature_json_roundtrip"] = with_views(["features"], "SELECT * FROM features")
+
+ORACLE["scalar_features"] = with_views(["features"], """
+SELECT customer_id,
+       CASE WHEN customer_id % 2 = 1 THEN 'frequency,monetary_value,note,recency_days'
+            ELSE 'frequency,monetary_value,recency_days' END AS kept_keys,
+       CAST(frequency AS VARCHAR) AS frequency
+FROM features""")
+
+ORACLE["region_heat"] = with_views(["clean_events"], f"""
+, rr AS (SELECT region, CAST(sum(CAST(revenue AS DECIMAL(18,2))) AS DOUBLE) AS revenue FROM clean_events GROUP BY region)
+SELECT region, revenue, {R('CASE WHEN max(revenue) OVER () > 0 THEN revenue / max(revenue) OVER () ELSE 0.0 END', 3)} AS heat,
+       region = (SELECT region FROM rr ORDER BY revenue DESC, ascii(region) LIMIT 1) AS is_top
+FROM rr""")
+
+ORACLE["hourly_revenue"] = with_views(["stream_events"], """
+SELECT CAST(date_trunc('hour', event_time) AS VARCHAR) AS hour,
+       CAST(sum(CAST(revenue AS DECIMAL(18,2))) AS DOUBLE) AS revenue, count(*) AS purchases
+FROM stream_events WHERE event_type = 'purchase' GROUP BY 1""")
+
+ORACLE["daily_kpis"] = with_views(["stream_events"], f"""
+, pc AS (SELECT CAST(event_time AS DATE) AS day, customer_id, bool_or(event_type = 'purchase') AS bought,
+                sum(CASE WHEN event_type = 'purchase' THEN CAST(revenue AS DECIMAL(18,2)) END) AS rev
+         FROM stream_events GROUP BY 1, 2),
+d AS (SELECT day, CAST(coalesce(sum(rev), 0) AS DOUBLE) AS revenue, count(*) AS active_customers,
+             count(*) FILTER (WHERE bought) AS purchasers FROM pc GROUP BY day)
+SELECT CAST(day AS VARCHAR) AS day, revenue, active_customers, purchasers,
+       {R('purchasers / active_customers', 4)} AS conversion,
+       {R('revenue - lag(revenue) OVER (ORDER BY day)', 2)} AS revenue_change,
+       {R('CASE WHEN lag(revenue) OVER (ORDER BY day) > 0 THEN (revenue - lag(revenue) OVER (ORDER BY day)) / lag(revenue) OVER (ORDER BY day) * 100 END', 1)} AS revenue_change_pct
+FROM d""")
+
+ORACLE["revenue_history_forecast"] = with_views(["sales"], SERIES + f""",
+s AS (SELECT series_id, count(*) AS points, arg_max(value, t) AS last, arg_min(value, t) AS first FROM series GROUP BY series_id)
+SELECT series_id, t AS ordinal, CAST(day AS VARCHAR) AS label, value, 'actual' AS kind FROM series
+UNION ALL
+SELECT series_id, points + 1, 'Next', {R('greatest(0.0, last + CASE WHEN points > 1 THEN (last - first) / (points - 1) ELSE 0.0 END)', 2)},
+       'forecast' FROM s""")

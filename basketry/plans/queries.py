@@ -647,3 +647,35 @@ def q_daily_kpis(spark, sf_dir):
 def q_revenue_history_forecast(spark, sf_dir):
     s = _fc.revenue_series(views(spark, sf_dir).sales())
     return _kpi.history_with_forecast(s, _fc.revenue_forecast(s))
+
+
+# ---- snapshot and centroid assignment ---------------------------------------
+from basketry.plans import snapshot as _snap  # noqa: E402
+
+# fixed values: reference training points used as explicit centroids
+FIXED_CENTROIDS = [[8.0, 12.0, 22000.0], [24.0, 6.0, 8600.0], [95.0, 2.0, 3100.0], [130.0, 1.0, 900.0]]
+
+
+@query("customer_snapshot")
+def q_customer_snapshot(spark, sf_dir):
+    v = views(spark, sf_dir)
+    return _snap.customer_snapshot(v.sales(), v.views(), v.features(), ORDERS_AS_OF)
+
+
+def _centroid_assignment(spark, sf_dir):
+    f = views(spark, sf_dir).features().select(
+        "customer_id", *[F.col(c).cast("double").alias(c) for c in ("recency_days", "frequency", "monetary_value")])
+    return _seg.nearest_centroid(f, FIXED_CENTROIDS)
+
+
+@query("nearest_centroid")
+def q_nearest_centroid(spark, sf_dir):
+    return _centroid_assignment(spark, sf_dir).select("customer_id", "cluster")
+
+
+@query("centroid_cluster_labels")
+def q_centroid_cluster_labels(spark, sf_dir):
+    p = _seg.cluster_profiles(_centroid_assignment(spark, sf_dir))
+    return p.select("cluster", "members", F.round("avg_recency", 1).alias("avg_recency"),
+                    F.round("avg_frequency", 1).alias("avg_frequency"), F.round("avg_monetary", 1).alias("avg_monetary"),
+                    "label")

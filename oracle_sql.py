@@ -902,3 +902,39 @@ SELECT series_id, t AS ordinal, CAST(day AS VARCHAR) AS label, value, 'actual' A
 UNION ALL
 SELECT series_id, points + 1, 'Next', {R('greatest(0.0, last + CASE WHEN points > 1 THEN (last - first) / (points - 1) ELSE 0.0 END)', 2)},
        'forecast' FROM s""")
+
+
+# ---- snapshot and centroids -------------------------------------------------------
+ORACLE["customer_snapshot"] = with_behavior(f"""
+, churn_in AS (
+  SELECT b.customer_id, CAST(b.recency_days AS DOUBLE) AS recency_days,
+         coalesce(nullif(CAST(b.purchase_frequency AS DOUBLE), 0.0), CAST(f.frequency AS DOUBLE), 1.0) AS frequency,
+         coalesce(nullif(b.monetary_value, 0.0), f.monetary_value, 0.0) AS monetary_value,
+         f.discount_sensitivity AS discount_sensitivity,
+         least((b.browse_events + b.orders) / 12, 1.0) AS engagement_depth
+  FROM behavior_seg b LEFT JOIN features f ON b.customer_id = f.customer_id),
+churn AS ({churn_sql('churn_in')})""" + GRAPH.replace("\n, o_pos", ",\no_pos", 1) + SUMMARY + f"""
+SELECT f.customer_id, f.frequency AS feature_frequency, f.monetary_value AS feature_monetary, {RFM.replace('monetary_value', 'f.monetary_value').replace('frequency', 'f.frequency').replace('recency_days', 'f.recency_days')} AS segment,
+       b.orders, b.browse_events, b.monetary_value, b.recency_days, b.behavior_segment,
+       c.probability, c.risk_band, s.relationship_count
+FROM features f LEFT JOIN behavior_seg b ON b.customer_id = f.customer_id
+LEFT JOIN churn c ON c.customer_id = f.customer_id LEFT JOIN summ s ON s.customer_id = f.customer_id""", extra=["features"])
+
+_CENT = [[8.0, 12.0, 22000.0], [24.0, 6.0, 8600.0], [95.0, 2.0, 3100.0], [130.0, 1.0, 900.0]]
+_D = [" + ".join(f"(CAST({c} AS DOUBLE) - {v}) * (CAST({c} AS DOUBLE) - {v})"
+                 for c, v in zip(("recency_days", "frequency", "monetary_value"), cen)) for cen in _CENT]
+ASSIGN = f"""
+, assigned AS (
+  SELECT customer_id, recency_days, frequency, monetary_value,
+         (SELECT i FROM (VALUES (0, d0), (1, d1), (2, d2), (3, d3)) t(i, d) ORDER BY d, i LIMIT 1) AS cluster
+  FROM (SELECT *, {_D[0]} AS d0, {_D[1]} AS d1, {_D[2]} AS d2, {_D[3]} AS d3 FROM features))"""
+
+ORACLE["nearest_centroid"] = with_views(["features"], ASSIGN + "\nSELECT customer_id, cluster FROM assigned")
+
+ORACLE["centroid_cluster_labels"] = with_views(["features"], ASSIGN + f"""
+SELECT cluster, count(*) AS members, {R('avg(recency_days)', 1)} AS avg_recency, {R('avg(frequency)', 1)} AS avg_frequency,
+       {R('avg(monetary_value)', 1)} AS avg_monetary,
+       CASE WHEN avg(monetary_value) >= 12000 AND avg(frequency) >= 7 AND avg(recency_days) <= 30 THEN 'high_ltv_active'
+            WHEN avg(recency_days) >= 90 THEN 'winback_risk' WHEN avg(frequency) >= 5 THEN 'loyal_growth'
+            ELSE 'emerging' END AS label
+FROM assigned GROUP BY cluster""")

@@ -679,3 +679,39 @@ def q_centroid_cluster_labels(spark, sf_dir):
     return p.select("cluster", "members", F.round("avg_recency", 1).alias("avg_recency"),
                     F.round("avg_frequency", 1).alias("avg_frequency"), F.round("avg_monetary", 1).alias("avg_monetary"),
                     "label")
+
+
+# ---- scans ------------------------------------------------------------------
+@query("order_scan")
+def q_order_scan(spark, sf_dir):
+    s = _scans.order_scan(views(spark, sf_dir).sales())
+    return s.select("order_id", "line", "customer_id", "product_id", "quantity", "revenue",
+                    iso_utc(F.col("created_at")).alias("created_at"))
+
+
+@query("browse_scan")
+def q_browse_scan(spark, sf_dir):
+    s = _scans.browse_scan(views(spark, sf_dir).views())
+    return s.select("event_id", "customer_id", "product_id", "product_name", "category", "dwell_seconds")
+
+
+@query("review_scan")
+def q_review_scan(spark, sf_dir):
+    return _scans.review_scan(views(spark, sf_dir).reviews()).select("review_id", "product_id", "customer_id", "rating")
+
+
+@query("catalog_scan")
+def q_catalog_scan(spark, sf_dir):
+    return _scans.catalog_scan(views(spark, sf_dir).products())
+
+
+@query("latest_activity")
+def q_latest_activity(spark, sf_dir):
+    a = _beh.latest_activity(views(spark, sf_dir).sales())
+    return a.select("customer_id", iso_utc(F.col("last_activity")).alias("last_activity"))
+
+
+@query("daily_product_quantity")
+def q_daily_product_quantity(spark, sf_dir):
+    d = _fc.daily_quantity(views(spark, sf_dir).sales())
+    return d.withColumn("day", F.col("day").cast("string"))

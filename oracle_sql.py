@@ -938,3 +938,18 @@ SELECT cluster, count(*) AS members, {R('avg(recency_days)', 1)} AS avg_recency,
             WHEN avg(recency_days) >= 90 THEN 'winback_risk' WHEN avg(frequency) >= 5 THEN 'loyal_growth'
             ELSE 'emerging' END AS label
 FROM assigned GROUP BY cluster""")
+
+
+# ---- scans ----------------------------------------------------------------------
+ORACLE["order_scan"] = with_views(["sales"], f"""
+SELECT order_id, line, customer_id, product_id, quantity, revenue, {ISO.format(t='created_at')} AS created_at FROM sales""")
+ORACLE["browse_scan"] = with_views(["views"], """
+SELECT event_id, customer_id, product_id, product_name, category, dwell_seconds FROM views""")
+ORACLE["review_scan"] = with_views(["reviews"], "SELECT review_id, product_id, customer_id, rating FROM reviews")
+ORACLE["catalog_scan"] = with_views(["products"], """
+SELECT id, name, category, price, active FROM products WHERE coalesce(active, true)""")
+ORACLE["latest_activity"] = with_views(["sales"], f"""
+SELECT customer_id, {ISO.format(t='max(created_at)')} AS last_activity FROM sales GROUP BY customer_id""")
+ORACLE["daily_product_quantity"] = with_views(["sales"], """
+SELECT product_id, CAST(CAST(created_at AS DATE) AS VARCHAR) AS day, CAST(sum(coalesce(quantity, 1)) AS BIGINT) AS quantity
+FROM sales WHERE product_id IS NOT NULL GROUP BY 1, 2""")

@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from basketry.session import checkpoint_dir
+
 
 def basket_sets(orders: DataFrame, basket_key: str = "customer_id", item: str = "product_id") -> DataFrame:
     """Distinct (basket, product) rows; null keys are ignored."""
@@ -29,12 +31,22 @@ def basket_sets(orders: DataFrame, basket_key: str = "customer_id", item: str =
 
 def _basket_order(orders: DataFrame, basket_key: str) -> DataFrame:
     """First-encounter position of each basket when orders are read newest
-    first (how a dict of baskets is filled); smaller struct = earlier."""
+    first (how a dict of baskets is filled), as a ``long`` rank.
+
+    One row per basket is range-sorted by its first-seen key and numbered
+    with ``monotonically_increasing_id`` (increasing in sort order across
+    partitions); the small rank table is checkpointed so the numbering is
+    fixed even if a task is recomputed.  A long keeps the pair aggregate on
+    the hash-aggregate path instead of a sort-based struct aggregate.
+    """
     key = F.struct((-F.unix_micros("created_at")).alias("t"), (-F.col("order_id").cast("bigint")).alias("o"),
                    F.col("line").cast("bigint").alias("l"), F.col("product_id").cast("bigint").alias("p"),
                    F.col("quantity").cast("bigint").alias("q"), F.col("revenue").cast("double").alias("r"))
-    return (orders.filter(F.col(basket_key).isNotNull() & F.col("product_id").isNotNull())
-                  .groupBy(F.col(basket_key).alias("basket")).agg(F.min(key).alias("basket_seen")))
+    first = (orders.filter(F.col(basket_key).isNotNull() & F.col("product_id").isNotNull())
+                   .groupBy(F.col(basket_key).alias("basket")).agg(F.min(key).alias("_k")))
+    ranked = first.orderBy("_k", "basket").select("basket", F.monotonically_increasing_id().alias("basket_seen"))
+    checkpoint_dir(orders.sparkSession)
+    return ranked.checkpoint(eager=True)
 
 
 def pair_counts(baskets: DataFrame, hot_basket_size: int = 5000, salts: int = 32,

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basketry.functions.scoring import cluster_label, rfm_segment
+from basketry.session import checkpoint_dir
 
 FEATURES = ("recency_days", "frequency", "monetary_value")
 
@@ -53,8 +54,17 @@ def nearest_centroid(points: DataFrame, centroids: list[list[float]], cols=FEATU
     return points.withColumn("cluster", F.array_min(F.array(*dists))["i"])
 
 
+def materialize(features: DataFrame) -> DataFrame:
+    """The feature table is read by the scaler fit, every k-means pass, the
+    assignment and the rule fallback: cut it from its (sales-join) lineage
+    once with a reliable checkpoint in the shared folder."""
+    checkpoint_dir(features.sparkSession)
+    return features.checkpoint(eager=True)
+
+
 def segments(features: DataFrame, k: int = 4, seed: int = 42) -> DataFrame:
     """M11 + M12 + M14: every customer's k-means segment, rules as fallback."""
+    features = materialize(features)
     model = fit_kmeans(features, k, seed)
     assigned = assign(model, features)
     labels = cluster_profiles(assigned).select("cluster", F.col("label").alias("kmeans_segment"))

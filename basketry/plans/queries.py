@@ -448,7 +448,7 @@ def q_kmeans_segments(spark, sf_dir):
 
 @query("kmeans_cluster_profiles")
 def q_kmeans_cluster_profiles(spark, sf_dir):
-    f = views(spark, sf_dir).features()
+    f = _seg.materialize(views(spark, sf_dir).features())
     return _seg.cluster_profiles(_seg.assign(_seg.fit_kmeans(f, 4, 42), f))
 
 

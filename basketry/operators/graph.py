@@ -72,22 +72,30 @@ def preference_edges(orders: DataFrame, views: DataFrame, k: int = 3) -> DataFra
 
 
 def _edge_rows(orders: DataFrame, views: DataFrame, prefs: DataFrame) -> DataFrame:
-    """The three edge kinds in one frame with an assembly-order key."""
-    key_type = "struct<kind:int,a:struct<src:int,t:bigint,id:bigint,line:bigint,pid:bigint,qty:bigint,rev:double>,rank:int>"
+    """The three edge kinds in one frame with flat assembly-order columns
+    (kind, then newest first with full tie-breaks, then preference rank)."""
+    z = F.lit(0).cast("bigint")
     p = orders.filter(F.col("product_id").isNotNull()).select(
         "customer_id", F.lit("PURCHASED").alias("type"), F.col("product_id").cast("string").alias("target"),
-        F.col("revenue").cast("double").alias("weight"),
-        F.struct(F.lit(0).alias("kind"), order_seen_key().alias("a"), F.lit(0).alias("rank")).cast(key_type).alias("k"))
+        F.col("revenue").cast("double").alias("weight"), F.lit(0).alias("k0"),
+        (-F.unix_micros("created_at")).alias("k1"), (-F.col("order_id").cast("bigint")).alias("k2"),
+        F.col("line").cast("bigint").alias("k3"), F.col("product_id").cast("bigint").alias("k4"),
+        F.col("quantity").cast("bigint").alias("k5"), F.col("revenue").cast("double").alias("k6"))
     v = views.filter(F.col("product_id").isNotNull()).select(
         "customer_id", F.lit("VIEWED").alias("type"), F.col("product_id").cast("string").alias("target"),
-        F.col("dwell_seconds").cast("double").alias("weight"),
-        F.struct(F.lit(1).alias("kind"), view_seen_key().alias("a"), F.lit(0).alias("rank")).cast(key_type).alias("k"))
+        F.col("dwell_seconds").cast("double").alias("weight"), F.lit(1).alias("k0"),
+        (-F.unix_micros("created_at")).alias("k1"), (-F.col("event_id").cast("bigint")).alias("k2"),
+        z.alias("k3"), z.alias("k4"), z.alias("k5"), F.lit(0.0).alias("k6"))
     c = prefs.select(
         "customer_id", F.lit("PREFERS").alias("type"), "target", F.col("weight").cast("double").alias("weight"),
-        F.struct(F.lit(2).alias("kind"), F.lit(None).alias("a"), F.col("rank").alias("rank")).cast(key_type).alias("k"))
+        F.lit(2).alias("k0"), F.col("rank").cast("bigint").alias("k1"), z.alias("k2"), z.alias("k3"), z.alias("k4"),
+        z.alias("k5"), F.lit(0.0).alias("k6"))
     return p.unionByName(v).unionByName(c)
 
 
+EDGE_ORDER = ["k0", "k1", "k2", "k3", "k4", "k5", "k6"]
+
+
 def relationship_summary(orders: DataFrame, views: DataFrame, k: int = 3) -> DataFrame:
     """Edges per customer (all kinds) and order revenue (LTV)."""
     prefs = preference_edges(orders, views, k)
@@ -112,7 +120,7 @@ def graph_edges(orders: DataFrame, views: DataFrame, k: int = 3, max_edges: int
     """G5 + W7: the first ``max_edges`` edges of every customer with their
     0-based ordinal and id 'edge-<n>'."""
     edges = _edge_rows(orders, views, preference_edges(orders, views, k))
-    w = Window.partitionBy("customer_id").orderBy("k")
+    w = Window.partitionBy("customer_id").orderBy(*EDGE_ORDER)
     ranked = edges.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= max_edges)
     return ranked.select("customer_id", (F.col("_rn") - 1).alias("edge_ordinal"),
                          F.concat(F.lit("edge-"), (F.col("_rn") - 1).cast("string")).alias("edge_id"),
@@ -155,12 +163,19 @@ def graph_nodes(orders: DataFrame, views: DataFrame, stored_edges: DataFrame | N
 
 
 def positioned_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Each edge with the attributes of its source and target nodes."""
-    src = nodes.select("customer_id", F.col("node_id").alias("source"), F.col("label").alias("source_label"),
-                       F.col("kind").alias("source_kind"))
+    """Each edge with the attributes of its source and target nodes.
+
+    The source of every edge is the customer node, whose attributes follow
+    from the id, so only the target side needs the node table.  Targets are
+    matched on id and kind, so a product id equal to a customer id (plain
+    integer ids) cannot pick up the customer node."""
     tgt = nodes.select("customer_id", F.col("node_id").alias("target"), F.col("label").alias("target_label"),
                        F.col("kind").alias("target_kind"))
-    return edges.join(src, ["customer_id", "source"], "left").join(tgt, ["customer_id", "target"], "left")
+    kind = F.when(F.col("type") == "PREFERS", F.lit("segment")).otherwise(F.lit("product"))
+    return (edges.withColumn("source_label", short_label(F.col("source")))
+                 .withColumn("source_kind", F.lit("customer"))
+                 .withColumn("target_kind", kind)
+                 .join(tgt, ["customer_id", "target", "target_kind"], "left"))
 
 
 def last_event(orders: DataFrame, views: DataFrame) -> DataFrame:

@@ -34,10 +34,15 @@ def screen_prompts(df: DataFrame, text: str = "question", role: str = "role") ->
 
     def checks(names):
         return F.array(*[F.lit(n) for n in names])
+    # Cheap guards in front of the regexes (same result): an email needs an
+    # '@', the numeric patterns need a digit.  Most texts skip the regexes.
+    has_at = F.instr(t, "@") > 0
+    has_digit = t.rlike("[0-9]")
+    guard = {"email": has_at}
     reason = None
     chk = None
     for name, pattern in PII_PATTERNS:
-        hit = t.rlike(pattern)
+        hit = guard.get(name, F.col("_has_digit")) & t.rlike(pattern)
         reason = (F.when(hit, F.lit(f"Blocked possible {name} in prompt")) if reason is None
                   else reason.when(hit, F.lit(f"Blocked possible {name} in prompt")))
         chk = F.when(hit, checks(base + ["pii_block"])) if chk is None else chk.when(hit, checks(base + ["pii_block"]))
@@ -47,8 +52,9 @@ def screen_prompts(df: DataFrame, text: str = "question", role: str = "role") ->
     chk = (chk.when(sensitive, checks(base + ["pii_block", "sensitive_intent"]))
               .when(~rbac_ok, checks(base + ["pii_block", "sensitive_intent", "tool_rbac"]))
               .otherwise(checks(base + ["pii_block", "sensitive_intent", "tool_rbac"])))
-    return df.withColumn("reason", reason).withColumn("allowed", F.col("reason") == "Allowed") \
-             .withColumn("checks", chk)
+    staged = df.withColumn("_has_digit", has_digit)
+    return staged.withColumn("reason", reason).withColumn("allowed", F.col("reason") == "Allowed") \
+                 .withColumn("checks", chk).drop("_has_digit")
 
 
 def route_intents(df: DataFrame, aliases: list[tuple[str, tuple[str, ...]]], text: str = "question") -> DataFrame:

@@ -600,12 +600,12 @@ SELECT customer_id, node_id, label, kind, category FROM nodes""")
 
 ORACLE["graph_edges"] = with_views(["sales", "views"], GRAPH + """
 SELECT e.customer_id, e.target, e.source, e.edge_ordinal, e.edge_id, e.type, e.weight,
-       s.label AS source_label, s.kind AS source_kind, t.label AS target_label, t.kind AS target_kind
+       split_part(e.source, ' ', 1) AS source_label, 'customer' AS source_kind, t.label AS target_label, e.target_kind
 FROM (SELECT customer_id, CAST(customer_id AS VARCHAR) AS source, target, type, weight,
+             CASE WHEN type = 'PREFERS' THEN 'segment' ELSE 'product' END AS target_kind,
              rn - 1 AS edge_ordinal, 'edge-' || CAST(rn - 1 AS VARCHAR) AS edge_id
       FROM (SELECT *, row_number() OVER (PARTITION BY customer_id ORDER BY kind, ord) AS rn FROM edges) WHERE rn <= 14) e
-LEFT JOIN nodes s ON s.customer_id = e.customer_id AND s.node_id = e.source
-LEFT JOIN nodes t ON t.customer_id = e.customer_id AND t.node_id = e.target""")
+LEFT JOIN nodes t ON t.customer_id = e.customer_id AND t.node_id = e.target AND t.kind = e.target_kind""")
 
 SUMMARY = """,
 summ AS (

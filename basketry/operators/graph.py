@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 
 from basketry.functions.scoring import churn_components, churn_probability, graph_segment_label
 from basketry.functions.text import currency_label, display_name, initials, percent_label, short_label
-from basketry.operators.behavior import order_seen_key, view_seen_key
 from basketry.operators.topk import rank_counted
 from basketry.operators.upserts import last_write_wins, upsert_with_counter
 
@@ -53,19 +52,62 @@ def view_edges(views: DataFrame) -> DataFrame:
     return upsert_with_counter(rows, ["customer_id", "target", "relationship"], "_version", "view_count").drop("_version")
 
 
-def category_counts(orders: DataFrame, views: DataFrame) -> DataFrame:
-    """Per (customer, category) counts over orders and views, nulls kept
-    (they are dropped after ranking, trap T17), with first-seen order."""
-    o = orders.filter(F.col("product_id").isNotNull()).groupBy("customer_id", "category") \
-              .agg(F.count(F.lit(1)).alias("n"), F.min(order_seen_key()).alias("seen"))
-    v = views.filter(F.col("product_id").isNotNull()).groupBy("customer_id", "category") \
-             .agg(F.count(F.lit(1)).alias("n"), F.min(view_seen_key()).alias("seen"))
+SEEN_TYPE = "struct<src:int,t:bigint,id:bigint,line:bigint,pid:bigint>"
+
+
+def _order_seen() -> Column:
+    """Encounter order of order rows (newest first); rows tying on it are
+    the same product, so it is exact for first-seen per product/category."""
+    return F.struct(F.lit(0).alias("src"), (-F.unix_micros("created_at")).alias("t"),
+                    (-F.col("order_id").cast("bigint")).alias("id"), F.col("line").cast("bigint").alias("line"),
+                    F.col("product_id").cast("bigint").alias("pid")).cast(SEEN_TYPE)
+
+
+def _view_seen() -> Column:
+    return F.struct(F.lit(1).alias("src"), (-F.unix_micros("created_at")).alias("t"),
+                    (-F.col("event_id").cast("bigint")).alias("id"), F.lit(0).cast("bigint").alias("line"),
+                    F.lit(0).cast("bigint").alias("pid")).cast(SEEN_TYPE)
+
+
+def order_grain(orders: DataFrame) -> DataFrame:
+    """One pass over the order rows: (customer, product, category) counts,
+    revenue and the first-seen (key, name).  Every per-customer graph output
+    except the edge list is derived from this much smaller table."""
+    return orders.groupBy("customer_id", "product_id", "category").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum(F.col("revenue").cast("decimal(18,2)")).alias("rev"),
+        F.min(F.struct(_order_seen().alias("seen"), F.col("product_name").alias("name"))).alias("first"))
+
+
+def view_grain(views: DataFrame) -> DataFrame:
+    return views.groupBy("customer_id", "product_id", "category").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.min(F.struct(_view_seen().alias("seen"), F.col("product_name").alias("name"))).alias("first"))
+
+
+class GraphInputs:
+    """Orders, views and (optionally) stored edges with their shared grains,
+    so that every graph output reuses one aggregate per input table."""
+
+    def __init__(self, orders: DataFrame, views: DataFrame, stored_edges: DataFrame | None = None):
+        self.orders, self.views, self.stored = orders, views, stored_edges
+        self.og = order_grain(orders)
+        self.vg = view_grain(views)
+
+
+def category_counts(g: GraphInputs) -> DataFrame:
+    """Per (customer, category) counts over orders and views with a product,
+    nulls kept (they are dropped after ranking, trap T17), first seen."""
+    o = g.og.filter(F.col("product_id").isNotNull()).groupBy("customer_id", "category") \
+            .agg(F.sum("n").alias("n"), F.min("first.seen").alias("seen"))
+    v = g.vg.filter(F.col("product_id").isNotNull()).groupBy("customer_id", "category") \
+            .agg(F.sum("n").alias("n"), F.min("first.seen").alias("seen"))
     return o.unionByName(v).groupBy("customer_id", "category").agg(F.sum("n").alias("n"), F.min("seen").alias("seen"))
 
 
-def preference_edges(orders: DataFrame, views: DataFrame, k: int = 3) -> DataFrame:
+def preference_edges(g: GraphInputs, k: int = 3) -> DataFrame:
     """Top-k categories, weight = count, target = 'category-<slug>'."""
-    ranked = rank_counted(category_counts(orders, views), ["customer_id"], "category", "n", "seen", k)
+    ranked = rank_counted(category_counts(g), ["customer_id"], "category", "n", "seen", k)
     return ranked.select("customer_id", "rank", F.col("item").alias("category"),
                          F.lower(F.regexp_replace(F.concat(F.lit("category-"), F.col("item")), " ", "-")).alias("target"),
                          F.col("item_count").alias("weight"))
@@ -96,17 +138,16 @@ def _edge_rows(orders: DataFrame, views: DataFrame, prefs: DataFrame) -> DataFra
 EDGE_ORDER = ["k0", "k1", "k2", "k3", "k4", "k5", "k6"]
 
 
-def relationship_summary(orders: DataFrame, views: DataFrame, k: int = 3) -> DataFrame:
+def relationship_summary(g: GraphInputs, k: int = 3, prefs: DataFrame | None = None) -> DataFrame:
     """Edges per customer (all kinds) and order revenue (LTV)."""
-    prefs = preference_edges(orders, views, k)
-    o = orders.filter(F.col("product_id").isNotNull()).groupBy("customer_id") \
-              .agg(F.count(F.lit(1)).alias("o_edges"))
-    rev = orders.groupBy("customer_id").agg(F.sum(F.col("revenue").cast("decimal(18,2)")).cast("double").alias("revenue"),
-                                           F.count(F.lit(1)).alias("orders"))
-    v = views.filter(F.col("product_id").isNotNull()).groupBy("customer_id").agg(F.count(F.lit(1)).alias("v_edges"))
+    prefs = prefs if prefs is not None else preference_edges(g, k)
+    o = g.og.groupBy("customer_id").agg(
+        F.sum(F.when(F.col("product_id").isNotNull(), F.col("n")).otherwise(F.lit(0))).alias("o_edges"),
+        F.sum("rev").cast("double").alias("revenue"), F.sum("n").alias("orders"))
+    v = g.vg.filter(F.col("product_id").isNotNull()).groupBy("customer_id").agg(F.sum("n").alias("v_edges"))
     c = prefs.groupBy("customer_id").agg(F.count(F.lit(1)).alias("c_edges"),
                                          F.max(F.when(F.col("rank") == 1, F.col("category"))).alias("top_category"))
-    j = rev.join(o, "customer_id", "full_outer").join(v, "customer_id", "full_outer").join(c, "customer_id", "full_outer")
+    j = o.join(v, "customer_id", "full_outer").join(c, "customer_id", "full_outer")
     return j.select(
         "customer_id",
         (F.coalesce("o_edges", F.lit(0)) + F.coalesce("v_edges", F.lit(0)) + F.coalesce("c_edges", F.lit(0)))
@@ -116,10 +157,11 @@ def relationship_summary(orders: DataFrame, views: DataFrame, k: int = 3) -> Dat
         "top_category")
 
 
-def graph_edges(orders: DataFrame, views: DataFrame, k: int = 3, max_edges: int = MAX_EDGES) -> DataFrame:
+def graph_edges(g: GraphInputs, k: int = 3, max_edges: int = MAX_EDGES, prefs: DataFrame | None = None) -> DataFrame:
     """G5 + W7: the first ``max_edges`` edges of every customer with their
     0-based ordinal and id 'edge-<n>'."""
-    edges = _edge_rows(orders, views, preference_edges(orders, views, k))
+    prefs = prefs if prefs is not None else preference_edges(g, k)
+    edges = _edge_rows(g.orders, g.views, prefs)
     w = Window.partitionBy("customer_id").orderBy(*EDGE_ORDER)
     ranked = edges.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= max_edges)
     return ranked.select("customer_id", (F.col("_rn") - 1).alias("edge_ordinal"),
@@ -127,39 +169,38 @@ def graph_edges(orders: DataFrame, views: DataFrame, k: int = 3, max_edges: int
                          "type", F.col("customer_id").cast("string").alias("source"), "target", "weight")
 
 
-def graph_nodes(orders: DataFrame, views: DataFrame, stored_edges: DataFrame | None = None, k: int = 3) -> DataFrame:
+def graph_nodes(g: GraphInputs, k: int = 3, prefs: DataFrame | None = None) -> DataFrame:
     """Customer node, product nodes (first name seen wins: orders, then
     views, then stored edges not already present, J8) and category nodes."""
-    def prod(df, name, seen):
-        return df.filter(F.col("product_id").isNotNull()).select(
-            "customer_id", F.col("product_id").cast("string").alias("node_id"),
-            F.struct(seen.alias("s"), F.col(name).alias("name"), F.col("category").alias("category")).alias("x"))
-    seen_type = "struct<src:int,t:bigint,id:bigint,line:bigint,pid:bigint,qty:bigint,rev:double>"
-    parts = [prod(orders, "product_name", order_seen_key().cast(seen_type)),
-             prod(views, "product_name", view_seen_key().cast(seen_type))]
-    live = parts[0].unionByName(parts[1])
-    if stored_edges is not None:
-        stored = stored_edges.filter(F.col("target").isNotNull()).select(
+    prefs = prefs if prefs is not None else preference_edges(g, k)
+
+    def firsts(grain):
+        return (grain.filter(F.col("product_id").isNotNull())
+                     .select("customer_id", F.col("product_id").cast("string").alias("node_id"),
+                             F.struct(F.col("first.seen").alias("s"), F.col("first.name").alias("name"),
+                                      F.col("category").alias("category")).alias("x")))
+    live = firsts(g.og).unionByName(firsts(g.vg))
+    if g.stored is not None:
+        stored = g.stored.filter(F.col("target").isNotNull()).select(
             "customer_id", F.col("target").cast("string").alias("node_id"),
             F.struct(F.struct(F.lit(2).alias("src"), F.lit(0).cast("bigint").alias("t"), F.lit(0).cast("bigint").alias("id"),
-                              F.lit(0).cast("bigint").alias("line"), F.lit(0).cast("bigint").alias("pid"),
-                              F.lit(0).cast("bigint").alias("qty"), F.lit(0.0).alias("rev")).cast(seen_type).alias("s"),
+                              F.lit(0).cast("bigint").alias("line"), F.lit(0).cast("bigint").alias("pid")).cast(SEEN_TYPE).alias("s"),
                      F.col("target_name").alias("name"), F.col("category").alias("category")).alias("x"))
-        stored = stored.join(live.select("customer_id", "node_id").distinct(), ["customer_id", "node_id"], "left_anti")
+        stored = stored.join(live.select("customer_id", "node_id"), ["customer_id", "node_id"], "left_anti")
         live = live.unionByName(stored)
     first = live.groupBy("customer_id", "node_id").agg(F.min("x").alias("x"))
     products = first.select("customer_id", "node_id",
                             short_label(F.coalesce(F.col("x.name"), F.col("node_id"))).alias("label"),
                             F.lit("product").alias("kind"), F.col("x.category").alias("category"))
-    prefs = preference_edges(orders, views, k).select(
+    cats = prefs.select(
         "customer_id", F.col("target").alias("node_id"), F.substring_index("category", " ", 1).alias("label"),
         F.lit("segment").alias("kind"), F.lit(None).cast("string").alias("category"))
-    prefs = prefs.join(products.select("customer_id", "node_id"), ["customer_id", "node_id"], "left_anti")
-    customers = products.select("customer_id").unionByName(prefs.select("customer_id")).distinct().select(
+    cats = cats.join(products.select("customer_id", "node_id"), ["customer_id", "node_id"], "left_anti")
+    customers = products.select("customer_id").unionByName(cats.select("customer_id")).distinct().select(
         "customer_id", F.col("customer_id").cast("string").alias("node_id"),
         short_label(F.col("customer_id").cast("string")).alias("label"), F.lit("customer").alias("kind"),
         F.lit(None).cast("string").alias("category"))
-    return customers.unionByName(products).unionByName(prefs)
+    return customers.unionByName(products).unionByName(cats)
 
 
 def positioned_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -178,24 +219,25 @@ def positioned_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
                  .join(tgt, ["customer_id", "target", "target_kind"], "left"))
 
 
-def last_event(orders: DataFrame, views: DataFrame) -> DataFrame:
+def last_event(g: GraphInputs) -> DataFrame:
     """P18: 'Purchased <newest order product>', else 'Viewed <newest view>'."""
-    o = orders.groupBy("customer_id").agg(F.min_by(F.coalesce("product_name", F.lit("product")), order_seen_key()).alias("o"))
-    v = views.groupBy("customer_id").agg(F.min_by(F.coalesce("product_name", F.lit("product")), view_seen_key()).alias("v"))
+    o = g.og.groupBy("customer_id").agg(F.min("first").alias("o"))
+    v = g.vg.groupBy("customer_id").agg(F.min("first").alias("v"))
     j = o.join(v, "customer_id", "full_outer")
-    return j.select("customer_id", F.when(F.col("o").isNotNull(), F.concat(F.lit("Purchased "), "o"))
-                    .when(F.col("v").isNotNull(), F.concat(F.lit("Viewed "), "v"))
+    return j.select("customer_id",
+                    F.when(F.col("o").isNotNull(), F.concat(F.lit("Purchased "), F.coalesce("o.name", F.lit("product"))))
+                    .when(F.col("v").isNotNull(), F.concat(F.lit("Viewed "), F.coalesce("v.name", F.lit("product"))))
                     .otherwise(F.lit("No recent activity")).alias("last_event"))
 
 
-def customer_profiles(orders: DataFrame, views: DataFrame, features: DataFrame, k: int = 3) -> DataFrame:
+def customer_profiles(g: GraphInputs, features: DataFrame, k: int = 3) -> DataFrame:
     """Name, initials, segment label, LTV, churn label, last event and
     relationship count of every customer with graph activity."""
-    summ = relationship_summary(orders, views, k)
+    summ = relationship_summary(g, k)
     f = features.select("customer_id", F.col("monetary_value").alias("f_monetary"),
                         (F.col("churn_risk") if "churn_risk" in features.columns else F.lit(None).cast("double")).alias("f_churn"),
                         F.lit(True).alias("has_features"))
-    j = summ.join(last_event(orders, views), "customer_id", "left").join(f, "customer_id", "left")
+    j = summ.join(last_event(g), "customer_id", "left").join(f, "customer_id", "left")
     name = display_name(F.col("customer_id").cast("string"))
     ltv_value = F.coalesce(F.nullif(F.col("revenue"), F.lit(0.0)), F.col("f_monetary"))
     churn = (F.when(F.col("f_churn").isNotNull(), percent_label(F.col("f_churn")))

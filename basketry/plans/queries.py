@@ -314,24 +314,25 @@ def _stored_edges(v):
     return p.unionByName(w)
 
 
+def _graph_inputs(v, stored=True):
+    return _graph.GraphInputs(v.sales(), v.views(), _stored_edges(v) if stored else None)
+
+
 @query("graph_nodes")
 def q_graph_nodes(spark, sf_dir):
-    v = views(spark, sf_dir)
-    return _graph.graph_nodes(v.sales(), v.views(), _stored_edges(v))
+    return _graph.graph_nodes(_graph_inputs(views(spark, sf_dir)))
 
 
 @query("graph_edges")
 def q_graph_edges(spark, sf_dir):
-    v = views(spark, sf_dir)
-    s, w = v.sales(), v.views()
-    nodes = _graph.graph_nodes(s, w, _stored_edges(v))
-    return _graph.positioned_edges(_graph.graph_edges(s, w), nodes)
+    g = _graph_inputs(views(spark, sf_dir))
+    prefs = _graph.preference_edges(g)
+    return _graph.positioned_edges(_graph.graph_edges(g, prefs=prefs), _graph.graph_nodes(g, prefs=prefs))
 
 
 @query("relationship_summary")
 def q_relationship_summary(spark, sf_dir):
-    v = views(spark, sf_dir)
-    return _graph.relationship_summary(v.sales(), v.views())
+    return _graph.relationship_summary(_graph_inputs(views(spark, sf_dir), stored=False))
 
 
 @query("customer_profiles")
@@ -342,7 +343,7 @@ def q_customer_profiles(spark, sf_dir):
     feats = feats.join(churn, "customer_id").withColumn(
         "churn_risk", F.when(F.col("customer_id") % 3 == 0, F.lit(None).cast("double")).otherwise(F.col("churn_risk")))
     feats = feats.filter(F.col("customer_id") % 11 != 0)
-    return _graph.customer_profiles(v.sales(), v.views(), feats)
+    return _graph.customer_profiles(_graph_inputs(v, stored=False), feats)
 
 
 @query("graph_source")
@@ -351,7 +352,7 @@ def q_graph_source(spark, sf_dir):
     snaps = v.t.customer.filter(F.col("c_custkey") % 5 == 0).select(
         F.col("c_custkey").alias("customer_id"), F.lit("mongodb_seed_snapshot").alias("snapshot_source"),
         F.col("c_nationkey").cast("bigint").alias("snapshot_edges"))
-    return _graph.live_else_snapshot(_graph.relationship_summary(v.sales(), v.views()), snaps)
+    return _graph.live_else_snapshot(_graph.relationship_summary(_graph_inputs(v, stored=False)), snaps)
 
 
 # ---- live insights (batch) ---------------------------------------------------

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from basketry.operators.behavior import customer_behavior
 from basketry.operators.churn import customer_churn, rfm_segments
-from basketry.operators.graph import relationship_summary
+from basketry.operators.graph import GraphInputs, relationship_summary
 from basketry.session import checkpoint_dir
 
 
@@ -26,7 +26,7 @@ def customer_snapshot(sales: DataFrame, views: DataFrame, features: DataFrame, a
         behavior = behavior.checkpoint(eager=True)
     churn = customer_churn(behavior, features).select("customer_id", "probability", "risk_band")
     seg = rfm_segments(features)
-    rel = relationship_summary(sales, views).select("customer_id", "relationship_count")
+    rel = relationship_summary(GraphInputs(sales, views)).select("customer_id", "relationship_count")
     b = behavior.select("customer_id", "orders", "browse_events", "monetary_value", "recency_days", "behavior_segment")
     f = features.select("customer_id", F.col("frequency").alias("feature_frequency"),
                         F.col("monetary_value").alias("feature_monetary"))

@@ -52,37 +52,40 @@ def view_edges(views: DataFrame) -> DataFrame:
     return upsert_with_counter(rows, ["customer_id", "target", "relationship"], "_version", "view_count").drop("_version")
 
 
-SEEN_TYPE = "struct<src:int,t:bigint,id:bigint,line:bigint,pid:bigint>"
+# First-seen key: a flat struct (source, newest first, ids) with the name as
+# its last field.  Encounter order is decided by the leading fields; the name
+# only separates identical rows.  Rows tying on the ids are the same product,
+# so the key is exact for first-seen per product and per category.
+FIRST_TYPE = "struct<src:int,t:bigint,id:bigint,line:bigint,pid:bigint,name:string>"
 
 
-def _order_seen() -> Column:
-    """Encounter order of order rows (newest first); rows tying on it are
-    the same product, so it is exact for first-seen per product/category."""
+def _order_first() -> Column:
     return F.struct(F.lit(0).alias("src"), (-F.unix_micros("created_at")).alias("t"),
                     (-F.col("order_id").cast("bigint")).alias("id"), F.col("line").cast("bigint").alias("line"),
-                    F.col("product_id").cast("bigint").alias("pid")).cast(SEEN_TYPE)
+                    F.col("product_id").cast("bigint").alias("pid"),
+                    F.col("product_name").cast("string").alias("name")).cast(FIRST_TYPE)
 
 
-def _view_seen() -> Column:
+def _view_first() -> Column:
     return F.struct(F.lit(1).alias("src"), (-F.unix_micros("created_at")).alias("t"),
                     (-F.col("event_id").cast("bigint")).alias("id"), F.lit(0).cast("bigint").alias("line"),
-                    F.lit(0).cast("bigint").alias("pid")).cast(SEEN_TYPE)
+                    F.lit(0).cast("bigint").alias("pid"),
+                    F.col("product_name").cast("string").alias("name")).cast(FIRST_TYPE)
 
 
 def order_grain(orders: DataFrame) -> DataFrame:
     """One pass over the order rows: (customer, product, category) counts,
-    revenue and the first-seen (key, name).  Every per-customer graph output
-    except the edge list is derived from this much smaller table."""
+    revenue and the first-seen row key with its name.  Every per-customer
+    graph output except the edge list is derived from this smaller table."""
     return orders.groupBy("customer_id", "product_id", "category").agg(
         F.count(F.lit(1)).alias("n"),
         F.sum(F.col("revenue").cast("decimal(18,2)")).alias("rev"),
-        F.min(F.struct(_order_seen().alias("seen"), F.col("product_name").alias("name"))).alias("first"))
+        F.min(_order_first()).alias("first"))
 
 
 def view_grain(views: DataFrame) -> DataFrame:
     return views.groupBy("customer_id", "product_id", "category").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.min(F.struct(_view_seen().alias("seen"), F.col("product_name").alias("name"))).alias("first"))
+        F.count(F.lit(1)).alias("n"), F.min(_view_first()).alias("first"))
 
 
 class GraphInputs:
@@ -99,9 +102,9 @@ def category_counts(g: GraphInputs) -> DataFrame:
     """Per (customer, category) counts over orders and views with a product,
     nulls kept (they are dropped after ranking, trap T17), first seen."""
     o = g.og.filter(F.col("product_id").isNotNull()).groupBy("customer_id", "category") \
-            .agg(F.sum("n").alias("n"), F.min("first.seen").alias("seen"))
+            .agg(F.sum("n").alias("n"), F.min("first").alias("seen"))
     v = g.vg.filter(F.col("product_id").isNotNull()).groupBy("customer_id", "category") \
-            .agg(F.sum("n").alias("n"), F.min("first.seen").alias("seen"))
+            .agg(F.sum("n").alias("n"), F.min("first").alias("seen"))
     return o.unionByName(v).groupBy("customer_id", "category").agg(F.sum("n").alias("n"), F.min("seen").alias("seen"))
 
 
@@ -177,14 +180,15 @@ def graph_nodes(g: GraphInputs, k: int = 3, prefs: DataFrame | None = None) -> D
     def firsts(grain):
         return (grain.filter(F.col("product_id").isNotNull())
                      .select("customer_id", F.col("product_id").cast("string").alias("node_id"),
-                             F.struct(F.col("first.seen").alias("s"), F.col("first.name").alias("name"),
+                             F.struct(F.col("first").alias("s"), F.col("first.name").alias("name"),
                                       F.col("category").alias("category")).alias("x")))
     live = firsts(g.og).unionByName(firsts(g.vg))
     if g.stored is not None:
         stored = g.stored.filter(F.col("target").isNotNull()).select(
             "customer_id", F.col("target").cast("string").alias("node_id"),
             F.struct(F.struct(F.lit(2).alias("src"), F.lit(0).cast("bigint").alias("t"), F.lit(0).cast("bigint").alias("id"),
-                              F.lit(0).cast("bigint").alias("line"), F.lit(0).cast("bigint").alias("pid")).cast(SEEN_TYPE).alias("s"),
+                              F.lit(0).cast("bigint").alias("line"), F.lit(0).cast("bigint").alias("pid"),
+                              F.col("target_name").cast("string").alias("name")).cast(FIRST_TYPE).alias("s"),
                      F.col("target_name").alias("name"), F.col("category").alias("category")).alias("x"))
         stored = stored.join(live.select("customer_id", "node_id"), ["customer_id", "node_id"], "left_anti")
         live = live.unionByName(stored)

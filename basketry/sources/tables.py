@@ -23,6 +23,7 @@ class TableSet:
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
         self.root = root.rstrip("/")
+        self._cache: dict[str, DataFrame] = {}
         use_utc(spark)
 
     def path(self, name: str) -> str:
@@ -31,7 +32,11 @@ class TableSet:
     def table(self, name: str) -> DataFrame:
         if name not in TABLE_NAMES:
             raise KeyError(f"unknown table {name!r}")
-        return self.spark.read.parquet(self.path(name))
+        # one relation per table and TableSet: resolved (listed, footers
+        # read) once, and identical plans let Spark reuse exchanges
+        if name not in self._cache:
+            self._cache[name] = self.spark.read.parquet(self.path(name))
+        return self._cache[name]
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in TABLE_NAMES:

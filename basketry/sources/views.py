@@ -65,13 +65,27 @@ def prop_k(props: Column) -> Column:
     return F.get_json_object(props, "$.k").cast("bigint")
 
 
+def _memo(fn):
+    """Build each view once per Views object (the plan is lazy either way)."""
+    def wrapper(self, *args):
+        key = (fn.__name__,) + args
+        if key not in self._memo:
+            self._memo[key] = fn(self, *args)
+        return self._memo[key]
+    wrapper.__name__ = fn.__name__
+    wrapper.__doc__ = fn.__doc__
+    return wrapper
+
+
 class Views:
     """The derived views of FIXTURES.md over one TableSet."""
 
     def __init__(self, tables: TableSet):
         self.t = tables
+        self._memo: dict = {}
 
     # orders ------------------------------------------------------------
+    @_memo
     def sales(self) -> DataFrame:
         """One row per line item: the reference's one-product order."""
         li = self.t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity",
@@ -98,6 +112,7 @@ class Views:
         p = self.t.part.select("p_partkey", "p_name", "p_type")
         return e.join(p, e.k == p.p_partkey, how)
 
+    @_memo
     def views(self) -> DataFrame:
         """Browse events: view and click events joined to the product."""
         e = self.t.events.filter(F.col("event_type").isin("view", "click")) \
@@ -114,6 +129,7 @@ class Views:
                          F.col("ts").cast("timestamp").alias("event_time"),
                          F.col("ts").cast("timestamp").alias("created_at")))
 
+    @_memo
     def stream_events(self) -> DataFrame:
         """All events as shop stream events (one unit, revenue = value)."""
         return (self._events_with_part("inner")
@@ -128,6 +144,7 @@ class Views:
                         F.col("ts").cast("timestamp").alias("event_time"),
                         F.col("event_id").alias("seq")))
 
+    @_memo
     def raw_events(self) -> DataFrame:
         """Dirty string events for the cleaning operators."""
         e = self.t.events
@@ -150,6 +167,7 @@ class Views:
         )
 
     # text ----------------------------------------------------------------
+    @_memo
     def reviews(self) -> DataFrame:
         d = self.t.documents.select("doc_id", "text")
         return d.select(
@@ -161,6 +179,7 @@ class Views:
             (F.lit(FIXTURE_EPOCH).cast("timestamp") + F.make_dt_interval(F.lit(0), F.lit(0), F.col("doc_id"))).alias("created_at"),
         )
 
+    @_memo
     def users(self) -> DataFrame:
         c = self.t.customer.select("c_custkey", "c_name", "c_mktsegment")
         return c.select(
@@ -170,6 +189,7 @@ class Views:
             (F.lit(FIXTURE_EPOCH).cast("timestamp") + F.make_dt_interval(F.lit(0), F.lit(0), F.col("c_custkey"))).alias("created_at"),
         )
 
+    @_memo
     def catalog(self) -> DataFrame:
         """Scoring catalog: 16 parts with categories, keywords and a base score."""
         p = self.t.part.filter(F.col("p_partkey") < 16)
@@ -185,6 +205,7 @@ class Views:
             F.round(F.lit(0.50) + F.lit(0.01) * (F.col("p_partkey") % 25), 2).alias("base_score"),
         )
 
+    @_memo
     def products(self) -> DataFrame:
         """Shop product table (id, name, category, price, active)."""
         p = self.t.part
@@ -198,6 +219,7 @@ class Views:
              .otherwise(F.lit(True)).alias("active"),
         )
 
+    @_memo
     def features(self, as_of=ORDERS_AS_OF) -> DataFrame:
         """Scaled customer feature table (one row per customer)."""
         s = self.sales()
@@ -221,6 +243,7 @@ class Views:
             F.least(F.coalesce("views", F.lit(0)) / 12, F.lit(1.0)).alias("engagement_depth"),
         )
 
+    @_memo
     def questions(self) -> DataFrame:
         c = self.t.conversations
         return c.filter(F.col("role") == "user").select(

@@ -20,19 +20,22 @@ from basketry.functions.timefn import whole_days
 from basketry.operators.topk import rank_counted, top_items_array
 
 # Encounter order of a Counter fed by orders newest-first, then views
-# newest-first: a struct whose ascending order is that encounter order.
+# newest-first: a flat struct whose ascending order is that encounter order.
+# Rows tying on all of its fields are the same product of the same order
+# line, so the key is exact for first-seen per product and per category.
+SEEN_TYPE = "struct<src:int,t:bigint,id:bigint,line:bigint,pid:bigint>"
+
+
 def order_seen_key() -> Column:
     return F.struct(F.lit(0).alias("src"), (-F.unix_micros("created_at")).alias("t"),
                     (-F.col("order_id").cast("bigint")).alias("id"), F.col("line").cast("bigint").alias("line"),
-                    F.col("product_id").cast("bigint").alias("pid"), F.col("quantity").cast("bigint").alias("qty"),
-                    F.col("revenue").cast("double").alias("rev"))
+                    F.col("product_id").cast("bigint").alias("pid")).cast(SEEN_TYPE)
 
 
 def view_seen_key() -> Column:
     return F.struct(F.lit(1).alias("src"), (-F.unix_micros("created_at")).alias("t"),
                     (-F.col("event_id").cast("bigint")).alias("id"), F.lit(0).cast("bigint").alias("line"),
-                    F.lit(0).cast("bigint").alias("pid"), F.lit(0).cast("bigint").alias("qty"),
-                    F.lit(0.0).alias("rev"))
+                    F.lit(0).cast("bigint").alias("pid")).cast(SEEN_TYPE)
 
 
 def _present(c: str) -> Column:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from basketry.operators.cleaning import RAW_EVENT_SCHEMA, clean_events
 from basketry.operators.insights import normalize_stream
+from basketry.streaming import batches as SB
 from basketry.streaming import insights as SI
 from basketry.streaming import topics as TP
 
@@ -40,10 +41,24 @@ def decoded_stream(spark: SparkSession, topic_path: str) -> DataFrame:
 
 def streaming_insights(spark: SparkSession, events: DataFrame, bounds: list[str]) -> DataFrame:
     """ST1 computed by streaming: publish (S9) -> subscribe (S7) -> decode
-    (S8) -> dedupe deliveries (ST5) -> normalise (P8) -> stateless and
-    keyed-state insights (ST2), drained per chunk (S18)."""
+    (S8) -> dedupe deliveries (ST5) -> normalise (P8) -> per-batch two-level
+    counters with carried totals (ST2, ``streaming.batches``), drained per
+    chunk (S18)."""
     base = TP.fresh_dir(spark, "live-insights")
     topic_path = f"{base}/topics"
+    for chunk in _chunks(events, bounds):
+        TP.publish(TP.encode(chunk, TOPICS, only_purchases_for={"purchase"}), topic_path)
+        norm = normalize_stream(SI.dedupe(decoded_stream(spark, topic_path)), F.col("source"))
+        SB.run_insights(norm, f"{base}/insights", f"{base}/state", f"{base}/ckpt")
+    return spark.read.parquet(f"{base}/insights")
+
+
+def streaming_insights_keyed_state(spark: SparkSession, events: DataFrame, bounds: list[str]) -> DataFrame:
+    """The same with the counters in keyed state (``applyInPandasWithState``,
+    RocksDB-backed on a cluster): for key sets whose per-batch groups are
+    small (e.g. customers)."""
+    base = TP.fresh_dir(spark, "live-insights-state")
+    topic_path = f"{base}/topics"
     parts = {"stateless": SI.stateless_insights, "momentum": SI.momentum_insights, "repeat": SI.repeat_insights}
     for chunk in _chunks(events, bounds):
         TP.publish(TP.encode(chunk, TOPICS, only_purchases_for={"purchase"}), topic_path)

@@ -467,6 +467,13 @@ def q_streaming_insights(spark, sf_dir):
     return ins.select("event_id", "insight_ordinal", "kind", "title", "detail", "severity")
 
 
+@query("streaming_insights_keyed_state")
+def q_streaming_insights_keyed_state(spark, sf_dir):
+    ev = views(spark, sf_dir).stream_events()
+    ins = _live.streaming_insights_keyed_state(spark, ev, STREAM_CHUNKS)
+    return ins.select("event_id", "insight_ordinal", "kind", "title", "detail", "severity")
+
+
 @query("streaming_hourly_revenue")
 def q_streaming_hourly_revenue(spark, sf_dir):
     ev = views(spark, sf_dir).stream_events()

@@ -764,6 +764,7 @@ FROM (SELECT *, list_filter(req, lambda i: list_contains(allowed, i)) AS kept FR
 
 # ---- streaming ------------------------------------------------------------------
 ORACLE["streaming_insights"] = ORACLE["stream_insights"]
+ORACLE["streaming_insights_keyed_state"] = ORACLE["stream_insights"]
 ORACLE["streaming_clean_events"] = ORACLE["clean_events"]
 
 ORACLE["streaming_hourly_revenue"] = with_views(["stream_events"], """

@@ -86,3 +86,18 @@ def streaming_clean(spark: SparkSession, raw: DataFrame) -> DataFrame:
     stream = spark.readStream.schema(RAW_EVENT_SCHEMA).parquet(f"{base}/raw")
     SI.run_to_table(clean_events(stream), f"{base}/out", f"{base}/ckpt")
     return spark.read.parquet(f"{base}/out")
+
+
+def live_snapshot(norm_events: DataFrame, insights: DataFrame, n: int = 30) -> dict[str, DataFrame]:
+    """ST4: the live view over the event and insight sinks (A12 + T2o):
+    newest events and insights, top categories, purchase revenue per
+    category, purchases per customer and the buffered event count."""
+    from basketry.operators import insights as I
+    return {
+        "recent_events": I.recent(norm_events, n),
+        "recent_insights": I.recent(insights, n),
+        "top_categories": I.top_categories(norm_events, 5),
+        "revenue_by_category": I.revenue_by_category(norm_events),
+        "customer_purchases": I.purchases_per_customer(norm_events),
+        "events_seen": I.events_seen(norm_events),
+    }

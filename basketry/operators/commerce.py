@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from basketry.operators.graph import order_time_churn
 from basketry.operators.lookup import require_product
-from basketry.operators.recommend import exclude_bought, recommend
+from basketry.operators.recommend import recommend
 
 # fixed values: segment text used when an order is placed
 WELLNESS_SEGMENT = "High-LTV wellness buyer"
@@ -91,11 +91,3 @@ def first_listing(versions: DataFrame, key: str = "id", ts: str = "updated_at")
                                     F.min(ts).alias("created_at"), F.max(ts).alias("updated_at"))
     return agg.select(key, *[F.col("_r")[c].alias(c) for c in cols], "created_at", "updated_at")
 
-
-def validate_and_split(checked: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(valid rows, invalid rows with reasons)."""
-    return checked.filter("is_valid").drop("reasons"), checked.filter(~F.col("is_valid"))
-
-
-__all__ = ["order_events", "browse_events", "repair_orders", "order_scoring", "store_orders", "first_listing",
-           "validate_and_split", "exclude_bought"]

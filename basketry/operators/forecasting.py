@@ -99,39 +99,41 @@ Z80 = 1.2816
 def seasonal_forecast(history: DataFrame, periods: int = 7) -> DataFrame:
     """M6 (re-aimed): linear trend + weekday offset, 80 % band.
 
-    ``history`` is (series_id, day, value); series with < 3 points dropped.
-    Slope and intercept come from exact decimal sums, so they do not depend
-    on summation order.
+    ``history`` is (series_id, day, value), one row per series and day, so a
+    series has at most one row per calendar day.  All statistics are
+    windows over the series (one shuffle by series_id, no joins back):
+    slope and intercept from exact decimal sums (independent of summation
+    order), weekday offsets as the mean residual per weekday, sigma as the
+    sample deviation of what the offsets leave.  Series with < 3 points are
+    dropped.
     """
-    h = history.filter(F.col("value").isNotNull())
-    first = h.groupBy("series_id").agg(F.min("day").alias("d0"), F.max("day").alias("d1"),
-                                       F.count(F.lit(1)).alias("n"))
+    s = Window.partitionBy("series_id")
+    h = (history.filter(F.col("value").isNotNull())
+                .withColumn("d0", F.min("day").over(s)).withColumn("d1", F.max("day").over(s))
+                .withColumn("n", F.count(F.lit(1)).over(s)))
+    h = h.filter(F.col("n") >= 3)
     x = F.datediff(F.col("day"), F.col("d0")).cast("decimal(18,0)")
     y = F.col("value").cast(MONEY)
-    pts = h.join(first.filter(F.col("n") >= 3), "series_id").withColumn("x", x).withColumn("y", y)
-    sums = pts.groupBy("series_id", "n", "d0", "d1").agg(
-        F.sum("x").alias("sx"), F.sum("y").alias("sy"), F.sum(F.col("x") * F.col("y")).alias("sxy"),
-        F.sum(F.col("x") * F.col("x")).alias("sxx"))
+    h = h.withColumn("x", x).withColumn("y", y)
+    sums = {"sx": F.sum("x").over(s), "sy": F.sum("y").over(s), "sxy": F.sum(F.col("x") * F.col("y")).over(s),
+            "sxx": F.sum(F.col("x") * F.col("x")).over(s)}
+    for k, v in sums.items():
+        h = h.withColumn(k, v.cast("double"))
     n = F.col("n").cast("double")
-    den = n * F.col("sxx").cast("double") - F.col("sx").cast("double") * F.col("sx").cast("double")
-    slope = F.when(den != 0, (n * F.col("sxy").cast("double") - F.col("sx").cast("double") * F.col("sy").cast("double")) / den) \
-             .otherwise(F.lit(0.0))
-    fit = sums.withColumn("slope", slope) \
-              .withColumn("intercept", (F.col("sy").cast("double") - F.col("slope") * F.col("sx").cast("double")) / n) \
-              .select("series_id", "n", "d0", "d1", "slope", "intercept")
-    resid = pts.join(fit.select("series_id", "slope", "intercept"), "series_id") \
-               .withColumn("dow", F.dayofweek("day")) \
-               .withColumn("r", F.col("y").cast("double") - (F.col("intercept") + F.col("slope") * F.col("x").cast("double")))
-    offsets = resid.groupBy("series_id", "dow").agg(F.avg("r").alias("offset"))
-    sigma = (resid.join(offsets, ["series_id", "dow"])
-                  .groupBy("series_id").agg(F.coalesce(F.stddev_samp(F.col("r") - F.col("offset")), F.lit(0.0)).alias("sigma")))
-    steps = fit.join(sigma, "series_id").select(
-        "series_id", "n", "d0", "slope", "intercept", "sigma",
-        F.explode(F.sequence(F.date_add("d1", 1), F.date_add("d1", periods))).alias("ds"))
-    steps = steps.withColumn("dow", F.dayofweek("ds"))
-    f = steps.join(offsets, ["series_id", "dow"], "left")
-    yhat = F.col("intercept") + F.col("slope") * F.datediff("ds", "d0") + F.coalesce(F.col("offset"), F.lit(0.0))
-    return f.select("series_id", F.col("n").alias("history_points"), "ds",
-                    F.round(yhat, 2).alias("yhat"),
-                    F.round(yhat - Z80 * F.col("sigma"), 2).alias("yhat_lower"),
-                    F.round(yhat + Z80 * F.col("sigma"), 2).alias("yhat_upper"))
+    den = n * F.col("sxx") - F.col("sx") * F.col("sx")
+    h = h.withColumn("slope", F.when(den != 0, (n * F.col("sxy") - F.col("sx") * F.col("sy")) / den).otherwise(F.lit(0.0)))
+    h = h.withColumn("intercept", (F.col("sy") - F.col("slope") * F.col("sx")) / n)
+    h = h.withColumn("dow", F.dayofweek("day")) \
+         .withColumn("r", F.col("y").cast("double") - (F.col("intercept") + F.col("slope") * F.col("x").cast("double")))
+    h = h.withColumn("offset", F.avg("r").over(Window.partitionBy("series_id", "dow")))
+    h = h.withColumn("sigma", F.coalesce(F.stddev_samp(F.col("r") - F.col("offset")).over(s), F.lit(0.0)))
+    # one row per series: fit, sigma and the weekday offsets as a map
+    h = h.withColumn("offsets", F.map_from_entries(F.collect_set(F.struct("dow", "offset")).over(s)))
+    one = h.filter(F.col("day") == F.col("d1")).select("series_id", "n", "d0", "d1", "slope", "intercept", "sigma", "offsets")
+    steps = one.select("*", F.explode(F.sequence(F.date_add("d1", 1), F.date_add("d1", periods))).alias("ds"))
+    yhat = (F.col("intercept") + F.col("slope") * F.datediff("ds", "d0")
+            + F.coalesce(F.element_at("offsets", F.dayofweek("ds")), F.lit(0.0)))
+    return steps.select("series_id", F.col("n").alias("history_points"), "ds",
+                        F.round(yhat, 2).alias("yhat"),
+                        F.round(yhat - Z80 * F.col("sigma"), 2).alias("yhat_lower"),
+                        F.round(yhat + Z80 * F.col("sigma"), 2).alias("yhat_upper"))

@@ -11,14 +11,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def _value_cols(df: DataFrame, keys: list[str], version: str) -> list[str]:
+def _value_cols(df: DataFrame, keys: list[str]) -> list[str]:
     return [c for c in df.columns if c not in keys]
 
 
 def last_write_wins(df: DataFrame, keys: list[str], version: Column | str) -> DataFrame:
     """Newest row per key (version = any orderable, larger = newer)."""
     v = F.col(version) if isinstance(version, str) else version
-    cols = _value_cols(df, keys, "")
+    cols = _value_cols(df, keys)
     agg = df.groupBy(*keys).agg(F.max_by(F.struct(*cols), v).alias("_r"))
     return agg.select(*keys, *[F.col("_r")[c].alias(c) for c in cols])
 
@@ -34,7 +34,7 @@ def insert_once_touch(df: DataFrame, keys: list[str], ts: str = "updated_at") ->
 def upsert_with_counter(df: DataFrame, keys: list[str], version: Column | str, counter: str) -> DataFrame:
     """Newest attributes plus the number of touches per key."""
     v = F.col(version) if isinstance(version, str) else version
-    cols = _value_cols(df, keys, "")
+    cols = _value_cols(df, keys)
     agg = df.groupBy(*keys).agg(F.max_by(F.struct(*cols), v).alias("_r"), F.count(F.lit(1)).alias(counter))
     return agg.select(*keys, *[F.col("_r")[c].alias(c) for c in cols], F.col(counter).cast("bigint").alias(counter))
 

@@ -52,8 +52,16 @@ def sales_grain(sales: DataFrame) -> DataFrame:
                       F.min(order_seen_key()).alias("seen")))
 
 
+def order_category_counts(sales: DataFrame) -> DataFrame:
+    """(customer, category) order counts with first-seen key, straight from
+    the order rows (for callers that need no other per-product totals)."""
+    return (sales.filter(_present("category")).groupBy("customer_id", "category")
+                 .agg(F.count(F.lit(1)).alias("n"), F.min(order_seen_key()).alias("seen")))
+
+
 def ranked_categories(grain: DataFrame, views: DataFrame, k: int = 3) -> DataFrame:
-    """Top-k categories over orders + views (U1 then A9)."""
+    """Top-k categories over orders + views (U1 then A9).  ``grain`` is the
+    order grain (or ``order_category_counts``)."""
     o = grain.filter(_present("category")).select("customer_id", "category", "n", "seen")
     v = (views.filter(_present("category")).groupBy("customer_id", "category")
               .agg(F.count(F.lit(1)).alias("n"), F.min(view_seen_key()).alias("seen")))

@@ -193,8 +193,7 @@ from basketry.sources.views import segment_text_of  # noqa: E402
 def _rec_customers(spark, sf_dir):
     """Every customer with its segment text and top-3 recent categories."""
     v = views(spark, sf_dir)
-    grain = _beh.sales_grain(v.sales())
-    cats = (_beh.ranked_categories(grain, v.views(), 3)
+    cats = (_beh.ranked_categories(_beh.order_category_counts(v.sales()), v.views(), 3)
             .groupBy("customer_id")
             .agg(F.sort_array(F.collect_list(F.struct("rank", "item"))).alias("_c"))
             .select("customer_id", F.transform("_c", lambda x: x["item"]).alias("recent_categories")))

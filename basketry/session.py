@@ -62,3 +62,17 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A path under the shared checkpoint folder for written intermediate tables."""
     base = checkpoint_dir(spark)
     return os.path.join(base.rstrip("/"), "tables", name)
+
+
+def materialize(df, name: str):
+    """Cut a reused intermediate from its lineage by writing it as a parquet
+    table in the shared checkpoint folder and reading it back.
+
+    Columnar and splittable, so it is cheaper than ``Dataset.checkpoint()``
+    (which serialises rows through an RDD), and a lost executor re-reads the
+    table instead of recomputing the upstream joins."""
+    import uuid
+    spark = df.sparkSession
+    path = scratch_path(spark, f"{name}-{uuid.uuid4().hex[:12]}")
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

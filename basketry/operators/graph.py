@@ -188,37 +188,47 @@ def graph_edges(g: GraphInputs, k: int = 3, max_edges: int = MAX_EDGES, prefs: D
 
 def graph_nodes(g: GraphInputs, k: int = 3, prefs: DataFrame | None = None) -> DataFrame:
     """Customer node, product nodes (first name seen wins: orders, then
-    views, then stored edges not already present, J8) and category nodes."""
+    views, then stored edges not already present, J8) and category nodes.
+
+    One aggregation: every candidate carries a source rank (orders 0, views 1,
+    stored edges 2, preferred categories 3), so the minimum per (customer,
+    node) is the first-seen product and drops a stored or category candidate
+    whose id is already present; the per-customer level of the rollup gives
+    the customer node."""
     prefs = prefs if prefs is not None else preference_edges(g, k)
 
     def firsts(grain):
         return (grain.filter(F.col("product_id").isNotNull())
                      .select("customer_id", F.col("product_id").cast("string").alias("node_id"),
                              F.struct(F.col("first").alias("s"), F.col("first.name").alias("name"),
-                                      F.col("category").alias("category")).alias("x")))
-    live = firsts(g.og).unionByName(firsts(g.vg))
+                                      F.col("category").alias("category"), F.lit("product").alias("kind")).alias("x")))
+
+    def fixed(src, name, category, kind):
+        key = F.struct(F.lit(src).alias("src"), F.lit(0).cast("bigint").alias("t"), F.lit(0).cast("bigint").alias("id"),
+                       F.lit(0).cast("bigint").alias("line"), F.lit(0).cast("bigint").alias("pid"),
+                       name.cast("string").alias("name")).cast(FIRST_TYPE)
+        return F.struct(key.alias("s"), name.cast("string").alias("name"), category.cast("string").alias("category"),
+                        F.lit(kind).alias("kind"))
+    cand = firsts(g.og).unionByName(firsts(g.vg))
     if g.stored is not None:
-        stored = g.stored.filter(F.col("target").isNotNull()).select(
+        cand = cand.unionByName(g.stored.filter(F.col("target").isNotNull()).select(
             "customer_id", F.col("target").cast("string").alias("node_id"),
-            F.struct(F.struct(F.lit(2).alias("src"), F.lit(0).cast("bigint").alias("t"), F.lit(0).cast("bigint").alias("id"),
-                              F.lit(0).cast("bigint").alias("line"), F.lit(0).cast("bigint").alias("pid"),
-                              F.col("target_name").cast("string").alias("name")).cast(FIRST_TYPE).alias("s"),
-                     F.col("target_name").alias("name"), F.col("category").alias("category")).alias("x"))
-        stored = stored.join(live.select("customer_id", "node_id"), ["customer_id", "node_id"], "left_anti")
-        live = live.unionByName(stored)
-    first = live.groupBy("customer_id", "node_id").agg(F.min("x").alias("x"))
-    products = first.select("customer_id", "node_id",
-                            short_label(F.coalesce(F.col("x.name"), F.col("node_id"))).alias("label"),
-                            F.lit("product").alias("kind"), F.col("x.category").alias("category"))
-    cats = prefs.select(
-        "customer_id", F.col("target").alias("node_id"), F.substring_index("category", " ", 1).alias("label"),
-        F.lit("segment").alias("kind"), F.lit(None).cast("string").alias("category"))
-    cats = cats.join(products.select("customer_id", "node_id"), ["customer_id", "node_id"], "left_anti")
-    customers = products.select("customer_id").unionByName(cats.select("customer_id")).distinct().select(
-        "customer_id", F.col("customer_id").cast("string").alias("node_id"),
-        short_label(F.col("customer_id").cast("string")).alias("label"), F.lit("customer").alias("kind"),
-        F.lit(None).cast("string").alias("category"))
-    return customers.unionByName(products).unionByName(cats)
+            fixed(2, F.col("target_name"), F.col("category"), "product").alias("x")))
+    cand = cand.unionByName(prefs.select(
+        "customer_id", F.col("target").alias("node_id"),
+        fixed(3, F.substring_index("category", " ", 1), F.lit(None), "segment").alias("x")))
+    agg = (cand.rollup("customer_id", "node_id").agg(F.min("x").alias("x"), F.grouping_id().alias("_gid"))
+               .filter(F.col("_gid") < 3))
+    is_customer = F.col("_gid") == 1
+    label = (F.when(is_customer, short_label(F.col("customer_id").cast("string")))
+              .when(F.col("x.kind") == "segment", F.col("x.name"))
+              .otherwise(short_label(F.coalesce(F.col("x.name"), F.col("node_id")))))
+    return agg.select(
+        "customer_id",
+        F.when(is_customer, F.col("customer_id").cast("string")).otherwise(F.col("node_id")).alias("node_id"),
+        label.alias("label"),
+        F.when(is_customer, F.lit("customer")).otherwise(F.col("x.kind")).alias("kind"),
+        F.when(is_customer, F.lit(None).cast("string")).otherwise(F.col("x.category")).alias("category"))
 
 
 def positioned_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:

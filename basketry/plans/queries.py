@@ -722,3 +722,13 @@ def q_latest_activity(spark, sf_dir):
 def q_daily_product_quantity(spark, sf_dir):
     d = _fc.daily_quantity(views(spark, sf_dir).sales())
     return d.withColumn("day", F.col("day").cast("string"))
+
+
+@query("segment_category_match")
+def q_segment_category_match(spark, sf_dir):
+    """M17 for every customer: segment text against the top preferred category."""
+    from basketry.functions.scoring import normalize_segment, segment_category_match
+    c = _rec_customers(spark, sf_dir)
+    top = F.coalesce(F.col("recent_categories")[0], F.lit(""))
+    return c.select("customer_id", "segment", top.alias("category"),
+                    segment_category_match(normalize_segment(F.col("segment")), top).alias("match"))

@@ -954,3 +954,17 @@ SELECT customer_id, {ISO.format(t='max(created_at)')} AS last_activity FROM sale
 ORACLE["daily_product_quantity"] = with_views(["sales"], """
 SELECT product_id, CAST(CAST(created_at AS DATE) AS VARCHAR) AS day, CAST(sum(coalesce(quantity, 1)) AS BIGINT) AS quantity
 FROM sales WHERE product_id IS NOT NULL GROUP BY 1, 2""")
+
+ORACLE["segment_category_match"] = with_behavior(f"""
+, cust AS (
+  SELECT c.c_custkey AS customer_id, {SEGTEXT.format(c='c.c_mktsegment')} AS segment,
+         coalesce(t.recent_categories[1], '') AS category
+  FROM customer c LEFT JOIN cat_top t ON t.customer_id = c.c_custkey)
+SELECT customer_id, segment, category,
+       CASE WHEN category = '' THEN 0.0
+            WHEN contains(replace(lower(segment), '_', ' '), category) THEN 1.0
+            WHEN contains(replace(lower(segment), '_', ' '), 'wellness') AND category IN ('wellness', 'sleep') THEN 1.0
+            WHEN contains(replace(lower(segment), '_', ' '), 'home') AND category = 'smart home' THEN 1.0
+            WHEN contains(replace(lower(segment), '_', ' '), 'commuter') AND category IN ('commuter', 'travel') THEN 1.0
+            ELSE 0.0 END AS match
+FROM cust""")

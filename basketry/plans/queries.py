@@ -732,3 +732,28 @@ def q_segment_category_match(spark, sf_dir):
     top = F.coalesce(F.col("recent_categories")[0], F.lit(""))
     return c.select("customer_id", "segment", top.alias("category"),
                     segment_category_match(normalize_segment(F.col("segment")), top).alias("match"))
+
+
+@query("review_validation")
+def q_review_validation(spark, sf_dir):
+    """P9 over every review: customer id 3-80 chars, rating 1-5, text 3-1000 chars."""
+    from basketry.operators.cleaning import validate_reviews
+    r = views(spark, sf_dir).reviews().withColumn("customer_id", F.concat(F.lit("cust-"), F.col("customer_id").cast("string")))
+    return validate_reviews(r).select("review_id", "is_valid", F.array_join("reasons", ",").alias("reasons"))
+
+
+@query("browse_validation")
+def q_browse_validation(spark, sf_dir):
+    """P9 over every browse event: customer id 3-80 chars, dwell 0-3600 s."""
+    from basketry.operators.cleaning import validate_browse
+    b = views(spark, sf_dir).views().withColumn("customer_id", F.col("customer_id").cast("string"))
+    return validate_browse(b).select("event_id", "is_valid", F.array_join("reasons", ",").alias("reasons"))
+
+
+@query("latest_orders")
+def q_latest_orders(spark, sf_dir):
+    """Each customer's newest order line (full tie-breaks)."""
+    from basketry.operators.topk import newest_per_key
+    s = views(spark, sf_dir).sales()
+    n = newest_per_key(s, ["customer_id"], _scans.sales_newest_first(), 1)
+    return n.select("customer_id", "order_id", "line", "product_id", "quantity", "revenue")

@@ -968,3 +968,23 @@ SELECT customer_id, segment, category,
             WHEN contains(replace(lower(segment), '_', ' '), 'commuter') AND category IN ('commuter', 'travel') THEN 1.0
             ELSE 0.0 END AS match
 FROM cust""")
+
+ORACLE["review_validation"] = with_views(["reviews"], """
+SELECT review_id, len(reasons) = 0 AS is_valid, array_to_string(reasons, ',') AS reasons FROM (
+  SELECT review_id, list_filter([
+           CASE WHEN NOT coalesce(length('cust-' || CAST(customer_id AS VARCHAR)) BETWEEN 3 AND 80, false) THEN 'customer_id_length' END,
+           CASE WHEN NOT coalesce(rating BETWEEN 1 AND 5, false) THEN 'rating_range' END,
+           CASE WHEN NOT coalesce(length(text) BETWEEN 3 AND 1000, false) THEN 'text_length' END], lambda x: x IS NOT NULL) AS reasons
+  FROM reviews)""")
+
+ORACLE["browse_validation"] = with_views(["views"], """
+SELECT event_id, len(reasons) = 0 AS is_valid, array_to_string(reasons, ',') AS reasons FROM (
+  SELECT event_id, list_filter([
+           CASE WHEN NOT coalesce(length(CAST(customer_id AS VARCHAR)) BETWEEN 3 AND 80, false) THEN 'customer_id_length' END,
+           CASE WHEN NOT coalesce(dwell_seconds BETWEEN 0 AND 3600, false) THEN 'dwell_range' END], lambda x: x IS NOT NULL) AS reasons
+  FROM views)""")
+
+ORACLE["latest_orders"] = with_views(["sales"], """
+SELECT customer_id, order_id, line, product_id, quantity, revenue FROM (
+  SELECT *, row_number() OVER (PARTITION BY customer_id ORDER BY created_at DESC, order_id DESC, line, product_id,
+                                quantity, revenue) AS rn FROM sales) WHERE rn = 1""")

@@ -32,7 +32,7 @@ def main() -> None:
     reps = int(os.environ.get("BENCH_REPS", "1"))
     from basketry.session import build_session
     from basketry.plans.queries import QUERIES
-    spark = build_session(f"local[{cpus}]", shuffle_partitions=int(cpus) * 2,
+    spark = build_session(f"local[{cpus}]", shuffle_partitions=int(os.environ.get("BENCH_SHUFFLE_PARTITIONS", cpus)),
                           extra={"spark.driver.memory": os.environ.get("BENCH_DRIVER_MEMORY", "16g")})
     names = [n for n in HEADLINE if n in QUERIES]
     # warm-up: every headline query once on the smallest fixture (JIT, class

@@ -143,6 +143,15 @@ def q_basket_pairs(spark, sf_dir):
     return with_product_name(top, v.products(), "right", "right_name", small_side=True)
 
 
+@query("basket_pairs_pruned")
+def q_basket_pairs_pruned(spark, sf_dir):
+    """The same top pairs with the exact support-floor pruning switched on."""
+    v = views(spark, sf_dir)
+    top = _bask.basket_analysis(v.sales(), limit=10, prune_candidates=200)
+    top = with_product_name(top, v.products(), "left", "left_name", small_side=True)
+    return with_product_name(top, v.products(), "right", "right_name", small_side=True)
+
+
 @query("basket_product_counts")
 def q_basket_product_counts(spark, sf_dir):
     b = _bask.basket_sets(views(spark, sf_dir).sales())

@@ -988,3 +988,5 @@ ORACLE["latest_orders"] = with_views(["sales"], """
 SELECT customer_id, order_id, line, product_id, quantity, revenue FROM (
   SELECT *, row_number() OVER (PARTITION BY customer_id ORDER BY created_at DESC, order_id DESC, line, product_id,
                                 quantity, revenue) AS rn FROM sales) WHERE rn = 1""")
+
+ORACLE["basket_pairs_pruned"] = ORACLE["basket_pairs"]

@@ -79,3 +79,20 @@ def test_kmeans_invariants(spark):
     assert nc.filter(F.col("cluster") != F.col("model_cluster")).count() == 0
     prof = segmentation.cluster_profiles(a).collect()
     assert sum(p.members for p in prof) == a.count()
+
+
+def test_support_floor_pruning_is_exact_on_skewed_baskets(spark):
+    import random
+    rnd = random.Random(7)
+    rows = []
+    for b in range(300):
+        items = {f"hot{rnd.randint(0, 4)}" for _ in range(3)} | {f"p{rnd.randint(0, 400):03d}" for _ in range(4)}
+        rows += [(f"b{b:03d}", p) for p in items]
+    orders = spark.createDataFrame(rows, "customer_id string, product_id string")
+    b = baskets.basket_sets(orders)
+    pc = b.groupBy("product").agg(F.count(F.lit(1)).alias("n"))
+    floor = spark.range(1).select(baskets.support_floor(b, pc, 5, 10).alias("f")).first().f
+    assert floor > 1 and pc.filter(F.col("n") >= floor).count() < pc.count()   # pruning really cuts
+    plain = [tuple(r) for r in baskets.basket_analysis(orders, limit=5).orderBy("rank").collect()]
+    pruned = [tuple(r) for r in baskets.basket_analysis(orders, limit=5, prune_candidates=10).orderBy("rank").collect()]
+    assert plain == pruned and len(plain) == 5

@@ -115,7 +115,7 @@ def basket_analysis(orders: DataFrame, limit: int = 10, basket_key: str = "custo
     order = [F.desc("pair_count")] + ([F.asc("first_seen")] if seen is not None else []) + [F.asc("left"), F.asc("right")]
     top = pairs.orderBy(*order).limit(limit)
     # at most ``limit`` rows reach this window
-    ranked = top.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+    ranked = top.withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("bigint"))
     lc = product_counts.select(F.col("product").alias("left"), F.col("n").alias("left_count"))
     rc = product_counts.select(F.col("product").alias("right"), F.col("n").alias("right_count"))
     j = F.broadcast(ranked).join(lc, "left", "left").join(rc, "right", "left")

@@ -181,7 +181,7 @@ def graph_edges(g: GraphInputs, k: int = 3, max_edges: int = MAX_EDGES, prefs: D
     edges = _edge_rows(g.orders, g.views, prefs)
     w = Window.partitionBy("customer_id").orderBy(*EDGE_ORDER)
     ranked = edges.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= max_edges)
-    return ranked.select("customer_id", (F.col("_rn") - 1).alias("edge_ordinal"),
+    return ranked.select("customer_id", (F.col("_rn") - 1).cast("bigint").alias("edge_ordinal"),
                          F.concat(F.lit("edge-"), (F.col("_rn") - 1).cast("string")).alias("edge_id"),
                          "type", F.col("customer_id").cast("string").alias("source"), "target", "weight")
 

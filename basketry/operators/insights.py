@@ -101,7 +101,7 @@ def top_categories(norm: DataFrame, k: int = 5) -> DataFrame:
     agg = norm.groupBy("category").agg(F.count(F.lit(1)).alias("events"),
                                        F.min(F.struct("event_time", "seq")).alias("_first"))
     return agg.orderBy(F.desc("events"), "_first").limit(k) \
-              .withColumn("rank", F.row_number().over(Window.orderBy(F.desc("events"), "_first"))).drop("_first")
+              .withColumn("rank", F.row_number().over(Window.orderBy(F.desc("events"), "_first")).cast("bigint")).drop("_first")
 
 
 def revenue_by_category(norm: DataFrame) -> DataFrame:

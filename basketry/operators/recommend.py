@@ -78,7 +78,7 @@ def recommend(customers: DataFrame, catalog: DataFrame, k: int = 3, key: str = "
     top = parts.select(key, F.slice(F.sort_array(F.transform("_parts", _ranked)), 1, k).alias("r"))
     rows = top.select(key, F.posexplode_outer("r").alias("pos", "x")).filter(F.col("x").isNotNull())
     return rows.select(
-        key, (F.col("pos") + 1).alias("rank"),
+        key, (F.col("pos") + 1).cast("bigint").alias("rank"),
         *[F.col("x")[c].alias(c) for c in ("product_id", "product", "category")],
         (-F.col("x")["neg_score"]).alias("score"),
         *[F.col("x")[c].alias(c) for c in ("base_product_fit", "recent_category_match", "segment_fit",
@@ -130,7 +130,7 @@ def attributions(top: DataFrame, features: DataFrame, key: str = "customer_id")
                              imp.alias("impact"), val.alias("value"))
                     for i, (name, (imp, val)) in enumerate(zip(ATTRIBUTION_NAMES, items))])
     ranked = j.select(key, "product", F.posexplode(F.sort_array(arr)).alias("pos", "a"))
-    return ranked.select(key, "product", (F.col("pos") + 1).alias("position"), F.col("a.name").alias("name"),
+    return ranked.select(key, "product", (F.col("pos") + 1).cast("bigint").alias("position"), F.col("a.name").alias("name"),
                          F.col("a.impact").alias("impact"), F.col("a.value").alias("value"))
 
 

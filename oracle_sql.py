@@ -966,7 +966,7 @@ SELECT customer_id, segment, category,
             WHEN contains(replace(lower(segment), '_', ' '), 'wellness') AND category IN ('wellness', 'sleep') THEN 1.0
             WHEN contains(replace(lower(segment), '_', ' '), 'home') AND category = 'smart home' THEN 1.0
             WHEN contains(replace(lower(segment), '_', ' '), 'commuter') AND category IN ('commuter', 'travel') THEN 1.0
-            ELSE 0.0 END AS match
+            ELSE 0.0 END::DOUBLE AS match
 FROM cust""")
 
 ORACLE["review_validation"] = with_views(["reviews"], """

@@ -15,11 +15,12 @@ def _col_or_null(df: DataFrame, name: str):
     return F.col(name) if name in df.columns else F.lit(None).cast("double")
 
 
-def churn_scores(features: DataFrame, key: str = "customer_id") -> DataFrame:
+def churn_scores(features: DataFrame, key: str = "customer_id", keep: list[str] | None = None) -> DataFrame:
     """M1 applied to every row of a feature table.
 
     Missing inputs take the reference defaults; engagement falls back to
-    bundle_affinity, then .5.
+    bundle_affinity, then .5.  ``keep`` carries input columns through (no
+    join back onto the inputs).
     """
     engagement = F.coalesce(_col_or_null(features, "engagement_depth"), _col_or_null(features, "bundle_affinity"))
     comps = churn_components(_col_or_null(features, "recency_days"), _col_or_null(features, "frequency"),
@@ -30,7 +31,7 @@ def churn_scores(features: DataFrame, key: str = "customer_id") -> DataFrame:
     drivers = F.array(*[F.struct(F.lit(n).alias("feature"), F.round(comps[n], 3).alias("contribution"))
                         for n in DRIVER_NAMES])
     return features.select(
-        key,
+        key, *(keep or []),
         prob.alias("probability"),
         F.round(prob * 100, 1).alias("percent"),
         band.alias("risk_band"),
@@ -66,8 +67,7 @@ def customer_churn(behavior: DataFrame, features: DataFrame) -> DataFrame:
         F.col("f_discount").cast("double").alias("discount_sensitivity"),
         F.least((F.col("browse_events") + F.col("orders")) / 12, F.lit(1.0)).alias("engagement_depth"),
     )
-    scores = churn_scores(inputs)
-    return inputs.join(scores, "customer_id")
+    return churn_scores(inputs, keep=[c for c in inputs.columns if c != "customer_id"])
 
 
 def rfm_segments(features: DataFrame) -> DataFrame:

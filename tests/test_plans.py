@@ -47,3 +47,17 @@ def test_scans_newest_first(spark):
     rows = scans.order_scan(v.sales(), customer_id=int(v.sales().first().customer_id)).collect()
     ts = [r.created_at for r in rows]
     assert ts == sorted(ts, reverse=True)
+
+
+def test_basket_pair_aggregate_stays_hash_based(spark):
+    s = views(spark, SF_SMALL).sales()
+    b = baskets.basket_sets(s)
+    text = plan(baskets.pair_counts(b, basket_seen=baskets._basket_order(s, "customer_id")))
+    assert "SortAggregate" not in text and "HashAggregate" in text
+
+
+def test_graph_nodes_single_rollup(spark):
+    from basketry.operators import graph
+    v = views(spark, SF_SMALL)
+    text = plan(graph.graph_nodes(graph.GraphInputs(v.sales(), v.views())))
+    assert text.count("Expand") == 1

@@ -62,23 +62,26 @@ def _ranked(c: Column) -> Column:
                     F.round(c["wc"], 3).alias("winback_sleep_boost"))
 
 
-def recommend(customers: DataFrame, catalog: DataFrame, k: int = 3, key: str = "customer_id") -> DataFrame:
+def recommend(customers: DataFrame, catalog: DataFrame, k: int = 3, key: str = "customer_id",
+              keep: list[str] | None = None) -> DataFrame:
     """M7 for every row of ``customers`` (key, segment, recent_categories).
 
     Ranks by rounded score, ties by catalog order (trap T14), keeps k (W8).
-    Output: key, rank, product_id, product, category, score, five drivers.
+    Output: key, [keep...], rank, product_id, product, category, score, five
+    drivers.  ``keep`` carries customer columns through (no join back).
     """
+    keep = list(keep or [])
     ns = normalize_segment(F.col("segment"))
     prepared = customers.select(
-        key, ns.alias("_ns"), _norm_categories(F.col("recent_categories")).alias("_recent"),
+        key, *keep, ns.alias("_ns"), _norm_categories(F.col("recent_categories")).alias("_recent"),
         F.array_distinct(F.filter(F.split(ns, r"\s+"), lambda w: w != "")).alias("_tokens"),
         catalog_array(catalog).alias("_catalog"))
-    parts = prepared.select(key, F.transform("_catalog", lambda p: _components(
+    parts = prepared.select(key, *keep, F.transform("_catalog", lambda p: _components(
         p, F.col("_ns"), F.col("_recent"), F.col("_tokens"))).alias("_parts"))
-    top = parts.select(key, F.slice(F.sort_array(F.transform("_parts", _ranked)), 1, k).alias("r"))
-    rows = top.select(key, F.posexplode_outer("r").alias("pos", "x")).filter(F.col("x").isNotNull())
+    top = parts.select(key, *keep, F.slice(F.sort_array(F.transform("_parts", _ranked)), 1, k).alias("r"))
+    rows = top.select(key, *keep, F.posexplode_outer("r").alias("pos", "x")).filter(F.col("x").isNotNull())
     return rows.select(
-        key, (F.col("pos") + 1).cast("bigint").alias("rank"),
+        key, *keep, (F.col("pos") + 1).cast("bigint").alias("rank"),
         *[F.col("x")[c].alias(c) for c in ("product_id", "product", "category")],
         (-F.col("x")["neg_score"]).alias("score"),
         *[F.col("x")[c].alias(c) for c in ("base_product_fit", "recent_category_match", "segment_fit",

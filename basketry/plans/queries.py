@@ -220,7 +220,7 @@ def q_recommendations(spark, sf_dir):
 def _attributions(spark, sf_dir):
     v = views(spark, sf_dir)
     cust = _rec_customers(spark, sf_dir)
-    top = _rec.recommend(cust, v.catalog(), k=1).join(cust, "customer_id")
+    top = _rec.recommend(cust, v.catalog(), k=1, keep=["segment", "recent_categories"])
     feats = v.features()
     churn = _churn.churn_scores(feats).select("customer_id", F.col("probability").alias("churn_risk"))
     return cust, _rec.attributions(top, feats.join(churn, "customer_id"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketry.llm import fingerprint, packing, sentencepiece_table
+from basketry.llm import fingerprint, language_id, packing, quality, secret_scan, sentencepiece_table, topk_search
 from basketry.llm.common import read
 from basketry.session import materialize
 
@@ -15,6 +15,28 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = topk_search.quantised(read(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+    return topk_search.top_k(vectors.where(F.col("vec_id") % 50 == 0), vectors)
+
+
+OP2_SQL = """
+WITH usable AS (
+    SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
+    FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+      AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+scored AS (
+    SELECT a.vec_id AS query_id, b.vec_id,
+           CAST(list_sum(list_transform(list_zip(a.q, b.q), lambda z: coalesce(z[1] * z[2], 0))) AS BIGINT) AS score
+    FROM usable a JOIN usable b ON a.vec_id <> b.vec_id
+    WHERE a.vec_id % 50 = 0)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
+WHERE rank <= 5
+"""
+
+
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents", "doc_id", "text")
     return sentencepiece_table.encode_digests(docs, tokenizer_file("piece_bpe_32k.model"))
@@ -33,9 +55,39 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_documents(read(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan_digests(read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def language_model(docs: DataFrame) -> dict:
+    return language_id.fit(docs.where(language_id.remainder("doc_id", 5) != 0))
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    found = language_id.predict(docs, language_model(docs))
+    held_out = F.coalesce(language_id.remainder("doc_id", 5) == 0, F.lit(False))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def quality_model(docs: DataFrame, labels: DataFrame) -> dict:
+    return quality.fit(docs, labels.where(language_id.remainder("doc_id", 3) != 1))
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents", "doc_id", "text")
+    found = quality.score(docs, quality_model(docs, read(spark, sf_dir, "labels", "doc_id", "quality")))
+    held_out = F.coalesce(language_id.remainder("doc_id", 3) == 1, F.lit(False))
+    return found.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 LLM_QUERIES = {
+    "op2_topk_search": op2_topk_search,
     "op3_sentencepiece": op3_sentencepiece,
     "op4_fingerprint": op4_fingerprint,
     "op5_packing": op5_packing,
+    "op6_secret_scan": op6_secret_scan,
+    "op9_language_id": op9_language_id,
+    "op10_quality": op10_quality,
 }
-LLM_ORACLE: dict[str, str] = {}
+LLM_ORACLE = {"op2_topk_search": OP2_SQL}

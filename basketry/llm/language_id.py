@@ -115,12 +115,10 @@ def fit(df: DataFrame, label_column: str = "lang", id_column: str = "doc_id", te
     rows = df.where(F.col(label_column).isNotNull() & F.col(id_column).isNotNull()).select(F.col(label_column).alias("lang"), F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
     n, frequency = document_frequencies(rows)
     idf = 1 + np.log((1 + n) / (1 + frequency))
-    sizes = rows.groupBy("lang").agg(F.count("*").alias("size"))
-    # a hash of the id thins each language to about twice the sample before rows are ranked
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20))
-    thinned = rows.join(sizes, "lang").where(place * F.col("size") <= F.lit(2 * sample * (1 << 20)))
-    order = Window.partitionBy("lang").orderBy(place, "doc_id", "text")
-    chosen = thinned.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= sample).select("lang", "text")
+    # ids alone are ranked; at most ``sample`` of each language remain, safe to broadcast
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    ids = rows.select("lang", "doc_id").distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= sample).select("lang", "doc_id")
+    chosen = rows.join(F.broadcast(ids), ["lang", "doc_id"]).select("lang", "text")
 
     def centroids(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         known = [c for t in group["text"] if (c := counts(t or "")) is not None]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketry.llm import fingerprint, language_id, packing, quality, secret_scan, sentencepiece_table, topk_search
+from basketry.llm import fingerprint, html_extract, language_id, license_scan, ngram_join, packing, quality, secret_scan, sentencepiece_table, topk_search
 from basketry.llm.common import read
 from basketry.session import materialize
 
@@ -15,6 +15,10 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(read(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
 def op2_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = topk_search.quantised(read(spark, sf_dir, "embeddings", "vec_id", "embedding"))
     return topk_search.top_k(vectors.where(F.col("vec_id") % 50 == 0), vectors)
@@ -59,6 +63,41 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan_digests(read(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+OP8_SQL = r"""
+WITH RECURSIVE words AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+    FROM documents),
+shingles AS (
+    SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN []
+        WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+        ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s
+    FROM words),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+pairs AS (
+    SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS common
+    FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (
+    SELECT x, y FROM pairs JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y
+    WHERE 100 * common >= 75 * (p.n + q.n - common)),
+both_ways AS (SELECT x, y FROM links UNION SELECT y, x FROM links),
+reach AS (
+    SELECT doc_id AS node, doc_id AS seen FROM documents
+    UNION
+    SELECT reach.node, both_ways.y FROM reach JOIN both_ways ON both_ways.x = reach.seen)
+SELECT d.doc_id, coalesce(sizes.n, 0) AS n_shingles, r.component_id
+FROM documents d LEFT JOIN sizes ON sizes.doc_id = d.doc_id
+JOIN (SELECT node, min(seen) AS component_id FROM reach GROUP BY node) r ON r.node = d.doc_id
+"""
+
+
 def language_model(docs: DataFrame) -> dict:
     return language_id.fit(docs.where(language_id.remainder("doc_id", 5) != 0))
 
@@ -82,12 +121,15 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LLM_QUERIES = {
+    "op1_html_extraction": op1_html_extraction,
     "op2_topk_search": op2_topk_search,
     "op3_sentencepiece": op3_sentencepiece,
     "op4_fingerprint": op4_fingerprint,
     "op5_packing": op5_packing,
     "op6_secret_scan": op6_secret_scan,
+    "op7_license_scan": op7_license_scan,
+    "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_language_id": op9_language_id,
     "op10_quality": op10_quality,
 }
-LLM_ORACLE = {"op2_topk_search": OP2_SQL}
+LLM_ORACLE = {"op2_topk_search": OP2_SQL, "op8_ngram_jaccard": OP8_SQL}

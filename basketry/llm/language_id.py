@@ -154,9 +154,10 @@ def predict(df: DataFrame, model: dict, id_column: str = "doc_id", text_column:
         own = [part.column(i) for i in range(1 + len(keep))]
         return pa.RecordBatch.from_arrays([*own, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(out, pa.bool_())], [f"c{i}" for i in range(len(own) + 3)])
 
-    chosen = df.select(id_column, *keep, F.col(text_column).alias("__text"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[:-1])
-    return map_texts(chosen, "__text", rows, f"{fields}, lang_pred string, score double, rejected boolean")
+    own_text = text_column in keep
+    chosen = df.select(id_column, *keep, *([] if own_text else [F.col(text_column).alias("__text")]))
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[:1 + len(keep)])
+    return map_texts(chosen, text_column if own_text else "__text", rows, f"{fields}, lang_pred string, score double, rejected boolean")
 
 
 def remainder(column: str, by: int):

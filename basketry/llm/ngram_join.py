@@ -12,10 +12,11 @@ of each.
 * Groups.  Documents with identical prefix and size become one group; shingles
   that occur once cannot match and are dropped from prefixes.
 * Pairs.  In each prefix shingle's list every group is first compared with one
-  pivot only, in several rounds with other pivots, and linked documents get
-  one label.  Then all remaining pairs of the lists whose documents have
-  different labels are compared.  So large groups of copies take linear work,
-  and no link between differently labelled documents is lost.
+  pivot only, the group with the fewest shingles of its own, and linked
+  documents get one label.  Then all remaining pairs of the lists whose
+  documents have different labels, and whose prefixes have enough in common,
+  are compared.  So large groups of copies take linear work, and no link
+  between differently labelled documents is lost.
 * Expansion and verification.  Group pairs of compatible size are expanded to
   their members and checked on the whole sets.
 
@@ -51,7 +52,7 @@ HEAVY_TIMES, HEAVY_LEAST = 16, 256
 TASK_SHINGLES = 3_000_000
 #: Signatures a map task remembers to skip copies.
 REMEMBER = 1_000_000
-PIVOT_ROUNDS, PIVOTS = 2, 3
+PIVOT_ROUNDS, PIVOTS = 1, 3
 #: Members compared with a pivot by one task.
 STAR = 500
 #: Bits of the filter that keeps sets of documents without candidates out of a shuffle.
@@ -77,6 +78,24 @@ def _bucket(hashes: np.ndarray) -> np.ndarray:
     return (hashes & np.uint64(SKETCH - 1)).astype(np.int64)
 
 
+def _needed(n, other_n):
+    """Shingles that two linking documents of such sizes have in common in
+    their prefixes, at least.
+
+    Their overlap is 3/7 of both sizes together or more, and what of it is not
+    in both prefixes lies in one document's rest after its prefix."""
+    rest = lambda size: F.floor((3 * size + 3) / 4) - 1
+    return F.greatest(F.lit(1), F.ceil(3 * (n + other_n) / 7) - F.greatest(rest(n), rest(other_n)))
+
+
+def _may_link(n, shared, at, other_n, other_shared, other_at):
+    """What two documents of a list satisfy if the list's shingle is the first
+    that their prefixes have in common and they link: sizes within 3/4, and in
+    each prefix (``shared`` shingles, this one at ``at``) enough left to come."""
+    needed = _needed(n, other_n)
+    return (4 * F.least(n, other_n) >= 3 * F.greatest(n, other_n)) & (shared - at >= needed) & (other_shared - other_at >= needed)
+
+
 def _profiled(df: DataFrame) -> DataFrame:
     """Per document ``doc_id, sig, n``, and per task the sketch's counts in
     rows of ``place, counts``."""
@@ -225,8 +244,8 @@ def _posted(sig, n, light, shingle, rank) -> pa.RecordBatch:
 
 
 def _postings(df: DataFrame, sketch: np.ndarray, shingles: int) -> DataFrame:
-    """``shingle, sig, n`` of all prefixes, without shingles that occur once;
-    ``group`` is equal for documents with identical prefix and size."""
+    """``sig, n, shingle, rank`` of all prefixes, without shingles that occur
+    once; ``rank`` and ``shingle`` give the order."""
     tasks = max(1, math.ceil(shingles / TASK_SHINGLES))
     posted = _dealt(df, sketch, 2 * tasks).repartition(tasks, "part").mapInArrow(_shared_shingles, "sig bigint, n bigint, light bigint, shingle bigint, rank bigint")
     own = Window.partitionBy("sig")
@@ -238,36 +257,52 @@ def _postings(df: DataFrame, sketch: np.ndarray, shingles: int) -> DataFrame:
     # tasks have sent of a copy has the same places and is dropped below
     once = F.col("light") - F.col("several")
     prefix = F.col("n") - F.floor((3 * F.col("n") + 3) / 4) + 1
-    kept = told.where(F.col("shingle").isNotNull() & (F.col("at") - 1 + once <= prefix)).select("sig", "n", "shingle", once.alias("once")).distinct()
-    whole = kept.groupBy("sig", "n", "once").agg(F.sort_array(F.collect_list("shingle")).alias("prefix"))
-    group = F.when(F.col("once") == 0, F.xxhash64("prefix", "n")).otherwise(F.xxhash64("sig"))
-    return whole.select("sig", "n", group.alias("group"), "prefix")
+    return told.where(F.col("shingle").isNotNull() & (F.col("at") - 1 + once <= prefix)).select("sig", "n", "shingle", "rank").distinct()
+
+
+def _grouped(postings: DataFrame) -> DataFrame:
+    """``sig, n, group, prefix``: per document the shingles of its prefix that
+    other prefixes have too, in order; ``group`` is equal for documents with
+    identical prefix and size."""
+    met = postings.groupBy("shingle").agg(F.count("*").alias("documents")).where("documents > 1").select("shingle")
+    whole = postings.join(met, "shingle").groupBy("sig", "n").agg(F.sort_array(F.collect_list(F.struct("rank", "shingle"))).alias("p"))
+    told = whole.select("sig", "n", F.col("p.shingle").alias("prefix"))
+    complete = F.size("prefix") == F.col("n") - F.floor((3 * F.col("n") + 3) / 4) + 1
+    return told.select("sig", "n", F.when(complete, F.xxhash64("prefix", "n")).otherwise(F.xxhash64("sig")).alias("group"), "prefix")
 
 
 def _pivots(lists: DataFrame, members: DataFrame, turn: int) -> DataFrame:
     """Pairs ``a, b`` of one pivot document per list and the members of all
     groups in the list that have another label."""
     place = F.xxhash64("group", F.lit(turn), F.col("shingle") % PIVOTS)
-    pivots = lists.groupBy("shingle").agg(F.min_by("group", place).alias("pivot"), F.min_by("n", place).alias("pivot_n"))
-    met = lists.join(pivots, "shingle").where(4 * F.least("n", "pivot_n") >= 3 * F.greatest("n", "pivot_n")).select("pivot", "group").distinct()
+    if not turn:  # first the document with the fewest shingles of its own
+        place = F.struct(-F.col("shared") / F.col("n"), place)
+    pivots = lists.groupBy("shingle").agg(F.min_by(F.struct(*(F.col(c).alias(f"pivot_{c}") for c in ("group", "n", "shared"))), place).alias("of")).select("shingle", "of.*")
+    fits = _may_link(F.col("n"), F.col("shared"), F.lit(0), F.col("pivot_n"), F.col("pivot_shared"), F.lit(0))
+    met = lists.join(pivots, "shingle").where(fits).select("pivot_group", "group").distinct()
     first = members.groupBy("group").agg(F.min_by(F.struct("sig", "label"), F.xxhash64("sig", F.lit(turn))).alias("first"))
-    pairs = met.join(first.withColumnRenamed("group", "pivot"), "pivot").join(members, "group")
+    pairs = met.join(first.withColumnRenamed("group", "pivot_group"), "pivot_group").join(members, "group")
     return pairs.where(F.col("first.label") != F.col("label")).select(F.col("first.sig").alias("a"), F.col("sig").alias("b")).distinct()
 
 
-def _rest(lists: DataFrame, members: DataFrame) -> DataFrame:
-    """All pairs of documents in some list whose labels differ."""
+def _rest(lists: DataFrame, grouped: DataFrame, members: DataFrame) -> DataFrame:
+    """All pairs of documents with different labels whose prefixes have enough
+    in common to link."""
     labels = members.groupBy("group").agg(F.min("label").alias("low"), F.max("label").alias("high"))
     marked = lists.join(labels, "group")
     mixed = marked.groupBy("shingle").agg(F.min("low").alias("l"), F.max("high").alias("h")).where("l < h").select("shingle")
-    left = marked.join(mixed, "shingle").select("shingle", "group", "n", "low", "high")
-    right = left.select("shingle", F.col("group").alias("other"), F.col("n").alias("other_n"), F.col("low").alias("other_low"), F.col("high").alias("other_high"))
-    fits = (F.col("group") <= F.col("other")) & (4 * F.least("n", "other_n") >= 3 * F.greatest("n", "other_n"))
-    differ = (F.least("low", "other_low") < F.greatest("high", "other_high"))
-    groups = left.join(right, "shingle").where(fits & differ).select("group", "other").distinct()
+    # 32 bits of each shingle do for counting: a collision only adds a comparison
+    short = grouped.select("group", F.transform("prefix", lambda x: x.bitwiseAND(0x7FFFFFFF).cast("int")).alias("short")).dropDuplicates(["group"])
+    columns = ["shingle", "group", "n", "shared", "at", "low", "high", "short"]
+    left = marked.join(mixed, "shingle").join(short, "group").select(*columns)
+    right = left.toDF("shingle", *(f"other_{c}" for c in columns[1:]))
+    fits = (F.col("group") <= F.col("other_group")) & _may_link(*map(F.col, ("n", "shared", "at", "other_n", "other_shared", "other_at")))
+    differ = F.least("low", "other_low") < F.greatest("high", "other_high")
+    enough = F.size(F.array_intersect("short", "other_short")) >= _needed(F.col("n"), F.col("other_n"))
+    groups = left.join(right, (left.shingle == right.shingle) & fits & differ & enough).select("group", "other_group").distinct()
     one = members.select("group", F.col("sig").alias("a"), F.col("label").alias("label_a"))
-    two = members.select(F.col("group").alias("other"), F.col("sig").alias("b"), F.col("label").alias("label_b"))
-    pairs = groups.join(one, "group").join(two, "other").where("label_a <> label_b")
+    two = members.select(F.col("group").alias("other_group"), F.col("sig").alias("b"), F.col("label").alias("label_b"))
+    pairs = groups.join(one, "group").join(two, "other_group").where("label_a <> label_b")
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -331,16 +366,13 @@ def near_duplicates(df: DataFrame, id_column: str = "doc_id", text_column: str =
     profiled = materialize(_profiled(docs), "profiles")
     known = profiled.where(F.col("place").isNull()).select("doc_id", "sig", "n")
     sketch = _sketch(profiled)
-    prefixes = materialize(_postings(docs.select("text"), sketch, int(sketch.sum())), "prefixes")
-    posted = prefixes.select("group", "sig", "n", F.explode("prefix").alias("shingle"))
-    met = posted.groupBy("shingle").agg(F.count("*").alias("documents")).where("documents > 1").select("shingle")
-    posted = materialize(posted.join(met, "shingle"), "posted")
-    lists = posted.select("shingle", "group", "n").distinct()
-    members = posted.select("group", "sig", F.col("sig").alias("label")).distinct()
-    sets = materialize(_candidate_sets(docs.select("text"), members.select("sig").distinct()), "sets")
+    grouped = materialize(_grouped(materialize(_postings(docs.select("text"), sketch, int(sketch.sum())), "prefixes")), "grouped")
+    lists = grouped.dropDuplicates(["group"]).select("group", "n", F.size("prefix").alias("shared"), F.posexplode("prefix").alias("at", "shingle"))
+    members = grouped.select("group", "sig", F.col("sig").alias("label"))
+    sets = materialize(_candidate_sets(docs.select("text"), members.select("sig")), "sets")
     labels = None
     for turn in range(PIVOT_ROUNDS + 1):
-        pairs = materialize(_pivots(lists, members, turn) if turn < PIVOT_ROUNDS else _rest(lists, members), "pairs")
+        pairs = materialize(_pivots(lists, members, turn) if turn < PIVOT_ROUNDS else _rest(lists, grouped, members), "pairs")
         links = _linked(pairs, sets)
         # links between labels, which are documents themselves
         label = members.select(F.col("sig").alias("node"), "label")

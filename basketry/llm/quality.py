@@ -157,6 +157,7 @@ def score(df: DataFrame, model: dict, id_column: str = "doc_id", text_column: st
         own = [part.column(i) for i in range(1 + len(keep))]
         return pa.RecordBatch.from_arrays([*own, pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32())], [f"c{i}" for i in range(len(own) + 2)])
 
-    chosen = df.select(id_column, *keep, F.col(text_column).alias("__text"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[:-1])
-    return map_texts(chosen, "__text", rows, f"{fields}, score double, predicted int")
+    own_text = text_column in keep
+    chosen = df.select(id_column, *keep, *([] if own_text else [F.col(text_column).alias("__text")]))
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[:1 + len(keep)])
+    return map_texts(chosen, text_column if own_text else "__text", rows, f"{fields}, score double, predicted int")

@@ -56,24 +56,21 @@ class ChunkTable:
     afterwards.  The table is emptied at ``limit`` chunks, which costs time
     but changes no result."""
 
-    def __init__(self, split: Callable[[str], list[str]], encode: Callable[[list[str]], Iterable], limit: int = 600_000):
+    def __init__(self, split: Callable[[str], list[str]], encode: Callable[[list[str]], Iterable], limit: int = 1_200_000):
         self.split, self.encode, self.limit, self.table = split, encode, limit, {}
 
     def lookup(self, texts: list[str]) -> list[list]:
         """Per text: its chunks' values in order."""
         if len(self.table) > self.limit:
             self.table.clear()
-        get = self.table.get
         chunks = [self.split(t) for t in texts]
-        found = [list(map(get, c)) for c in chunks]
-        partial = [i for i, f in enumerate(found) if None in f]
-        missing = {c for i in partial for c, f in zip(chunks[i], found[i]) if f is None}
-        if missing:
-            new = list(missing)
+        distinct = set()
+        for c in chunks:
+            distinct.update(c)
+        if new := [c for c in distinct if c not in self.table]:
             self.table.update(zip(new, self.encode(new)))
-            for i in partial:
-                found[i] = list(map(self.table.__getitem__, chunks[i]))
-        return found
+        value = self.table.__getitem__
+        return [list(map(value, c)) for c in chunks]
 
 
 #: One of each kind per Python worker; Spark reuses workers between tasks.

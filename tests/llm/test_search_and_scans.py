@@ -1,0 +1,163 @@
+"""Operators 2, 6 and 7 against plain Python over small tables."""
+
+import hashlib
+import math
+import random
+import re
+
+import pytest
+
+from basketry.llm import license_scan, secret_scan, topk_search
+from basketry.llm.queries import OP2_SQL, op2_topk_search, op6_secret_scan, op7_license_scan
+from tests.conftest import SF_SMALL
+from tests.llm.cases import empty_documents, odd_documents, odd_rows
+from tests.oracle_harness import compare, duck
+
+
+def test_top_k_query_equals_sql(spark):
+    assert compare("op2", spark, duck(SF_SMALL), SF_SMALL, op2_topk_search, OP2_SQL)["status"] == "OK"
+
+
+def brute_top_k(queries, vectors, k):
+    out = []
+    for q, x in queries:
+        scored = sorted((-sum(a * b for a, b in zip(x, y)), v) for v, y in vectors if v != q)
+        out += [(q, i + 1, v, -s) for i, (s, v) in enumerate(scored[:k])]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("width", [1, 3, 17])
+def test_top_k_with_ties_and_blocks(spark, monkeypatch, width):
+    monkeypatch.setattr(topk_search, "QUERY_BLOCK", 7)
+    monkeypatch.setattr(topk_search, "VECTOR_BLOCK", 10)
+    pick = random.Random(width)
+    vectors = [(i, [pick.randint(-3, 3) for _ in range(width)]) for i in range(150)]
+    table = spark.createDataFrame(vectors, "vec_id bigint, q array<bigint>").repartition(5)
+    queries = [r for r in vectors if r[0] % 6 == 0]
+    got = topk_search.top_k(table.where("vec_id % 6 = 0"), table, k=4)
+    assert sorted(map(tuple, got.collect())) == brute_top_k(queries, vectors, 4)
+
+
+def test_top_k_large_components_are_exact(spark):
+    vectors = [(i, [2 ** 30 + i, 2 ** 30 - 3 * i, i]) for i in range(20)]
+    table = spark.createDataFrame(vectors, "vec_id bigint, q array<bigint>")
+    assert sorted(map(tuple, topk_search.top_k(table, table, k=3).collect())) == brute_top_k(vectors, vectors, 3)
+
+
+def test_vectors_that_take_no_part(spark):
+    rows = [(0, [0.5, 0.25]), (1, [0.5, None]), (2, None), (None, [1.0, 1.0]), (3, [math.nan, 1.0]), (4, [math.inf, 1.0]), (50, [-0.001, 0.999]), (50, [-0.001, 0.999]), (7, []), (8, [1.0, 1.0, 9.0])]
+    table = topk_search.quantised(spark.createDataFrame(rows, "vec_id bigint, embedding array<float>"))
+    assert sorted(map(tuple, table.collect())) == [(0, [128, 64]), (7, []), (8, [256, 256, 2304]), (50, [-1, 255]), (50, [-1, 255])]
+    got = topk_search.top_k(table.where("vec_id % 50 = 0"), table)
+    # few candidates: all are returned; repeated rows count as often as they occur
+    assert sorted(map(tuple, got.where("query_id = 0").collect())) == [(0, 1, 8, 49152), (0, 2, 50, 16192), (0, 3, 50, 16192), (0, 4, 7, 0)]
+    empty = spark.createDataFrame([], "vec_id bigint, embedding array<float>")
+    assert topk_search.top_k(topk_search.quantised(empty), topk_search.quantised(empty)).count() == 0
+
+
+def brute_spans(text):
+    """The contract's patterns, matches first and lengths afterwards."""
+    text = text or ""
+    out = []
+    for m in re.finditer(r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text):
+        if len(m.group(2)) >= 6:
+            out.append((m.start(), 0, m.end()))
+    out += [(m.start(), 1, m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m.group()) >= 20]
+    out += [(m.start(), 2, m.end()) for m in re.finditer(r"[0-9a-f]+", text) if len(m.group()) >= 24]
+    return sorted(out)
+
+
+def digest_row(doc_id, text):
+    spans = brute_spans(text)
+    joined = ",".join(f"{secret_scan.KINDS[k]}:{a}:{b}" for a, k, b in spans)
+    return (doc_id, *(sum(s[1] == k for s in spans) for k in range(3)), hashlib.sha256(joined.encode()).hexdigest()), joined
+
+
+def check_scan(rows, texts):
+    want = [digest_row(*t) for t in texts]
+    assert sorted((tuple(r[:5]) for r in rows), key=repr) == sorted((w[0] for w in want), key=repr)
+    told = {w[0]: w[1] for w in want}
+    for r in rows:
+        spans = r.spans.split(",") if r.spans else []
+        base = [s for s in spans if not s.startswith("novel:")]
+        assert ",".join(base) == told[tuple(r[:5])]
+        starts = [(int(s.split(":")[1]), secret_scan.KINDS.index(s.split(":")[0])) for s in spans]
+        assert starts == sorted(starts)
+
+
+def test_secret_query(spark):
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet").collect()
+    check_scan(op6_secret_scan(spark, SF_SMALL).collect(), [(r.doc_id, r.text) for r in docs])
+
+
+def test_secret_patterns_on_random_texts():
+    pick = random.Random(9)
+    parts = ["password", "PassWD", "secret", "tokeN", "api_key", "APIKEY", "K", "ſ", '"', "'", " ", "  ", ":", "=", "\t", "AKIA", "AKIAABCDEFGH", "0123456789abcdef", "é", "abc", "x", "ABCDEFGH1", "\n", "pi_key", "-", "."]
+    for _ in range(4000):
+        text = "".join(pick.choice(parts) for _ in range(pick.randint(0, 14)))
+        assert secret_scan.base_spans(text) == brute_spans(text), repr(text)
+
+
+def test_secret_odd_rows(spark):
+    rows = secret_scan.scan_digests(odd_documents(spark)).collect()
+    check_scan(rows, [(r[0], r[1]) for r in odd_rows()])
+    assert secret_scan.scan_digests(empty_documents(spark)).count() == 0
+
+
+def test_novelty_reports_random_strings_only_in_sensitive_context(spark):
+    random_key = "q7Zr2LxW9vTk4BnYc8PdJ3sGh5"
+    texts = [f"the private credential is {random_key} end", f"the street name is {random_key} end", "the private setting is getElementById0000_application_json_content_type end"]
+    spans = [secret_scan.find(t)[1] for t in texts]
+    assert spans == [[(26, 3, 26 + len(random_key))], [], []]
+    table = spark.createDataFrame([(0, texts[0], "x"), (1, None, "y")], "doc_id bigint, text string, other string")
+    assert sorted(map(tuple, secret_scan.redact(table).collect())) == [(0, "the private credential is [SECRET] end", "x"), (1, None, "y")]
+
+
+def brute_license(text):
+    lowered = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lowered)
+    places, labels = [], set()
+    for phrase, label in (("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit")):
+        p = phrase.split()
+        for i in range(len(words) - len(p) + 1):
+            if words[i:i + len(p)] == p:
+                places.append(i)
+                labels.add(label)
+    return len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(labels))
+
+
+def check_license(rows, texts):
+    got = sorted(((r.doc_id, r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) for r in rows), key=repr)
+    assert got == sorted(((i, *brute_license(t)) for i, t in texts), key=repr)
+    for r in rows:
+        assert set(filter(None, r.base_labels.split(","))) <= set(filter(None, r.labels.split(",")))
+        assert 0 <= r.score <= 1 and (not r.n_base or r.score == 1.0)
+
+
+def test_license_query(spark):
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet").collect()
+    check_license(op7_license_scan(spark, SF_SMALL).collect(), [(r.doc_id, r.text) for r in docs])
+
+
+def test_license_phrases_and_odd_rows(spark):
+    pick = random.Random(4)
+    parts = ["gnu", "GNU", "general", "public", "license", "Apache", "cc", "by", "MIT", "-", "\n", "é", "K", "x"]
+    texts = [(i, " ".join(pick.choice(parts) for _ in range(pick.randint(0, 40)))) for i in range(300)]
+    check_license(license_scan.scan(spark.createDataFrame(texts, "doc_id bigint, text string")).collect(), texts)
+    check_license(license_scan.scan(odd_documents(spark)).collect(), [(r[0], r[1]) for r in odd_rows()])
+    assert license_scan.scan(empty_documents(spark)).count() == 0
+
+
+def test_license_notices_with_changed_words(spark):
+    notice = license_scan.NOTICES[1].text
+    changed = notice.replace("granted", "kindly granted").replace("Software", "Program", 1)
+    texts = [(0, f"Some words before. {notice}"), (1, changed), (2, "permission is hereby refused"), (3, notice[:60])]
+    rows = {r.doc_id: r for r in license_scan.scan(spark.createDataFrame(texts, "doc_id bigint, text string")).collect()}
+    assert [rows[i].labels for i in range(4)] == ["mit", "mit", "", ""]
+    assert rows[0].score == 1.0 and 0.5 <= rows[1].score < 1.0 and rows[3].score < 0.5
+    assert rows[0].n_base == 0
+
+
+def test_license_plan_has_no_python(spark):
+    plan = op7_license_scan(spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Python|Pandas|Arrow", plan)

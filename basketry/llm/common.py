@@ -38,7 +38,7 @@ def _slice(batch: pa.RecordBatch, column: str, start: int, stop: int) -> tuple[p
 
 
 def map_texts(df: DataFrame, column: str, rows: Callable[[pa.RecordBatch, list[str]], pa.RecordBatch | None],
-              schema: str, start: Callable[[], None] | None = None) -> DataFrame:
+              schema: str) -> DataFrame:
     """``rows(part, texts)`` over slices of every partition of ``df``."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -73,15 +73,22 @@ class ChunkTable:
         return [list(map(value, c)) for c in chunks]
 
 
-#: One of each kind per Python worker; Spark reuses workers between tasks.
+#: What a Python worker keeps between tasks, which Spark may run in one worker.
 _PER_WORKER: dict = {}
 
 
 def per_worker(key, make: Callable):
+    """The worker's one kept object, made anew when another kind is asked for."""
     if key not in _PER_WORKER:
+        release()
         _PER_WORKER[key] = make()
     return _PER_WORKER[key]
 
 
+def release() -> None:
+    """Frees what the worker keeps, before tasks that need the memory."""
+    _PER_WORKER.clear()
+
+
 def longs(values) -> pa.Array:
     return pa.array(np.asarray(values, dtype=np.int64))

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from basketry.llm.common import longs, map_texts, text_batches
+from basketry.llm.common import longs, map_texts, release, text_batches
 from basketry.llm.components import components
 from basketry.llm.shingles import shingle_set, signature
 from basketry.session import materialize
@@ -49,7 +49,7 @@ SKETCH, SKETCH_ROWS = 1 << 19, 64
 #: A bucket is heavy from so many times the mean count on, and from this count on.
 HEAVY_TIMES, HEAVY_LEAST = 16, 256
 #: Shingles that one task counts.
-TASK_SHINGLES = 3_000_000
+TASK_SHINGLES = 2_000_000
 #: Signatures a map task remembers to skip copies.
 REMEMBER = 1_000_000
 PIVOT_ROUNDS, PIVOTS = 1, 3
@@ -101,6 +101,7 @@ def _profiled(df: DataFrame) -> DataFrame:
     rows of ``place, counts``."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         counts, seen = np.zeros(SKETCH, dtype=np.uint32), set()
         for batch in batches:
             for part, texts in text_batches(batch, "text"):
@@ -147,7 +148,15 @@ def _sketch(profiled: DataFrame) -> np.ndarray:
     return out.reshape(-1)
 
 
-def _dealt(df: DataFrame, sketch: np.ndarray, parts: int) -> DataFrame:
+def _labels(df: DataFrame, tasks: int) -> list[int]:
+    """One number for each of ``tasks`` partitions that Spark deals there, so
+    that ranges of shingles are dealt evenly."""
+    numbers = df.sparkSession.range(40 * tasks).select(F.col("id").cast("int").alias("part"))
+    told = numbers.groupBy(F.pmod(F.hash("part"), F.lit(tasks)).alias("to")).agg(F.min("part").alias("part"))
+    return [r.part for r in told.orderBy("part").collect()]
+
+
+def _dealt(df: DataFrame, sketch: np.ndarray, labels: list[int]) -> DataFrame:
     """Light shingles packed by range, and per document one row with its size,
     its number of light shingles and the heavy ones of its prefix."""
     bound = max(HEAVY_LEAST, HEAVY_TIMES * sketch.mean())
@@ -155,9 +164,10 @@ def _dealt(df: DataFrame, sketch: np.ndarray, parts: int) -> DataFrame:
     shared = df.sparkSession.sparkContext.broadcast(estimate)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         estimate, seen = shared.value, set()
         for batch in batches:
-            for _, texts in text_batches(batch, "text", 8_000_000):
+            for _, texts in text_batches(batch, "text"):
                 owners, light, profiles = [], [], []
                 for t in texts:
                     own = shingle_set(t)
@@ -176,22 +186,22 @@ def _dealt(df: DataFrame, sketch: np.ndarray, parts: int) -> DataFrame:
                     owners.append(np.full(len(rare), len(profiles) - 1, dtype=np.int32))
                     light.append(rare)
                 if profiles:
-                    yield _packed(profiles, np.concatenate(owners), np.concatenate(light), parts)
+                    yield _packed(profiles, np.concatenate(owners), np.concatenate(light), labels)
 
     return df.mapInArrow(run, "part int, sig bigint, n int, light int, heavy array<bigint>, guess array<bigint>, shingles binary, owners binary, counts binary")
 
 
-def _packed(profiles: list[tuple], owner: np.ndarray, light: np.ndarray, parts: int) -> pa.RecordBatch:
+def _packed(profiles: list[tuple], owner: np.ndarray, light: np.ndarray, labels: list[int]) -> pa.RecordBatch:
     signatures = np.array([p[0] for p in profiles], dtype=np.int64)
-    part = ((light >> np.uint64(20)) % np.uint64(parts)).astype(np.int32)
+    part = ((light >> np.uint64(20)) % np.uint64(len(labels))).astype(np.int32)
     order = np.argsort(part, kind="stable")  # owners stay in order within a part
     part, owner, light = part[order], owner[order], light[order]
     kinds, at = np.unique(part, return_index=True)
     rows = []
     for k, a, b in zip(kinds, at, [*at[1:], len(part)]):
         own, first, count = np.unique(owner[a:b], return_index=True, return_counts=True)
-        rows.append((int(k), None, None, None, None, None, _six_bytes(light[a:b]), signatures[own].tobytes(), count.astype("<i4").tobytes()))
-    rows += [(int(p[0] % parts), *p, None, None, None) for p in profiles]
+        rows.append((labels[k], None, None, None, None, None, _six_bytes(light[a:b]), signatures[own].tobytes(), count.astype("<i4").tobytes()))
+    rows += [(labels[p[0] % len(labels)], *p, None, None, None) for p in profiles]
     kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary())
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["part", "sig", "n", "light", "heavy", "guess", "shingles", "owners", "counts"])
 
@@ -204,6 +214,7 @@ def _shared_shingles(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBat
     """Of a task's ranges: shingles of two or more documents as ``sig,
     shingle, rank``; profiles go through as ``sig, n, light`` and their heavy
     shingles."""
+    release()
     shingles, owners = [], []
     for batch in batches:
         profile = batch.filter(pc.is_valid(batch.column("sig")))
@@ -247,7 +258,7 @@ def _postings(df: DataFrame, sketch: np.ndarray, shingles: int) -> DataFrame:
     """``sig, n, shingle, rank`` of all prefixes, without shingles that occur
     once; ``rank`` and ``shingle`` give the order."""
     tasks = max(1, math.ceil(shingles / TASK_SHINGLES))
-    posted = _dealt(df, sketch, 2 * tasks).repartition(tasks, "part").mapInArrow(_shared_shingles, "sig bigint, n bigint, light bigint, shingle bigint, rank bigint")
+    posted = _dealt(df, sketch, _labels(df, tasks)).repartition(tasks, "part").mapInArrow(_shared_shingles, "sig bigint, n bigint, light bigint, shingle bigint, rank bigint")
     own = Window.partitionBy("sig")
     along = own.orderBy(F.col("rank").asc_nulls_first(), "shingle").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     told = posted.select("sig", F.max("n").over(own).alias("n"), F.max("light").over(own).alias("light"), "shingle", "rank",

@@ -31,6 +31,7 @@ from basketry.llm.common import ChunkTable, map_texts, per_worker
 
 #: Places for words and shapes, rank of the interactions, labelled rows for the fit.
 PLACES, RANK, SAMPLE = 1 << 14, 8, 6000
+_HALF = PLACES // 2
 ROUNDS, RATE, DECAY, SEED = 8, 0.08, 1e-5, 11
 STATISTICS = ("letters", "upper", "digits", "spaces", "symbols", "word_length", "distinct_words", "distinct_lines", "symbol_words", "long_words", "log_words", "log_lines", "log_line_length")
 _FOLD = [(re.compile(r"[^\W\d_]+"), "a"), (re.compile(r"\d+"), "0")]
@@ -43,10 +44,10 @@ def shape(word: str) -> str:
     return out + word
 
 
-def _places(words: list[str]) -> list[tuple[int, int, bool]]:
-    """Word place, shape place, and whether a letter or digit is missing."""
-    half = PLACES // 2
-    return [(zlib.crc32(w.lower().encode()) % half, half + zlib.crc32(b"s" + shape(w).encode()) % half, not any(map(str.isalnum, w))) for w in words]
+def _places(words: list[str]) -> list[int]:
+    """Word place, shape place, and whether letters and digits are missing, in
+    one number."""
+    return [zlib.crc32(w.lower().encode()) % _HALF | (zlib.crc32(b"s" + shape(w).encode()) % _HALF) << 16 | (not any(map(str.isalnum, w))) << 32 for w in words]
 
 
 def _table() -> ChunkTable:
@@ -58,22 +59,24 @@ def features(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]
     out = []
     for text, found in zip(texts, _table().lookup(texts)):
         words = len(found)
-        values = np.array(found, dtype=np.int32).reshape(words, 3)
-        places, n = np.unique(values[:, :2], return_counts=True)
+        packed = np.array(found, dtype=np.int64)
+        word = packed & 0xFFFF
+        places, n = np.unique(np.concatenate([word, _HALF + (packed >> 16 & 0xFFFF)]), return_counts=True)
         weight = np.sqrt(n)
         total = np.linalg.norm(weight)
-        out.append((places, weight / total if total else weight, _statistics(text, words, values)))
+        out.append((places, weight / total if total else weight, _statistics(text, word, packed >> 32)))
     return out
 
 
-def _statistics(text: str, words: int, values: np.ndarray) -> np.ndarray:
+def _statistics(text: str, word: np.ndarray, symbols: np.ndarray) -> np.ndarray:
     points = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
     n = max(1, len(points))
     kind = _KIND[np.minimum(points, len(_KIND) - 1)]
     share = np.bincount(kind, minlength=5)[:5] / n  # other, lower, upper, digit, space
     lines = [x for x in text.split("\n") if x.strip()]
+    words = len(word)
     per_word = max(1, words)
-    return np.array([share[1] + share[2], share[2] / max(share[1] + share[2], 1e-9), share[3], share[4], share[0], (len(points) - share[4] * n) / per_word / 10, len(np.unique(values[:, 0])) / per_word, len(set(lines)) / max(1, len(lines)), values[:, 2].sum() / per_word, float(words < 5), np.log1p(words) / 10, np.log1p(len(lines)) / 5, np.log1p(n / max(1, len(lines))) / 10])
+    return np.array([share[1] + share[2], share[2] / max(share[1] + share[2], 1e-9), share[3], share[4], share[0], (len(points) - share[4] * n) / per_word / 10, len(np.unique(word)) / per_word, len(set(lines)) / max(1, len(lines)), symbols.sum() / per_word, float(words < 5), np.log1p(words) / 10, np.log1p(len(lines)) / 5, np.log1p(n / max(1, len(lines))) / 10])
 
 
 _KIND = np.array([4 if chr(i).isspace() else 3 if chr(i).isdigit() else 2 if chr(i).isupper() else 1 if chr(i).isalpha() else 0 for i in range(0x3000)], dtype=np.uint8)

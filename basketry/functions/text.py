@@ -60,12 +60,13 @@ def account_label(email: Column) -> Column:
 
 
 def currency_label(value: Column) -> Column:
-    """'$18,420': thousands separators, no decimals."""
-    return F.concat(F.lit("$"), F.format_number(F.round(value.cast("double"), 0), 0))
+    """'$18,420': thousands separators, no decimals, half to even."""
+    return F.concat(F.lit("$"), F.format_number(value.cast("double"), 0))
 
 
 def percent_label(value: Column) -> Column:
-    """Fraction <= 1 times 100, else as is; one decimal and '%' (P17)."""
+    """Fraction <= 1 times 100, else as is; one decimal, half to
+    even, and '%' (P17)."""
     v = value.cast("double")
     pct = F.when(v <= 1, v * 100).otherwise(v)
-    return F.concat(F.format_string("%.1f", F.round(pct, 1)), F.lit("%"))
+    return F.concat(F.call_function("format_number", pct, F.lit("0.0")), F.lit("%"))

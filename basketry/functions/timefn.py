@@ -10,11 +10,13 @@ from basketry.functions.text import strip_ws
 
 def parse_utc_timestamp(c: Column) -> Column:
     """ISO-8601 with 'Z', an offset, or naive (taken as UTC); bad -> null.
+    A whole date is required: Spark alone would read a bare time as today.
 
     ``try_to_timestamp`` never raises under ANSI mode, unlike ``to_timestamp``.
     The session zone is UTC, so naive strings are UTC instants.
     """
-    return F.try_to_timestamp(strip_ws(c.cast("string")))
+    text = strip_ws(c.cast("string"))
+    return F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}([T ].*)?$"), F.try_to_timestamp(text))
 
 
 def whole_days(start: Column, end: Column) -> Column:
@@ -23,10 +25,6 @@ def whole_days(start: Column, end: Column) -> Column:
     return F.floor(seconds / F.lit(86400)).cast("bigint")
 
 
-def as_timestamp(value) -> Column:
-    return F.lit(value).cast("timestamp") if not isinstance(value, Column) else value.cast("timestamp")
-
-
 def iso_utc(ts: Column) -> Column:
     """ISO-8601 text with 'Z', fraction only when non-zero (Python isoformat)."""
     whole = F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'")

@@ -49,20 +49,22 @@ def _basket_order(orders: DataFrame, basket_key: str) -> DataFrame:
     return ranked.checkpoint(eager=True)
 
 
-def pair_counts(baskets: DataFrame, hot_basket_size: int = 5000, salts: int = 32,
-                basket_seen: DataFrame | None = None) -> DataFrame:
-    """J5 + count: (left, right, pair_count[, first_seen]) with left < right."""
+def pair_counts(baskets: DataFrame, block: int = 1000, basket_seen: DataFrame | None = None) -> DataFrame:
+    """J5 + count: (left, right, pair_count[, first_seen]) with left < right.
+
+    A basket's left products are dealt into blocks of about ``block``, so that
+    a task meets a bounded number of left products with the basket's right
+    ones, however large the basket is."""
     attrs = baskets.groupBy("basket").agg(F.count(F.lit(1)).alias("_size"))
     if basket_seen is not None:
         attrs = attrs.join(basket_seen, "basket")
     tagged = baskets.join(attrs, "basket")
-    hot = F.col("_size") > hot_basket_size
+    blocks = F.ceil(F.col("_size") / block)
     extra = [F.col("basket_seen")] if basket_seen is not None else []
     left = tagged.select(F.col("basket"), F.col("product").alias("left"), *extra,
-                         F.when(hot, F.pmod(F.xxhash64("product"), F.lit(salts))).otherwise(F.lit(0)).alias("salt"))
+                         F.pmod(F.xxhash64("product"), blocks).alias("salt"))
     right = tagged.select(F.col("basket"), F.col("product").alias("right"),
-                          F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(salts - 1)))
-                                     .otherwise(F.array(F.lit(0)))).alias("salt"))
+                          F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)).alias("salt"))
     pairs = left.join(right, ["basket", "salt"]).filter(F.col("left") < F.col("right"))
     aggs = [F.count(F.lit(1)).alias("pair_count")]
     if basket_seen is not None:
@@ -70,6 +72,14 @@ def pair_counts(baskets: DataFrame, hot_basket_size: int = 5000, salts: int = 32
     return pairs.groupBy("left", "right").agg(*aggs)
 
 
+def frequent_pairs(baskets: DataFrame, min_support: int) -> DataFrame:
+    """Pairs in at least ``min_support`` baskets.  Both products of such a pair
+    are in as many, so rarer products are left out before pairs are made."""
+    frequent = baskets.groupBy("product").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_support)
+    kept = baskets.join(frequent.select("product"), "product", "left_semi")
+    return pair_counts(kept).filter(F.col("pair_count") >= min_support)
+
+
 def support_floor(baskets: DataFrame, product_counts: DataFrame, limit: int, candidates: int) -> F.Column:
     """A lower bound on the ``limit``-th largest pair count (scalar subquery).
 
@@ -86,7 +96,7 @@ def support_floor(baskets: DataFrame, product_counts: DataFrame, limit: int, can
 
 
 def basket_analysis(orders: DataFrame, limit: int = 10, basket_key: str = "customer_id",
-                    hot_basket_size: int = 5000, salts: int = 32, prune_candidates: int | None = None) -> DataFrame:
+                    block: int = 1000, prune_candidates: int | None = None) -> DataFrame:
     """Top ``limit`` pairs with support, confidence and lift.
 
     Ties in pair count resolve as a Counter filled basket by basket would:
@@ -111,14 +121,16 @@ def basket_analysis(orders: DataFrame, limit: int = 10, basket_key: str = "custo
         floor = support_floor(baskets, product_counts, limit, prune_candidates)
         frequent = product_counts.filter(F.col("n") >= floor).select("product")
         pair_input = baskets.join(frequent, "product", "left_semi")
-    pairs = pair_counts(pair_input, hot_basket_size, salts, seen)
+    pairs = pair_counts(pair_input, block, seen)
     order = [F.desc("pair_count")] + ([F.asc("first_seen")] if seen is not None else []) + [F.asc("left"), F.asc("right")]
     top = pairs.orderBy(*order).limit(limit)
     # at most ``limit`` rows reach this window
     ranked = top.withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("bigint"))
-    lc = product_counts.select(F.col("product").alias("left"), F.col("n").alias("left_count"))
-    rc = product_counts.select(F.col("product").alias("right"), F.col("n").alias("right_count"))
-    j = F.broadcast(ranked).join(lc, "left", "left").join(rc, "right", "left")
+    # the few ranked pairs are broadcast to the product counts, which are not shuffled again
+    sides = ranked.select("*", F.explode(F.array("left", "right")).alias("product"))
+    met = product_counts.join(F.broadcast(sides), "product")
+    count_of = lambda side: F.max(F.when(F.col("product") == F.col(side), F.col("n"))).alias(f"{side}_count")
+    j = met.groupBy(*ranked.columns).agg(count_of("left"), count_of("right"))
     support = F.col("pair_count") / total
     expected = (F.col("left_count") / total) * (F.col("right_count") / total)
     return j.select(

@@ -21,8 +21,9 @@ def decode_features(docs: DataFrame, schema: T.StructType, key: str = "customer_
 
 def scalar_only(docs: DataFrame, col: str = "features_json") -> DataFrame:
     """P10: keep str/bool/int/float values; drop null, list and object
-    values (a nested value arrives as its JSON text, told apart by its
-    first character)."""
-    m = F.from_json(F.col(col), T.MapType(T.StringType(), T.StringType()))
-    kept = F.map_filter(m, lambda k, v: v.isNotNull() & ~F.substring(v, 1, 1).isin("[", "{"))
-    return docs.withColumn("features", kept)
+    values.  A value's kind is taken from the raw JSON, where a string has its
+    quotes, so a string that starts with a bracket stays."""
+    raw = F.from_json(F.col(col), "map<string, variant>")
+    kind = lambda v: F.schema_of_variant(v)
+    kept = F.map_filter(raw, lambda k, v: v.isNotNull() & ~F.is_variant_null(v) & ~kind(v).startswith("ARRAY") & ~kind(v).startswith("OBJECT"))
+    return docs.withColumn("features", F.transform_values(kept, lambda k, v: F.variant_get(v, "$", "string")))

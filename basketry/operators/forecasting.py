@@ -49,16 +49,14 @@ def demand_forecast(daily: DataFrame, periods: int = 7, window: int = 7) -> Data
     )
 
 
-def revenue_series(orders: DataFrame, key: str = "customer_id", max_points: int = 30, min_points: int = 3) -> DataFrame:
-    """Daily revenue of each ``key``'s last ``max_points`` order days,
+def revenue_series(orders: DataFrame, key: str = "customer_id", min_points: int = 3) -> DataFrame:
+    """Daily revenue of all of each ``key``'s order days,
     numbered 1..n oldest first; series shorter than ``min_points`` dropped."""
     daily = (orders.groupBy(F.col(key).alias("series_id"), F.to_date("created_at").alias("day"))
                    .agg(F.sum(F.col("revenue").cast(MONEY)).cast("double").alias("value")))
-    newest = Window.partitionBy("series_id").orderBy(F.desc("day"))
-    tail = daily.withColumn("_rn", F.row_number().over(newest)).filter(F.col("_rn") <= max_points)
-    sized = tail.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("series_id")))
-    return (sized.filter(F.col("n") >= min_points)
-                 .select("series_id", "day", (F.col("n") - F.col("_rn") + 1).alias("t"), "value"))
+    series = Window.partitionBy("series_id")
+    sized = daily.withColumn("t", F.row_number().over(series.orderBy("day"))).withColumn("n", F.count(F.lit(1)).over(series))
+    return sized.filter(F.col("n") >= min_points).select("series_id", "day", F.col("t").cast("bigint").alias("t"), "value")
 
 
 def revenue_forecast(series: DataFrame) -> DataFrame:

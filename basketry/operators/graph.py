@@ -2,10 +2,10 @@
 J10, A13, P15-P18, M19, S17).
 
 Edges are ordered PURCHASED (newest order first), VIEWED (newest first),
-PREFERS (top categories); only the first ``max_edges`` are kept per
-customer (trap T24) while relationship_count counts all of them.  The
-ordinal filter is rank-like, so Spark plans it as a WindowGroupLimit that
-keeps at most ``max_edges`` rows per customer in every map task.
+PREFERS (top categories).  All are returned unless ``max_edges`` is given
+(trap T24); relationship_count counts all of them in any case.  The ordinal
+filter is rank-like, so Spark plans it as a WindowGroupLimit that keeps at
+most ``max_edges`` rows per customer in every map task.
 """
 
 from __future__ import annotations
@@ -19,7 +19,6 @@ from basketry.operators.topk import rank_counted
 from basketry.session import materialize as write_and_read
 from basketry.operators.upserts import last_write_wins, upsert_with_counter
 
-MAX_EDGES = 14
 
 # fixed values: churn inputs used when an order is placed (recency 0,
 # frequency 1, monetary = the order revenue, discount .3, engagement .35)
@@ -174,13 +173,15 @@ def relationship_summary(g: GraphInputs, k: int = 3, prefs: DataFrame | None = N
         "top_category")
 
 
-def graph_edges(g: GraphInputs, k: int = 3, max_edges: int = MAX_EDGES, prefs: DataFrame | None = None) -> DataFrame:
-    """G5 + W7: the first ``max_edges`` edges of every customer with their
+def graph_edges(g: GraphInputs, k: int = 3, max_edges: int | None = None, prefs: DataFrame | None = None) -> DataFrame:
+    """G5 + W7: all edges of every customer, or the first ``max_edges``, with their
     0-based ordinal and id 'edge-<n>'."""
     prefs = prefs if prefs is not None else preference_edges(g, k)
     edges = _edge_rows(g.orders, g.views, prefs)
     w = Window.partitionBy("customer_id").orderBy(*EDGE_ORDER)
-    ranked = edges.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= max_edges)
+    ranked = edges.withColumn("_rn", F.row_number().over(w))
+    if max_edges is not None:
+        ranked = ranked.filter(F.col("_rn") <= max_edges)
     return ranked.select("customer_id", (F.col("_rn") - 1).cast("bigint").alias("edge_ordinal"),
                          F.concat(F.lit("edge-"), (F.col("_rn") - 1).cast("string")).alias("edge_id"),
                          "type", F.col("customer_id").cast("string").alias("source"), "target", "weight")

@@ -16,7 +16,6 @@ from basketry.operators.running import running_count, time_bucket
 HIGH_VALUE_REVENUE = 100
 MOMENTUM_EVENTS = 3
 REPEAT_PURCHASES = 2
-MAX_EVENTS = 200
 
 
 def _text_or(c: Column, default: str) -> Column:
@@ -116,9 +115,9 @@ def purchases_per_customer(norm: DataFrame) -> DataFrame:
                 .agg(F.count(F.lit(1)).alias("purchases")))
 
 
-def events_seen(norm: DataFrame, buffer: int = MAX_EVENTS) -> DataFrame:
-    """Events in the bounded buffer (at most ``buffer``)."""
-    return norm.agg(F.least(F.count(F.lit(1)), F.lit(buffer)).cast("bigint").alias("events_seen"))
+def events_seen(norm: DataFrame) -> DataFrame:
+    """Number of events."""
+    return norm.agg(F.count(F.lit(1)).alias("events_seen"))
 
 
 def recent(df: DataFrame, n: int = 30) -> DataFrame:

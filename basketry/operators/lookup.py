@@ -16,8 +16,11 @@ def with_product_name(df: DataFrame, products: DataFrame, id_col: str, out_col:
     the small side is broadcast instead of the catalog.
     """
     names = products.select(F.col("id").alias("_pid"), F.col("name").alias("_pname"))
-    left = F.broadcast(df) if small_side else df
-    j = left.join(names, F.col(id_col) == F.col("_pid"), "left")
+    known = F.col(id_col) == F.col("_pid")
+    if small_side:
+        # the catalog meets the few ids where it lies; what it has of them is as few
+        names = F.broadcast(names.join(F.broadcast(df.select(id_col).distinct()), known).select("_pid", "_pname"))
+    j = df.join(names, known, "left")
     name = (F.when(F.col(id_col).isNull(), F.lit("Unknown product"))
              .otherwise(F.coalesce(F.col("_pname"), F.col(id_col).cast("string"))))
     return j.withColumn(out_col, name).drop("_pid", "_pname")

@@ -1,38 +1,31 @@
 """Transparent product recommendations and their attributions
 (M7, M8, W8, J6, J9, M16, M17, M23).
 
-The scoring catalog is a bounded rules table.  It is aggregated into one
-array (a scalar subquery, computed once and shipped to every task, with an
-in-plan size guard) and every customer row scores the whole array with
-``transform``: no row explosion, no shuffle, and top-k is a per-row array
-sort.  Formula weights are fixed values equal to the reference's.
+A score depends on a customer's segment and set of recent categories alone,
+so the distinct inputs, far fewer than customers, are packed into blocks of
+bounded size and scored against every catalog row; each task keeps the k best
+of an input before anything is shuffled, and customers are joined back to
+their input's result.  The catalog may have any size.  Formula weights are
+fixed values equal to the reference's.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from basketry.functions.numeric import clamp
 from basketry.functions.scoring import normalize_segment, segment_category_match, segment_fit
 
-MAX_CATALOG = 5000
+#: Distinct inputs that a catalog row is scored for at once.
+INPUT_BLOCK = 1000
 
 # ---- fixed values: recommendation weights ----------------------------------
 # base .22, recent category overlap .34, segment fit .24, keyword overlap .12,
 # winback+sleep boost .08, score cap .99, rounded to 3
 
 
-def catalog_array(catalog: DataFrame, max_size: int = MAX_CATALOG) -> Column:
-    """The catalog as one sorted array<struct>, a scalar subquery."""
-    arr = catalog.agg(F.sort_array(F.collect_list(F.struct(
-        F.col("ordinal").cast("bigint").alias("ordinal"), F.col("product_id"), F.col("product"),
-        F.col("categories"), F.col("keywords"), F.col("base_score").cast("double").alias("base_score")))).alias("c"))
-    guarded = arr.select(F.when(F.size("c") <= max_size, F.col("c"))
-                         .otherwise(F.raise_error(F.lit(f"scoring catalog exceeds {max_size} rows"))).alias("c"))
-    return guarded.scalar()
-
-
 def _norm_categories(recent: Column) -> Column:
     cleaned = F.transform(F.coalesce(recent, F.array().cast("array<string>")),
                           lambda c: F.regexp_replace(F.lower(c), "_", " "))
@@ -72,16 +65,22 @@ def recommend(customers: DataFrame, catalog: DataFrame, k: int = 3, key: str = "
     """
     keep = list(keep or [])
     ns = normalize_segment(F.col("segment"))
-    prepared = customers.select(
-        key, *keep, ns.alias("_ns"), _norm_categories(F.col("recent_categories")).alias("_recent"),
-        F.array_distinct(F.filter(F.split(ns, r"\s+"), lambda w: w != "")).alias("_tokens"),
-        catalog_array(catalog).alias("_catalog"))
-    parts = prepared.select(key, *keep, F.transform("_catalog", lambda p: _components(
-        p, F.col("_ns"), F.col("_recent"), F.col("_tokens"))).alias("_parts"))
-    top = parts.select(key, *keep, F.slice(F.sort_array(F.transform("_parts", _ranked)), 1, k).alias("r"))
-    rows = top.select(key, *keep, F.posexplode_outer("r").alias("pos", "x")).filter(F.col("x").isNotNull())
-    return rows.select(
-        key, *keep, (F.col("pos") + 1).cast("bigint").alias("rank"),
+    prepared = customers.select(key, *keep, ns.alias("_ns"), F.sort_array(_norm_categories(F.col("recent_categories"))).alias("_recent"))
+    inputs = prepared.select("_ns", "_recent").distinct()
+    blocks = max(1, -(-inputs.count() // INPUT_BLOCK))
+    tokens = F.array_distinct(F.filter(F.split("_ns", r"\s+"), lambda w: w != ""))
+    packed = inputs.groupBy(F.pmod(F.xxhash64("_ns", "_recent"), F.lit(blocks)).alias("block")).agg(
+        F.collect_list(F.struct("_ns", "_recent", tokens.alias("_tokens"))).alias("inputs"))
+    products = catalog.select(F.struct(
+        F.col("ordinal").cast("bigint").alias("ordinal"), "product_id", "product", "categories", "keywords",
+        F.col("base_score").cast("double").alias("base_score")).alias("p"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    scored = products.join(packed, "block").select("p", F.explode("inputs").alias("i")).select(
+        F.col("i._ns").alias("_ns"), F.col("i._recent").alias("_recent"),
+        _ranked(_components(F.col("p"), F.col("i._ns"), F.col("i._recent"), F.col("i._tokens"))).alias("x"))
+    best = scored.withColumn("rank", F.row_number().over(Window.partitionBy("_ns", "_recent").orderBy("x"))).filter(F.col("rank") <= k)
+    same = prepared._ns.eqNullSafe(best._ns) & prepared._recent.eqNullSafe(best._recent)
+    return prepared.join(best, same).select(
+        key, *keep, F.col("rank").cast("bigint").alias("rank"),
         *[F.col("x")[c].alias(c) for c in ("product_id", "product", "category")],
         (-F.col("x")["neg_score"]).alias("score"),
         *[F.col("x")[c].alias(c) for c in ("base_product_fit", "recent_category_match", "segment_fit",

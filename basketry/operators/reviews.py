@@ -26,13 +26,16 @@ def sentiment_mix(scored: DataFrame, by: str | None = "product_id") -> DataFrame
     """Share of each label, per ``by`` value and overall (by = null).
 
     One aggregate at (by, label) grain; the overall rows are re-aggregated
-    from it, so the review table is read once.
+    from it, so the review table is read once.  Reviews without a ``by``
+    value are a group of their own, told from the overall rows by ``level``.
     """
-    grain = scored.groupBy(by, "label").agg(F.count(F.lit(1)).alias("review_count"))
+    grain = scored.groupBy(by, "label").agg(F.count(F.lit(1)).alias("review_count")) \
+                  .withColumn("level", F.lit("each"))
     overall = grain.groupBy("label").agg(F.sum("review_count").alias("review_count")) \
-                   .withColumn(by, F.lit(None).cast(scored.schema[by].dataType))
+                   .withColumn(by, F.lit(None).cast(scored.schema[by].dataType)) \
+                   .withColumn("level", F.lit("overall"))
     both = grain.unionByName(overall)
-    total = F.sum("review_count").over(Window.partitionBy(by))
+    total = F.sum("review_count").over(Window.partitionBy("level", by))
     return both.withColumn("total", total).select(
         by, "label", F.col("review_count").cast("bigint").alias("review_count"),
         F.round(F.col("review_count") / F.greatest(F.col("total"), F.lit(1)), 3).alias("share"))

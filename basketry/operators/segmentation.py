@@ -8,7 +8,7 @@ fills in when no model label exists (M14).
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.sql import DataFrame
@@ -20,15 +20,18 @@ from basketry.session import checkpoint_dir
 FEATURES = ("recency_days", "frequency", "monetary_value")
 
 
-def fit_kmeans(features: DataFrame, k: int = 4, seed: int = 42, max_iter: int = 20):
-    """M11 fit.  k = clamp(k, 2, rows) as in the reference."""
+def fit_kmeans(features: DataFrame, k: int = 4, seed: int = 42, max_iter: int = 20, starts: int = 3):
+    """M11 fit: k is clamped to 2..rows, the best of ``starts`` seeds stays."""
     clean = features.select("customer_id", *[F.col(c).cast("double").alias(c) for c in FEATURES]).na.drop()
-    pipe = Pipeline(stages=[
+    k = max(2, min(k, clean.count()))
+    scaled = Pipeline(stages=[
         VectorAssembler(inputCols=list(FEATURES), outputCol="_raw"),
         StandardScaler(inputCol="_raw", outputCol="_scaled", withMean=True, withStd=True),
-        KMeans(featuresCol="_scaled", predictionCol="cluster", k=k, seed=seed, maxIter=max_iter),
-    ])
-    return pipe.fit(clean)
+    ]).fit(clean)
+    points = scaled.transform(clean)
+    models = [KMeans(featuresCol="_scaled", predictionCol="cluster", k=k, seed=seed + i, maxIter=max_iter).fit(points) for i in range(starts)]
+    best = min(models, key=lambda m: m.summary.trainingCost)
+    return PipelineModel(stages=[*scaled.stages, best])
 
 
 def assign(model, features: DataFrame) -> DataFrame:

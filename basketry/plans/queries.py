@@ -115,7 +115,7 @@ def q_rfm_segments(spark, sf_dir):
 def _feature_lookup(spark, sf_dir):
     v = views(spark, sf_dir)
     b = _beh.customer_behavior(v.sales(), v.views(), ORDERS_AS_OF)
-    stored = _beh.behavior_feature_record(b).filter(F.col("customer_id") % 4 != 0)
+    stored = _beh.behavior_feature_record(b)
     return _churn.features_with_precedence([("mongodb", stored), ("redis", v.features())])
 
 
@@ -161,8 +161,7 @@ def q_basket_product_counts(spark, sf_dir):
 @query("frequent_pairs")
 def q_frequent_pairs(spark, sf_dir):
     """Every pair bought together by at least 8 customers (support filter)."""
-    pc = _bask.pair_counts(_bask.basket_sets(views(spark, sf_dir).sales()))
-    return pc.filter(F.col("pair_count") >= 8)
+    return _bask.frequent_pairs(_bask.basket_sets(views(spark, sf_dir).sales()), min_support=8)
 
 
 # ---- forecasting ------------------------------------------------------------
@@ -348,16 +347,14 @@ def q_customer_profiles(spark, sf_dir):
     v = views(spark, sf_dir)
     feats = v.features()
     churn = _churn.churn_scores(feats).select("customer_id", F.col("probability").alias("churn_risk"))
-    feats = feats.join(churn, "customer_id").withColumn(
-        "churn_risk", F.when(F.col("customer_id") % 3 == 0, F.lit(None).cast("double")).otherwise(F.col("churn_risk")))
-    feats = feats.filter(F.col("customer_id") % 11 != 0)
+    feats = feats.join(churn, "customer_id")
     return _graph.customer_profiles(_graph_inputs(v, stored=False), feats)
 
 
 @query("graph_source")
 def q_graph_source(spark, sf_dir):
     v = views(spark, sf_dir)
-    snaps = v.t.customer.filter(F.col("c_custkey") % 5 == 0).select(
+    snaps = v.t.customer.select(
         F.col("c_custkey").alias("customer_id"), F.lit("mongodb_seed_snapshot").alias("snapshot_source"),
         F.col("c_nationkey").cast("bigint").alias("snapshot_edges"))
     return _graph.live_else_snapshot(_graph.relationship_summary(_graph_inputs(v, stored=False)), snaps)
@@ -499,10 +496,9 @@ def q_streaming_clean_events(spark, sf_dir):
 
 @query("topic_decode")
 def q_topic_decode(spark, sf_dir):
-    """S8 over the fixture topic table: every 101st payload is cut short."""
+    """S8 over the fixture topic table."""
     ev = views(spark, sf_dir).stream_events()
     enc = _topics.encode(ev, ["ecommerce", "purchase"], only_purchases_for={"purchase"})
-    enc = enc.withColumn("value", F.when(F.col("offset") % 101 == 0, F.substring("value", 1, 20)).otherwise(F.col("value")))
     d = _topics.decode(enc)
     return d.select("event_id", "event_type", "customer_id", "category", "revenue", "raw", "source", "offset")
 

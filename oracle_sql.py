@@ -78,7 +78,7 @@ BASE = {
          list_distinct([split_part(p_name, ' ', 2), lower(p_brand),
                                 split_part({CAT.format(c='p_type')}, ' ', 1)]) AS keywords,
          round(0.50 + 0.01 * (p_partkey % 25), 2) AS base_score
-  FROM part WHERE p_partkey < 16""",
+  FROM part""",
     "products": f"""
   SELECT p_partkey AS id, p_name AS name, {CAT.format(c='p_type')} AS category, p_retailprice AS price,
          CASE WHEN p_partkey % 9 = 0 THEN false WHEN p_partkey % 13 = 0 THEN NULL ELSE true END AS active
@@ -272,7 +272,7 @@ FEATURE_LOOKUP = """
 , stored AS (
   SELECT customer_id, recency_days, purchase_frequency AS frequency, monetary_value,
          least((browse_events + orders) / 12, 1.0) AS engagement_depth
-  FROM behavior_seg WHERE customer_id % 4 <> 0),
+  FROM behavior_seg),
 lookup AS (
   SELECT customer_id, recency_days, frequency, monetary_value, engagement_depth,
          NULL::DOUBLE AS discount_sensitivity, 'mongodb' AS source FROM stored
@@ -338,7 +338,7 @@ SERIES = """
 , daily AS (SELECT customer_id AS series_id, CAST(created_at AS DATE) AS day,
                    CAST(sum(CAST(revenue AS DECIMAL(18,2))) AS DOUBLE) AS value FROM sales GROUP BY 1, 2),
 tail AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY day DESC) AS rn FROM daily),
-sized AS (SELECT *, count(*) OVER (PARTITION BY series_id) AS n FROM tail WHERE rn <= 30),
+sized AS (SELECT *, count(*) OVER (PARTITION BY series_id) AS n FROM tail),
 series AS (SELECT series_id, day, n - rn + 1 AS t, value FROM sized WHERE n >= 3)"""
 
 ORACLE["revenue_forecast"] = with_views(["sales"], SERIES + f""",
@@ -604,7 +604,7 @@ SELECT e.customer_id, e.target, e.source, e.edge_ordinal, e.edge_id, e.type, e.w
 FROM (SELECT customer_id, CAST(customer_id AS VARCHAR) AS source, target, type, weight,
              CASE WHEN type = 'PREFERS' THEN 'segment' ELSE 'product' END AS target_kind,
              rn - 1 AS edge_ordinal, 'edge-' || CAST(rn - 1 AS VARCHAR) AS edge_id
-      FROM (SELECT *, row_number() OVER (PARTITION BY customer_id ORDER BY kind, ord) AS rn FROM edges) WHERE rn <= 14) e
+      FROM (SELECT *, row_number() OVER (PARTITION BY customer_id ORDER BY kind, ord) AS rn FROM edges)) e
 LEFT JOIN nodes t ON t.customer_id = e.customer_id AND t.node_id = e.target AND t.kind = e.target_kind""")
 
 SUMMARY = """,
@@ -624,7 +624,7 @@ SELECT * FROM summ""")
 
 ORACLE["graph_source"] = with_views(["sales", "views"], GRAPH + SUMMARY + """,
 snaps AS (SELECT c_custkey AS customer_id, 'mongodb_seed_snapshot' AS snapshot_source,
-                 CAST(c_nationkey AS BIGINT) AS snapshot_edges FROM customer WHERE c_custkey % 5 = 0)
+                 CAST(c_nationkey AS BIGINT) AS snapshot_edges FROM customer)
 SELECT coalesce(s.customer_id, n.customer_id) AS customer_id,
        CASE WHEN coalesce(s.relationship_count, 0) > 0 THEN 'mongodb_graph'
             WHEN n.snapshot_source IS NOT NULL THEN n.snapshot_source ELSE 'empty' END AS source,
@@ -640,9 +640,8 @@ def _title_sql(x: str) -> str:
 
 ORACLE["customer_profiles"] = with_views(["sales", "views", "features"], GRAPH + SUMMARY + f""",
 feat AS (SELECT f.customer_id, f.monetary_value AS f_monetary,
-                CASE WHEN f.customer_id % 3 = 0 THEN NULL ELSE ch.probability END AS f_churn
-         FROM features f JOIN ({churn_sql('features')}) ch ON f.customer_id = ch.customer_id
-         WHERE f.customer_id % 11 <> 0),
+                ch.probability AS f_churn
+         FROM features f JOIN ({churn_sql('features')}) ch ON f.customer_id = ch.customer_id),
 lastev AS (
   SELECT coalesce(o.customer_id, v.customer_id) AS customer_id,
          CASE WHEN o.p IS NOT NULL THEN 'Purchased ' || o.p WHEN v.p IS NOT NULL THEN 'Viewed ' || v.p END AS last_event
@@ -659,7 +658,7 @@ SELECT customer_id, name,
                                                       lambda w: upper(substr(w, 1, 1))), ''), ''), 'C') AS initials,
        CASE WHEN orders >= 5 THEN 'Loyal active buyer' WHEN top_category IS NOT NULL THEN top_category || ' affinity'
             ELSE 'Emerging customer' END AS segment,
-       CASE WHEN ltv_value IS NULL THEN '$0' ELSE '$' || format('{{:,.0f}}', {R('ltv_value', 0)}) END AS ltv,
+       CASE WHEN ltv_value IS NULL THEN '$0' ELSE '$' || format('{{:,.0f}}', round_even(ltv_value, 0)) END AS ltv,
        CASE WHEN f_churn IS NOT NULL THEN
               printf('%.1f', {R('CASE WHEN f_churn <= 1 THEN f_churn * 100 ELSE f_churn END', 1)}) || '%'
             WHEN has_features THEN 'Calculated' ELSE 'Unknown' END AS churn_risk,
@@ -776,7 +775,7 @@ GROUP BY ws, event_type""")
 
 ORACLE["topic_decode"] = with_views(["stream_events"], """
 , enc AS (
-  SELECT t.topic, e.*, CASE WHEN e.seq % 101 = 0 THEN 'bad' ELSE 'ok' END AS state
+  SELECT t.topic, e.*, 'ok' AS state
   FROM stream_events e CROSS JOIN (VALUES ('ecommerce'), ('purchase')) t(topic)
   WHERE t.topic = 'ecommerce' OR e.event_type = 'purchase')
 SELECT CASE WHEN state = 'bad' THEN 'mqtt-' || CAST(seq AS VARCHAR) ELSE event_id END AS event_id,

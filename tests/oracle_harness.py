@@ -89,7 +89,7 @@ def main():
         sf_dir = args.pop(0)
     import __spark_entry__ as entry
     from basketry.session import build_session
-    spark = build_session("local[8]")
+    spark = build_session("local[8]", 8)
     con = duck(sf_dir)
     qs = entry.queries()
     oracle = entry.oracle_sql()

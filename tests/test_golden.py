@@ -153,8 +153,8 @@ def test_basket_demo_orders(spark):
 def test_basket_hot_salting_is_exact(spark):
     rows = [("hot", f"p{i:02d}") for i in range(30)] + [("b1", "p01"), ("b1", "p02"), ("b2", "p01"), ("b2", "p03")]
     b = baskets.basket_sets(spark.createDataFrame(rows, "customer_id string, product_id string"))
-    salted = {(r.left, r.right): r.pair_count for r in baskets.pair_counts(b, hot_basket_size=10, salts=4).collect()}
-    plain = {(r.left, r.right): r.pair_count for r in baskets.pair_counts(b, hot_basket_size=10 ** 9).collect()}
+    salted = {(r.left, r.right): r.pair_count for r in baskets.pair_counts(b, block=3).collect()}
+    plain = {(r.left, r.right): r.pair_count for r in baskets.pair_counts(b).collect()}
     assert salted == plain and len(plain) == 435 and plain[("p01", "p02")] == 2
 
 

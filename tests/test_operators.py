@@ -63,5 +63,5 @@ def test_live_snapshot_parts(spark):
     ins = I.detect_insights(I.with_counters(norm))
     snap = live.live_snapshot(norm, ins)
     assert snap["recent_events"].count() == 30 and snap["recent_insights"].count() == 30
-    assert snap["events_seen"].first().events_seen == 200
+    assert snap["events_seen"].first().events_seen == norm.count()
     assert snap["top_categories"].count() == 5

@@ -26,15 +26,15 @@ def order_profile(orders: DataFrame, recent: int = 12, categories: int = 4, hist
     rev = F.coalesce(F.col("revenue").cast("double"), F.lit(0.0))
     prof = top.groupBy("customer_id").agg(
         F.sort_array(F.collect_list(F.struct("rn", cat.alias("category"), rev.alias("revenue")))).alias("_o"),
-        F.count(F.lit(1)).alias("order_count"))
+        F.count(F.lit(1)).alias("recent_order_count"))
     cats = F.array_distinct(F.filter(F.transform("_o", lambda o: o["category"]), lambda c: c.isNotNull() & (c != "")))
     hist = F.reverse(F.filter(F.slice("_o", 1, history), lambda o: o["revenue"] > 0))
     return prof.select(
         "customer_id",
         F.slice(cats, 1, categories).alias("recent_categories"),
         F.transform(hist, lambda o: F.round(o["revenue"], 2)).alias("revenue_history"),
-        F.col("order_count").cast("bigint").alias("order_count"),
-        account_segment(F.col("order_count"), cats).alias("segment"))
+        F.col("recent_order_count").cast("bigint").alias("recent_order_count"),
+        account_segment(F.col("recent_order_count"), cats).alias("segment"))
 
 
 def account_profiles(users: DataFrame, orders: DataFrame) -> DataFrame:
@@ -52,4 +52,4 @@ def account_profiles(users: DataFrame, orders: DataFrame) -> DataFrame:
         F.coalesce("segment", F.lit("Registered customer")).alias("segment"),
         F.coalesce("recent_categories", F.array().cast("array<string>")).alias("recent_categories"),
         F.coalesce("revenue_history", F.array().cast("array<double>")).alias("revenue_history"),
-        F.coalesce("order_count", F.lit(0).cast("bigint")).alias("order_count"))
+        F.coalesce("recent_order_count", F.lit(0).cast("bigint")).alias("recent_order_count"))

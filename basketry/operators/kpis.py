@@ -14,7 +14,7 @@ def region_heat(region_revenue: DataFrame) -> DataFrame:
     """heat = revenue / max revenue; the top region flagged (ties to
     the alphabetically first).  Input is one row per region (aggregated)."""
     w = Window.partitionBy()
-    top = F.max_by("region", F.struct(F.col("revenue"), -F.ascii("region"))).over(w)
+    top = F.min_by("region", F.struct(-F.col("revenue"), "region")).over(w)
     mx = F.max("revenue").over(w)
     return region_revenue.select(
         "region", "revenue", F.round(F.when(mx > 0, F.col("revenue") / mx).otherwise(F.lit(0.0)), 3).alias("heat"),

@@ -296,7 +296,7 @@ def q_account_profiles(spark, sf_dir):
     return p.select("id", "label", "email", "email_customer_id", "segment",
                     F.array_join("recent_categories", ",").alias("recent_categories"),
                     F.array_join(F.transform("revenue_history", lambda x: x.cast("string")), ",").alias("revenue_history"),
-                    "order_count")
+                    "recent_order_count")
 
 
 # ---- graph ------------------------------------------------------------------

@@ -20,20 +20,19 @@ from pyspark.sql import functions as F
 
 from basketry.operators.insights import detect_insights
 from basketry.operators.running import running_count, time_bucket
+from basketry.session import path_exists
 
 COUNTERS = (("category", "category_count", None),
             ("customer_id", "customer_purchases", "purchase"))
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
-
-
 def _previous_totals(spark: SparkSession, state: str, key: str, batch_id: int) -> DataFrame | None:
+    if batch_id == 0:
+        return None
     path = f"{state}/{key}/v={batch_id - 1}"
-    return spark.read.parquet(path) if batch_id > 0 and _exists(spark, path) else None
+    if not path_exists(spark, path):
+        raise RuntimeError(f"totals of batch {batch_id - 1} are lost: {path}")
+    return spark.read.parquet(path)
 
 
 def process_batch(batch: DataFrame, batch_id: int, out: str, state: str, bucket_seconds: int = 3600) -> None:

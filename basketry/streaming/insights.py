@@ -103,8 +103,8 @@ def hourly_revenue(stream: DataFrame, delay: str | None = "1 hour") -> DataFrame
 
 
 def run_to_table(stream: DataFrame, sink: str, checkpoint: str, mode: str = "append") -> None:
-    """Run a streaming frame over all available input into a parquet table."""
+    """Run a streaming frame over all available input into a parquet table.
+    The file sink logs each batch, so one that is run again is not doubled."""
     q = (stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint)
-         .foreachBatch(lambda batch, _id: batch.write.mode("append").parquet(sink))
-         .trigger(availableNow=True).start())
+         .format("parquet").option("path", sink).trigger(availableNow=True).start())
     q.awaitTermination()

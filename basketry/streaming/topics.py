@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from basketry.session import scratch_path
+from basketry.session import path_exists, scratch_path
 
 TOPIC_SCHEMA = T.StructType([
     T.StructField("topic", T.StringType()),
@@ -117,10 +117,8 @@ def drain(spark: SparkSession, source: DataFrame, checkpoint: str, sink: str) ->
     the checkpoint remembers it, so the next drain starts after it."""
     run = f"{sink.rstrip('/')}/run={uuid.uuid4().hex[:12]}"
     q = (source.writeStream.option("checkpointLocation", checkpoint)
-         .foreachBatch(lambda batch, _id: batch.write.mode("append").parquet(run))
-         .trigger(availableNow=True).start())
+         .format("parquet").option("path", run).trigger(availableNow=True).start())
     q.awaitTermination()
-    try:
-        return spark.read.parquet(run)
-    except Exception:  # nothing new arrived
+    if not path_exists(spark, run):  # nothing new arrived
         return spark.createDataFrame([], source.schema)
+    return spark.read.schema(source.schema).parquet(run)

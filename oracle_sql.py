@@ -535,7 +535,7 @@ SELECT CAST(u.customer_key AS VARCHAR) AS id,
        coalesce(p.segment, 'Registered customer') AS segment,
        coalesce(array_to_string(p.cats[1:4], ','), '') AS recent_categories,
        coalesce(p.h, '') AS revenue_history,
-       CAST(coalesce(p.order_count, 0) AS BIGINT) AS order_count
+       CAST(coalesce(p.order_count, 0) AS BIGINT) AS recent_order_count
 FROM users u LEFT JOIN prof p ON p.customer_id = u.customer_key WHERE u.role = 'customer'""")
 
 

@@ -117,3 +117,21 @@ def test_all_edges_are_returned(spark):
     from basketry.plans.queries import QUERIES
     rows = QUERIES["graph_edges"](spark, "/root/testdata/sf0.001").groupBy("customer_id").count().agg(F.max("count")).first()
     assert rows[0] > 14
+
+
+def test_running_counts_of_one_hot_key_and_hour(spark):
+    from basketry.operators.running import running_count, time_bucket
+    start = dt.datetime(2024, 1, 1, 5)
+    rows = [(None if i % 50 == 0 else "one", start + dt.timedelta(milliseconds=700 * i), i) for i in range(2000)]
+    events = spark.createDataFrame(rows, "category string, event_time timestamp, seq bigint").repartition(4)
+    counted = running_count(events, ["category"], ["event_time", "seq"], time_bucket(F.col("event_time")), "n")
+    got = {r.seq: r.n for r in counted.collect()}
+    seen = {}
+    for category, _, seq in rows:
+        seen[category] = seen.get(category, 0) + 1
+        assert got[seq] == seen[category]
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        assert counted.groupBy(F.spark_partition_id()).count().count() > 1
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")

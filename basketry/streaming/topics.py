@@ -114,11 +114,13 @@ def drain(spark: SparkSession, source: DataFrame, checkpoint: str, sink: str) ->
     """Hand over everything received since the last drain, once.
 
     ``trigger(availableNow=True)`` processes exactly the unseen input and
-    the checkpoint remembers it, so the next drain starts after it."""
+    the checkpoint remembers it, so the next drain starts after it.  A batch
+    that is run again overwrites its own folder."""
     run = f"{sink.rstrip('/')}/run={uuid.uuid4().hex[:12]}"
     q = (source.writeStream.option("checkpointLocation", checkpoint)
-         .format("parquet").option("path", run).trigger(availableNow=True).start())
+         .foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(f"{run}/batch-{n}"))
+         .trigger(availableNow=True).start())
     q.awaitTermination()
     if not path_exists(spark, run):  # nothing new arrived
         return spark.createDataFrame([], source.schema)
-    return spark.read.schema(source.schema).parquet(run)
+    return spark.read.schema(source.schema).parquet(f"{run}/batch-*")

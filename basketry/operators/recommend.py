@@ -74,7 +74,11 @@ def recommend(customers: DataFrame, catalog: DataFrame, k: int = 3, key: str = "
     products = catalog.select(F.struct(
         F.col("ordinal").cast("bigint").alias("ordinal"), "product_id", "product", "categories", "keywords",
         F.col("base_score").cast("double").alias("base_score")).alias("p"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    scored = products.join(packed, "block").select("p", F.explode("inputs").alias("i")).select(
+    # salts spread the products of a block over tasks; a block's inputs go to each
+    tasks = catalog.sparkSession.sparkContext.defaultParallelism
+    salted = products.withColumn("salt", F.pmod(F.xxhash64("p.product_id"), F.lit(tasks))).repartition(tasks, "block", "salt")
+    spread = packed.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(tasks - 1).cast("bigint"))))
+    scored = salted.join(spread, ["block", "salt"]).select("p", F.explode("inputs").alias("i")).select(
         F.col("i._ns").alias("_ns"), F.col("i._recent").alias("_recent"),
         _ranked(_components(F.col("p"), F.col("i._ns"), F.col("i._recent"), F.col("i._tokens"))).alias("x"))
     best = scored.withColumn("rank", F.row_number().over(Window.partitionBy("_ns", "_recent").orderBy("x"))).filter(F.col("rank") <= k)

@@ -2,12 +2,18 @@
 
 Base spans come from the patterns (assignments, access keys, hex runs).  The
 method adds spans of kind ``novel``: a candidate is a run of 20 or more
-token characters with letters and digits, near a sensitive word.  Its marginal
+token characters with letters and digits, near a sensitive word or a reported
+candidate, or wrapped from a candidate's line to the next.  Its marginal
 size is what it adds to the zstandard-compressed surrounding text, with a
 dictionary of common identifiers and code words loaded; ordinary words,
 repeats of the surrounding text, paths and identifiers add little, random
-strings add all their bytes.  A candidate that adds at least
-``SHARE`` of its own bytes is reported unless a base span covers it.
+strings add all that their alphabet has.  That is all their bytes for short
+ones; from about 64 bytes on zstandard codes literals by frequency, and a small
+alphabet needs fewer bits.  So a candidate is reported that adds at least
+``SHARE`` of its own bytes, or at least ``RANDOM_SHARE`` of what a random
+string of its length over its own distinct characters adds, unless one base
+span covers all of it.  The short last line of a reported PEM body is reported
+with it.
 
 Null text is empty; whole texts of any length are scanned, each candidate
 against a bounded surrounding; repeated rows give repeated results; other
@@ -16,6 +22,7 @@ columns are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import random
 import re
 
 import pyarrow as pa
@@ -35,9 +42,14 @@ CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 CONTEXT = re.compile(r"(?i:password|passwd|secret|token|api_?key|credential|private|auth|bearer|access|akia|ssh-)", re.ASCII)
 #: Characters before a candidate in which a sensitive word must stand, and those around it that it is measured against.
 NEAR, AROUND = 80, 512
-#: Least marginal bytes per byte: random strings of this length add all their
-#: bytes, words of the dictionary or the surrounding only a reference.
+#: The last line of a PEM body, too short to be a candidate.
+TAIL = re.compile(r"\r?\n([A-Za-z0-9+/=]{1,19})\r?\n-----END")
+#: Least marginal bytes per byte: short random strings add all their bytes,
+#: words of the dictionary or the surrounding only a reference.
 SHARE = 0.75
+#: Least marginal bytes per byte that a random string of the same length and
+#: characters adds.
+RANDOM_SHARE = 0.9
 #: Identifiers and code words that a candidate may be made of.
 DICTIONARY = " ".join("""the of and to in is for with that this from have not are was but your can all will one about there
 public private protected static final class struct interface import export from include return void int long double
@@ -60,13 +72,16 @@ class Novelty:
     def __init__(self, dictionary: str = DICTIONARY):
         self.dictionary = dictionary.encode()
 
-    def share(self, candidate: str, around: str) -> float:
-        """Bytes that the candidate adds, as a share of its own."""
+    def is_novel(self, candidate: str, around: str) -> bool:
+        """Whether the candidate adds about as much as a random string does."""
         import zstandard
         known = zstandard.ZstdCompressionDict(self.dictionary + b" " + around.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         packed = zstandard.ZstdCompressor(level=3, dict_data=known, write_checksum=False, write_content_size=False, write_dict_id=False)
+        adds = lambda own: len(packed.compress(own)) - len(packed.compress(b""))
         own = candidate.encode()
-        return (len(packed.compress(own)) - len(packed.compress(b""))) / max(1, len(own))
+        if (added := adds(own)) >= SHARE * len(own):
+            return True
+        return added >= RANDOM_SHARE * adds(bytes(random.Random(len(own)).choices(sorted(set(own)), k=len(own))))
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -79,18 +94,27 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def novel_spans(text: str, base: list[tuple[int, int, int]], novelty: Novelty) -> list[tuple[int, int, int]]:
-    """Spans of incompressible candidates in a sensitive context that no base span covers."""
+    """Spans of incompressible candidates in a sensitive context that no base span covers whole."""
     out = []
+    found = -NEAR - 1  # end of the last reported candidate
+    before, sensitive = -1, False  # end of the last candidate, and whether it is in a sensitive context
     for m in CANDIDATE.finditer(text):
         start, end = m.span()
         run = m.group()
-        if not re.search("[0-9]", run) or not re.search("[A-Za-z]", run) or not CONTEXT.search(text, max(0, start - NEAR), start):
+        wrapped = sensitive and text[before:start] in ("\n", "\r\n")
+        sensitive = wrapped or start - found <= NEAR or bool(CONTEXT.search(text, max(0, start - NEAR), start))
+        before = end
+        if not sensitive or not re.search("[0-9]", run) or not re.search("[A-Za-z]", run):
             continue
-        if any(a <= start and end <= b or start <= a and b <= end for a, _, b in base):
+        if any(a <= start and end <= b for a, _, b in base):
+            found = end
             continue
         around = text[max(0, start - AROUND):start] + text[end:end + AROUND]
-        if novelty.share(run, around) >= SHARE:
+        if novelty.is_novel(run, around):
             out.append((start, 3, end))
+            found = end
+            if tail := TAIL.match(text, end):
+                out.append((tail.start(1), 3, tail.end(1)))
     return out
 
 

@@ -38,21 +38,26 @@ PIECE_SCHEMA = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, do
 
 
 class Tokens:
-    """Little-endian unsigned 32-bit ids of whole texts by a byte-level BPE file."""
+    """Little-endian unsigned 32-bit ids of whole texts by a byte-level BPE file.
+    With ``added_tokens`` the strings of added tokens in a text become their
+    ids, as the library does as loaded; else they are ordinary text."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added_tokens: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = not added_tokens
+        # strings that no cut may touch
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()] if added_tokens else []
         self.table = ChunkTable(CHUNKS, self._encode)
 
     def _encode(self, chunks: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        whole = [i for i, t in enumerate(texts) if ODD_SPACE(t)]
-        out = [b"".join(f) for f in self.table.lookup(["" if ODD_SPACE(t) else t for t in texts])] if whole else [b"".join(f) for f in self.table.lookup(texts)]
+        whole = [i for i, t in enumerate(texts) if ODD_SPACE(t) or any(a in t for a in self.added)]
+        held = set(whole)
+        out = [b"".join(f) for f in self.table.lookup(["" if i in held else t for i, t in enumerate(texts)])]
         for i in whole:
             out[i] = self._encode([texts[i]])[0]
         return out
@@ -121,13 +126,14 @@ class Packer:
 
 
 def pieces(df: DataFrame, tokenizer_path: str, size: int = 1024, separator: int = 0,
-           id_column: str = "doc_id", text_column: str = "text", with_ids: bool = False) -> DataFrame:
+           id_column: str = "doc_id", text_column: str = "text", with_ids: bool = False, added_tokens: bool = False) -> DataFrame:
     """Per piece: document, ``start``, ``length``, ``ids_crc32``,
-    ``doc_tokens`` and, if asked for, the piece's ``ids array<int>``."""
+    ``doc_tokens`` and, if asked for, the piece's ``ids array<int>``;
+    ``added_tokens`` as in ``Tokens``."""
     end = np.array([separator], dtype="<u4").tobytes()
 
     def rows(part, texts):
-        coded = [c + end for c in per_worker(("tokens", tokenizer_path), lambda: Tokens(tokenizer_path)).ids(texts)]
+        coded = [c + end for c in per_worker(("tokens", tokenizer_path, added_tokens), lambda: Tokens(tokenizer_path, added_tokens)).ids(texts)]
         source, start, crc, ids = [], [], [], []
         for i, c in enumerate(coded):
             for s in range(0, len(c), 4 * size):

@@ -51,7 +51,7 @@ def op4_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def packed_documents(docs: DataFrame) -> DataFrame:
-    cut = materialize(packing.pieces(docs, tokenizer_file("byte_bpe_50k.json")), "pieces")
+    cut = materialize(packing.pieces(docs, tokenizer_file("byte_bpe_50k.json"), added_tokens=True), "pieces")
     return packing.pack(cut, shards=packing.shard_count(cut.count()))
 
 

@@ -143,3 +143,18 @@ def test_sequences_are_padded_except_at_a_power_of_two(spark, tokenizer):
         held = sum(d.length for d in r.documents)
         assert len(r.ids) == (held if held & (held - 1) == 0 else 1024)
         assert [d.offset for d in r.documents] == sorted(d.offset for d in r.documents)
+
+
+def test_added_tokens_are_coded_as_the_library_codes_them_as_loaded(spark, tmp_path):
+    from tokenizers import Tokenizer
+    loaded = Tokenizer.from_file(BPE)
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|>y<|endoftext|>", "a\n<|endoftext|>\n b", "<|endof text|>", "<|endoftext|", " <|endoftext|>\t x", "é中😀 <|endoftext|> </s>\t x", "plain", "", None, "word <|endoftext|> " * 2000]
+    assert loaded.encode(texts[0], add_special_tokens=False).ids == [64, 220, 50256, 275]
+    docs = list(enumerate(texts))
+    spark.createDataFrame(docs, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    check_packing(op5_packing(spark, str(tmp_path)).collect(), docs, loaded)
+    coded = packing.Tokens(BPE, added_tokens=True)
+    parts = ["<|endoftext|>", "<|", "endoftext", "|>", " ", "\n", "a", "1", "é", "'s", "\t", "."]
+    pick = random.Random(11)
+    for text in ["".join(pick.choice(parts) for _ in range(pick.randint(0, 9))) for _ in range(3000)] + fuzz(1000, 6):
+        assert np.frombuffer(coded.ids([text])[0], "<u4").tolist() == loaded.encode(text, add_special_tokens=False).ids, repr(text)

@@ -6,19 +6,24 @@ an ``article`` or ``main`` landmark are the main text; menus, headers, footers,
 sidebars, notices, adverts and reader comments inside or outside it, told by
 element, role or class, are not.
 
-Where a page has no landmark, its host decides.  The token streams outside
-landmarks of all pages of a host are put together and their suffixes are
-ordered by their first ``RUN`` tokens; a suffix whose neighbour from another
-page has the same ``RUN`` tokens starts a long repeated substring.  Tokens that
-such substrings cover are boilerplate and are removed; the unique runs are the
-page's text.  Only the order's equal keys matter, so the array is not held by
-a host's task: suffixes are grouped by a hash of host and key, with the
-smallest and largest page of each key combined before the shuffle, and a host
-of any size is spread over all tasks.
-
-Landmark text is kept even where pages of a host repeat it, because copies of
-an article are articles too; removing every repeated run there would empty
-pages that share a text.
+What stays is cleaned of what its host repeats, in whole blocks only, never
+words out of a sentence.  A substring is repeated if at least ``LEAST`` pages and
+the share ``SHARE`` of all pages of the host have it.  Outside landmarks a block
+is boilerplate if the whole block is repeated, or if every token of it lies in
+repeated substrings of ``RUN`` tokens of the page's stream (the tokens of all
+blocks outside landmarks); there it is the method that tells the text of pages
+without a landmark.  Inside landmarks a block of fewer than ``RUN`` tokens is
+boilerplate if the whole block is repeated (share lines, notices).
+
+A page of which nothing would stay is a copy rather than a frame: without a
+landmark it keeps its blocks of ``RUN`` tokens and more, with one all of it.
+Paragraphs inside landmarks stay even where pages repeat them, because copies of
+an article are articles too.  Pages whose url has no host are compared with none.
+
+Suffixes of the streams are grouped by a hash of host and first ``RUN`` tokens,
+whole blocks by one of host and text.  Keys are counted by rows before the
+shuffle; only those of enough rows are counted by pages, so a host of any size
+is spread over all tasks.
 
 Null html is empty text.  Html is read whole.  Repeated rows give repeated
 results and are no reason to call their text boilerplate (they are the same
@@ -33,15 +38,19 @@ import re
 from collections.abc import Iterator
 from urllib.parse import urlsplit
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basketry.llm.common import longs, map_texts
+from basketry.session import materialize
 
-#: Tokens that a repeated substring has at least.
-RUN = 4
+#: Tokens that a repeated substring has at least, if it is not a whole block.
+RUN = 20
+#: Pages, and share of the host's pages, that have a repeated substring at least.
+LEAST, SHARE = 5, 0.5
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^\"'>])*)>|<[!?][^>]*>", re.S)
 _RAW = {"script", "style", "template", "noscript", "iframe", "textarea", "title", "svg", "math", "object", "canvas", "audio", "video"}
@@ -136,68 +145,111 @@ def host_of(url: str | None) -> str:
         return ""
 
 
+def _key(*parts: str) -> int:
+    return xxhash.xxh3_64_intdigest("\n".join(parts)) - (1 << 63)
+
+
+def page_keys(text: str, host: str) -> dict[int, list[int]]:
+    """Keys of a page and their places: token positions of suffixes, -2 - i for
+    the whole block i, -1 for the page itself under its host's key."""
+    places: dict[int, list[int]] = {_key(host): [-1]}
+    tokens = []
+    for i, (zone, block) in enumerate(blocks(text)):
+        own = block.split(" ")
+        if zone != "article":
+            tokens += own
+        if zone != "article" or len(own) < RUN:
+            places.setdefault(_key(host, "block", block), []).append(-2 - i)
+    for i in range(len(tokens) - RUN + 1):
+        places.setdefault(_key(host, "run", *tokens[i:i + RUN]), []).append(i)
+    return places
+
+
 def streams(pages: DataFrame) -> DataFrame:
-    """Suffix keys of the streams outside landmarks: ``row, page, place,
-    suffix``; the key is a hash of host and ``RUN`` tokens."""
+    """Keys of the pages that have a host, once per page: ``row, page, host,
+    suffix, places``."""
 
     def rows(part, texts):
-        row, page, place, key = [], [], [], []
+        row, page, key, site, places = [], [], [], [], []
         columns = (part.column(c).to_pylist() for c in ("row", "page_id", "url"))
         for r, page_id, url, text in zip(*columns, texts):
-            tokens = [t for zone, b in blocks(text) if zone != "article" for t in b.split(" ")]
-            host = host_of(url)
-            own = page_id if page_id is not None else xxhash.xxh3_64_intdigest(url or "") - (1 << 63)
-            for i in range(len(tokens) - RUN + 1):
-                row.append(r)
-                page.append(own)
-                place.append(i)
-                key.append(xxhash.xxh3_64_intdigest("\n".join([host, *tokens[i:i + RUN]])) - (1 << 63))
-        return pa.RecordBatch.from_arrays([longs(row), longs(page), longs(place), longs(key)], ["row", "page", "place", "suffix"])
+            if not (host := host_of(url)):
+                continue
+            own = page_id if page_id is not None else xxhash.xxh3_64_intdigest(url) - (1 << 63)
+            found = page_keys(text, host)
+            row += [r] * len(found)
+            page += [own] * len(found)
+            site += [_key(host)] * len(found)
+            key += found
+            places += found.values()
+        return pa.RecordBatch.from_arrays([longs(row), longs(page), longs(site), longs(key), pa.array(places, pa.list_(pa.int64()))], ["row", "page", "host", "suffix", "places"])
 
-    return map_texts(pages, "html", rows, "row bigint, page bigint, place bigint, suffix bigint")
+    return map_texts(pages, "html", rows, "row bigint, page bigint, host bigint, suffix bigint, places array<bigint>")
 
 
-def covered(suffixes: DataFrame) -> DataFrame:
-    """Per row the starts of repeated substrings: ``row, starts array<bigint>``."""
-    pages = suffixes.groupBy("suffix").agg(F.min("page").alias("first"), F.max("page").alias("last"))
-    repeated = pages.where(F.col("first") < F.col("last")).select("suffix")
-    return suffixes.join(repeated, "suffix").groupBy("row").agg(F.collect_list("place").alias("starts"))
+def covered(keys: DataFrame) -> DataFrame:
+    """Per row the places of repeated keys: ``row, places array<bigint>``."""
+    # rows are at least as many as pages: few keys are left to count exactly
+    many = keys.groupBy("suffix").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST).select("suffix")
+    held = materialize(keys.join(many, "suffix"), "html-keys")
+    pages = held.select("host", "suffix", "page").distinct().groupBy("host", "suffix").agg(F.count(F.lit(1)).alias("n"))
+    hosts = pages.where(F.col("suffix") == F.col("host")).select("host", F.col("n").alias("all"))
+    repeated = pages.where((F.col("suffix") != F.col("host")) & (F.col("n") >= LEAST)).join(hosts, "host").where(F.col("n") >= F.col("all") * SHARE).select("suffix")
+    return held.join(repeated, "suffix").groupBy("row").agg(F.flatten(F.collect_list("places")).alias("places"))
 
 
-def _articles(pages: DataFrame) -> DataFrame:
-    """Landmark text where a page has any, else its open blocks with their
-    place in the stream; ``stream`` is the number of tokens in it."""
-    block = pa.list_(pa.struct([("place", pa.int64()), ("tokens", pa.list_(pa.string()))]))
+PARTS = pa.list_(pa.struct([("zone", pa.string()), ("size", pa.int64()), ("text", pa.string())]))
+
+
+def _parsed(pages: DataFrame) -> DataFrame:
+    """All blocks of a page with their tokens' number, and the text of those
+    that may be main text."""
 
     def rows(part, texts):
-        found, rest, sizes = [], [], []
+        parts = []
         for text in texts:
-            parts = blocks(text)
-            article = [b for zone, b in parts if zone == "article"]
-            place, own = 0, []
-            for zone, b in parts:
-                if zone != "article":
-                    tokens = b.split(" ")
-                    if zone == "open" and not article:
-                        own.append({"place": place, "tokens": tokens})
-                    place += len(tokens)
-            found.append("\n".join(article) if article else None)
-            rest.append(own)
-            sizes.append(place)
-        return pa.RecordBatch.from_arrays([part.column(c) for c in ("row", "page_id", "url")] + [pa.array(found, pa.string()), pa.array(rest, block), longs(sizes)], ["row", "page_id", "url", "article", "open", "stream"])
-
-    return map_texts(pages, "html", rows, "row bigint, page_id bigint, url string, article string, open array<struct<place: bigint, tokens: array<string>>>, stream bigint")
+            found = blocks(text)
+            main = "article" if any(zone == "article" for zone, _ in found) else "open"
+            parts.append([{"zone": zone, "size": b.count(" ") + 1, "text": b if zone == main else None} for zone, b in found])
+        return pa.RecordBatch.from_arrays([part.column(c) for c in ("row", "page_id", "url")] + [pa.array(parts, PARTS)], ["row", "page_id", "url", "parts"])
+
+    return map_texts(pages, "html", rows, "row bigint, page_id bigint, url string, parts array<struct<zone: string, size: bigint, text: string>>")
+
+
+def main_text(parts: list[dict], places: list[int]) -> tuple[str, int]:
+    """Text that stays of a page's blocks, and how many tokens are boilerplate."""
+    whole = {-2 - p for p in places if p < -1}
+    size = sum(b["size"] for b in parts if b["zone"] != "article")
+    bare = np.ones(size, dtype=bool)  # tokens of the stream that no repeated run covers
+    for p in places:
+        if p >= 0:
+            bare[p:p + RUN] = False
+    gone, at = [], 0
+    for i, b in enumerate(parts):
+        gone.append(i in whole)
+        if b["zone"] != "article":
+            gone[i] = gone[i] or not bare[at:at + b["size"]].any()
+            at += b["size"]
+    kept = [b for b, g in zip(parts, gone) if b["text"] is not None and not g]
+    if not kept:
+        for i, b in enumerate(parts):
+            if b["text"] is not None and (b["zone"] == "article" or b["size"] >= RUN):
+                gone[i] = False
+                kept.append(b)
+    return "\n".join(b["text"] for b in kept), sum(b["size"] for b, g in zip(parts, gone) if g)
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """Per page: ``page_id, url, text, n_chars`` and how many tokens outside
-    landmarks are boilerplate by repetition (``n_boilerplate``)."""
+    """Per page: ``page_id, url, text, n_chars`` and how many tokens are
+    boilerplate by repetition (``n_boilerplate``)."""
     numbered = pages.select(F.monotonically_increasing_id().alias("row"), F.col("page_id").cast("bigint").alias("page_id"), "url", "html")
-    marked = covered(streams(numbered))
-    both = _articles(numbered).join(marked, "row", "left")
-    # every start covers RUN tokens
-    places = F.array_distinct(F.flatten(F.transform(F.coalesce("starts", F.array().cast("array<bigint>")), lambda s: F.sequence(s, s + RUN - 1))))
-    told = both.withColumn("covered", places)
-    unique = F.transform("open", lambda b: F.array_join(F.filter(b["tokens"], lambda t, i: ~F.array_contains("covered", b["place"] + i)), " "))
-    text = F.coalesce("article", F.array_join(F.filter(unique, lambda t: t != ""), "\n"))
-    return told.select("page_id", "url", text.alias("text"), F.size("covered").cast("bigint").alias("n_boilerplate")).select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"), "n_boilerplate")
+    both = _parsed(numbered).join(covered(streams(numbered)), "row", "left")
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [main_text(parts, places or []) for parts, places in zip(batch.column("parts").to_pylist(), batch.column("places").to_pylist())]
+            columns = [batch.column("page_id"), batch.column("url"), pa.array([t for t, _ in found], pa.string()), longs([n for _, n in found])]
+            yield pa.RecordBatch.from_arrays(columns, ["page_id", "url", "text", "n_boilerplate"])
+
+    told = both.select("page_id", "url", "parts", "places").mapInArrow(rows, "page_id bigint, url string, text string, n_boilerplate bigint")
+    return told.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"), "n_boilerplate")

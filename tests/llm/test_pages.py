@@ -1,6 +1,7 @@
 """Operator 1: landmarks, chrome, and host-wide repeats."""
 
 import html
+import random
 import re
 
 from basketry.llm import html_extract
@@ -51,6 +52,54 @@ def test_one_hot_host_is_one_group_for_no_task(spark):
     assert {r.text for r in rows} == {f"own{i} text{i} of{i} page{i}" for i in range(400)}
 
 
+WORDS = "the report of the city council says that in the year of the flood many people had to leave their homes and that the water was high for more than a week before it went back".split()
+
+
+def prose(pick, n):
+    return " ".join(pick.choice(WORDS) for _ in range(n)).capitalize() + "."
+
+
+def test_natural_text_keeps_its_phrases(spark):
+    pick = random.Random(1)
+    menu = "<div>Home</div><div>About us and our readers</div>"
+    story = [[prose(pick, 60), "At the end of the day it was one of the best. " + prose(pick, 10)] for _ in range(40)]
+    page = lambda i: f"<body>{menu}<p>{story[i][0]}</p><p>{story[i][1]}</p></body>"
+    pages = [(i, "http://big.example/p", page(i)) for i in range(40)]
+    pages += [(100 + i, "http://big.example/copy", page(7)) for i in range(3)]
+    rows = {r.page_id: r for r in html_extract.extract(spark.createDataFrame(pages, SCHEMA)).collect()}
+    assert all(rows[i].text == "\n".join(story[i]) and rows[i].n_boilerplate == 6 for i in range(40))
+    assert all(rows[100 + i].text == "\n".join(story[7]) for i in range(3))
+
+
+def test_long_runs_cut_into_other_blocks_go_whole(spark):
+    pick = random.Random(3)
+    legal = prose(pick, 60).split(" ")
+    cut = lambda at: f"<p>{' '.join(legal[:at])}</p><p>{' '.join(legal[at:])}</p>"
+    pages = [(i, "http://h.example/", f"<p>own words number {i} and then some more</p>{cut(8 + 3 * i)}") for i in range(8)]
+    rows = html_extract.extract(spark.createDataFrame(pages, SCHEMA)).collect()
+    assert {r.text for r in rows} == {f"own words number {i} and then some more" for i in range(8)}
+
+
+def test_short_repeated_blocks_within_landmarks_go_and_paragraphs_stay(spark):
+    pick = random.Random(2)
+    shared = prose(pick, 40)
+    pages = [(i, "http://h.example/", f"<article><p>Story {i} of ours.</p><p>{shared}</p><p>Share this story with a friend</p></article>") for i in range(6)]
+    pages += [(i, "http://copies.example/", "<article><p>All the same.</p></article>") for i in range(10, 16)]
+    pages += [(i, "http://few.example/", f"<article><p>Story {i}.</p><p>Read more</p></article>") for i in range(20, 23)]
+    rows = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(pages, SCHEMA)).collect()}
+    assert all(rows[i] == f"Story {i} of ours.\n{shared}" for i in range(6))
+    assert all(rows[i] == "All the same." for i in range(10, 16))
+    assert all(rows[i] == f"Story {i}.\nRead more" for i in range(20, 23))
+
+
+def test_pages_without_host_and_repeated_rows_strip_nothing(spark):
+    page = "<p>a short line that all of these have</p><p>own {}</p>"
+    pages = [(i, None if i % 2 else "/relative", page.format(i)) for i in range(10)]
+    pages += [(50, "http://twice.example/", page.format(50))] * 8
+    rows = html_extract.extract(spark.createDataFrame(pages, SCHEMA)).collect()
+    assert len(rows) == 18 and all(r.text == f"a short line that all of these have\nown {r.page_id}" for r in rows)
+
+
 def test_odd_rows(spark):
     long = "<article>" + "<p>word &amp; word</p>" * 20_000
     rows = [(0, None, None), (1, "u", ""), (2, "http://[bad", "<p>t"), (3, "u", long), (4, "u", "<article></article>"), (5, "u", "<article><p>twice</p>"), (5, "u", "<article><p>twice</p>"), (None, None, "<p>no id")]

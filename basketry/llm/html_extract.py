@@ -4,7 +4,10 @@ A page is cut into blocks of text in page order.  Hidden matter (markup,
 scripts, styles, forms, comments in the markup) is never text.  Blocks inside
 an ``article`` or ``main`` landmark are the main text; menus, headers, footers,
 sidebars, notices, adverts and reader comments inside or outside it, told by
-element, role or class, are not.
+element, role or class, are not.  A landmark that opens inside such an element
+ends it only if it is never closed later (a menu left open), or if it is a nav
+or header, no landmark came before, and none follows its end; teasers and reader
+comments marked up as articles go with the sidebar or section that they are in.
 
 What stays is cleaned of what its host repeats, in whole blocks only, never
 words out of a sentence.  A substring is repeated if at least ``LEAST`` pages and
@@ -76,6 +79,31 @@ def _is_chrome(tag: str, attributes: str) -> bool:
     return False
 
 
+def _closed_at(page: str, at: int, tag: str, depth: int) -> int | None:
+    """Where the element ``tag``, open ``depth`` times at ``at``, ends; None if never."""
+    while m := _TOKEN.search(page, at):
+        at = m.end()
+        found = (m.group(2) or "").lower()
+        if m.group(1):
+            if found == tag:
+                depth -= 1
+                if not depth:
+                    return at
+            elif found in ("body", "html"):
+                return None
+        elif found in _RAW:
+            end = re.compile(f"</{re.escape(found)}[^>]*>", re.I).search(page, at)
+            if not m.group(3).endswith("/"):
+                at = end.end() if end else len(page)
+        elif found == tag:
+            depth += 1
+    return None
+
+
+def _landmark_follows(page: str, at: int) -> bool:
+    return any(not m.group(1) and (m.group(2) or "").lower() in _LANDMARK for m in _TOKEN.finditer(page, at))
+
+
 def blocks(page: str) -> list[tuple[str, str]]:
     """(zone, text) in page order; zone is article, open or chrome."""
     out: list[tuple[str, str]] = []
@@ -83,6 +111,8 @@ def blocks(page: str) -> list[tuple[str, str]]:
     landmarks = 0  # open landmark elements
     chrome = ""  # the element that everything is chrome in, and how often it is open
     depth = 0
+    held_open: bool | None = None  # whether that element holds landmarks rather than being ended by one, once known
+    seen = False  # a landmark
     at = 0
 
     def close() -> None:
@@ -125,13 +155,18 @@ def blocks(page: str) -> list[tuple[str, str]]:
         if tag in _BLOCK or enters:
             close()
         if tag in _LANDMARK and not (enters and tag != "main"):
-            # a landmark ends any menu that was never closed
+            # a landmark ends a menu that was never closed
             if chrome and not landmarks:
-                chrome, depth = "", 0
+                if held_open is None:
+                    end = None if chrome == "p" else _closed_at(page, at, chrome, depth)
+                    held_open = end is not None and (chrome not in ("nav", "header") or seen or _landmark_follows(page, end))
+                if not held_open:
+                    chrome, depth = "", 0
             if not chrome:
                 landmarks += 1
+                seen = True
         elif enters:
-            chrome, depth = tag, 1
+            chrome, depth, held_open = tag, 1, None
         elif chrome and tag == chrome:
             depth += 1
     close()

@@ -36,6 +36,19 @@ def test_markup_cases():
     assert texts("") == [] and texts("plain") == []
 
 
+def test_articles_inside_closed_chrome_go():
+    main = "<nav>menu</nav><article><p>main</p></article>"
+    assert texts(main + "<section class='comments'><article>reader comment</article><article>another</article></section>") == ["main"]
+    assert texts(main + "<aside><article>teaser</article></aside><footer><article>x</article></footer>") == ["main"]
+    assert texts("<aside><div><article>teaser</article></div></aside>" + main + "<ul><li class=related><article>t</article></li></ul>") == ["main"]
+    assert texts("<header><article>teaser</article></header>" + main) == ["main"]
+    assert texts("<div class=comments><div><main>no</main></div></div>" + main) == ["main"]
+    assert texts("<header>title<main><p>kept</p></main></header>") == ["kept"]
+    assert texts("<nav>menu<nav>inner</nav><article><header>no</header>kept</article><nav>foot</nav>") == ["kept"]
+    assert texts("<p class=ad>buy<article><p>kept</p></article><p>after</p></p>") == ["kept"]
+    assert texts("<div class=menu><script>'</div>'</script><!-- </div> -->menu<article>kept</article></body></div>") == ["kept"]
+
+
 def test_pages_without_landmark_lose_what_their_host_repeats(spark):
     common = "<div>Welcome to our very own site and enjoy</div>"
     pages = [(i, "http://host.example/p", f"<body>{common}<p>story{i} number{i} told by writer{i} alone{i}</p></body>") for i in range(5)]

@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Texts handled together inside a task; bounds what one step holds in memory.
 BATCH_CHARS = 4_000_000
@@ -90,5 +91,22 @@ def release() -> None:
     _PER_WORKER.clear()
 
 
+#: Keys with more than one in so many of all rows are joined by broadcast; there
+#: are fewer than that of them.
+SPREAD = 1000
+
+
+def join_spread(rows: DataFrame, table: DataFrame, key: list[str], weight: str, total: int, how: str = "left") -> DataFrame:
+    """``rows`` joined with ``table``, one row a key, whose column ``weight`` says
+    how many of the ``total`` rows have the key.  The rows of a key that holds
+    more than a share of 1 / SPREAD stay where they are: its row of the table is
+    broadcast, and there are fewer than SPREAD such.  All others are shuffled."""
+    hot = F.col(weight) * SPREAD > total
+    few, rest = table.where(hot).drop(weight), table.where(~hot).drop(weight)
+    stay = rows.join(F.broadcast(few), key)
+    move = rows.join(F.broadcast(few.select(*key)), key, "left_anti").join(rest, key, how)
+    return stay.unionByName(move, allowMissingColumns=True)
+
+
 def longs(values) -> pa.Array:
     return pa.array(np.asarray(values, dtype=np.int64))

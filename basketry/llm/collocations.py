@@ -48,7 +48,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from basketry.llm.common import text_batches
+from basketry.llm.common import join_spread, text_batches
 from basketry.session import materialize
 
 LONGEST, LEAST, KEEP = 5, 100, 2000
@@ -60,6 +60,10 @@ STRETCH, BLOCK, BUFFER = 4_000_000, 6_000_000, 2_000_000
 FILTER_BITS = 27
 #: At most so many hash partitions (as a power of two), and the bytes of text for one.
 PARTITION_BITS, PARTITION_BYTES = 16, 2_000_000
+#: Phrases whose counts a task adds up before it sends them.
+PHRASES = 400_000
+#: Parts of a language that are ranked on their own before they meet.
+SALTS = 32
 _PIECE = b".,;:!?\n\x0b\x0c\r"
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _TO_SPACE = bytes.maketrans(_PIECE, b" " * len(_PIECE))
@@ -265,15 +269,20 @@ def _merged(summaries: DataFrame, bits: int, least: int, filter_bits: int) -> Da
     return dealt.mapInArrow(run, "part int, bits binary")
 
 
-def survivors_filter(docs: DataFrame, least: int = LEAST, filter_bits: int = FILTER_BITS) -> np.ndarray:
+def partition_bits(docs: DataFrame) -> int:
+    """The number of hash partitions for texts of that size, as a power of two."""
+    length = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return min(PARTITION_BITS, max(6, int(length // PARTITION_BYTES).bit_length()))
+
+
+def survivors_filter(docs: DataFrame, part_bits: int, least: int = LEAST, filter_bits: int = FILTER_BITS) -> np.ndarray:
     """First pass: the packed bits, indexed by the upper ``filter_bits`` of an
     n-gram's hash, of all n-grams of ``docs`` (lang, text) that may occur
     ``least`` times."""
-    length = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = min(PARTITION_BITS, filter_bits - 3, max(6, int(length // PARTITION_BYTES).bit_length()))
+    bits = min(part_bits, filter_bits - 3)
     out = np.zeros(1 << (filter_bits - 3), dtype=np.uint8)
     width = 1 << (filter_bits - bits - 3)
-    for row in _merged(_summarised(docs, bits), bits, least, filter_bits).toLocalIterator():
+    for row in _merged(_summarised(docs, bits), bits, least, filter_bits).collect():
         out[row.part * width:(row.part + 1) * width] = np.frombuffer(row.bits, dtype=np.uint8)
     return out
 
@@ -315,22 +324,81 @@ def counted_phrases(words: Words, lang: str, bits: np.ndarray, filter_bits: int
         h[at], gram[at], alive[at] = h_at, inverse, True
 
 
-def frequent_phrases(docs: DataFrame, bits: np.ndarray, least: int = LEAST, filter_bits: int = FILTER_BITS) -> DataFrame:
+def _pack_phrases(counts: dict[tuple[str, int], dict[str, int]], parts: int) -> Iterator[tuple[int, bytes]]:
+    """(part, payload) for every part that the phrases' hashes name."""
+    by: dict[int, list[str]] = {}
+    for (lang, n), of in counts.items():
+        seed = xxhash.xxh3_64_intdigest(lang.encode())
+        split: dict[int, list[str]] = {}
+        for phrase, count in of.items():
+            split.setdefault(xxhash.xxh3_64_intdigest(phrase, seed) % parts, []).append(f"{phrase}\n{count}")
+        for part, lines in split.items():
+            by.setdefault(part, []).append("\n".join([lang.replace("\\", "\\b").replace("\n", "\\n"), str(n), str(len(lines)), *lines]))
+    for part, lines in by.items():
+        yield part, zstandard.ZstdCompressor(level=1).compress("\n".join(lines).encode())
+
+
+def _unpack_phrases(raw: bytes) -> Iterator[tuple[str, int, list[str], list[int]]]:
+    lines = zstandard.ZstdDecompressor().decompress(raw).decode().split("\n")
+    at = 0
+    while at < len(lines):
+        lang, n, size = lines[at].replace("\\n", "\n").replace("\\b", "\\"), int(lines[at + 1]), int(lines[at + 2])
+        at += 3 + 2 * size
+        yield lang, n, lines[at - 2 * size:at:2], list(map(int, lines[at + 1 - 2 * size:at:2]))
+
+
+def frequent_phrases(docs: DataFrame, bits: np.ndarray, part_bits: int, least: int = LEAST, filter_bits: int = FILTER_BITS) -> DataFrame:
     """Second pass: (lang, n, phrase, f) of all phrases with f >= ``least``; and
-    with n = 0 and an empty phrase, each language's number of words."""
+    with n = 0 and an empty phrase, each language's number of words.
+
+    Tasks add up what they count before they pack it by the phrases' hashes; a
+    part of that holds at most its share of the phrases that may be frequent."""
     shared = docs.sparkSession.sparkContext.broadcast(bits)
+    parts = 1 << part_bits
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = shared.value
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def flush() -> pa.RecordBatch:
+            packed = list(_pack_phrases(sums, parts))
+            sums.clear()
+            return pa.RecordBatch.from_arrays([pa.array([p for p, _ in packed], pa.int32()), pa.array([x for _, x in packed], pa.binary())], names=["part", "payload"])
+
+        bits, sums, held = shared.value, {}, 0
         for lang, words in _by_language(batches):
             size = len(words.ids) - words.seen
-            for n, phrases, counts in [(0, [""], [size]), *counted_phrases(words, lang, bits, filter_bits)]:
-                if len(phrases):
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(phrases), pa.string()), pa.array(np.full(len(phrases), n, np.int32)),
-                                                      pa.array(phrases, pa.string()), pa.array(np.asarray(counts, np.int64))], names=["lang", "n", "phrase", "f"])
+            for n, phrases, counts in [(0, [""], np.array([size])), *counted_phrases(words, lang, bits, filter_bits)]:
+                of = sums.setdefault((lang, n), {})
+                held -= len(of)
+                for phrase, c in zip(phrases, counts.tolist()):
+                    of[phrase] = of.get(phrase, 0) + c
+                held += len(of)
+            if held >= PHRASES:
+                yield flush()
+                held = 0
+        if sums:
+            yield flush()
+
+    def add(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def told() -> Iterator[pa.RecordBatch]:
+            for (lang, n), of in sums.items():
+                kept = [(p, c) for p, c in of.items() if c >= least or n == 0]
+                if kept:
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(kept), pa.string()), pa.array([n] * len(kept), pa.int32()), pa.array([p for p, _ in kept], pa.string()),
+                                                      pa.array([c for _, c in kept], pa.int64())], names=["lang", "n", "phrase", "f"])
+
+        part, sums = None, {}
+        for batch in batches:
+            for p, payload in zip(*(batch.column(c).to_pylist() for c in ("part", "payload"))):
+                if p != part:
+                    yield from told()
+                    part, sums = p, {}
+                for lang, n, phrases, counts in _unpack_phrases(payload):
+                    of = sums.setdefault((lang, n), {})
+                    for phrase, c in zip(phrases, counts):
+                        of[phrase] = of.get(phrase, 0) + c
+        yield from told()
 
-    told = docs.mapInArrow(run, "lang string, n int, phrase string, f bigint")
-    return told.groupBy("lang", "n", "phrase").agg(F.sum("f").alias("f")).where((F.col("f") >= least) | (F.col("n") == 0))
+    packed = docs.mapInArrow(count, "part int, payload binary")
+    return packed.repartition("part").sortWithinPartitions("part").mapInArrow(add, "lang string, n int, phrase string, f bigint")
 
 
 # ---- scores -------------------------------------------------------------------
@@ -343,27 +411,32 @@ def mine(docs: DataFrame, least: int = LEAST, keep: int = KEEP, filter_bits: int
     """(lang, rank, phrase, a, l, r, n, score): the ``keep`` best collocations of each
     language of ``docs`` (text, lang)."""
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), "text")
-    bits = survivors_filter(texts, least, filter_bits)
-    found = materialize(frequent_phrases(texts, bits, least, filter_bits), "phrases")
-    totals = found.where("n = 0").select("lang", F.col("f").alias("total"))
+    part_bits = partition_bits(texts)
+    bits = survivors_filter(texts, part_bits, least, filter_bits)
+    found = materialize(frequent_phrases(texts, bits, part_bits, least, filter_bits), "phrases")
+    # a language's total meets its phrases where they lie if it has many of them
+    sizes = found.groupBy("lang").agg(F.max(F.when(F.col("n") == 0, F.col("f"))).alias("total"), F.count(F.when(F.col("n") >= 2, 1)).alias("weight"))
     part = found.where("n between 1 and 4").select("lang", "phrase", "f")
-    whole = found.where("n >= 2").select("lang", "n", "phrase", F.col("f").alias("a"), F.split("phrase", " ").alias("w"))
+    many = found.where("n >= 2").select("lang", "n", "phrase", F.col("f").alias("a"), F.split("phrase", " ").alias("w"))
+    whole = join_spread(many, sizes, ["lang"], "weight", many.count(), "inner")
     # A longer candidate as frequent as a shorter one inside it has, by one word
     # more than the shorter, a candidate between them that is as frequent.
     inside = whole.where("n >= 3").select("lang", F.explode(F.array(
         _words(F.lit(1), F.col("n") - 1), _words(F.lit(2), F.col("n") - 1))).alias("phrase"), "a")
     inside = inside.groupBy("lang", "phrase").agg(F.max("a").alias("around"))
     alone = whole.join(inside, ["lang", "phrase"], "left").where("around is null or 100 * around < 100 * a").drop("around")
-    cuts = alone.select("lang", "phrase", "a", F.explode(F.expr("sequence(1, n - 1)")).alias("k"), "w", "n").select(
-        "lang", "phrase", "a", "k", _words(F.lit(1), F.col("k")).alias("first"), _words(F.col("k") + 1, F.col("n") - F.col("k")).alias("rest"))
+    cuts = alone.select("lang", "total", "phrase", "a", F.explode(F.expr("sequence(1, n - 1)")).alias("k"), "w", "n").select(
+        "lang", "total", "phrase", "a", "k", _words(F.lit(1), F.col("k")).alias("first"), _words(F.col("k") + 1, F.col("n") - F.col("k")).alias("rest"))
     left = part.select("lang", F.col("phrase").alias("first"), F.col("f").alias("l"))
     right = part.select("lang", F.col("phrase").alias("rest"), F.col("f").alias("r"))
-    met = cuts.join(left, ["lang", "first"]).join(right, ["lang", "rest"]).join(totals, "lang")
+    met = cuts.join(left, ["lang", "first"]).join(right, ["lang", "rest"])
     wide = {c: F.col(c).cast("decimal(19,0)") for c in ("a", "total", "l", "r")}
     scored = met.withColumn("above", (wide["a"] * wide["total"] * F.lit(1000)).cast("decimal(38,0)")).withColumn(
         "below", (wide["l"] * wide["r"]).cast("decimal(38,0)")).withColumn("score", F.expr("above div below"))
     lowest = scored.groupBy("lang", "phrase", "a", "total").agg(F.min(F.struct("score", "k", "l", "r")).alias("cut"))
-    order = Window.partitionBy("lang").orderBy(F.col("cut.score").desc(), F.col("a").desc(), "phrase")
-    return lowest.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= keep).select(
+    order = [F.col("cut.score").desc(), F.col("a").desc(), F.col("phrase")]
+    salted = lowest.withColumn("salt", F.pmod(F.xxhash64("phrase"), F.lit(SALTS)))
+    first = salted.withColumn("turn", F.row_number().over(Window.partitionBy("lang", "salt").orderBy(*order))).where(F.col("turn") <= keep)
+    return first.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= keep).select(
         "lang", F.col("rank").cast("bigint").alias("rank"), "phrase", "a", F.col("cut.l").alias("l"), F.col("cut.r").alias("r"),
         F.col("total").alias("n"), F.col("cut.score").cast("bigint").alias("score"))

@@ -1,12 +1,22 @@
 """Transparent product recommendations and their attributions
 (M7, M8, W8, J6, J9, M16, M17, M23).
 
-A score depends on a customer's segment and set of recent categories alone,
-so the distinct inputs, far fewer than customers, are packed into blocks of
-bounded size and scored against every catalog row; each task keeps the k best
-of an input before anything is shuffled, and customers are joined back to
-their input's result.  The catalog may have any size.  Formula weights are
-fixed values equal to the reference's.
+A score depends on a customer's segment and set of recent categories alone, so
+the distinct inputs are scored, and customers are joined back to theirs.  No
+input meets the whole catalog:
+
+* An input has keys, the categories and keywords that can raise a score for it
+  (``input_keys``).  Products with the same keys among those of any input and
+  equally many categories and keywords form a profile; within it the score
+  grows with the base score alone.  A product goes if k products of its
+  profile have no smaller base score and come earlier in the catalog, since
+  they precede it for every input (``leading``).
+* What stays is listed under each of its keys, and those products that no k of
+  the whole catalog precede so under a key that every input has.  An input is
+  joined with its lists; a product in none of them cannot be among its k best.
+
+Scores are exact and the catalog may have any size.  Formula weights are fixed
+values equal to the reference's.
 """
 
 from __future__ import annotations
@@ -17,9 +27,12 @@ from pyspark.sql.window import Window
 
 from basketry.functions.numeric import clamp
 from basketry.functions.scoring import normalize_segment, segment_category_match, segment_fit
+from basketry.session import materialize
 
-#: Distinct inputs that a catalog row is scored for at once.
-INPUT_BLOCK = 1000
+#: Parts of a profile that are reduced on their own before they meet.
+SALTS = 64
+#: The list that every input visits.
+EVERY = "*"
 
 # ---- fixed values: recommendation weights ----------------------------------
 # base .22, recent category overlap .34, segment fit .24, keyword overlap .12,
@@ -55,32 +68,86 @@ def _ranked(c: Column) -> Column:
                     F.round(c["wc"], 3).alias("winback_sleep_boost"))
 
 
+# fixed values: categories that a word in the segment makes fit, as in segment_fit
+# and the winback boost
+SEGMENT_KEYS = (("wellness", ("wellness", "fitness", "sleep")), ("commuter", ("commuter", "travel")), ("home", ("smart home",)),
+                ("productivity", ("productivity",)), ("winback", ("sleep",)))
+
+
+def _keyed(prefix: str, values: Column) -> Column:
+    known = F.filter(F.coalesce(values, F.array().cast("array<string>")), lambda v: v.isNotNull())
+    return F.transform(known, lambda v: F.concat(F.lit(prefix), v))
+
+
+def input_keys(ns: Column, recent: Column, tokens: Column) -> Column:
+    """Keys of products whose score for the input can exceed what their base score
+    and the segment alone give: category ``c:...`` or keyword ``k:...``."""
+    fits = [F.when(ns.contains(word), F.array(*map(F.lit, names))).otherwise(F.array().cast("array<string>")) for word, names in SEGMENT_KEYS]
+    return F.array_distinct(F.concat(_keyed("c:", recent), _keyed("k:", tokens), *(_keyed("c:", f) for f in fits)))
+
+
+def leading(rows: DataFrame, by: list[str], k: int) -> DataFrame:
+    """``rows`` (ordinal, product_id, base_score, salt, ...) without those that k or
+    more rows of their group precede for certain: rows of no smaller base score
+    and an earlier place.  What is left may include a few more.
+
+    Layer by layer: a row whose base score exceeds all earlier ones' belongs to the
+    first layer, and so on without that one; a row past layer k has at least
+    one such predecessor in each of the k layers.  Salted parts first, so that no
+    group is reduced in one task."""
+    for keys in ([*by, "salt"], by):
+        before = Window.partitionBy(*keys).orderBy("ordinal", "product_id").rowsBetween(Window.unboundedPreceding, -1)
+        rows = rows.withColumn("_layer", F.lit(0))
+        for n in range(1, k + 1):
+            left = F.col("_layer") == 0
+            rows = rows.withColumn("_most", F.max(F.when(left, F.col("base_score"))).over(before))
+            first = left & (F.col("_most").isNull() | (F.col("base_score") > F.col("_most")))
+            rows = rows.withColumn("_layer", F.when(first, F.lit(n)).otherwise(F.col("_layer")))
+        rows = rows.where(F.col("_layer") > 0).drop("_layer", "_most")
+    return rows
+
+
+def _lists(catalog: DataFrame, inputs: DataFrame, k: int) -> DataFrame:
+    """(key, keys, p): the products to look at under each key of any input."""
+    wanted = inputs.select(F.explode("keys").alias("key")).distinct().withColumn("wanted", F.lit(True))
+    products = catalog.select(F.monotonically_increasing_id().alias("row"), F.struct(
+        F.col("ordinal").cast("bigint").alias("ordinal"), "product_id", "product", "categories", "keywords",
+        F.coalesce(F.col("base_score").cast("double"), F.lit(0.0)).alias("base_score")).alias("p"))
+    words = products.select("row", "p", F.explode_outer(F.array_distinct(F.concat(_keyed("c:", F.col("p.categories")), _keyed("k:", F.col("p.keywords"))))).alias("key"))
+    told = words.join(wanted, "key", "left").groupBy("row", "p").agg(
+        F.sort_array(F.collect_set(F.when(F.col("wanted"), F.col("key")))).alias("keys"))
+    rows = told.select(
+        "p", "keys", F.col("p.ordinal").alias("ordinal"), F.col("p.product_id").alias("product_id"), F.col("p.base_score").alias("base_score"),
+        F.size("p.categories").alias("categories"), F.size("p.keywords").alias("keywords"),
+        F.pmod(F.xxhash64("row"), F.lit(SALTS)).alias("salt"), F.lit(EVERY).alias("every"))
+    front = leading(rows, ["keys", "categories", "keywords"], k)
+    listed = front.select(F.explode("keys").alias("key"), "keys", "p")
+    return listed.unionByName(leading(front, ["every"], k).select(F.col("every").alias("key"), "keys", "p"))
+
+
 def recommend(customers: DataFrame, catalog: DataFrame, k: int = 3, key: str = "customer_id",
               keep: list[str] | None = None) -> DataFrame:
     """M7 for every row of ``customers`` (key, segment, recent_categories).
 
     Ranks by rounded score, ties by catalog order (trap T14), keeps k (W8).
     Output: key, [keep...], rank, product_id, product, category, score, five
-    drivers.  ``keep`` carries customer columns through (no join back).
+    drivers.  ``keep`` carries customer columns through (no join back).  A null
+    base score counts as 0.
     """
     keep = list(keep or [])
     ns = normalize_segment(F.col("segment"))
-    prepared = customers.select(key, *keep, ns.alias("_ns"), F.sort_array(_norm_categories(F.col("recent_categories"))).alias("_recent"))
-    inputs = prepared.select("_ns", "_recent").distinct()
-    blocks = max(1, -(-inputs.count() // INPUT_BLOCK))
-    tokens = F.array_distinct(F.filter(F.split("_ns", r"\s+"), lambda w: w != ""))
-    packed = inputs.groupBy(F.pmod(F.xxhash64("_ns", "_recent"), F.lit(blocks)).alias("block")).agg(
-        F.collect_list(F.struct("_ns", "_recent", tokens.alias("_tokens"))).alias("inputs"))
-    products = catalog.select(F.struct(
-        F.col("ordinal").cast("bigint").alias("ordinal"), "product_id", "product", "categories", "keywords",
-        F.col("base_score").cast("double").alias("base_score")).alias("p"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    # salts spread the products of a block over tasks; a block's inputs go to each
-    tasks = catalog.sparkSession.sparkContext.defaultParallelism
-    salted = products.withColumn("salt", F.pmod(F.xxhash64("p.product_id"), F.lit(tasks))).repartition(tasks, "block", "salt")
-    spread = packed.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(tasks - 1).cast("bigint"))))
-    scored = salted.join(spread, ["block", "salt"]).select("p", F.explode("inputs").alias("i")).select(
-        F.col("i._ns").alias("_ns"), F.col("i._recent").alias("_recent"),
-        _ranked(_components(F.col("p"), F.col("i._ns"), F.col("i._recent"), F.col("i._tokens"))).alias("x"))
+    prepared = materialize(customers.select(
+        key, *keep, ns.alias("_ns"), F.sort_array(_norm_categories(F.col("recent_categories"))).alias("_recent")), "recommend-inputs")
+    tokens = F.array_distinct(F.filter(F.split(F.coalesce("_ns", F.lit("")), r"\s+"), lambda w: w != ""))
+    inputs = prepared.select("_ns", "_recent").distinct().withColumn("_tokens", tokens).withColumn(
+        "keys", input_keys(F.coalesce("_ns", F.lit("")), F.col("_recent"), F.col("_tokens")))
+    lists = _lists(catalog, inputs, k).withColumnRenamed("keys", "listed")
+    visits = inputs.withColumn("key", F.explode(F.concat("keys", F.array(F.lit(EVERY)))))
+    shared = F.array_intersect("listed", "keys")
+    # a product that has several of the input's keys is taken from one list
+    once = F.when(F.col("key") == EVERY, F.size(shared) == 0).otherwise(F.col("key") == F.array_min(shared))
+    scored = visits.join(lists, "key").where(once).select(
+        "_ns", "_recent", _ranked(_components(F.col("p"), F.col("_ns"), F.col("_recent"), F.col("_tokens"))).alias("x"))
     best = scored.withColumn("rank", F.row_number().over(Window.partitionBy("_ns", "_recent").orderBy("x"))).filter(F.col("rank") <= k)
     same = prepared._ns.eqNullSafe(best._ns) & prepared._recent.eqNullSafe(best._recent)
     return prepared.join(best, same).select(
@@ -91,6 +158,16 @@ def recommend(customers: DataFrame, catalog: DataFrame, k: int = 3, key: str = "
                                             "keyword_match", "winback_sleep_boost")])
 
 
+# fixed values: categories assumed in an explanation for customers without any
+DEFAULT_CATEGORIES = ("wellness", "smart home")
+
+
+def with_default_categories(customers: DataFrame) -> DataFrame:
+    """Customers whose ``recent_categories`` are null or empty get the default ones."""
+    none = F.size(F.coalesce("recent_categories", F.array().cast("array<string>"))) == 0
+    return customers.withColumn("recent_categories", F.when(none, F.array(*map(F.lit, DEFAULT_CATEGORIES))).otherwise(F.col("recent_categories")))
+
+
 # ---- attributions (M16) -------------------------------------------------------
 ATTRIBUTION_NAMES = ("Recommendation score", "Recent category match", "Bundle affinity", "Purchase frequency",
                      "Segment fit", "Product keyword match", "Base product fit", "Discount sensitivity",
@@ -147,13 +224,22 @@ def explanation_text(product: Column, name: Column, impact: Column) -> Column:
                     F.lit(". Positive values increase recommendation confidence; negative values reduce it."))
 
 
-def recommendation_insight(recs: DataFrame, attrib: DataFrame, key: str = "customer_id") -> DataFrame:
-    """Each customer's recommendations with the explanation of the
-    top one (its strongest attribution)."""
-    strongest = attrib.filter(F.col("position") == 1).select(
+def recommendation_insight(customers: DataFrame, catalog: DataFrame, features: DataFrame, k: int = 3, key: str = "customer_id") -> DataFrame:
+    """Each customer's recommendations with the explanation of the top one
+    (its strongest attribution).  The explanation assumes the default
+    categories for customers without any, the recommendations do not: both are
+    ranked by one call of ``recommend``, for two inputs of such a customer."""
+    cust = customers.select(key, "segment", "recent_categories")
+    plain = cust.select("*", F.lit(False).alias("assumed"))
+    some = F.size(F.coalesce("recent_categories", F.array().cast("array<string>"))) > 0
+    assumed = with_default_categories(cust.where(~some)).select("*", F.lit(True).alias("assumed"))
+    found = recommend(plain.unionByName(assumed), catalog, k, key, keep=["segment", "recent_categories", "assumed"])
+    found = materialize(found, "recommend-insight")
+    top = found.where((F.col("rank") == 1) & (F.col("assumed") | some))
+    strongest = attributions(top, features, key).filter(F.col("position") == 1).select(
         key, explanation_text(F.col("product"), F.col("name"), F.col("impact")).alias("explanation"),
         F.col("name").alias("strongest_feature"), F.col("impact").alias("strongest_impact"))
-    return recs.join(strongest, key, "left")
+    return found.where(~F.col("assumed")).select(key, "rank", "product_id", "score").join(strongest, key, "left")
 
 
 def exclude_bought(recs: DataFrame, bought_col: str = "bought_product_id") -> DataFrame:

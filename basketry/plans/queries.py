@@ -216,26 +216,24 @@ def q_recommendations(spark, sf_dir):
     return _rec.recommend(_rec_customers(spark, sf_dir), v.catalog(), k=3)
 
 
-def _attributions(spark, sf_dir):
-    v = views(spark, sf_dir)
-    cust = _rec_customers(spark, sf_dir)
-    top = _rec.recommend(cust, v.catalog(), k=1, keep=["segment", "recent_categories"])
+def _attribution_features(v):
     feats = v.features()
     churn = _churn.churn_scores(feats).select("customer_id", F.col("probability").alias("churn_risk"))
-    return cust, _rec.attributions(top, feats.join(churn, "customer_id"))
+    return feats.join(churn, "customer_id")
 
 
 @query("recommendation_attributions")
 def q_recommendation_attributions(spark, sf_dir):
-    return _attributions(spark, sf_dir)[1]
+    v = views(spark, sf_dir)
+    cust = _rec.with_default_categories(_rec_customers(spark, sf_dir))
+    top = _rec.recommend(cust, v.catalog(), k=1, keep=["segment", "recent_categories"])
+    return _rec.attributions(top, _attribution_features(v))
 
 
 @query("recommendation_insight")
 def q_recommendation_insight(spark, sf_dir):
     v = views(spark, sf_dir)
-    cust, attrib = _attributions(spark, sf_dir)
-    recs = _rec.recommend(cust, v.catalog(), k=3)
-    return _rec.recommendation_insight(recs.select("customer_id", "rank", "product_id", "score"), attrib)
+    return _rec.recommendation_insight(_rec_customers(spark, sf_dir), v.catalog(), _attribution_features(v), k=3)
 
 
 # ---- reviews ----------------------------------------------------------------

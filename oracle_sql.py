@@ -6,6 +6,8 @@ the same rules as ``basketry.sources.views``.
 
 from __future__ import annotations
 
+import re
+
 def R(x: str, n: int) -> str:
     """Round a double the way Spark does: half-up on its decimal text."""
     return f"CAST(round(CAST(CAST(({x}) AS VARCHAR) AS DECIMAL(38,20)), {n}) AS DOUBLE)"
@@ -427,7 +429,14 @@ SELECT customer_id, rank, product_id, product, category, score, {R('b', 3)} AS b
        {R('cc', 3)} AS recent_category_match, {R('sc', 3)} AS segment_fit, {R('kc', 3)} AS keyword_match,
        {R('wc', 3)} AS winback_sleep_boost FROM recs""", extra=["catalog"])
 
-ATTRIB = RECS + f""",
+RECS_ASSUMED = rec_sql("cust", prefix=f"""
+, cust AS (
+  SELECT c.c_custkey AS customer_id, {SEGTEXT.format(c='c.c_mktsegment')} AS segment,
+         CASE WHEN coalesce(len(t.recent_categories), 0) = 0 THEN ['wellness', 'smart home'] ELSE t.recent_categories END AS recent_categories
+  FROM customer c LEFT JOIN cat_top t ON t.customer_id = c.c_custkey),
+""")
+
+ATTRIB = RECS_ASSUMED + f""",
 feat AS (SELECT f.*, ch.probability AS churn_risk FROM features f JOIN ({churn_sql('features')}) ch
          ON f.customer_id = ch.customer_id),
 top1 AS (SELECT r.*, {R('r.cc', 3)} AS rcm, {R('r.sc', 3)} AS sfit, {R('r.kc', 3)} AS kwm, {R('r.b', 3)} AS bpf,
@@ -457,12 +466,20 @@ attrib AS (SELECT *, row_number() OVER (PARTITION BY customer_id ORDER BY abs(im
 ORACLE["recommendation_attributions"] = with_behavior(ATTRIB + """
 SELECT customer_id, product, position, name, impact, value FROM attrib""", extra=["catalog", "features"])
 
-ORACLE["recommendation_insight"] = with_behavior(ATTRIB + f"""
+PLAIN_RECS = rec_sql("plain_cust", prefix=f""",
+plain_cust AS (
+  SELECT c.c_custkey AS customer_id, {SEGTEXT.format(c='c.c_mktsegment')} AS segment, t.recent_categories
+  FROM customer c LEFT JOIN cat_top t ON t.customer_id = c.c_custkey),
+""")
+for _name in ("sc1", "sc2", "sc3", "sc4", "recs"):
+    PLAIN_RECS = re.sub(rf"\b{_name}\b", f"plain_{_name}", PLAIN_RECS)
+
+ORACLE["recommendation_insight"] = with_behavior(ATTRIB + PLAIN_RECS + f"""
 SELECT r.customer_id, r.rank, r.product_id, r.score,
        a.product || ' is recommended primarily because ' || lower(a.name) || ' contributed '
          || printf('%+.2f', {R('a.impact', 2)}) || '. Positive values increase recommendation confidence; negative values reduce it.' AS explanation,
        a.name AS strongest_feature, a.impact AS strongest_impact
-FROM recs r LEFT JOIN (SELECT * FROM attrib WHERE position = 1) a ON r.customer_id = a.customer_id""",
+FROM plain_recs r LEFT JOIN (SELECT * FROM attrib WHERE position = 1) a ON r.customer_id = a.customer_id""",
     extra=["catalog", "features"])
 
 

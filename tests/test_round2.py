@@ -55,8 +55,7 @@ def test_long_series_are_not_cut(spark):
     assert weighted.prediction == round(mean + 0.35, 2)
 
 
-def test_recommendations_over_a_large_catalog(spark, monkeypatch):
-    monkeypatch.setattr(recommend, "INPUT_BLOCK", 2)
+def test_recommendations_over_a_large_catalog(spark):
     n = 6000
     catalog = spark.range(n).select(
         F.col("id").alias("product_id"), F.col("id").alias("ordinal"), F.concat(F.lit("p"), "id").alias("product"),

@@ -22,10 +22,11 @@ from pyspark.sql import functions as F
 
 
 def running_count(df: DataFrame, keys: list[str], order_cols: list[str], bucket: Column,
-                  out: str, flag: Column | None = None) -> DataFrame:
+                  out: str, flag: Column | None = None, start: DataFrame | None = None) -> DataFrame:
     """Adds ``out`` = number of rows (or of rows where ``flag``) with the same
     keys up to and including this row, in ``order_cols`` order.  The first
-    order column is a timestamp and ``bucket`` must be monotone in it."""
+    order column is a timestamp and ``bucket`` must be monotone in it.
+    ``start`` (keys, start), one row a key, says what to count on from."""
     val = F.when(flag, F.lit(1)).otherwise(F.lit(0)) if flag is not None else F.lit(1)
     staged = df.withColumn("_b", bucket).withColumn("_s", F.unix_seconds(order_cols[0])).withColumn("_v", val)
     seconds = staged.groupBy(*keys, "_b", "_s").agg(F.sum("_v").alias("_n"))
@@ -34,6 +35,9 @@ def running_count(df: DataFrame, keys: list[str], order_cols: list[str], bucket:
     totals = seconds.groupBy(*keys, "_b").agg(F.sum("_n").alias("_n"))
     buckets = totals.withColumn("_buckets", before("_n", Window.partitionBy(*keys).orderBy("_b")))
     same = lambda a, b, on: [a[c].eqNullSafe(b[c]) for c in on]
+    if start is not None:
+        buckets = buckets.join(start, same(buckets, start, keys), "left").select(
+            *(buckets[c] for c in [*keys, "_b"]), (F.col("_buckets") + F.coalesce(start["start"], F.lit(0))).alias("_buckets"))
     base = earlier.join(buckets, same(earlier, buckets, [*keys, "_b"])).select(
         *(earlier[c] for c in [*keys, "_b", "_s"]), (F.col("_seconds") + F.col("_buckets")).alias("_base"))
     inner = Window.partitionBy(*keys, "_b", "_s").orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, 0)

@@ -460,33 +460,39 @@ def q_kmeans_cluster_profiles(spark, sf_dir):
 from basketry.plans import live as _live  # noqa: E402
 from basketry.streaming import topics as _topics  # noqa: E402
 
-STREAM_CHUNKS = ["2024-01-11", "2024-01-21"]
+
+def _insights_of(spark, base):
+    ins = _live.sink(spark, base, "insights")
+    return ins.select("event_id", "insight_ordinal", "kind", "title", "detail", "severity")
 
 
 @query("streaming_insights")
 def q_streaming_insights(spark, sf_dir):
-    ev = views(spark, sf_dir).stream_events()
-    ins = _live.streaming_insights(spark, ev, STREAM_CHUNKS)
-    return ins.select("event_id", "insight_ordinal", "kind", "title", "detail", "severity")
+    return _insights_of(spark, _live.streaming_insights(spark, sf_dir))
 
 
 @query("streaming_insights_keyed_state")
 def q_streaming_insights_keyed_state(spark, sf_dir):
-    ev = views(spark, sf_dir).stream_events()
-    ins = _live.streaming_insights_keyed_state(spark, ev, STREAM_CHUNKS)
-    return ins.select("event_id", "insight_ordinal", "kind", "title", "detail", "severity")
+    """The events themselves, without messages, through the same state."""
+    return _insights_of(spark, _live.direct_insights(spark, sf_dir))
+
+
+@query("live_snapshot")
+def q_live_snapshot(spark, sf_dir):
+    """ST4 over the sinks of the stream."""
+    base = _live.streaming_insights(spark, sf_dir)
+    return _live.snapshot_rows(_live.live_snapshot(_live.sink(spark, base, "events"), _live.sink(spark, base, "insights")))
 
 
 @query("streaming_hourly_revenue")
 def q_streaming_hourly_revenue(spark, sf_dir):
-    ev = views(spark, sf_dir).stream_events()
-    h = _live.streaming_hourly_revenue(spark, ev, STREAM_CHUNKS)
+    h = _live.streaming_hourly_revenue(spark, sf_dir)
     return h.select(F.col("window_start").cast("string").alias("window_start"), "event_type", "revenue", "events")
 
 
 @query("streaming_clean_events")
 def q_streaming_clean_events(spark, sf_dir):
-    c = _live.streaming_clean(spark, views(spark, sf_dir).raw_events())
+    c = _live.streaming_clean(spark, sf_dir)
     return c.select("event_id", "customer_id", "product_id", "event_type",
                     iso_utc(F.col("event_time")).alias("event_time"), "quantity", "price", "revenue",
                     "lat", "lon", "region")

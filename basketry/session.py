@@ -66,10 +66,16 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return configured
 
 
+def file_system(spark: SparkSession, path: str):
+    """(the file system that a path names, Hadoop's path type)."""
+    of = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    return of(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), of
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     """Whether a path exists in whatever store it names."""
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+    fs, of = file_system(spark, path)
+    return fs.exists(of(path))
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

@@ -1,89 +1,11 @@
-"""Streaming insight detection (ST1 via ST2, ST4, ST5, ST6, ST7).
-
-Stateless insights (purchase, high value) are plain projections.  The two
-all-time counters are keyed state: one processor keyed by category, one by
-customer (``applyInPandasWithState``).  Each processor receives a key's
-rows of one micro-batch, orders them by (event_time, seq), adds the stored
-count and emits the per-event running count; state is checkpointed (use
-the RocksDB provider on a cluster).  A hot key's work per trigger is
-bounded by the micro-batch size (``maxFilesPerTrigger`` /
-``maxOffsetsPerTrigger``).
-"""
+"""Streaming de-duplication and windowed revenue (ST5, ST6)."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-from basketry.operators.insights import HIGH_VALUE_REVENUE, MOMENTUM_EVENTS, REPEAT_PURCHASES
-
-COUNT_OUT = "key string, event_id string, event_time timestamp, seq long, running long"
-COUNT_STATE = "total long"
-
-
-def _running(counted_flag: str):
-    def fn(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        frames = [c for c in chunks]
-        batch = pd.concat(frames, ignore_index=True) if frames else pd.DataFrame()
-        if batch.empty:
-            return
-        batch = batch.sort_values(["event_time", "seq"], kind="mergesort")
-        base = state.get[0] if state.exists else 0
-        flags = batch[counted_flag].astype("int64") if counted_flag else pd.Series(1, index=batch.index)
-        running = base + flags.cumsum()
-        state.update((int(running.iloc[-1]),))
-        yield pd.DataFrame({"key": batch["_key"].astype(str), "event_id": batch["event_id"],
-                            "event_time": batch["event_time"], "seq": batch["seq"], "running": running.astype("int64")})
-    return fn
-
-
-def keyed_running_count(norm: DataFrame, key: str, flag: str | None = None) -> DataFrame:
-    """ST2: per-event all-time running count for ``key`` (optionally of
-    rows where ``flag`` is true), carried across micro-batches in state."""
-    cols = [F.col(key).alias("_key"), "event_id", "event_time", "seq"]
-    if flag:
-        cols.append(F.col(flag))
-    return (norm.select(*cols).groupBy("_key")
-                .applyInPandasWithState(_running(flag), COUNT_OUT, COUNT_STATE, "append",
-                                        GroupStateTimeout.NoTimeout))
-
-
-def stateless_insights(norm: DataFrame) -> DataFrame:
-    rev = F.format_string("%.2f", F.col("revenue"))
-    p = norm.filter(F.col("event_type") == "purchase").select(
-        "event_id", F.lit(0).alias("insight_ordinal"), F.lit("purchase_detected").alias("kind"),
-        F.lit("Purchase event detected").alias("title"),
-        F.concat(F.col("customer_id"), F.lit(" bought "), F.col("product_name"), F.lit(" for $"), rev, F.lit(".")).alias("detail"),
-        F.lit("info").alias("severity"))
-    h = norm.filter(F.col("revenue") >= HIGH_VALUE_REVENUE).select(
-        "event_id", F.lit(1).alias("insight_ordinal"), F.lit("high_value_order").alias("kind"),
-        F.lit("High-value order").alias("title"),
-        F.concat(F.col("product_name"), F.lit(" generated $"), rev, F.lit(" in one order.")).alias("detail"),
-        F.lit("positive").alias("severity"))
-    return p.unionByName(h)
-
-
-def momentum_insights(norm: DataFrame) -> DataFrame:
-    c = keyed_running_count(norm, "category")
-    return c.filter(F.col("running") >= MOMENTUM_EVENTS).select(
-        "event_id", F.lit(2).alias("insight_ordinal"), F.lit("category_momentum").alias("kind"),
-        F.lit("Category momentum").alias("title"),
-        F.concat(F.col("key"), F.lit(" has "), F.col("running").cast("string"), F.lit(" recent events.")).alias("detail"),
-        F.lit("positive").alias("severity"))
-
 
-def repeat_insights(norm: DataFrame) -> DataFrame:
-    staged = norm.withColumn("_purchase", F.col("event_type") == "purchase")
-    c = keyed_running_count(staged, "customer_id", "_purchase")
-    return c.filter(F.col("running") >= REPEAT_PURCHASES).select(
-        "event_id", F.lit(3).alias("insight_ordinal"), F.lit("repeat_buyer").alias("kind"),
-        F.lit("Repeat buyer activity").alias("title"),
-        F.concat(F.col("key"), F.lit(" has "), F.col("running").cast("string"), F.lit(" recent purchases.")).alias("detail"),
-        F.lit("positive").alias("severity"))
+from basketry.streaming.counters import ROCKSDB
 
 
 def dedupe(stream: DataFrame, key: str = "event_id", ts: str = "event_time", delay: str = "1 day") -> DataFrame:
@@ -92,9 +14,9 @@ def dedupe(stream: DataFrame, key: str = "event_id", ts: str = "event_time", del
 
 
 def hourly_revenue(stream: DataFrame, delay: str | None = "1 hour") -> DataFrame:
-    """ST6: revenue per closed hour and event type (append mode).  Pass
-    ``delay=None`` when the stream already carries a watermark (e.g. after
-    ``dedupe``)."""
+    """ST6: revenue per hour and event type; in append mode a window appears
+    when the watermark closes it.  Pass ``delay=None`` when the stream already
+    carries a watermark (e.g. after ``dedupe``)."""
     s = stream.withWatermark("event_time", delay) if delay else stream
     return (s.groupBy(F.window("event_time", "1 hour").alias("w"), "event_type")
                   .agg(F.sum(F.col("revenue").cast("decimal(18,2)")).alias("revenue"), F.count(F.lit(1)).alias("events"))
@@ -102,9 +24,40 @@ def hourly_revenue(stream: DataFrame, delay: str | None = "1 hour") -> DataFrame
                           F.col("revenue").cast("double").alias("revenue"), "events"))
 
 
-def run_to_table(stream: DataFrame, sink: str, checkpoint: str, mode: str = "append") -> None:
+def open_windows(spark: SparkSession, checkpoint: str, operator_id: int = 0) -> DataFrame:
+    """The windows of ``hourly_revenue`` that no watermark has closed, from the
+    state that the stream's checkpoint holds after its last batch."""
+    state = spark.read.format("statestore").option("operatorId", operator_id).load(checkpoint)
+    key = [f"key.`{f.name}`" for f in state.schema["key"].dataType.fields]
+    held = [f"value.`{f.name}`" for f in state.schema["value"].dataType.fields]
+    # sum keeps (sum, isEmpty), count keeps (count)
+    return state.select(F.col(f"{key[0]}.start").alias("window_start"), F.col(f"{key[0]}.end").alias("window_end"), F.col(key[1]).alias("event_type"),
+                        F.col(held[0]).cast("decimal(18,2)").cast("double").alias("revenue"), F.col(held[-1]).alias("events"))
+
+
+def run_hourly(stream: DataFrame, base: str) -> tuple[DataFrame, DataFrame]:
+    """Drains ``stream`` through ``dedupe`` and ``hourly_revenue``: (all windows seen so
+    far with ``is_open``, rows that came behind the watermark by run, batch and
+    operator).  Closed windows are in the sink, open ones in the state; a row
+    behind the watermark changes neither and is counted in the table ``late``."""
+    spark = stream.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", "100000")
+    windows = hourly_revenue(dedupe(stream, delay="1 hour"), delay=None)
+    query = run_to_table(windows, f"{base}/closed", f"{base}/checkpoint")
+    rows = [(str(query.runId), int(p["batchId"]), name, int(op["numRowsDroppedByWatermark"])) for p in query.recentProgress
+            for name, op in zip(("hourly_revenue", "dedupe"), p["stateOperators"]) if op["numRowsDroppedByWatermark"]]
+    schema = "run string, batch_id bigint, operator string, dropped bigint"
+    spark.createDataFrame(rows, schema).write.mode("append").parquet(f"{base}/late")
+    closed = spark.read.schema(windows.schema).parquet(f"{base}/closed")
+    both = closed.withColumn("is_open", F.lit(False)).unionByName(open_windows(spark, f"{base}/checkpoint").withColumn("is_open", F.lit(True)))
+    return both, spark.read.schema(schema).parquet(f"{base}/late")
+
+
+def run_to_table(stream: DataFrame, sink: str, checkpoint: str, mode: str = "append"):
     """Run a streaming frame over all available input into a parquet table.
     The file sink logs each batch, so one that is run again is not doubled."""
     q = (stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint)
          .format("parquet").option("path", sink).trigger(availableNow=True).start())
     q.awaitTermination()
+    return q

@@ -1,9 +1,8 @@
 """Topic source and sink.
 
-Production reads ``format("kafka")`` with ``subscribe`` on the two topics;
-the same decoding runs here on a file-backed topic table with the Kafka
-column names (topic, value, offset), so the plan is identical after the
-source.
+Production reads ``format("kafka")`` with ``subscribe`` on the two topics; the
+same decoding runs on any frame, streaming or not, with the Kafka column names
+(topic, value, offset), such as events encoded on the way (``encode``).
 """
 
 from __future__ import annotations
@@ -16,12 +15,6 @@ from pyspark.sql import types as T
 
 from basketry.session import path_exists, scratch_path
 
-TOPIC_SCHEMA = T.StructType([
-    T.StructField("topic", T.StringType()),
-    T.StructField("value", T.StringType()),
-    T.StructField("offset", T.LongType()),
-])
-
 EVENT_SCHEMA = T.StructType([
     T.StructField("event_id", T.StringType()),
     T.StructField("event_type", T.StringType()),
@@ -53,29 +46,10 @@ def encode(events: DataFrame, topics: list[str], only_purchases_for: set[str] |
                   .select("topic", "value", "offset"))
 
 
-def publish(encoded: DataFrame, path: str) -> None:
-    """Append encoded rows to the topic table (batch)."""
-    encoded.write.mode("append").parquet(path)
-
-
-def publish_stream(encoded_stream: DataFrame, path: str, checkpoint: str):
-    """S9 for a streaming frame: one sink written per micro-batch."""
-    return (encoded_stream.writeStream.option("checkpointLocation", checkpoint)
-            .foreachBatch(lambda batch, _id: batch.write.mode("append").parquet(path)).start())
-
-
-def topic_stream(spark: SparkSession, path: str, max_files_per_trigger: int | None = None) -> DataFrame:
-    """The topic table as a stream with an explicit schema."""
-    reader = spark.readStream.schema(TOPIC_SCHEMA)
-    if max_files_per_trigger:
-        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    return reader.parquet(path)
-
-
 def kafka_topic_stream(spark: SparkSession, bootstrap_servers: str, topics: list[str],
                        max_offsets_per_trigger: int | None = None) -> DataFrame:
     """S7 in production: the two shop topics from Kafka, projected to the
-    same (topic, value, offset) columns as the file-backed topic table.
+    (topic, value, offset) columns that ``decode`` takes.
     Needs the spark-sql-kafka connector on the classpath."""
     reader = (spark.readStream.format("kafka").option("kafka.bootstrap.servers", bootstrap_servers)
               .option("subscribe", ",".join(topics)).option("startingOffsets", "earliest"))

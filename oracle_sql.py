@@ -787,9 +787,21 @@ ORACLE["streaming_hourly_revenue"] = with_views(["stream_events"], """
 SELECT CAST(ws AS VARCHAR) AS window_start, event_type,
        CAST(sum(CAST(revenue AS DECIMAL(18,2))) AS DOUBLE) AS revenue, count(*) AS events
 FROM (SELECT *, time_bucket(INTERVAL 1 HOUR, event_time) AS ws FROM stream_events)
-WHERE ws + INTERVAL 1 HOUR <= (SELECT max(event_time) FROM stream_events) - INTERVAL 1 HOUR
 GROUP BY ws, event_type""")
 
+ORACLE["live_snapshot"] = with_views(["stream_events"], NORM_STREAM + """,
+cats AS (SELECT category, count(*) AS events, min([epoch_us(event_time), seq]) AS first FROM norm GROUP BY category),
+ranked AS (SELECT *, row_number() OVER (ORDER BY events DESC, first) AS rank FROM cats)
+SELECT 'events_seen' AS section, CAST(NULL AS BIGINT) AS position, 'all' AS key, CAST(count(*) AS DOUBLE) AS value FROM norm
+UNION ALL SELECT 'top_categories', rank, category, CAST(events AS DOUBLE) FROM ranked WHERE rank <= 5
+UNION ALL SELECT 'revenue_by_category', NULL, category, CAST(sum(CAST(raw_revenue AS DECIMAL(18,2))) AS DOUBLE)
+  FROM norm WHERE event_type = 'purchase' GROUP BY category
+UNION ALL SELECT 'customer_purchases', NULL, customer_id, CAST(count(*) AS DOUBLE) FROM norm WHERE event_type = 'purchase' GROUP BY customer_id
+UNION ALL SELECT 'recent_events', position, event_id, revenue
+  FROM (SELECT *, row_number() OVER (ORDER BY event_time DESC, seq DESC) AS position FROM norm) WHERE position <= 30
+UNION ALL SELECT 'recent_insights', position, event_id || ':' || kind, NULL
+  FROM (SELECT *, row_number() OVER (ORDER BY event_time DESC, seq DESC, insight_ordinal DESC) AS position FROM ins) WHERE position <= 30""")
+
 ORACLE["topic_decode"] = with_views(["stream_events"], """
 , enc AS (
   SELECT t.topic, e.*, 'ok' AS state

@@ -3,9 +3,10 @@ J10, A13, P15-P18, M19, S17).
 
 Edges are ordered PURCHASED (newest order first), VIEWED (newest first),
 PREFERS (top categories).  All are returned unless ``max_edges`` is given
-(trap T24); relationship_count counts all of them in any case.  The ordinal
-filter is rank-like, so Spark plans it as a WindowGroupLimit that keeps at
-most ``max_edges`` rows per customer in every map task.
+(trap T24); relationship_count counts all of them in any case.  All edges are
+numbered over ranges (``operators.ranking``), so that a customer with most of
+them is spread over tasks; ``max_edges`` is a rank filter, planned as a
+WindowGroupLimit that keeps as many rows per customer in every map task.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 
 from basketry.functions.scoring import churn_components, churn_probability, graph_segment_label
 from basketry.functions.text import currency_label, display_name, initials, percent_label, short_label
+from basketry.operators.ranking import numbered
 from basketry.operators.topk import rank_counted
 from basketry.session import materialize as write_and_read
 from basketry.operators.upserts import last_write_wins, upsert_with_counter
@@ -178,10 +180,11 @@ def graph_edges(g: GraphInputs, k: int = 3, max_edges: int | None = None, prefs:
     0-based ordinal and id 'edge-<n>'."""
     prefs = prefs if prefs is not None else preference_edges(g, k)
     edges = _edge_rows(g.orders, g.views, prefs)
-    w = Window.partitionBy("customer_id").orderBy(*EDGE_ORDER)
-    ranked = edges.withColumn("_rn", F.row_number().over(w))
-    if max_edges is not None:
-        ranked = ranked.filter(F.col("_rn") <= max_edges)
+    if max_edges is None:
+        ranked = numbered(edges, ["customer_id"], EDGE_ORDER, "_rn")
+    else:
+        w = Window.partitionBy("customer_id").orderBy(*EDGE_ORDER)
+        ranked = edges.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= max_edges)
     return ranked.select("customer_id", (F.col("_rn") - 1).cast("bigint").alias("edge_ordinal"),
                          F.concat(F.lit("edge-"), (F.col("_rn") - 1).cast("string")).alias("edge_id"),
                          "type", F.col("customer_id").cast("string").alias("source"), "target", "weight")
@@ -194,8 +197,8 @@ def graph_nodes(g: GraphInputs, k: int = 3, prefs: DataFrame | None = None) -> D
     One aggregation: every candidate carries a source rank (orders 0, views 1,
     stored edges 2, preferred categories 3), so the minimum per (customer,
     node) is the first-seen product and drops a stored or category candidate
-    whose id is already present; the per-customer level of the rollup gives
-    the customer node."""
+    whose id is already present; the customers of the result give the
+    customer nodes."""
     prefs = prefs if prefs is not None else preference_edges(g, k)
 
     def firsts(grain):
@@ -218,18 +221,14 @@ def graph_nodes(g: GraphInputs, k: int = 3, prefs: DataFrame | None = None) -> D
     cand = cand.unionByName(prefs.select(
         "customer_id", F.col("target").alias("node_id"),
         fixed(3, F.substring_index("category", " ", 1), F.lit(None), "segment").alias("x")))
-    agg = (cand.rollup("customer_id", "node_id").agg(F.min("x").alias("x"), F.grouping_id().alias("_gid"))
-               .filter(F.col("_gid") < 3))
-    is_customer = F.col("_gid") == 1
-    label = (F.when(is_customer, short_label(F.col("customer_id").cast("string")))
-              .when(F.col("x.kind") == "segment", F.col("x.name"))
+    agg = cand.groupBy("customer_id", "node_id").agg(F.min("x").alias("x"))
+    label = (F.when(F.col("x.kind") == "segment", F.col("x.name"))
               .otherwise(short_label(F.coalesce(F.col("x.name"), F.col("node_id")))))
-    return agg.select(
-        "customer_id",
-        F.when(is_customer, F.col("customer_id").cast("string")).otherwise(F.col("node_id")).alias("node_id"),
-        label.alias("label"),
-        F.when(is_customer, F.lit("customer")).otherwise(F.col("x.kind")).alias("kind"),
-        F.when(is_customer, F.lit(None).cast("string")).otherwise(F.col("x.category")).alias("category"))
+    others = agg.select("customer_id", "node_id", label.alias("label"), F.col("x.kind").alias("kind"), F.col("x.category").alias("category"))
+    own = F.col("customer_id").cast("string")
+    customers = agg.select("customer_id").distinct().select(
+        "customer_id", own.alias("node_id"), short_label(own).alias("label"), F.lit("customer").alias("kind"), F.lit(None).cast("string").alias("category"))
+    return others.unionByName(customers)
 
 
 def positioned_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:

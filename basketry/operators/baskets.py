@@ -1,25 +1,31 @@
 """Basket affinity (A7, A8, J5, T3o).
 
 A basket is every product a customer ever bought (trap T11), unless another
-``basket_key`` is given.  Pair counts are the definition of the output, so
-pairs are produced per basket, but:
-
-* baskets are de-duplicated first (A7), so repeat purchases add nothing;
-* the self-join is followed directly by a partial aggregate on the pair,
-  so pairs are combined inside the join task and only (pair, partial count)
-  rows reach the shuffle;
-* baskets larger than ``hot_basket_size`` are salted: their left rows are
-  spread over ``salts`` tasks and their right rows replicated to each, so
-  one huge basket is split across many tasks instead of one;
-* the basket total is a scalar subquery, not a cross join.
+``basket_key`` is given.  Pairs are made per
+basket, but:
+
+* baskets are de-duplicated first (A7) and stored, so repeat purchases add
+  nothing and the order table is read once;
+* products rarer than a proven lower bound of the ``limit``-th largest pair count
+  cannot be in the result and are left out (``support_floor``);
+* a basket's left products are dealt into blocks of about ``block``, so a task
+  meets a bounded number of left products with the basket's right ones;
+* the pairs of a basket are made and counted as numbers in Arrow batches and
+  leave a task as sorted runs (``frequent_pair_counts``);
+* when a pair was first seen decides ties alone, so it is looked up for the
+  pairs that reach the ``limit``-th count and no others.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from basketry.session import checkpoint_dir
+from basketry.session import materialize
 
 
 def basket_sets(orders: DataFrame, basket_key: str = "customer_id", item: str = "product_id") -> DataFrame:
@@ -29,47 +35,158 @@ def basket_sets(orders: DataFrame, basket_key: str = "customer_id", item: str =
                   .distinct())
 
 
-def _basket_order(orders: DataFrame, basket_key: str) -> DataFrame:
-    """First-encounter position of each basket when orders are read newest
-    first (how a dict of baskets is filled), as a ``long`` rank.
+def _first_key(orders: DataFrame) -> Column:
+    """Ascending order in which newest-first orders fill a dict of baskets."""
+    return F.struct((-F.unix_micros("created_at")).alias("t"), (-F.col("order_id").cast("bigint")).alias("o"),
+                    F.col("line").cast("bigint").alias("l"), F.col("product_id").cast("bigint").alias("p"),
+                    F.col("quantity").cast("bigint").alias("q"), F.col("revenue").cast("double").alias("r"))
 
-    One row per basket is range-sorted by its first-seen key and numbered
-    with ``monotonically_increasing_id`` (increasing in sort order across
-    partitions); the small rank table is checkpointed so the numbering is
-    fixed even if a task is recomputed.  A long keeps the pair aggregate on
-    the hash-aggregate path instead of a sort-based struct aggregate.
-    """
-    key = F.struct((-F.unix_micros("created_at")).alias("t"), (-F.col("order_id").cast("bigint")).alias("o"),
-                   F.col("line").cast("bigint").alias("l"), F.col("product_id").cast("bigint").alias("p"),
-                   F.col("quantity").cast("bigint").alias("q"), F.col("revenue").cast("double").alias("r"))
-    first = (orders.filter(F.col(basket_key).isNotNull() & F.col("product_id").isNotNull())
-                   .groupBy(F.col(basket_key).alias("basket")).agg(F.min(key).alias("_k")))
-    ranked = first.orderBy("_k", "basket").select("basket", F.monotonically_increasing_id().alias("basket_seen"))
-    checkpoint_dir(orders.sparkSession)
-    return ranked.checkpoint(eager=True)
-
-
-def pair_counts(baskets: DataFrame, block: int = 1000, basket_seen: DataFrame | None = None) -> DataFrame:
-    """J5 + count: (left, right, pair_count[, first_seen]) with left < right.
-
-    A basket's left products are dealt into blocks of about ``block``, so that
-    a task meets a bounded number of left products with the basket's right
-    ones, however large the basket is."""
-    attrs = baskets.groupBy("basket").agg(F.count(F.lit(1)).alias("_size"))
-    if basket_seen is not None:
-        attrs = attrs.join(basket_seen, "basket")
-    tagged = baskets.join(attrs, "basket")
-    blocks = F.ceil(F.col("_size") / block)
-    extra = [F.col("basket_seen")] if basket_seen is not None else []
-    left = tagged.select(F.col("basket"), F.col("product").alias("left"), *extra,
-                         F.pmod(F.xxhash64("product"), blocks).alias("salt"))
-    right = tagged.select(F.col("basket"), F.col("product").alias("right"),
-                          F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)).alias("salt"))
+
+def pair_counts(baskets: DataFrame, block: int = 1000) -> DataFrame:
+    """J5 + count: (left, right, pair_count) with left < right.
+
+    A basket with more than ``block`` products has its left ones dealt into
+    blocks, so that a task meets a bounded number of them with the basket's
+    right ones, however large the basket is."""
+    large = baskets.groupBy("basket").agg(F.count(F.lit(1)).alias("_size")).filter(F.col("_size") > block)
+    tagged = baskets.join(large, "basket", "left").withColumn("_blocks", F.coalesce(F.ceil(F.col("_size") / block), F.lit(1).cast("bigint")))
+    left = tagged.select("basket", F.col("product").alias("left"), F.pmod(F.xxhash64("product"), "_blocks").alias("salt"))
+    right = tagged.select("basket", F.col("product").alias("right"),
+                          F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_blocks") - 1)).alias("salt"))
     pairs = left.join(right, ["basket", "salt"]).filter(F.col("left") < F.col("right"))
-    aggs = [F.count(F.lit(1)).alias("pair_count")]
-    if basket_seen is not None:
-        aggs.append(F.min("basket_seen").alias("first_seen"))
-    return pairs.groupBy("left", "right").agg(*aggs)
+    return pairs.groupBy("left", "right").agg(F.count(F.lit(1)).alias("pair_count"))
+
+
+#: A product pair as one number: the smaller number in the upper half.  Multiplied
+#: by an odd number (which can be undone) its upper bits name a partition.
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+_UNDO = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+PAIRS_AT_ONCE, PAIRS_A_PART = 4_000_000, 4_000_000
+
+
+def _numbered_products(baskets: DataFrame) -> DataFrame:
+    """(product, number) with numbers 0, 1, ... in 32 bits."""
+    rows = materialize(baskets.select("product").distinct().withColumn("_id", F.monotonically_increasing_id()), "products")
+    part, place = F.shiftright("_id", 33), F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = rows.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).orderBy("part").collect()  # a row a partition
+    first, items = 0, []
+    for r in sizes:
+        items += [F.lit(r.part), F.lit(first)]
+        first += r.n
+    if first >= 1 << 32:
+        raise ValueError("more products than 32 bits can number")
+    before = F.element_at(F.create_map(*items), part) if items else F.lit(0)
+    return rows.select("product", (place + before).cast("bigint").alias("number"))
+
+
+def _pairs_of(group: np.ndarray, side: np.ndarray, across: np.ndarray, number: np.ndarray) -> Iterator[np.ndarray]:
+    """Pairs of rows of one group, sorted by group; only of different sides where
+    ``across`` is set.  One step per distance, over the rows that reach so far."""
+    at = np.arange(len(group) - 1)
+    far = 1
+    while len(at):
+        at = at[at + far < len(group)]
+        at = at[group[at + far] == group[at]]
+        met = at[~across[at] | (side[at] != side[at + far])]
+        a, b = number[met], number[met + far]
+        yield np.minimum(a, b) << np.uint64(32) | np.maximum(a, b)
+        far += 1
+
+
+def frequent_pair_counts(baskets: DataFrame, least: int, block: int = 1000) -> DataFrame:
+    """J5 + count: (left, right, pair_count) of the pairs with pair_count >= ``least``
+    and left < right.
+
+    Tasks make the pairs of whole baskets, or of two blocks of a large basket's
+    products, as numbers, count equal ones and send sorted runs by hash partition;
+    the counts of a partition are added up from its runs."""
+    numbers = _numbered_products(baskets)
+    sizes = baskets.groupBy("basket").agg(F.count(F.lit(1)).alias("_size"))
+    size = F.col("_size").cast("double")
+    total = sizes.agg(F.sum(size * (size - 1) / 2)).first()[0]
+    bits = max(4, int((total or 0) // PAIRS_A_PART).bit_length())
+    large = sizes.where(F.col("_size") > block)
+    blocks = F.coalesce(F.ceil(F.col("_size") / block), F.lit(1).cast("bigint"))
+    placed = baskets.join(numbers, "product").join(large, "basket", "left").select(
+        "basket", "number", blocks.alias("blocks"), F.pmod(F.xxhash64("product"), blocks).alias("own"))
+    dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))).select(
+        F.xxhash64("basket", F.least("own", "other"), F.greatest("own", "other")).alias("deal"), "basket",
+        F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), (F.col("own") <= F.col("other")).alias("first"), "number")
+    sorted_rows = dealt.repartition("deal").sortWithinPartitions("deal", "basket", "a", "b").select(
+        "deal", F.xxhash64(F.lit(3), "basket", "a", "b").alias("again"), (F.col("a") != F.col("b")).alias("across"), "first", "number")
+
+    def make(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def flush() -> pa.RecordBatch:
+            x = np.concatenate(waiting) * _ODD
+            x.sort()
+            starts = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
+            x, n = x[starts], np.diff(starts, append=len(x))
+            edges = np.searchsorted(x >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
+            spans = [(p, s, e) for p, (s, e) in enumerate(zip(edges[:-1], edges[1:])) if e > s]
+            return pa.RecordBatch.from_arrays(
+                [pa.array([p for p, _, _ in spans], pa.int32()), pa.array([x[s:e].tobytes() for _, s, e in spans], pa.binary()),
+                 pa.array([n[s:e].astype(np.int64).tobytes() for _, s, e in spans], pa.binary())], names=["part", "pairs", "counts"])
+
+        waiting, held, kept = [], 0, None
+        for batch in batches:
+            rows = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("deal", "again", "first", "across", "number")]
+            if kept is not None:
+                rows = [np.concatenate([k, r]) for k, r in zip(kept, rows)]
+            # the last group may go on in the next batch
+            new = np.flatnonzero((rows[0][1:] != rows[0][:-1]) | (rows[1][1:] != rows[1][:-1])) + 1
+            end = new[-1] if len(new) else 0
+            kept = [r[end:] for r in rows]
+            if end:
+                group = np.cumsum(np.concatenate([[0], (rows[0][1:end] != rows[0][:end - 1]) | (rows[1][1:end] != rows[1][:end - 1])]))
+                for pairs in _pairs_of(group, rows[2][:end], rows[3][:end], rows[4][:end].astype(np.uint64)):
+                    waiting.append(pairs)
+                    held += len(pairs)
+                    if held >= PAIRS_AT_ONCE:
+                        yield flush()
+                        waiting, held = [], 0
+        if kept is not None and len(kept[0]):
+            waiting += list(_pairs_of(np.zeros(len(kept[0]), np.int64), kept[2], kept[3], kept[4].astype(np.uint64)))
+        if sum(map(len, waiting)):
+            yield flush()
+
+    def add(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def told() -> pa.RecordBatch:
+            x, n = np.concatenate([p for p, _ in runs]), np.concatenate([c for _, c in runs])
+            order = np.argsort(x, kind="stable")
+            x, n = x[order], n[order]
+            starts = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
+            x, n = x[starts], np.add.reduceat(n, starts)
+            x, n = x[n >= least] * _UNDO, n[n >= least]
+            return pa.RecordBatch.from_arrays([pa.array((x >> np.uint64(32)).astype(np.int64)), pa.array((x & np.uint64(0xFFFFFFFF)).astype(np.int64)), pa.array(n)],
+                                              names=["one", "two", "pair_count"])
+
+        part, runs = None, []
+        for batch in batches:
+            for p, pairs, counts in zip(*(batch.column(c).to_pylist() for c in ("part", "pairs", "counts"))):
+                if p != part and runs:
+                    yield told()
+                    runs = []
+                part = p
+                runs.append((np.frombuffer(pairs, np.uint64), np.frombuffer(counts, np.int64)))
+        if runs:
+            yield told()
+
+    packed = sorted_rows.mapInArrow(make, "part int, pairs binary, counts binary").repartition("part").sortWithinPartitions("part")
+    counted = packed.mapInArrow(add, "one bigint, two bigint, pair_count bigint")
+    named = counted.join(numbers.select(F.col("number").alias("one"), F.col("product").alias("_p")), "one").join(
+        numbers.select(F.col("number").alias("two"), F.col("product").alias("_q")), "two")
+    return named.select(F.least("_p", "_q").alias("left"), F.greatest("_p", "_q").alias("right"), "pair_count")
+
+
+def first_seen(pairs: DataFrame, baskets: DataFrame, orders: DataFrame, basket_key: str) -> DataFrame:
+    """``pairs`` (left, right, ...) with ``first_seen``, the key of the first basket
+    that holds both products."""
+    held = pairs.select("left", "right").join(baskets.withColumnRenamed("product", "left"), "left")
+    both = held.join(baskets.withColumnRenamed("product", "right"), ["basket", "right"])
+    known = orders.filter(F.col("product_id").isNotNull()).withColumn("basket", F.col(basket_key))
+    first = known.join(both.select("basket").distinct(), "basket", "left_semi").groupBy("basket").agg(F.min(_first_key(orders)).alias("_k"))
+    seen = both.join(first, "basket").groupBy("left", "right").agg(F.min("_k").alias("first_seen"))
+    return pairs.join(seen, ["left", "right"])
 
 
 def frequent_pairs(baskets: DataFrame, min_support: int) -> DataFrame:
@@ -96,34 +213,38 @@ def support_floor(baskets: DataFrame, product_counts: DataFrame, limit: int, can
 
 
 def basket_analysis(orders: DataFrame, limit: int = 10, basket_key: str = "customer_id",
-                    block: int = 1000, prune_candidates: int | None = None) -> DataFrame:
+                    block: int = 1000, prune_candidates: int | None = 200) -> DataFrame:
     """Top ``limit`` pairs with support, confidence and lift.
 
     Ties in pair count resolve as a Counter filled basket by basket would:
     by the first basket (newest order first) holding the pair, then by the
     pair itself.
 
-    With ``prune_candidates`` the pair space is cut exactly (the Apriori
-    bound): a pair counted in c baskets needs both products in >= c baskets,
-    so only products reaching the support floor L (``support_floor``, <= the
-    true ``limit``-th count) can be in the result; pairs are enumerated among
-    those products only, and every pair with count >= L keeps its exact
-    count and tie-break key.  Off by default: it pays off when product
-    popularity is skewed (real retail data); on uniform data every product
-    reaches the floor and the extra candidate job is pure cost.
+    The pair space is cut exactly (the Apriori bound): a pair counted in c
+    baskets needs both products in >= c baskets, so only products reaching the
+    support floor L (``support_floor`` over the ``prune_candidates`` most
+    frequent products, <= the true ``limit``-th count) can be in the result.
+    Of the pairs among those, the ones counted L times or more are stored.
     """
-    baskets = basket_sets(orders, basket_key)
-    total = baskets.select(F.count_distinct("basket")).scalar()
+    baskets = materialize(basket_sets(orders, basket_key), "baskets")
+    one = orders.sparkSession.range(1)
     product_counts = baskets.groupBy("product").agg(F.count(F.lit(1)).alias("n"))
-    seen = _basket_order(orders, basket_key) if "created_at" in orders.columns else None
     pair_input = baskets
-    if prune_candidates:
-        floor = support_floor(baskets, product_counts, limit, prune_candidates)
+    total, floor = one.select(baskets.select(F.count_distinct("basket")).scalar(),
+                              support_floor(baskets, product_counts, limit, prune_candidates) if prune_candidates else F.lit(1)).first()
+    if floor > 1:
         frequent = product_counts.filter(F.col("n") >= floor).select("product")
-        pair_input = baskets.join(frequent, "product", "left_semi")
-    pairs = pair_counts(pair_input, block, seen)
-    order = [F.desc("pair_count")] + ([F.asc("first_seen")] if seen is not None else []) + [F.asc("left"), F.asc("right")]
-    top = pairs.orderBy(*order).limit(limit)
+        pair_input = materialize(baskets.join(frequent, "product", "left_semi"), "baskets")
+    total = F.lit(total)
+    pairs = materialize(frequent_pair_counts(pair_input, floor, block), "pairs")
+    # all pairs that reach the ``limit``-th largest count
+    least = pairs.orderBy(F.desc("pair_count")).limit(limit).agg(F.min("pair_count")).first()[0]
+    top = pairs.filter(F.col("pair_count") >= F.lit(least))
+    timed = "created_at" in orders.columns
+    if timed:
+        top = first_seen(top, baskets, orders, basket_key)
+    order = [F.desc("pair_count")] + ([F.asc("first_seen")] if timed else []) + [F.asc("left"), F.asc("right")]
+    top = top.orderBy(*order).limit(limit)
     # at most ``limit`` rows reach this window
     ranked = top.withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("bigint"))
     # the few ranked pairs are broadcast to the product counts, which are not shuffled again

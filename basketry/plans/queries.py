@@ -146,9 +146,9 @@ def q_basket_pairs(spark, sf_dir):
 
 @query("basket_pairs_pruned")
 def q_basket_pairs_pruned(spark, sf_dir):
-    """The same top pairs with the exact support-floor pruning switched on."""
+    """The same top pairs with a bound from more of the frequent products."""
     v = views(spark, sf_dir)
-    top = _bask.basket_analysis(v.sales(), limit=10, prune_candidates=200)
+    top = _bask.basket_analysis(v.sales(), limit=10, prune_candidates=500)
     top = with_product_name(top, v.products(), "left", "left_name", small_side=True)
     return with_product_name(top, v.products(), "right", "right_name", small_side=True)
 

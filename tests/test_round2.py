@@ -134,3 +134,13 @@ def test_running_counts_of_one_hot_key_and_hour(spark):
         assert counted.groupBy(F.spark_partition_id()).count().count() > 1
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_pairs_as_numbers_equal_the_join(spark):
+    rows = [(b, f"p{p}") for b in range(40) for p in range(33) if (b * p + b) % 3 == 0] + [(99, f"p{p}") for p in range(60)]
+    table = spark.createDataFrame(rows, "basket bigint, product string").repartition(3)
+    pairs = lambda df: sorted((r.left, r.right, r.pair_count) for r in df.collect())
+    for least in (1, 6):
+        for block in (7, 1000):
+            assert pairs(baskets.frequent_pair_counts(table, least, block)) == pairs(baskets.pair_counts(table, block=4).filter(F.col("pair_count") >= least))
+    assert baskets.frequent_pair_counts(spark.createDataFrame([], "basket bigint, product string"), 1).count() == 0

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterable, Iterator
+from sys import getsizeof
 
 import numpy as np
 import pyarrow as pa
@@ -51,26 +54,54 @@ def map_texts(df: DataFrame, column: str, rows: Callable[[pa.RecordBatch, list[s
     return df.mapInArrow(run, schema)
 
 
-class ChunkTable:
-    """Distinct chunks of the texts seen so far in a worker and what each is
-    encoded to.  Each distinct chunk is encoded once and looked up by position
-    afterwards.  The table is emptied at ``limit`` chunks, which costs time
-    but changes no result."""
+#: Bytes that a worker's table of chunks may take, and the longest chunk it keeps.
+TABLE_BYTES, LONGEST_CHUNK = 80_000_000, 64
+_SLOT = 120  # of a dict, and what an allocator rounds up
+
+
+def held_bytes(chunk: str, value) -> int:
+    """Bytes of a table's entry, about."""
+    parts = value if isinstance(value, tuple) else ()
+    return _SLOT + sum(map(getsizeof, (chunk, value, *parts)))
 
-    def __init__(self, split: Callable[[str], list[str]], encode: Callable[[list[str]], Iterable], limit: int = 1_200_000):
-        self.split, self.encode, self.limit, self.table = split, encode, limit, {}
+
+class ChunkTable:
+    """Chunks of the texts seen so far in a worker and what each is encoded to.
+    A distinct chunk is encoded once a call and looked up by position
+    afterwards.  Chunks of up to ``longest`` characters are kept for later calls, in two
+    generations of half the bytes: when the younger is full it replaces the
+    older, and what is used of that moves back.  What is not kept costs time
+    and changes no result."""
+
+    def __init__(self, split: Callable[[str], list[str]], encode: Callable[[list[str]], Iterable],
+                 limit: int = TABLE_BYTES, longest: int = LONGEST_CHUNK):
+        self.split, self.encode, self.half, self.longest = split, encode, limit // 2, longest
+        self.young, self.old, self.bytes = {}, {}, 0
+
+    def _keep(self, chunk: str, value) -> None:
+        size = held_bytes(chunk, value)
+        if self.bytes + size > self.half:
+            self.old, self.young, self.bytes = self.young, {}, 0
+        self.young[chunk] = value
+        self.bytes += size
 
     def lookup(self, texts: list[str]) -> list[list]:
         """Per text: its chunks' values in order."""
-        if len(self.table) > self.limit:
-            self.table.clear()
         chunks = [self.split(t) for t in texts]
         distinct = set()
         for c in chunks:
             distinct.update(c)
-        if new := [c for c in distinct if c not in self.table]:
-            self.table.update(zip(new, self.encode(new)))
-        value = self.table.__getitem__
+        values = {c: self.young[c] for c in distinct if c in self.young}
+        known = {c: self.old[c] for c in distinct if c in self.old and c not in values}
+        values.update(known)
+        new = [c for c in distinct if c not in values]
+        found = dict(zip(new, self.encode(new))) if new else {}
+        values.update(found)
+        for kept in (known, found):
+            for c, value in kept.items():
+                if len(c) <= self.longest:
+                    self._keep(c, value)
+        value = values.__getitem__
         return [list(map(value, c)) for c in chunks]
 
 
@@ -87,8 +118,12 @@ def per_worker(key, make: Callable):
 
 
 def release() -> None:
-    """Frees what the worker keeps, before tasks that need the memory."""
+    """Frees what the worker keeps, before tasks that need the memory, and hands
+    free memory back to the system where the C library can (glibc)."""
     _PER_WORKER.clear()
+    gc.collect()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
 
 
 #: Keys with more than one in so many of all rows are joined by broadcast; there

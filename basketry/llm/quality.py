@@ -51,7 +51,7 @@ def _places(words: list[str]) -> list[int]:
 
 
 def _table() -> ChunkTable:
-    return per_worker("quality", lambda: ChunkTable(str.split, _places, 400_000))
+    return per_worker("quality", lambda: ChunkTable(str.split, _places))
 
 
 def features(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:

@@ -8,16 +8,6 @@ from pyspark.sql import functions as F
 MONEY = "decimal(18,2)"
 
 
-def safe_int(c: Column, default) -> Column:
-    """null, '' or unparseable -> default."""
-    return F.coalesce(c.cast("string").try_cast("int"), F.lit(default))
-
-
-def safe_double(c: Column, default) -> Column:
-    parsed = c.cast("string").try_cast("double")
-    return parsed if default is None else F.coalesce(parsed, F.lit(default))
-
-
 def money(c: Column) -> Column:
     """Round a double to cents and carry it as an exact decimal for summing."""
     return F.round(c.cast("double"), 2).cast(MONEY)

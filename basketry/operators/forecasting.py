@@ -7,7 +7,7 @@ turns into a WindowGroupLimit (partial top-n before the shuffle).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from basketry.functions.numeric import MONEY, clamp
@@ -94,44 +94,73 @@ def weighted_revenue_forecast(series: DataFrame) -> DataFrame:
 Z80 = 1.2816
 
 
-def seasonal_forecast(history: DataFrame, periods: int = 7) -> DataFrame:
-    """M6 (re-aimed): linear trend + weekday offset, 80 % band.
+def resample(history: DataFrame, frequency: str = "D") -> DataFrame:
+    """(series_id, ds, value): totals per day (D), week to Sunday (W) or month (M),
+    each at its last day.  ``history`` is (series_id, day, value)."""
+    ends = {"D": F.col("day"), "W": F.next_day(F.date_sub("day", 1), "SU"), "M": F.last_day("day")}
+    return (history.filter(F.col("value").isNotNull() & F.col("day").isNotNull()).groupBy("series_id", ends[frequency].alias("ds"))
+                   .agg(F.sum(F.col("value").cast(MONEY)).alias("value")))
 
-    ``history`` is (series_id, day, value), one row per series and day, so a
-    series has at most one row per calendar day.  All statistics are
-    windows over the series (one shuffle by series_id, no joins back):
-    slope and intercept from exact decimal sums (independent of summation
-    order), weekday offsets as the mean residual per weekday, sigma as the
-    sample deviation of what the offsets leave.  Series with < 3 points are
-    dropped.
+
+def _step(ds: Column, frequency: str) -> Column:
+    """Number of the period that ends at ``ds``, counted from a fixed day."""
+    if frequency == "M":
+        return (F.year(ds) * 12 + F.month(ds)).cast("bigint")
+    days = F.datediff(ds, F.lit("1970-01-04").cast("date")).cast("bigint")  # a Sunday
+    return F.floor(days / 7).cast("bigint") if frequency == "W" else days
+
+
+def _later(ds: Column, periods: int, frequency: str) -> Column:
+    """The next ``periods`` period ends."""
+    if frequency == "M":
+        return F.transform(F.sequence(F.lit(1), F.lit(periods)), lambda h: F.last_day(F.add_months(ds, h)))
+    days = 7 if frequency == "W" else 1
+    return F.transform(F.sequence(F.lit(1), F.lit(periods)), lambda h: F.date_add(ds, h * days))
+
+
+def seasonal_forecast(history: DataFrame, periods: int = 7, frequency: str = "D") -> DataFrame:
+    """M6 (re-aimed): trend and weekday levels by least squares, 80 % band.
+
+    The model has one level per season (weekday for daily points, one season for
+    weeks and months) and one slope.  Its normal equations need a season's sums
+    n, x, y, xx, xy, yy alone: the slope is the sum over seasons of the centred
+    xy by that of the centred xx, a level is mean y - slope * mean x.  Sums are
+    exact decimals of whole cents and period numbers.  Where no season has two
+    points, all points are one season.  A season that was never seen has the
+    mean level.  Sigma is the root of the squared residuals' sum by the degrees
+    of freedom left (0 without any).  Series with < 3 points are dropped.
     """
-    s = Window.partitionBy("series_id")
-    h = (history.filter(F.col("value").isNotNull())
-                .withColumn("d0", F.min("day").over(s)).withColumn("d1", F.max("day").over(s))
-                .withColumn("n", F.count(F.lit(1)).over(s)))
-    h = h.filter(F.col("n") >= 3)
-    x = F.datediff(F.col("day"), F.col("d0")).cast("decimal(18,0)")
-    y = F.col("value").cast(MONEY)
-    h = h.withColumn("x", x).withColumn("y", y)
-    sums = {"sx": F.sum("x").over(s), "sy": F.sum("y").over(s), "sxy": F.sum(F.col("x") * F.col("y")).over(s),
-            "sxx": F.sum(F.col("x") * F.col("x")).over(s)}
-    for k, v in sums.items():
-        h = h.withColumn(k, v.cast("double"))
-    n = F.col("n").cast("double")
-    den = n * F.col("sxx") - F.col("sx") * F.col("sx")
-    h = h.withColumn("slope", F.when(den != 0, (n * F.col("sxy") - F.col("sx") * F.col("sy")) / den).otherwise(F.lit(0.0)))
-    h = h.withColumn("intercept", (F.col("sy") - F.col("slope") * F.col("sx")) / n)
-    h = h.withColumn("dow", F.dayofweek("day")) \
-         .withColumn("r", F.col("y").cast("double") - (F.col("intercept") + F.col("slope") * F.col("x").cast("double")))
-    h = h.withColumn("offset", F.avg("r").over(Window.partitionBy("series_id", "dow")))
-    h = h.withColumn("sigma", F.coalesce(F.stddev_samp(F.col("r") - F.col("offset")).over(s), F.lit(0.0)))
-    # one row per series: fit, sigma and the weekday offsets as a map
-    h = h.withColumn("offsets", F.map_from_entries(F.collect_set(F.struct("dow", "offset")).over(s)))
-    one = h.filter(F.col("day") == F.col("d1")).select("series_id", "n", "d0", "d1", "slope", "intercept", "sigma", "offsets")
-    steps = one.select("*", F.explode(F.sequence(F.date_add("d1", 1), F.date_add("d1", periods))).alias("ds"))
-    yhat = (F.col("intercept") + F.col("slope") * F.datediff("ds", "d0")
-            + F.coalesce(F.element_at("offsets", F.dayofweek("ds")), F.lit(0.0)))
-    return steps.select("series_id", F.col("n").alias("history_points"), "ds",
-                        F.round(yhat, 2).alias("yhat"),
-                        F.round(yhat - Z80 * F.col("sigma"), 2).alias("yhat_lower"),
-                        F.round(yhat + Z80 * F.col("sigma"), 2).alias("yhat_upper"))
+    season = F.dayofweek("ds") if frequency == "D" else F.lit(1)
+    exact = lambda c: c.cast("decimal(38,0)")
+    points = resample(history, frequency).select(
+        "series_id", "ds", season.alias("season"), exact(_step(F.col("ds"), frequency)).alias("x"), exact(F.col("value") * 100).alias("y"))
+    wide = {"n": F.lit(1), "x": F.col("x"), "y": F.col("y"), "xx": exact(F.col("x") * F.col("x")), "xy": exact(F.col("x") * F.col("y")), "yy": exact(F.col("y") * F.col("y"))}
+    sums = points.groupBy("series_id", "season").agg(F.max("ds").alias("d1"), *(exact(F.sum(c)).alias(name) for name, c in wide.items()))
+
+    def centred(a: str, b: str, ab: str) -> Column:
+        """n times the centred sum of a and b."""
+        return (exact(F.col("n") * F.col(ab)) - exact(F.col(a) * F.col(b))).cast("double")
+
+    parts = {"sxx": ("x", "x", "xx"), "sxy": ("x", "y", "xy"), "syy": ("y", "y", "yy")}
+    number = F.col("n").cast("double")
+    own = sums.select("series_id", "season", "d1", *wide, *((centred(*p) / number).alias(name) for name, p in parts.items()))
+    one = own.groupBy("series_id").agg(
+        F.max("d1").alias("d1"), F.count(F.lit(1)).alias("seasons"), *(exact(F.sum(c)).alias(c) for c in wide),
+        *(F.sum(c).alias(f"_{c}") for c in parts),
+        F.sort_array(F.collect_list(F.struct("season", (F.col("y").cast("double") / number).alias("my"), (F.col("x").cast("double") / number).alias("mx"),
+                                             number.alias("n")))).alias("levels")).filter(F.col("n") >= 3)  # one per season
+    split = F.col("_sxx") > 0
+    sxx, sxy, syy = (F.when(split, F.col(f"_{name}")).otherwise(centred(*p) / number) for name, p in parts.items())
+    fit = one.select("*", split.alias("split"), F.when(sxx > 0, sxy / sxx).otherwise(F.lit(0.0)).alias("slope"), sxy.alias("sxy"), syy.alias("syy"))
+    left = F.col("n").cast("double") - F.when(F.col("split"), F.col("seasons")).otherwise(F.lit(1)) - 1
+    rss = F.greatest(F.lit(0.0), F.col("syy") - F.col("slope") * F.col("sxy"))
+    mean = (F.col("y").cast("double") - F.col("slope") * F.col("x").cast("double")) / number
+    fit = fit.withColumn("sigma", F.when(left > 0, F.sqrt(rss / left)).otherwise(F.lit(0.0))).withColumn("mean_level", mean)
+    steps = fit.select("*", F.explode(_later(F.col("d1"), periods, frequency)).alias("ds"))
+    due = season if frequency == "D" else F.lit(1)
+    seen = F.element_at(F.map_from_entries(F.transform("levels", lambda s: F.struct(s["season"], s["my"] - F.col("slope") * s["mx"]))), due)
+    level = F.when(F.col("split"), F.coalesce(seen, F.col("mean_level"))).otherwise(F.col("mean_level"))
+    yhat = (level + F.col("slope") * _step(F.col("ds"), frequency).cast("double")) / 100
+    band = Z80 * F.col("sigma") / 100
+    return steps.select("series_id", F.col("n").cast("bigint").alias("history_points"), "ds", F.round(yhat, 2).alias("yhat"),
+                        F.round(yhat - band, 2).alias("yhat_lower"), F.round(yhat + band, 2).alias("yhat_upper"))

@@ -27,7 +27,7 @@ def sentiment_mix(scored: DataFrame, by: str | None = "product_id") -> DataFrame
 
     One aggregate at (by, label) grain; the overall rows are re-aggregated
     from it, so the review table is read once.  Reviews without a ``by``
-    value are a group of their own, told from the overall rows by ``level``.
+    value are a group of their own, told from the overall rows by ``level`` (each or overall).
     """
     grain = scored.groupBy(by, "label").agg(F.count(F.lit(1)).alias("review_count")) \
                   .withColumn("level", F.lit("each"))
@@ -37,7 +37,7 @@ def sentiment_mix(scored: DataFrame, by: str | None = "product_id") -> DataFrame
     both = grain.unionByName(overall)
     total = F.sum("review_count").over(Window.partitionBy("level", by))
     return both.withColumn("total", total).select(
-        by, "label", F.col("review_count").cast("bigint").alias("review_count"),
+        "level", by, "label", F.col("review_count").cast("bigint").alias("review_count"),
         F.round(F.col("review_count") / F.greatest(F.col("total"), F.lit(1)), 3).alias("share"))
 
 

@@ -60,8 +60,3 @@ def table_counts(named: dict[str, DataFrame]) -> DataFrame:
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
-
-
-def hide_columns(df: DataFrame, *cols: str) -> DataFrame:
-    """P11."""
-    return df.drop(*cols)

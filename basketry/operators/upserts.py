@@ -1,4 +1,4 @@
-"""Upsert semantics over append-only tables.
+"""Upsert semantics over append-only and stored tables.
 
 A parquet table has no MERGE; the latest state of a key is derived with a
 partial+final aggregate (``max_by`` / ``min_by`` on a version column), which
@@ -53,3 +53,26 @@ def enforce_unique(df: DataFrame, keys: list[str], order: Column | str) -> tuple
 def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
     """Keys that occur more than once, with their count."""
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > 1)
+
+
+def merge_last_write(stored: DataFrame, changes: DataFrame, keys: list[str], version: str) -> DataFrame:
+    """S11 against a stored table: of stored and new rows the newest per key."""
+    return last_write_wins(stored.unionByName(changes.select(*stored.columns)), keys, version).select(*stored.columns)
+
+
+def merge_insert_once(stored: DataFrame, changes: DataFrame, keys: list[str], created: str, touched: str) -> DataFrame:
+    """S12 against a stored table: a stored key keeps its payload and ``created``, a
+    new one gets those of its first change; ``touched`` is the last touch."""
+    both = stored.unionByName(changes.select(*stored.columns))
+    payload = [c for c in stored.columns if c not in (*keys, touched)]
+    first = both.groupBy(*keys).agg(F.min_by(F.struct(*payload), F.col(created)).alias("_r"), F.max(touched).alias(touched))
+    return first.select(*keys, *[F.col("_r")[c].alias(c) for c in payload], touched).select(*stored.columns)
+
+
+def merge_counter(stored: DataFrame, changes: DataFrame, keys: list[str], version: str, counter: str) -> DataFrame:
+    """S13 against a stored table: the newest attributes, and the counters of stored
+    and new rows added up (a change counts ``counter`` touches)."""
+    both = stored.unionByName(changes.select(*stored.columns))
+    newest = last_write_wins(both.drop(counter), keys, version)
+    sums = both.groupBy(*keys).agg(F.sum(counter).alias(counter))
+    return newest.join(sums, keys).select(*stored.columns)

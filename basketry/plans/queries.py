@@ -186,12 +186,24 @@ def q_weighted_revenue_forecast(spark, sf_dir):
     return _fc.weighted_revenue_forecast(_fc.revenue_series(views(spark, sf_dir).sales()))
 
 
+def _seasonal(spark, sf_dir, frequency, periods):
+    hist = views(spark, sf_dir).sales().select(F.col("product_id").alias("series_id"), F.to_date("created_at").alias("day"), F.col("revenue").alias("value"))
+    return _fc.seasonal_forecast(hist, periods, frequency).withColumn("ds", F.col("ds").cast("string"))
+
+
 @query("seasonal_forecast")
 def q_seasonal_forecast(spark, sf_dir):
-    s = views(spark, sf_dir).sales()
-    hist = (s.groupBy(F.col("product_id").alias("series_id"), F.to_date("created_at").alias("day"))
-             .agg(F.sum(F.col("revenue").cast("decimal(18,2)")).cast("double").alias("value")))
-    return _fc.seasonal_forecast(hist, periods=7).withColumn("ds", F.col("ds").cast("string"))
+    return _seasonal(spark, sf_dir, "D", 7)
+
+
+@query("seasonal_forecast_weekly")
+def q_seasonal_forecast_weekly(spark, sf_dir):
+    return _seasonal(spark, sf_dir, "W", 4)
+
+
+@query("seasonal_forecast_monthly")
+def q_seasonal_forecast_monthly(spark, sf_dir):
+    return _seasonal(spark, sf_dir, "M", 3)
 
 
 # ---- recommendations --------------------------------------------------------
@@ -582,6 +594,53 @@ def q_order_repair(spark, sf_dir):
     return _shop.repair_orders(shaped).select("order_id", "line", "revenue", "price")
 
 
+# ---- stored tables (two batches of orders or views, the second one sent twice) ----
+from basketry.sources.keyed_table import KeyedTable  # noqa: E402
+
+#: orders and views before and from this day on are the two batches
+SECOND_BATCH = {"sales": "1998-01-01", "views": "2024-01-16"}
+
+
+def _merged(spark, name, keys, changes_of, rows, cut, combine, schema):
+    """A new stored table with both batches of ``rows`` merged into it."""
+    table = KeyedTable(spark, _topics.fresh_dir(spark, name), keys, schema)
+    late = F.col("created_at") >= F.lit(cut).cast("timestamp")
+    for batch, part in ((0, rows.where(~late)), (1, rows.where(late)), (1, rows.where(late))):
+        table.merge(changes_of(part), batch, combine)
+    return table.read()
+
+
+@query("stored_purchase_edges")
+def q_stored_purchase_edges(spark, sf_dir):
+    keys = ["customer_id", "target", "relationship", "order_id"]
+    schema = ("customer_id bigint, target bigint, relationship string, order_id bigint, target_name string, category string, quantity int, "
+              "revenue double, event_time timestamp, churn_percent double")
+    newest = lambda old, new: _ups.merge_last_write(old, new, keys, "event_time")
+    e = _merged(spark, "purchase-edges", keys, _graph.purchase_edges, views(spark, sf_dir).sales(), SECOND_BATCH["sales"], newest, schema)
+    return e.withColumn("event_time", iso_utc(F.col("event_time")))
+
+
+@query("stored_view_edges")
+def q_stored_view_edges(spark, sf_dir):
+    keys = ["customer_id", "target", "relationship"]
+    schema = ("customer_id bigint, target bigint, relationship string, target_name string, category string, dwell_seconds int, event_time timestamp, "
+              "view_count bigint")
+    counted = lambda old, new: _ups.merge_counter(old, new, keys, "event_time", "view_count")
+    e = _merged(spark, "view-edges", keys, _graph.view_edges, views(spark, sf_dir).views(), SECOND_BATCH["views"], counted, schema)
+    return e.withColumn("event_time", iso_utc(F.col("event_time")))
+
+
+@query("stored_first_listing")
+def q_stored_first_listing(spark, sf_dir):
+    """Per product: name as listed first, first and last day of a listing."""
+    schema = "id bigint, name string, created_at timestamp, updated_at timestamp"
+    once = lambda old, new: _ups.merge_insert_once(old, new, ["id"], "created_at", "updated_at")
+    changes = lambda part: part.groupBy(F.col("product_id").alias("id")).agg(
+        F.min("product_name").alias("name"), F.min("created_at").alias("created_at"), F.max("created_at").alias("updated_at"))
+    t = _merged(spark, "listings", ["id"], changes, views(spark, sf_dir).sales(), SECOND_BATCH["sales"], once, schema)
+    return t.select("id", "name", iso_utc(F.col("created_at")).alias("created_at"), iso_utc(F.col("updated_at")).alias("updated_at"))
+
+
 @query("product_first_listing")
 def q_product_first_listing(spark, sf_dir):
     s = views(spark, sf_dir).sales()

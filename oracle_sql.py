@@ -359,30 +359,38 @@ s AS (SELECT series_id, count(*) AS points,
 SELECT series_id, points, {R('greatest(0.0, wavg + (last - prev) * 0.35)', 2)} AS prediction,
        {R('greatest(0.58, least(1 - abs(last - prev) / greatest(wavg, 1.0), 0.91))', 3)} AS confidence FROM s""")
 
-ORACLE["seasonal_forecast"] = with_views(["sales"], f"""
-, hist AS (SELECT product_id AS series_id, CAST(created_at AS DATE) AS day,
-                  CAST(sum(CAST(revenue AS DECIMAL(18,2))) AS DOUBLE) AS value FROM sales GROUP BY 1, 2),
-first AS (SELECT series_id, min(day) AS d0, max(day) AS d1, count(*) AS n FROM hist GROUP BY 1),
-pts AS (SELECT h.series_id, h.day, CAST(date_diff('day', f.d0, h.day) AS DECIMAL(18,0)) AS x,
-               CAST(h.value AS DECIMAL(18,2)) AS y, f.n, f.d0, f.d1
-        FROM hist h JOIN first f ON h.series_id = f.series_id WHERE f.n >= 3),
-sums AS (SELECT series_id, n, d0, d1, sum(x) AS sx, sum(y) AS sy, sum(x * y) AS sxy, sum(x * x) AS sxx
-         FROM pts GROUP BY 1, 2, 3, 4),
-fit AS (SELECT *, CASE WHEN den <> 0 THEN (CAST(n AS DOUBLE) * CAST(sxy AS DOUBLE) - CAST(sx AS DOUBLE) * CAST(sy AS DOUBLE)) / den ELSE 0.0 END AS slope
-        FROM (SELECT *, CAST(n AS DOUBLE) * CAST(sxx AS DOUBLE) - CAST(sx AS DOUBLE) * CAST(sx AS DOUBLE) AS den FROM sums)),
-fit2 AS (SELECT *, (CAST(sy AS DOUBLE) - slope * CAST(sx AS DOUBLE)) / CAST(n AS DOUBLE) AS intercept FROM fit),
-resid AS (SELECT p.series_id, dayofweek(p.day) + 1 AS dow,
-                 CAST(p.y AS DOUBLE) - (f.intercept + f.slope * CAST(p.x AS DOUBLE)) AS r
-          FROM pts p JOIN fit2 f ON p.series_id = f.series_id),
-offs AS (SELECT series_id, dow, avg(r) AS "offset" FROM resid GROUP BY 1, 2),
-sig AS (SELECT r.series_id, coalesce(stddev_samp(r.r - o."offset"), 0.0) AS sigma
-        FROM resid r JOIN offs o ON r.series_id = o.series_id AND r.dow = o.dow GROUP BY 1),
-steps AS (SELECT f.series_id, f.n, f.d0, f.slope, f.intercept, s.sigma, CAST(f.d1 + CAST(h.h AS INTEGER) AS DATE) AS ds
-          FROM fit2 f JOIN sig s ON f.series_id = s.series_id CROSS JOIN range(1, 8) h(h)),
-yh AS (SELECT st.*, st.intercept + st.slope * date_diff('day', st.d0, st.ds) + coalesce(o."offset", 0.0) AS yhat
-       FROM steps st LEFT JOIN offs o ON o.series_id = st.series_id AND o.dow = dayofweek(st.ds) + 1)
-SELECT series_id, n AS history_points, CAST(ds AS VARCHAR) AS ds, {R('yhat', 2)} AS yhat,
-       {R(f'yhat - {1.2816} * sigma', 2)} AS yhat_lower, {R(f'yhat + {1.2816} * sigma', 2)} AS yhat_upper FROM yh""")
+def seasonal_sql(frequency: str, periods: int) -> str:
+    ends = {"D": "CAST(created_at AS DATE)", "W": "CAST(CAST(created_at AS DATE) + CAST((7 - dayofweek(created_at)) % 7 AS INTEGER) AS DATE)",
+            "M": "last_day(CAST(created_at AS DATE))"}[frequency]
+    step = {"D": "date_diff('day', DATE '1970-01-04', {d})", "W": "date_diff('day', DATE '1970-01-04', {d}) // 7", "M": "year({d}) * 12 + month({d})"}[frequency]
+    later = {"D": "CAST(d1 + CAST(h AS INTEGER) AS DATE)", "W": "CAST(d1 + CAST(7 * h AS INTEGER) AS DATE)",
+             "M": "last_day(CAST(date_trunc('month', d1) + to_months(CAST(h AS INTEGER)) AS DATE))"}[frequency]
+    season = "dayofweek({d})" if frequency == "D" else "1"
+    return with_views(["sales"], f"""
+, hist AS (SELECT product_id AS series_id, {ends} AS ds, sum(CAST(revenue AS DECIMAL(18,2))) AS value FROM sales GROUP BY 1, 2),
+pts AS (SELECT series_id, ds, {season.format(d='ds')} AS season, CAST({step.format(d='ds')} AS HUGEINT) AS x, CAST(value * 100 AS HUGEINT) AS y FROM hist),
+own AS (SELECT *, CAST(n * xx - x * x AS DOUBLE) / n AS sxx, CAST(n * xy - x * y AS DOUBLE) / n AS sxy, CAST(n * yy - y * y AS DOUBLE) / n AS syy
+        FROM (SELECT series_id, season, max(ds) AS d1, CAST(count(*) AS HUGEINT) AS n, sum(x) AS x, sum(y) AS y, sum(x * x) AS xx, sum(x * y) AS xy, sum(y * y) AS yy
+              FROM pts GROUP BY 1, 2)),
+one AS (SELECT series_id, max(d1) AS d1, count(*) AS seasons, sum(n) AS n, sum(x) AS x, sum(y) AS y, sum(xx) AS xx, sum(xy) AS xy, sum(yy) AS yy,
+               sum(sxx) AS s1, sum(sxy) AS s2, sum(syy) AS s3 FROM own GROUP BY 1 HAVING sum(n) >= 3),
+fit AS (SELECT *, s1 > 0 AS split, CASE WHEN s1 > 0 THEN s1 ELSE CAST(n * xx - x * x AS DOUBLE) / n END AS sxx,
+               CASE WHEN s1 > 0 THEN s2 ELSE CAST(n * xy - x * y AS DOUBLE) / n END AS sxy,
+               CASE WHEN s1 > 0 THEN s3 ELSE CAST(n * yy - y * y AS DOUBLE) / n END AS syy FROM one),
+sloped AS (SELECT *, CASE WHEN sxx > 0 THEN sxy / sxx ELSE 0.0 END AS slope, n - (CASE WHEN split THEN seasons ELSE 1 END) - 1 AS rest FROM fit),
+done AS (SELECT *, CASE WHEN rest > 0 THEN sqrt(greatest(0.0, syy - slope * sxy) / rest) ELSE 0.0 END AS sigma,
+                (CAST(y AS DOUBLE) - slope * CAST(x AS DOUBLE)) / n AS mean_level FROM sloped),
+steps AS (SELECT d.*, {later} AS ds FROM done d CROSS JOIN range(1, {periods + 1}) r(h)),
+yh AS (SELECT s.*, ((CASE WHEN s.split THEN coalesce(CAST(o.y AS DOUBLE) / o.n - s.slope * (CAST(o.x AS DOUBLE) / o.n), s.mean_level) ELSE s.mean_level END)
+                    + s.slope * ({step.format(d='s.ds')})) / 100 AS yhat
+       FROM steps s LEFT JOIN own o ON o.series_id = s.series_id AND o.season = {season.format(d='s.ds')})
+SELECT series_id, CAST(n AS BIGINT) AS history_points, CAST(ds AS VARCHAR) AS ds, {R('yhat', 2)} AS yhat,
+       {R('yhat - 1.2816 * sigma / 100', 2)} AS yhat_lower, {R('yhat + 1.2816 * sigma / 100', 2)} AS yhat_upper FROM yh""")
+
+
+ORACLE["seasonal_forecast"] = seasonal_sql("D", 7)
+ORACLE["seasonal_forecast_weekly"] = seasonal_sql("W", 4)
+ORACLE["seasonal_forecast_monthly"] = seasonal_sql("M", 3)
 
 
 # ---- recommendations ------------------------------------------------------------
@@ -509,10 +517,10 @@ SELECT review_id, product_id, score, label, array_to_string(pos, ' ') AS positiv
        array_to_string(neg, ' ') AS negative_terms FROM labeled""")
 
 ORACLE["review_mix"] = with_views(["reviews"], SCORED + f""",
-grain AS (SELECT product_id, label, count(*) AS review_count FROM labeled GROUP BY 1, 2
-          UNION ALL SELECT NULL, label, count(*) FROM labeled GROUP BY label)
-SELECT product_id, label, CAST(review_count AS BIGINT) AS review_count,
-       {R('review_count / greatest(sum(review_count) OVER (PARTITION BY product_id), 1)', 3)} AS share FROM grain""")
+grain AS (SELECT 'each' AS level, product_id, label, count(*) AS review_count FROM labeled GROUP BY 2, 3
+          UNION ALL SELECT 'overall', NULL, label, count(*) FROM labeled GROUP BY label)
+SELECT level, product_id, label, CAST(review_count AS BIGINT) AS review_count,
+       {R('review_count / greatest(sum(review_count) OVER (PARTITION BY level, product_id), 1)', 3)} AS share FROM grain""")
 
 ORACLE["recent_reviews"] = with_views(["reviews", "products"], SCORED + f"""
 SELECT l.review_id, l.product_id, coalesce(p.name, CAST(l.product_id AS VARCHAR)) AS product, l.rating, l.score, l.label,
@@ -905,7 +913,7 @@ FROM features""")
 ORACLE["region_heat"] = with_views(["clean_events"], f"""
 , rr AS (SELECT region, CAST(sum(CAST(revenue AS DECIMAL(18,2))) AS DOUBLE) AS revenue FROM clean_events GROUP BY region)
 SELECT region, revenue, {R('CASE WHEN max(revenue) OVER () > 0 THEN revenue / max(revenue) OVER () ELSE 0.0 END', 3)} AS heat,
-       region = (SELECT region FROM rr ORDER BY revenue DESC, ascii(region) LIMIT 1) AS is_top
+       region = (SELECT region FROM rr ORDER BY revenue DESC, region LIMIT 1) AS is_top
 FROM rr""")
 
 ORACLE["hourly_revenue"] = with_views(["stream_events"], """
@@ -969,6 +977,14 @@ SELECT cluster, count(*) AS members, {R('avg(recency_days)', 1)} AS avg_recency,
 FROM assigned GROUP BY cluster""")
 
 
+# ---- stored tables: what one pass over all batches gives --------------------------
+ORACLE["stored_purchase_edges"] = ORACLE["purchase_edges"]
+ORACLE["stored_view_edges"] = ORACLE["view_edges"]
+ORACLE["stored_first_listing"] = with_views(["sales"], f"""
+SELECT product_id AS id, min(product_name) AS name, {ISO.format(t='min(created_at)')} AS created_at, {ISO.format(t='max(created_at)')} AS updated_at
+FROM sales GROUP BY product_id""")
+
+
 # ---- scans ----------------------------------------------------------------------
 ORACLE["order_scan"] = with_views(["sales"], f"""
 SELECT order_id, line, customer_id, product_id, quantity, revenue, {ISO.format(t='created_at')} AS created_at FROM sales""")

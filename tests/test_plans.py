@@ -12,10 +12,9 @@ def plan(df):
 
 
 def test_order_scan_pushes_filter(spark):
-    v = views(spark, SF_SMALL)
-    p = v.t.orders.filter(F.col("o_custkey") == 7).select("o_orderkey")
-    text = plan(p)
-    assert "PushedFilters: [IsNotNull(o_custkey), EqualTo(o_custkey,7)]" in text
+    orders = views(spark, SF_SMALL).sales()
+    text = plan(scans.order_scan(orders, customer_id=7).select("order_id", "customer_id"))
+    assert "PushedFilters: [IsNotNull(o_custkey), EqualTo(o_custkey,7)" in text
     assert "ReadSchema: struct<o_orderkey:bigint,o_custkey:bigint>" in text
 
 

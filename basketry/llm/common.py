@@ -61,8 +61,8 @@ _SLOT = 120  # of a dict, and what an allocator rounds up
 
 def held_bytes(chunk: str, value) -> int:
     """Bytes of a table's entry, about."""
-    parts = value if isinstance(value, tuple) else ()
-    return _SLOT + sum(map(getsizeof, (chunk, value, *parts)))
+    own = _SLOT + getsizeof(chunk) + getsizeof(value)
+    return own + sum(map(getsizeof, value)) if type(value) is tuple else own
 
 
 class ChunkTable:
@@ -91,13 +91,13 @@ class ChunkTable:
         distinct = set()
         for c in chunks:
             distinct.update(c)
-        values = {c: self.young[c] for c in distinct if c in self.young}
-        known = {c: self.old[c] for c in distinct if c in self.old and c not in values}
-        values.update(known)
-        new = [c for c in distinct if c not in values]
+        values = {c: self.young[c] for c in distinct & self.young.keys()}
+        rest = distinct - values.keys()
+        known = {c: self.old[c] for c in rest & self.old.keys()}
+        new = list(rest - known.keys())
         found = dict(zip(new, self.encode(new))) if new else {}
-        values.update(found)
         for kept in (known, found):
+            values.update(kept)
             for c, value in kept.items():
                 if len(c) <= self.longest:
                     self._keep(c, value)

@@ -455,19 +455,38 @@ def q_question_routing(spark, sf_dir):
                     F.array_join("authorized", ",").alias("authorized"))
 
 
-# ---- k-means segmentation (iterative: rows-only check) ----------------------
+# ---- k-means segmentation ----------------------------------------------------
 from basketry.operators import segmentation as _seg  # noqa: E402
 
 
 @query("kmeans_segments")
 def q_kmeans_segments(spark, sf_dir):
-    return _seg.segments(views(spark, sf_dir).features(), k=4, seed=42)
+    return _seg.segments(views(spark, sf_dir).features(), k=4)
+
+
+@query("kmeans_segments_fallback")
+def q_kmeans_segments_fallback(spark, sf_dir):
+    """The same where some customers lack a feature."""
+    f = views(spark, sf_dir).features()
+    gaps = f.withColumn("recency_days", F.when(F.col("customer_id") % 7 != 0, F.col("recency_days"))) \
+            .withColumn("monetary_value", F.when(F.col("customer_id") % 11 != 0, F.col("monetary_value")))
+    return _seg.segments(gaps, k=4)
+
+
+def _assigned(spark, sf_dir):
+    f = _seg.materialize(views(spark, sf_dir).features())
+    return _seg.assign(_seg.fit_kmeans(f, 4), f)
+
+
+def _rounded_profiles(assigned):
+    p = _seg.cluster_profiles(assigned)
+    return p.select("cluster", "members", F.round("avg_recency", 1).alias("avg_recency"), F.round("avg_frequency", 1).alias("avg_frequency"),
+                    F.round("avg_monetary", 1).alias("avg_monetary"), "label")
 
 
 @query("kmeans_cluster_profiles")
 def q_kmeans_cluster_profiles(spark, sf_dir):
-    f = _seg.materialize(views(spark, sf_dir).features())
-    return _seg.cluster_profiles(_seg.assign(_seg.fit_kmeans(f, 4, 42), f))
+    return _rounded_profiles(_assigned(spark, sf_dir))
 
 
 # ---- streaming (drained with availableNow; compared with the batch oracle) ---
@@ -729,33 +748,26 @@ def q_revenue_history_forecast(spark, sf_dir):
 # ---- snapshot and centroid assignment ---------------------------------------
 from basketry.plans import snapshot as _snap  # noqa: E402
 
-# fixed values: reference training points used as explicit centroids
-FIXED_CENTROIDS = [[8.0, 12.0, 22000.0], [24.0, 6.0, 8600.0], [95.0, 2.0, 3100.0], [130.0, 1.0, 900.0]]
-
-
 @query("customer_snapshot")
 def q_customer_snapshot(spark, sf_dir):
     v = views(spark, sf_dir)
     return _snap.customer_snapshot(v.sales(), v.views(), v.features(), ORDERS_AS_OF)
 
 
-def _centroid_assignment(spark, sf_dir):
-    f = views(spark, sf_dir).features().select(
-        "customer_id", *[F.col(c).cast("double").alias(c) for c in ("recency_days", "frequency", "monetary_value")])
-    return _seg.nearest_centroid(f, FIXED_CENTROIDS)
-
-
 @query("nearest_centroid")
 def q_nearest_centroid(spark, sf_dir):
-    return _centroid_assignment(spark, sf_dir).select("customer_id", "cluster")
+    """Customers placed by a model that was saved and loaded."""
+    f = _seg.materialize(views(spark, sf_dir).features())
+    path = _topics.fresh_dir(spark, "segment-model")
+    _seg.fit_kmeans(f, 4).save(spark, path)
+    return _seg.assign(_seg.SegmentModel.load(spark, path), f).select("customer_id", "cluster")
 
 
 @query("centroid_cluster_labels")
 def q_centroid_cluster_labels(spark, sf_dir):
-    p = _seg.cluster_profiles(_centroid_assignment(spark, sf_dir))
-    return p.select("cluster", "members", F.round("avg_recency", 1).alias("avg_recency"),
-                    F.round("avg_frequency", 1).alias("avg_frequency"), F.round("avg_monetary", 1).alias("avg_monetary"),
-                    "label")
+    """Clusters of a coarser model."""
+    f = _seg.materialize(views(spark, sf_dir).features())
+    return _rounded_profiles(_seg.assign(_seg.fit_kmeans(f, 3), f))
 
 
 # ---- scans ------------------------------------------------------------------

@@ -957,24 +957,53 @@ SELECT f.customer_id, f.frequency AS feature_frequency, f.monetary_value AS feat
 FROM features f LEFT JOIN behavior_seg b ON b.customer_id = f.customer_id
 LEFT JOIN churn c ON c.customer_id = f.customer_id LEFT JOIN summ s ON s.customer_id = f.customer_id""", extra=["features"])
 
-_CENT = [[8.0, 12.0, 22000.0], [24.0, 6.0, 8600.0], [95.0, 2.0, 3100.0], [130.0, 1.0, 900.0]]
-_D = [" + ".join(f"(CAST({c} AS DOUBLE) - {v}) * (CAST({c} AS DOUBLE) - {v})"
-                 for c, v in zip(("recency_days", "frequency", "monetary_value"), cen)) for cen in _CENT]
-ASSIGN = f"""
-, assigned AS (
-  SELECT customer_id, recency_days, frequency, monetary_value,
-         (SELECT i FROM (VALUES (0, d0), (1, d1), (2, d2), (3, d3)) t(i, d) ORDER BY d, i LIMIT 1) AS cluster
-  FROM (SELECT *, {_D[0]} AS d0, {_D[1]} AS d1, {_D[2]} AS d2, {_D[3]} AS d3 FROM features))"""
-
-ORACLE["nearest_centroid"] = with_views(["features"], ASSIGN + "\nSELECT customer_id, cluster FROM assigned")
-
-ORACLE["centroid_cluster_labels"] = with_views(["features"], ASSIGN + f"""
-SELECT cluster, count(*) AS members, {R('avg(recency_days)', 1)} AS avg_recency, {R('avg(frequency)', 1)} AS avg_frequency,
-       {R('avg(monetary_value)', 1)} AS avg_monetary,
+def kmeans_ctes(k: int, rounds: int, recency: str = "recency_days", monetary: str = "monetary_value") -> str:
+    """Farthest-first seeding and Lloyd rounds, written out; ends with ``assigned``."""
+    zs, fs = ("z0", "z1", "z2"), ("recency_days", "frequency", "monetary_value")
+    dist = lambda c: " + ".join(f"(p.z{j} - {c}_{j}) * (p.z{j} - {c}_{j})" for j in range(3))
+    near = "CASE " + " ".join(f"WHEN " + " AND ".join(f"d{i} <= d{o}" for o in range(k) if o != i) + f" THEN {i}" for i in range(k)) + " END"
+    out = [f"feat AS MATERIALIZED (SELECT customer_id, CAST({recency} AS DOUBLE) AS recency_days, CAST(frequency AS DOUBLE) AS frequency, CAST({monetary} AS DOUBLE) AS monetary_value FROM features)",
+           "clean AS MATERIALIZED (SELECT * FROM feat WHERE recency_days IS NOT NULL AND frequency IS NOT NULL AND monetary_value IS NOT NULL)",
+           "mean AS MATERIALIZED (SELECT count(*) AS n, " + ", ".join(f"CAST(sum(CAST({f} AS DECIMAL(18,6))) AS DOUBLE) / count(*) AS m{j}" for j, f in enumerate(fs)) + " FROM clean)",
+           "dev AS MATERIALIZED (SELECT " + ", ".join(f"CAST(sum(CAST(({f} - m{j}) * ({f} - m{j}) AS DECIMAL(38,6))) AS DOUBLE) / max(n) AS v{j}" for j, f in enumerate(fs)) + " FROM clean, mean)",
+           "pts AS MATERIALIZED (SELECT c.*, " + ", ".join(f"({f} - m{j}) / (CASE WHEN v{j} = 0 THEN 1.0 ELSE sqrt(v{j}) END) AS z{j}" for j, f in enumerate(fs)) + " FROM clean c, mean, dev)",
+           "s0 AS MATERIALIZED (SELECT z0 AS c0_0, z1 AS c0_1, z2 AS c0_2 FROM pts p ORDER BY z0 * z0 + z1 * z1 + z2 * z2, customer_id LIMIT 1)"]
+    for i in range(1, k):
+        far = f"least({', '.join(dist(f's.c{o}') for o in range(i))})" if i > 1 else dist("s.c0")
+        out.append(f"s{i} AS MATERIALIZED (SELECT s.*, p.z0 AS c{i}_0, p.z1 AS c{i}_1, p.z2 AS c{i}_2 FROM pts p, s{i - 1} s ORDER BY {far} DESC, p.customer_id LIMIT 1)")
+    last = f"s{k - 1}"
+    for r in range(rounds + 1):
+        ds = ", ".join(dist(f"s.c{i}") + f" AS d{i}" for i in range(k))
+        out.append(f"a{r} AS MATERIALIZED (SELECT *, {near} AS cluster FROM (SELECT p.*, {ds} FROM pts p, {last} s))")
+        if r < rounds:
+            moved = ", ".join(f"coalesce(CAST(sum(CASE WHEN a.cluster = {i} THEN CAST(a.z{j} AS DECIMAL(38,12)) END) AS DOUBLE) / count(CASE WHEN a.cluster = {i} THEN 1 END), max(s.c{i}_{j})) AS c{i}_{j}"
+                              for i in range(k) for j in range(3))
+            out.append(f"r{r} AS MATERIALIZED (SELECT {moved} FROM a{r} a, {last} s)")
+            last = f"r{r}"
+    out.append(f"assigned AS (SELECT customer_id, {', '.join(fs)}, CAST(cluster AS INTEGER) AS cluster FROM a{rounds})")
+    return ",\n" + ",\n".join(out)
+
+
+LABELLED = """
+SELECT cluster, count(*) AS members, avg(recency_days) AS ar, avg(frequency) AS af, avg(monetary_value) AS am,
        CASE WHEN avg(monetary_value) >= 12000 AND avg(frequency) >= 7 AND avg(recency_days) <= 30 THEN 'high_ltv_active'
             WHEN avg(recency_days) >= 90 THEN 'winback_risk' WHEN avg(frequency) >= 5 THEN 'loyal_growth'
             ELSE 'emerging' END AS label
-FROM assigned GROUP BY cluster""")
+FROM assigned GROUP BY cluster"""
+PROFILES = f"""
+SELECT cluster, members, {R('ar', 1)} AS avg_recency, {R('af', 1)} AS avg_frequency, {R('am', 1)} AS avg_monetary, label FROM ({LABELLED})"""
+SEGMENTS = f""",
+named AS ({LABELLED}),
+rules AS (SELECT customer_id, {RFM} AS rule_segment FROM feat)
+SELECT r.customer_id, a.cluster, n.label AS kmeans_segment, r.rule_segment, coalesce(n.label, r.rule_segment) AS segment
+FROM rules r LEFT JOIN assigned a ON a.customer_id = r.customer_id LEFT JOIN named n ON n.cluster = a.cluster"""
+
+ORACLE["kmeans_segments"] = with_views(["features"], kmeans_ctes(4, 10) + SEGMENTS)
+ORACLE["kmeans_segments_fallback"] = with_views(["features"], kmeans_ctes(
+    4, 10, "CASE WHEN customer_id % 7 <> 0 THEN recency_days END", "CASE WHEN customer_id % 11 <> 0 THEN monetary_value END") + SEGMENTS)
+ORACLE["kmeans_cluster_profiles"] = with_views(["features"], kmeans_ctes(4, 10) + PROFILES)
+ORACLE["nearest_centroid"] = with_views(["features"], kmeans_ctes(4, 10) + "\nSELECT customer_id, cluster FROM assigned")
+ORACLE["centroid_cluster_labels"] = with_views(["features"], kmeans_ctes(3, 10) + PROFILES)
 
 
 # ---- stored tables: what one pass over all batches gives --------------------------

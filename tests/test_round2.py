@@ -40,7 +40,7 @@ def test_k_is_clamped_to_the_rows(spark):
     features = spark.createDataFrame([(i, float(i), float(i % 3), float(i * 10)) for i in range(5)], "customer_id bigint, recency_days double, frequency double, monetary_value double")
     for k, clusters in ((1, 2), (3, 3), (50, 5)):
         model = segmentation.fit_kmeans(features, k)
-        assert len(model.stages[-1].clusterCenters()) == clusters
+        assert len(model.centers) == clusters
         assert segmentation.assign(model, features).count() == 5
 
 

@@ -1,16 +1,13 @@
 """Shop-side jobs over order requests and orders (P9, P12, P13, P19, J2,
 J9, M20, S10, S12, S14).
 
-The order scoring pipeline (M20) scores recommendations per distinct
-(segment, category) input, not per order: a purchase's recommendation
-inputs depend only on the product category, so the scored table has one
-row per category and is joined back to the orders (bounded by the
-category vocabulary, checked in plan).
+A purchase's recommendations depend on the product category alone, so they are
+ranked once per category and joined back to the orders.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from basketry.operators.graph import order_time_churn
@@ -48,27 +45,43 @@ def repair_orders(orders: DataFrame) -> DataFrame:
                  .withColumn("price", F.coalesce(F.col("price"), F.col("product.price"), F.lit(0.0)))
 
 
+def category_recommendations(orders: DataFrame, catalog: DataFrame, k: int = 3) -> DataFrame:
+    """(input_key, recs): per category of ``orders`` the k products recommended with
+    a purchase in it, best first."""
+    cust = orders.select(F.col("category").alias("input_key")).distinct().select(
+        "input_key", F.when(F.col("input_key") == "wellness", F.lit(WELLNESS_SEGMENT)).otherwise(F.lit(DEFAULT_SEGMENT)).alias("segment"),
+        F.array(F.col("input_key")).alias("recent_categories"))
+    recs = recommend(cust, catalog, k=k, key="input_key")
+    return recs.groupBy("input_key").agg(F.sort_array(F.collect_list(F.struct("rank", "product_id", "score"))).alias("recs"))
+
+
+def without_bought(recs: Column, bought: Column) -> Column:
+    """Product ids of ``recs`` but the bought one, after top-k."""
+    return F.transform(F.filter(recs, lambda r: ~r["product_id"].eqNullSafe(bought)), lambda r: r["product_id"])
+
+
 def order_scoring(orders: DataFrame, catalog: DataFrame, k: int = 3) -> DataFrame:
     """Per order line, recommendations for its category with the bought
     product removed after top-k (J9, T15), and the order-time churn."""
     seg = F.when(F.col("category") == "wellness", F.lit(WELLNESS_SEGMENT)).otherwise(F.lit(DEFAULT_SEGMENT))
-    inputs = (orders.select(F.col("category").alias("input_key")).distinct()
-                    .select("input_key", F.col("input_key").alias("category")))
-    cust = inputs.select(
-        "input_key", F.when(F.col("category") == "wellness", F.lit(WELLNESS_SEGMENT)).otherwise(F.lit(DEFAULT_SEGMENT)).alias("segment"),
-        F.array(F.col("category")).alias("recent_categories"))
-    recs = recommend(cust, catalog, k=k, key="input_key")
-    per_cat = recs.groupBy("input_key").agg(F.sort_array(F.collect_list(F.struct("rank", "product_id", "score"))).alias("recs"))
+    per_cat = category_recommendations(orders, catalog, k)
     o = orders.select("order_id", "line", "customer_id", "product_id", "category", "revenue", seg.alias("segment"))
     j = o.join(per_cat, F.col("category").eqNullSafe(F.col("input_key")), "left")
-    kept = F.filter(F.coalesce(F.col("recs"), F.array().cast(per_cat.schema["recs"].dataType)),
-                    lambda r: ~r["product_id"].eqNullSafe(F.col("product_id")))
+    recs = F.coalesce(F.col("recs"), F.array().cast(per_cat.schema["recs"].dataType))
     return j.select(
         "order_id", "line", "customer_id", "product_id", "category", "segment",
-        F.transform(kept, lambda r: r["product_id"]).alias("recommended"),
+        without_bought(recs, F.col("product_id")).alias("recommended"),
         F.round(order_time_churn(F.col("revenue").cast("double")) * 100, 1).alias("churn_percent"))
 
 
+def purchase_events(orders: DataFrame) -> DataFrame:
+    """P12 from stored order lines: the event that a placed order publishes."""
+    return orders.select(
+        F.concat(F.lit("evt-"), F.col("order_id").cast("string"), F.lit("-"), F.col("line").cast("string"), F.lit("-"), F.col("product_id").cast("string")).alias("event_id"),
+        F.lit("purchase").alias("event_type"), "order_id", "customer_id", "product_id", "product_name", "category", "quantity", "price",
+        F.round(F.col("price") * F.col("quantity"), 2).alias("revenue"), F.col("created_at").alias("event_time"))
+
+
 def store_orders(order_rows: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
     """Append the order rows and their event projection to two tables
     (one scan: the frame is written once, the event table is projected

@@ -303,11 +303,11 @@ def q_customer_accounts(spark, sf_dir):
 @query("account_profiles")
 def q_account_profiles(spark, sf_dir):
     v = views(spark, sf_dir)
-    p = _acct.account_profiles(_users_with_ids(v), v.sales())
+    p = _acct.account_profiles(_users_with_ids(v), v.sales(), v.catalog())
     return p.select("id", "label", "email", "email_customer_id", "segment",
                     F.array_join("recent_categories", ",").alias("recent_categories"),
                     F.array_join(F.transform("revenue_history", lambda x: x.cast("string")), ",").alias("revenue_history"),
-                    "recent_order_count")
+                    "recent_order_count", F.array_join("latest_recommendations", ",").alias("latest_recommendations"))
 
 
 # ---- graph ------------------------------------------------------------------
@@ -754,6 +754,64 @@ def q_customer_snapshot(spark, sf_dir):
     return _snap.customer_snapshot(v.sales(), v.views(), v.features(), ORDERS_AS_OF)
 
 
+# ---- jobs with several outputs -------------------------------------------------
+from basketry.plans import jobs as _jobs  # noqa: E402
+
+
+def _order_job(spark, sf_dir, name):
+    v = views(spark, sf_dir)
+    base = _topics.fresh_dir(spark, "order-pipeline")
+    _jobs.order_pipeline(v.sales(), v.catalog(), base)
+    return _jobs.output(spark, base, name)
+
+
+@query("order_pipeline_events")
+def q_order_pipeline_events(spark, sf_dir):
+    e = _order_job(spark, sf_dir, "events")
+    return e.withColumn("event_time", iso_utc(F.col("event_time")))
+
+
+@query("order_pipeline_edges")
+def q_order_pipeline_edges(spark, sf_dir):
+    e = _order_job(spark, sf_dir, "edges")
+    return e.withColumn("event_time", iso_utc(F.col("event_time")))
+
+
+@query("order_pipeline_orders")
+def q_order_pipeline_orders(spark, sf_dir):
+    o = _order_job(spark, sf_dir, "orders")
+    return o.select("order_id", "line", "customer_id", "product_id", "segment",
+                    F.array_join(F.transform("recommended", lambda x: x.cast("string")), ",").alias("recommended"), "churn_percent")
+
+
+def _snapshot_job(spark, sf_dir, name):
+    v = views(spark, sf_dir)
+    base = _topics.fresh_dir(spark, "snapshot")
+    _jobs.intelligence_snapshot(v.sales(), v.views(), v.features(), v.products(), _scored_reviews(spark, sf_dir), ORDERS_AS_OF, base)
+    return _jobs.output(spark, base, name)
+
+
+@query("snapshot_customers")
+def q_snapshot_customers(spark, sf_dir):
+    return _snapshot_job(spark, sf_dir, "customers")
+
+
+@query("snapshot_baskets")
+def q_snapshot_baskets(spark, sf_dir):
+    return _snapshot_job(spark, sf_dir, "baskets")
+
+
+@query("snapshot_demand")
+def q_snapshot_demand(spark, sf_dir):
+    return _snapshot_job(spark, sf_dir, "demand")
+
+
+@query("snapshot_reviews")
+def q_snapshot_reviews(spark, sf_dir):
+    r = _snapshot_job(spark, sf_dir, "reviews")
+    return r.select("review_id", "product_id", "product", "rating", "score", "label", iso_utc(F.col("created_at")).alias("created_at"))
+
+
 @query("nearest_centroid")
 def q_nearest_centroid(spark, sf_dir):
     """Customers placed by a model that was saved and loaded."""

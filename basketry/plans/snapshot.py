@@ -1,5 +1,5 @@
 """Customer snapshot (M22): features, rule segment, churn, behaviour and
-relationship count for every customer, each table scanned once.
+relationship count for every customer.
 
 The behaviour table feeds three branches (churn, the snapshot itself and
 the relationship counts share its inputs); it is cut from its lineage with

@@ -537,8 +537,16 @@ EMAIL_CID = ("'cust-' || CASE WHEN regexp_replace(regexp_replace(lower(split_par
 ORACLE["customer_accounts"] = with_views(["users"], f"""
 SELECT email, role, customer_key, {ISO.format(t='created_at')} AS created_at FROM users WHERE role = 'customer'""")
 
-ORACLE["account_profiles"] = with_views(["users", "sales"], f"""
-, top AS (SELECT *, row_number() OVER (PARTITION BY customer_id ORDER BY created_at DESC, order_id DESC, line,
+ACCOUNT_RECS = rec_sql("ocust", prefix="""
+, ocust AS (
+  SELECT DISTINCT category AS customer_id,
+         CASE WHEN category = 'wellness' THEN 'High-LTV wellness buyer' ELSE 'Active shopper' END AS segment,
+         [category] AS recent_categories
+  FROM sales),
+""")
+
+ORACLE["account_profiles"] = with_views(["users", "sales", "catalog"], ACCOUNT_RECS + f""",
+top AS (SELECT *, row_number() OVER (PARTITION BY customer_id ORDER BY created_at DESC, order_id DESC, line,
                                          product_id, quantity, revenue) AS rn FROM sales),
 t12 AS (SELECT * FROM top WHERE rn <= 12),
 firstcat AS (SELECT customer_id, category, min(rn) AS r FROM t12 WHERE category IS NOT NULL AND category <> ''
@@ -560,7 +568,10 @@ SELECT CAST(u.customer_key AS VARCHAR) AS id,
        coalesce(p.segment, 'Registered customer') AS segment,
        coalesce(array_to_string(p.cats[1:4], ','), '') AS recent_categories,
        coalesce(p.h, '') AS revenue_history,
-       CAST(coalesce(p.order_count, 0) AS BIGINT) AS recent_order_count
+       CAST(coalesce(p.order_count, 0) AS BIGINT) AS recent_order_count,
+       coalesce((SELECT string_agg(CAST(r.product_id AS VARCHAR), ',' ORDER BY r.rank) FROM recs r JOIN top t
+                 ON t.rn = 1 AND r.customer_id IS NOT DISTINCT FROM t.category AND r.product_id IS DISTINCT FROM t.product_id
+                 WHERE t.customer_id = u.customer_key), '') AS latest_recommendations
 FROM users u LEFT JOIN prof p ON p.customer_id = u.customer_key WHERE u.role = 'customer'""")
 
 
@@ -1006,6 +1017,18 @@ ORACLE["nearest_centroid"] = with_views(["features"], kmeans_ctes(4, 10) + "\nSE
 ORACLE["centroid_cluster_labels"] = with_views(["features"], kmeans_ctes(3, 10) + PROFILES)
 
 
+# ---- jobs with several outputs --------------------------------------------------
+ORACLE["order_pipeline_events"] = with_views(["sales"], f"""
+SELECT 'evt-' || order_id || '-' || line || '-' || product_id AS event_id, 'purchase' AS event_type, order_id, customer_id, product_id, product_name, category,
+       quantity, price, {R('price * quantity', 2)} AS revenue, {ISO.format(t='created_at')} AS event_time FROM sales""")
+ORACLE["order_pipeline_edges"] = ORACLE["purchase_edges"]
+ORACLE["order_pipeline_orders"] = ORACLE["order_scoring"]
+ORACLE["snapshot_customers"] = ORACLE["customer_snapshot"]
+ORACLE["snapshot_baskets"] = ORACLE["basket_pairs"]
+ORACLE["snapshot_demand"] = ORACLE["demand_forecast"]
+ORACLE["snapshot_reviews"] = ORACLE["recent_reviews"]
+
+
 # ---- stored tables: what one pass over all batches gives --------------------------
 ORACLE["stored_purchase_edges"] = ORACLE["purchase_edges"]
 ORACLE["stored_view_edges"] = ORACLE["view_edges"]

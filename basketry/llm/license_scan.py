@@ -3,10 +3,12 @@
 Every text's rolling word k-grams are joined by hash to the positions they
 have in the license templates, and the words behind the hash are compared at
 once.  A hit at word ``pos`` of a text and ``place`` of a template votes for the
-diagonal ``pos - place``.  Votes are summed per (text, template, diagonal);
-neighbouring diagonals, a few inserted or missing words apart, are merged; a
-merged span whose votes cover enough of the template is a find, its coverage
-the score.
+diagonal ``pos - place``.  The places hit are collected, as bits, per (text,
+template, diagonal); neighbouring diagonals, a few inserted or missing words
+apart, are merged into spans of at most ``SPREAD`` diagonals; a span that holds
+enough of the template's different places, each compared word by word, is a
+find, its share of them the score.  A fragment that a text repeats is one place
+however often it stands there.
 
 Short phrases have two-word grams and are found where a single diagonal has
 every vote, that is where the phrase's words stand consecutively.  Notices
@@ -64,6 +66,9 @@ NOTICES = (
 TEMPLATES = PHRASES + NOTICES
 #: Diagonals at most so far apart are merged; least share of a notice's grams in a find.
 NEIGHBOURS, COVER = 4, 0.5
+#: Diagonals of a span: words inserted or missing in all.  A find of up to half as many
+#: lies whole in one of two overlapping rows of spans.
+SPREAD = 16
 #: Words are never empty, so this gram marks the text itself.
 _MARKER = -1
 
@@ -79,6 +84,8 @@ def template_grams(spark: SparkSession, templates: tuple[Template, ...] = TEMPLA
     for number, t in enumerate(templates):
         words, k = t.words, 2 if t.phrase else 3
         n = len(words) - k + 1
+        if n > 62:
+            raise ValueError(f"a template of more than 62 grams: {t.label}")  # its places are bits of a long
         rows += [(number, i, words[i], words[i + 1], None if t.phrase else words[i + 2], n) for i in range(n)]
     table = spark.createDataFrame(rows, "template int, place int, a2 string, b2 string, c2 string, grams int")
     return table.withColumn("gram", F.xxhash64("a2", "b2"))
@@ -98,20 +105,27 @@ def hits(df: DataFrame, templates: tuple[Template, ...] = TEMPLATES, id_column:
     third = F.expr("try_element_at(third, at)")
     same = (F.col("pair.gram") == F.col("gram")) & (F.col("pair.a") == F.col("a2")) & (F.col("pair.b") == F.col("b2")) & (F.col("c2").isNull() | (F.col("c2") == third))
     met = grams.join(known, same)
-    return met.select("row", "doc_id", "n_words", "template", (F.col("at") - 1 - F.col("place")).cast("bigint").alias("diagonal"), "grams")
+    return met.select("row", "doc_id", "n_words", "template", (F.col("at") - 1 - F.col("place")).cast("bigint").alias("diagonal"), "place", "grams")
 
 
 def spans(hits: DataFrame, templates: tuple[Template, ...] = TEMPLATES, neighbours: int = NEIGHBOURS) -> DataFrame:
     """Merged diagonals: ``row, doc_id, n_words, template, start, cover``; the
     markers' rows have template -1."""
-    voted = hits.groupBy("row", "doc_id", "n_words", "template", "diagonal", "grams").agg(F.count("*").alias("votes"))
+    place = F.expr("shiftleft(1L, place)")
+    voted = hits.groupBy("row", "doc_id", "n_words", "template", "diagonal", "grams").agg(F.bit_or(place).alias("places"))
     phrases = [i for i, t in enumerate(templates) if t.phrase] + [_MARKER]
+    apart = F.col("template").isin(phrases)
     along = Window.partitionBy("row", "template").orderBy("diagonal")
     # phrases stay apart; a notice's diagonals join the one before if near
-    apart = F.col("template").isin(phrases) | (F.col("diagonal") - F.lag("diagonal", 1, None).over(along) > neighbours)
-    group = F.sum(F.when(F.coalesce(apart, F.lit(True)), 1).otherwise(0)).over(along)
-    merged = voted.withColumn("group", group).groupBy("row", "doc_id", "n_words", "template", "grams", "group").agg(F.min("diagonal").alias("start"), F.sum("votes").alias("votes"))
-    return merged.select("row", "doc_id", "n_words", "template", "start", F.least(F.lit(1.0), F.col("votes") / F.col("grams")).alias("cover"))
+    new = apart | (F.col("diagonal") - F.lag("diagonal", 1, None).over(along) > neighbours)
+    group = F.sum(F.when(F.coalesce(new, F.lit(True)), 1).otherwise(0)).over(along)
+    first = F.min("diagonal").over(Window.partitionBy("row", "template", "group"))
+    grouped = voted.withColumn("group", group).withColumn("first", first)
+    # two rows of spans, half a span apart
+    shift = F.explode(F.when(apart, F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(SPREAD // 2))))
+    cut = grouped.withColumn("shift", shift).withColumn("part", F.floor((F.col("diagonal") - F.col("first") + F.col("shift")) / SPREAD))
+    merged = cut.groupBy("row", "doc_id", "n_words", "template", "grams", "group", "shift", "part").agg(F.min("diagonal").alias("start"), F.bit_or("places").alias("places"))
+    return merged.select("row", "doc_id", "n_words", "template", "start", (F.bit_count("places") / F.col("grams")).alias("cover"))
 
 
 def scan(df: DataFrame, templates: tuple[Template, ...] = TEMPLATES, cover: float = COVER, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

@@ -197,6 +197,18 @@ def test_license_notices_with_changed_words(spark):
     assert rows[0].n_base == 0
 
 
+def test_license_fragments_are_no_notice(spark):
+    notice = license_scan.NOTICES[1].text
+    words = notice.split()
+    halves = " ".join(words[:9]) + " and then a good many other words of our own that stand between the two parts of it all " + " ".join(words[9:])
+    texts = ["free of charge " * 40, "subject to the terms " * 40, "you may not use " * 30, " ".join(reversed(words)),
+             ("free of charge to any person x " * 3 + "with this software and associated y ") * 9,
+             notice, "free of charge " * 40 + notice + " you may not use" * 9, halves, " ".join(w for i, w in enumerate(words) if i % 9)]
+    rows = {r.doc_id: r for r in license_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
+    assert [rows[i].labels for i in range(9)] == ["", "", "", "", "", "mit", "mit", "mit", "mit"]
+    assert rows[0].score < 0.2 and rows[5].score == 1.0
+
+
 def test_license_plan_has_no_python(spark):
     plan = op7_license_scan(spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)

@@ -38,6 +38,7 @@ from __future__ import annotations
 
 import html as references
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from urllib.parse import urlsplit
 
@@ -55,7 +56,8 @@ RUN = 20
 #: Pages, and share of the host's pages, that have a repeated substring at least.
 LEAST, SHARE = 5, 0.5
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^\"'>])*)>|<[!?][^>]*>", re.S)
+_SPECIAL = re.compile("[\"'>]")  # what decides where a tag ends
+_NAME_END = re.compile(r"[\s/>]")
 _RAW = {"script", "style", "template", "noscript", "iframe", "textarea", "title", "svg", "math", "object", "canvas", "audio", "video"}
 _CHROME = {"nav", "header", "footer", "aside", "form", "menu", "button", "select", "fieldset", "dialog", "head"}
 _LANDMARK = {"article", "main"}
@@ -63,45 +65,107 @@ _BLOCK = {"address", "article", "blockquote", "body", "caption", "center", "dd",
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "dialog", "menu", "menubar"}
 _NAMES = {"ad", "ads", "advert", "adverts", "advertisement", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "comment-list", "cookie", "cookies", "cookie-notice", "disqus", "footer", "header", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "pagination", "popup", "promo", "related", "share", "sharing", "sidebar", "site-footer", "site-header", "skip-link", "social", "sponsored", "subscribe", "toolbar", "widget"}
+#: Names that make a class or id chrome as one of its parts, too: cookie-banner, user_comments.
+_PARTS = {"ad", "ads", "advert", "advertisement", "breadcrumb", "breadcrumbs", "comment", "comments", "cookie", "cookies", "menu", "nav", "navbar", "navigation", "newsletter", "pagination", "popup", "promo", "related", "share", "sharing", "sidebar", "social", "sponsored", "subscribe"}
+#: First parts of names that tell a state of the page: has-sidebar, no-comments.
+_STATES = {"has", "is", "no", "with", "without", "not"}
 _ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
+_UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
+_TEXT_TAGS = {"h1", "h2", "h3", "h4", "h5", "h6", "p"}
+
+
+def _named_chrome(name: str, in_parts: bool) -> bool:
+    parts = re.split("[-_]+", name)
+    return name in _NAMES or in_parts and parts[0] not in _STATES and not _PARTS.isdisjoint(parts)
 
 
 def _is_chrome(tag: str, attributes: str) -> bool:
     if tag in _CHROME:
         return True
-    if "=" not in attributes:
-        return "hidden" in attributes.lower().split()
+    if not attributes:
+        return False
+    if "hidden" in (_ATTRIBUTE.sub(" ", attributes) if "=" in attributes else attributes).lower().split():
+        return True
+    if "=" not in attributes or tag in ("body", "html"):
+        return False
     for name, *values in _ATTRIBUTE.findall(attributes):
-        words = " ".join(values).lower().split()
+        value = " ".join(values).lower()
+        words = value.split()
         name = name.lower()
-        if name in ("class", "id") and not _NAMES.isdisjoint(words) or name == "role" and not _ROLES.isdisjoint(words) or name == "aria-hidden" and words == ["true"]:
+        # a heading or paragraph is not chrome for the anchor it is
+        if name == "class" or name == "id" and tag not in _TEXT_TAGS:
+            if any(_named_chrome(w, tag not in _LANDMARK) for w in words):
+                return True
+        elif name == "role" and not _ROLES.isdisjoint(words) or name == "aria-hidden" and words == ["true"] or name == "style" and _UNSEEN.search(value):
             return True
     return False
 
 
-def _closed_at(page: str, at: int, tag: str, depth: int) -> int | None:
-    """Where the element ``tag``, open ``depth`` times at ``at``, ends; None if never."""
-    while m := _TOKEN.search(page, at):
-        at = m.end()
-        found = (m.group(2) or "").lower()
-        if m.group(1):
-            if found == tag:
-                depth -= 1
-                if not depth:
-                    return at
-            elif found in ("body", "html"):
-                return None
-        elif found in _RAW:
-            end = re.compile(f"</{re.escape(found)}[^>]*>", re.I).search(page, at)
-            if not m.group(3).endswith("/"):
-                at = end.end() if end else len(page)
-        elif found == tag:
-            depth += 1
-    return None
+def tokens(page: str) -> list[tuple[int, int, bool, str, str]]:
+    """(start, end, closing, tag, attributes) of the markup, comments and such with
+    an empty tag, raw elements up to their end.  One pass: where a tag beginning
+    at a place ends is known from the quotes and brackets after it, found from
+    the end of the page backwards."""
+    special = [(m.start(), m.group()) for m in _SPECIAL.finditer(page)]
+    place = [at for at, _ in special]
+    ends = [-1] * (len(special) + 1)
+    following: dict[str, int] = {}
+    for k in range(len(special) - 1, -1, -1):
+        at, c = special[k]
+        if c == ">":
+            ends[k] = at
+        else:
+            ends[k] = ends[following[c] + 1] if c in following else -1
+            following[c] = k
+    out, at, name_end = [], 0, 0
+    while (start := page.find("<", at)) >= 0:
+        at = start + 1
+        c = page[at:at + 1]
+        if c and c in "!?":
+            if page.startswith("<!--", start):
+                end = page.find("-->", start + 4)
+                at = len(page) if end < 0 else end + 3
+            elif (end := page.find(">", at)) >= 0:
+                at = end + 1
+            else:
+                continue
+            out.append((start, at, False, "", ""))
+            continue
+        name = at + (c == "/")
+        if not ("a" <= page[name:name + 1].lower() <= "z" and page[name].isascii()):
+            continue
+        if name + 1 > name_end:
+            found = _NAME_END.search(page, name + 1)
+            name_end = found.start() if found else len(page)
+        end = ends[bisect_left(place, name_end)]
+        if end < 0:
+            continue
+        tag, attributes = page[name:name_end].lower(), page[name_end:end]
+        at = end + 1
+        if c != "/" and tag in _RAW:
+            if not attributes.endswith("/"):
+                close = re.compile(f"</{re.escape(tag)}", re.I).search(page, at)
+                end = page.find(">", close.end()) if close else -1
+                at = len(page) if end < 0 else end + 1
+            tag = ""
+        out.append((start, at, c == "/", tag, attributes))
+    return out
 
 
-def _landmark_follows(page: str, at: int) -> bool:
-    return any(not m.group(1) and (m.group(2) or "").lower() in _LANDMARK for m in _TOKEN.finditer(page, at))
+def _ends(found: list[tuple[int, int, bool, str, str]]) -> dict[int, int]:
+    """Start tag -> the end tag that closes its element, by number; start tags of
+    elements that are never closed, or not before the body's end, have none."""
+    out: dict[int, int] = {}
+    open_tags: dict[str, list[int]] = {}
+    for i, (_, _, closing, tag, _) in enumerate(found):
+        if not closing:
+            if tag:
+                open_tags.setdefault(tag, []).append(i)
+        elif open_tags.get(tag):
+            out[open_tags[tag].pop()] = i
+        elif tag in ("body", "html"):
+            open_tags.clear()
+    return out
 
 
 def blocks(page: str) -> list[tuple[str, str]]:
@@ -113,7 +177,7 @@ def blocks(page: str) -> list[tuple[str, str]]:
     depth = 0
     held_open: bool | None = None  # whether that element holds landmarks rather than being ended by one, once known
     seen = False  # a landmark
-    at = 0
+    began = 0  # its start tag
 
     def close() -> None:
         text = " ".join(references.unescape("".join(held)).split())
@@ -121,16 +185,16 @@ def blocks(page: str) -> list[tuple[str, str]]:
         if text:
             out.append(("chrome" if chrome else "article" if landmarks else "open", text))
 
-    while at < len(page):
-        m = _TOKEN.search(page, at)
-        held.append(page[at:m.start()] if m else page[at:])
-        if not m:
-            break
-        at = m.end()
-        tag = (m.group(2) or "").lower()
+    markup = tokens(page)
+    closed_by = _ends(markup)
+    last_landmark = max((i for i, t in enumerate(markup) if not t[2] and t[3] in _LANDMARK), default=-1)
+    at = 0
+    for i, (start, end, closing, tag, attributes) in enumerate(markup):
+        held.append(page[at:start])
+        at = end
         if not tag:
             continue
-        if m.group(1):  # an end tag
+        if closing:
             if tag in _BLOCK or tag == chrome:
                 close()
             if tag == chrome:
@@ -142,12 +206,6 @@ def blocks(page: str) -> list[tuple[str, str]]:
             elif tag in ("body", "html"):
                 landmarks, chrome, depth = 0, "", 0
             continue
-        attributes = m.group(3)
-        if tag in _RAW:
-            end = re.compile(f"</{re.escape(tag)}[^>]*>", re.I).search(page, at)
-            if not attributes.endswith("/"):
-                at = end.end() if end else len(page)
-            continue
         if tag == "br":
             held.append(" ")
         empty = tag in _VOID
@@ -158,17 +216,18 @@ def blocks(page: str) -> list[tuple[str, str]]:
             # a landmark ends a menu that was never closed
             if chrome and not landmarks:
                 if held_open is None:
-                    end = None if chrome == "p" else _closed_at(page, at, chrome, depth)
-                    held_open = end is not None and (chrome not in ("nav", "header") or seen or _landmark_follows(page, end))
+                    over = None if chrome == "p" else closed_by.get(began)
+                    held_open = over is not None and (chrome not in ("nav", "header") or seen or last_landmark > over)
                 if not held_open:
                     chrome, depth = "", 0
             if not chrome:
                 landmarks += 1
                 seen = True
         elif enters:
-            chrome, depth, held_open = tag, 1, None
+            chrome, depth, held_open, began = tag, 1, None, i
         elif chrome and tag == chrome:
             depth += 1
+    held.append(page[at:])
     close()
     return out
 

@@ -49,6 +49,39 @@ def test_articles_inside_closed_chrome_go():
     assert texts("<div class=menu><script>'</div>'</script><!-- </div> -->menu<article>kept</article></body></div>") == ["kept"]
 
 
+def test_names_of_several_parts_and_hidden_elements():
+    keep = "<article><p>kept</p>{}</article>"
+    for name in ("cookie-banner", "site-nav", "main-menu", "sidebar-left", "ad-slot", "ad_container", "comment-section", "comments-area", "user-comments", "related-posts", "newsletter-signup", "social-share"):
+        assert texts(keep.format(f"<div class='x {name}'><p>no</p></div>")) == ["kept"], name
+    for attributes in ("class='x' hidden", "hidden", "style='color:red; display: none'", "aria-hidden=true"):
+        assert texts(keep.format(f"<div {attributes}>no</div>")) == ["kept"], attributes
+    for part in ("<div class=no-sidebar>yes</div>", "<h2 id=comments>yes</h2>", "<h2 id='header'>yes</h2>", "<p id=menu>yes</p>", "<div class=adventure>yes</div>",
+                 "<div data-x='hidden'>yes</div>", "<div class=entry-header><h1>yes</h1></div>"):
+        assert texts(keep.format(part)) == ["kept", "yes"], part
+    assert texts("<body class='has-sidebar nav-open'><article class='post category-social'>kept</article></body>") == ["kept"]
+
+
+def test_malformed_pages_take_linear_time():
+    import time
+    n = 250_000
+    for piece in ("<a ", '<a b="', "<a b='", "<a<", "<!", "<!-", "</script", "<script ", "<aside><article></article>", "<x y=\"'", "<nav>", "'>\""):
+        began = time.process_time()
+        html_extract.blocks(piece * (n // len(piece)))
+        assert time.process_time() - began < 4, piece
+
+
+def test_markup_ends_where_a_pattern_says():
+    pattern = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>\"']*)((?:\"[^\"]*\"|'[^']*'|[^\"'>])*)>|<[!?][^>]*>", re.S)
+    pick = random.Random(9)
+    parts = ["<", ">", "/", "a", "b ", '"', "'", "=", "<!--", "-->", "<!", " text ", "<p>", "</p>", "é", "\n"]
+    for _ in range(4000):
+        page = "".join(pick.choice(parts) for _ in range(pick.randint(0, 14)))
+        want = [(m.start(), m.end(), m.group(1) == "/", (m.group(2) or "").lower(), m.group(3) or "") for m in pattern.finditer(page)]
+        if any('"' in t or "'" in t for *_, t, _ in html_extract.tokens(page)):
+            continue  # a quote within a name: taken as part of it
+        assert html_extract.tokens(page) == want, repr(page)
+
+
 def test_pages_without_landmark_lose_what_their_host_repeats(spark):
     common = "<div>Welcome to our very own site and enjoy</div>"
     pages = [(i, "http://host.example/p", f"<body>{common}<p>story{i} number{i} told by writer{i} alone{i}</p></body>") for i in range(5)]

@@ -118,7 +118,8 @@ def fit(df: DataFrame, label_column: str = "lang", id_column: str = "doc_id", te
     # ids alone are ranked; at most ``sample`` of each language remain, safe to broadcast
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     ids = rows.select("lang", "doc_id").distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= sample).select("lang", "doc_id")
-    chosen = rows.join(F.broadcast(ids), ["lang", "doc_id"]).select("lang", "text")
+    # one text of each, so that an id with many rows counts once
+    chosen = rows.join(F.broadcast(ids), ["lang", "doc_id"]).groupBy("lang", "doc_id").agg(F.min("text").alias("text")).select("lang", "text")
 
     def centroids(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         known = [c for t in group["text"] if (c := counts(t or "")) is not None]

@@ -133,7 +133,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_colu
     known = labels.where(F.col(label_column).isNotNull() & F.col(id_column).isNotNull()).select(F.col(id_column).alias("doc_id"), F.col(label_column).cast("int").alias("label"))
     # at most ``sample`` rows, whatever the table's size: safe to broadcast
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(sample)
-    rows = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text")).join(F.broadcast(chosen), "doc_id")
+    # one text of each document, so that an id with many rows counts once
+    texts = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text")).join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id")
+    rows = texts.groupBy("doc_id").agg(F.min("text").alias("text")).join(F.broadcast(chosen), "doc_id")
 
     def described(part, texts):
         found = features(texts)

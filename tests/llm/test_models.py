@@ -99,3 +99,14 @@ def test_pipeline_takes_odd_and_empty_tables(spark, tmp_path):
         for name, stage in corpus_pipeline.STAGES:
             stage(spark, docs, SF).write.parquet(f"{tmp_path}/{place}/{name}")
             docs = spark.read.parquet(f"{tmp_path}/{place}/{name}")
+
+
+def test_an_id_with_many_rows_counts_once_in_the_samples(spark):
+    rows = [(i % 40, f"the text of row {i % 40} in plain words", "en" if i % 2 else "de") for i in range(40)]
+    few = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    many = few.unionByName(few.where("doc_id = 7").crossJoin(spark.range(500)).select(*few.columns))
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id bigint, quality int")
+    a, b = (quality.fit(df, labels) for df in (few, many))
+    assert np.allclose(a["mean"], b["mean"]) and np.allclose(a["spread"], b["spread"])
+    a, b = (language_id.fit(df.withColumn("lang", F.lit("en"))) for df in (few, many))
+    assert len(a["centres"]) == len(b["centres"])

@@ -68,41 +68,39 @@ def held_bytes(chunk: str, value) -> int:
 class ChunkTable:
     """Chunks of the texts seen so far in a worker and what each is encoded to.
     A distinct chunk is encoded once a call and looked up by position
-    afterwards.  Chunks of up to ``longest`` characters are kept for later calls, in two
-    generations of half the bytes: when the younger is full it replaces the
-    older, and what is used of that moves back.  What is not kept costs time
-    and changes no result."""
+    afterwards.  Chunks of up to ``longest`` characters are kept for later
+    calls, in two generations: a younger one that has a third of the bytes
+    replaces the older, unless it grew past two thirds in one call, and what is
+    used of the older moves back.  What is not kept costs time and changes no
+    result."""
 
     def __init__(self, split: Callable[[str], list[str]], encode: Callable[[list[str]], Iterable],
                  limit: int = TABLE_BYTES, longest: int = LONGEST_CHUNK):
-        self.split, self.encode, self.half, self.longest = split, encode, limit // 2, longest
+        self.split, self.encode, self.third, self.longest = split, encode, limit // 3, longest
         self.young, self.old, self.bytes = {}, {}, 0
 
-    def _keep(self, chunk: str, value) -> None:
-        size = held_bytes(chunk, value)
-        if self.bytes + size > self.half:
-            self.old, self.young, self.bytes = self.young, {}, 0
-        self.young[chunk] = value
-        self.bytes += size
-
     def lookup(self, texts: list[str]) -> list[list]:
         """Per text: its chunks' values in order."""
         chunks = [self.split(t) for t in texts]
         distinct = set()
         for c in chunks:
             distinct.update(c)
-        values = {c: self.young[c] for c in distinct & self.young.keys()}
-        rest = distinct - values.keys()
-        known = {c: self.old[c] for c in rest & self.old.keys()}
-        new = list(rest - known.keys())
-        found = dict(zip(new, self.encode(new))) if new else {}
-        for kept in (known, found):
-            values.update(kept)
-            for c, value in kept.items():
-                if len(c) <= self.longest:
-                    self._keep(c, value)
-        value = values.__getitem__
-        return [list(map(value, c)) for c in chunks]
+        young, old = self.young, self.old
+        missing = [c for c in distinct if c not in young]
+        moved = {c: old[c] for c in missing if c in old}
+        if new := [c for c in missing if c not in moved]:
+            moved.update(zip(new, self.encode(new)))
+        young.update(moved)
+        value = young.__getitem__
+        out = [list(map(value, c)) for c in chunks]
+        for c in missing:
+            if len(c) > self.longest:
+                del young[c], moved[c]
+        self.bytes += sum(map(held_bytes, moved, moved.values()))
+        if self.bytes > self.third:
+            self.old = young if self.bytes <= 2 * self.third else {}
+            self.young, self.bytes = {}, 0
+        return out
 
 
 #: What a Python worker keeps between tasks, which Spark may run in one worker.

@@ -158,3 +158,17 @@ def test_added_tokens_are_coded_as_the_library_codes_them_as_loaded(spark, tmp_p
     pick = random.Random(11)
     for text in ["".join(pick.choice(parts) for _ in range(pick.randint(0, 9))) for _ in range(3000)] + fuzz(1000, 6):
         assert np.frombuffer(coded.ids([text])[0], "<u4").tolist() == loaded.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_ranks_give_the_ids_of_the_file():
+    tokens = packing.Tokens(public_tokenizers.path("byte_bpe_50k.json"))
+    assert tokens.ranks is not None
+    pick = random.Random(6)
+    letters = "".join(map(chr, range(0x20, 0x7F)))
+    chunks = ["".join(pick.choices(letters, k=pick.randint(1, 24))) for _ in range(20_000)]
+    chunks += [" " + w for w in "It's we'll DON'T 1234567 a1b2 (x) ... --- $5,000 http://a.b/c?d=e&f".split()] + ["   ", " ", "'s", " 's"]
+    assert tokens._encode(chunks) == tokens._encode_whole(chunks)
+
+
+def test_files_of_another_kind_are_not_coded_by_ranks():
+    assert packing._as_ranks(public_tokenizers.path("word_bpe_49k.json")) is None

@@ -3,9 +3,9 @@ J10, A13, P15-P18, M19, S17).
 
 Edges are ordered PURCHASED (newest order first), VIEWED (newest first),
 PREFERS (top categories).  All are returned unless ``max_edges`` is given
-(trap T24); relationship_count counts all of them in any case.  All edges are
-numbered over ranges (``operators.ranking``), so that a customer with most of
-them is spread over tasks; ``max_edges`` is a rank filter, planned as a
+(trap T24); relationship_count counts all of them in any case.  The edges of a
+customer with very many are numbered over ranges (``operators.ranking``), so
+that they are spread over tasks; ``max_edges`` is a rank filter, planned as a
 WindowGroupLimit that keeps as many rows per customer in every map task.
 """
 
@@ -226,7 +226,8 @@ def graph_nodes(g: GraphInputs, k: int = 3, prefs: DataFrame | None = None) -> D
               .otherwise(short_label(F.coalesce(F.col("x.name"), F.col("node_id")))))
     others = agg.select("customer_id", "node_id", label.alias("label"), F.col("x.kind").alias("kind"), F.col("x.category").alias("category"))
     own = F.col("customer_id").cast("string")
-    customers = agg.select("customer_id").distinct().select(
+    # the filter keeps this the same aggregate, whose exchange is then reused
+    customers = agg.filter(F.col("x").isNotNull()).select("customer_id").distinct().select(
         "customer_id", own.alias("node_id"), short_label(own).alias("label"), F.lit("customer").alias("kind"), F.lit(None).cast("string").alias("category"))
     return others.unionByName(customers)
 
@@ -238,7 +239,7 @@ def positioned_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     from the id, so only the target side needs the node table.  Targets are
     matched on id and kind, so a product id equal to a customer id (plain
     integer ids) cannot pick up the customer node."""
-    tgt = nodes.select("customer_id", F.col("node_id").alias("target"), F.col("label").alias("target_label"),
+    tgt = nodes.filter(F.col("kind") != "customer").select("customer_id", F.col("node_id").alias("target"), F.col("label").alias("target_label"),
                        F.col("kind").alias("target_kind"))
     kind = F.when(F.col("type") == "PREFERS", F.lit("segment")).otherwise(F.lit("product"))
     return (edges.withColumn("source_label", short_label(F.col("source")))

@@ -18,6 +18,7 @@ import json
 import math
 import os
 import re
+import unicodedata
 import zlib
 from array import array
 from collections.abc import Iterable, Iterator
@@ -42,9 +43,34 @@ PIECE_SCHEMA = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, do
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
+#: Runs of white space or of other characters longer than this are left to the
+#: library; the encoder by ranks takes time with the square of a run's length.
+RUN = 256
+SHORT_RUNS = re.compile(rf"\s{{0,{RUN}}}+(?:\S{{1,{RUN}}}+\s{{1,{RUN}}}+)*+\S{{0,{RUN}}}+").fullmatch
+#: Long texts are coded in parts of about so many characters, cut before a space
+#: after anything else, where the pattern cuts in any case.
+PART_CHARS = 1 << 17
+CUT = re.compile(r"(?<=\S) ").search
+
+
+def parts(text: str, size: int = PART_CHARS) -> Iterator[str]:
+    start = 0
+    while len(text) - start > size and (cut := CUT(text, start + size)):
+        yield text[start:cut.start()]
+        start = cut.start()
+    yield text[start:]
+
+
+def settled(c: str) -> bool:
+    """Whether Unicode 3.2 and today's tables put a character in the same class,
+    so that two libraries of different versions cut around it alike."""
+    now = unicodedata.category(c)
+    return c in "\t\n\r" or now not in ("Cc", "Cn") and now[0] == unicodedata.ucd_3_2_0.category(c)[0]
+
+
 def _as_ranks(path: str):
-    """The vocabulary of a byte-level BPE file as an encoder by ranks, which codes a
-    short chunk several times faster; None unless ids follow the merges' order,
+    """The vocabulary of a byte-level BPE file as an encoder by ranks, which codes
+    texts several times faster; None unless ids follow the merges' order,
     nothing else is done to a text, and so both give the same ids."""
     import tiktoken
     with open(path, encoding="utf-8") as file:
@@ -79,27 +105,41 @@ class Tokens:
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()] if added_tokens else []
         self.table = ChunkTable(CHUNKS, self._encode)
         self.ranks = _as_ranks(path)
+        self.settled: set[str] = set()
 
     def _encode_whole(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _encode(self, chunks: list[str]) -> list[bytes]:
-        if self.ranks is None:
-            return self._encode_whole(chunks)
-        # where the libraries' Unicode tables cannot differ
+    def _by_ranks(self, text: str) -> bytes | None:
+        """None where the libraries' Unicode tables could differ, and for long runs."""
+        if self.ranks is None or not SHORT_RUNS(text):
+            return None
+        if not text.isascii() or not text.isprintable():
+            new = set(text) - self.settled
+            if not all(map(settled, new)):
+                return None
+            self.settled |= new
         code = self.ranks.encode_ordinary
-        out = [array("I", code(c)).tobytes() if c.isascii() and c.isprintable() else None for c in chunks]
+        return b"".join(array("I", code(p)).tobytes() for p in parts(text))
+
+    def _encode(self, chunks: list[str]) -> list[bytes]:
+        out = list(map(self._by_ranks, chunks))
         rest = [i for i, x in enumerate(out) if x is None]
         for i, x in zip(rest, self._encode_whole([chunks[i] for i in rest])):
             out[i] = x
         return out
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        whole = [i for i, t in enumerate(texts) if ODD_SPACE(t) or any(a in t for a in self.added)]
-        held = set(whole)
-        out = [b"".join(f) for f in self.table.lookup(["" if i in held else t for i, t in enumerate(texts)])]
-        for i in whole:
-            out[i] = self._encode_whole([texts[i]])[0]
+        """Whole texts by ranks; those that this leaves by the chunk table, or by
+        the library if no chunk can be cut off safely."""
+        out = [None if any(a in t for a in self.added) else self._by_ranks(t) for t in texts]
+        rest = [i for i, x in enumerate(out) if x is None]
+        cut = [i for i in rest if not ODD_SPACE(texts[i]) and not any(a in texts[i] for a in self.added)]
+        for i, found in zip(cut, self.table.lookup([texts[i] for i in cut])):
+            out[i] = b"".join(found)
+        for i in rest:
+            if out[i] is None:
+                out[i] = self._encode_whole([texts[i]])[0]
         return out
 
 

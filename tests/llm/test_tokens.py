@@ -172,3 +172,24 @@ def test_ranks_give_the_ids_of_the_file():
 
 def test_files_of_another_kind_are_not_coded_by_ranks():
     assert packing._as_ranks(public_tokenizers.path("word_bpe_49k.json")) is None
+
+
+def test_whole_texts_by_ranks_equal_the_library(tokenizer):
+    tokens = packing.Tokens(BPE)
+    pick = random.Random(11)
+    signs = [*"ab1 '\t\n\r Жя中あ١½ﬁ🙂 ᠎\x85\xa0　\x1c", "'s", "  ", "x" * 300, " " * 300, "ж" * 257]
+    texts = ["".join(pick.choice(signs) for _ in range(pick.randint(0, 30))) for _ in range(3000)]
+    for text, raw in zip(texts, tokens.ids(texts)):
+        assert np.frombuffer(raw, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
+    assert tokens._by_ranks("plain text,\twith a tab and Жя") is not None
+    assert tokens._by_ranks("new sign \U0001f642") is None and tokens._by_ranks("x" * 300) is None
+
+
+def test_parts_of_long_texts_are_cut_where_the_pattern_cuts(tokenizer, monkeypatch):
+    pick = random.Random(2)
+    text = "".join(pick.choice(["ab", " ", "  ", "\n", "'s", "\t ", "1", "é"]) for _ in range(4000))
+    cut = list(packing.parts(text, 50))
+    assert "".join(cut) == text and len(cut) > 40 and all(c[0] == " " for c in cut[1:])
+    assert list(packing.parts("", 50)) == [""] and list(packing.parts("a" * 200, 50)) == ["a" * 200]
+    monkeypatch.setattr(packing.parts, "__defaults__", (50,))
+    assert np.frombuffer(packing.Tokens(BPE).ids([text])[0], "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids

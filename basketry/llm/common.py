@@ -124,6 +124,16 @@ def release() -> None:
         trim(0)
 
 
+def even_labels(spark: SparkSession, tasks: int) -> list[int]:
+    """One int for each of ``tasks`` partitions that ``repartition`` by an int
+    column deals there, so that one range goes to one task; 40 are tried for
+    each, and any other number stands for a partition that none goes to."""
+    numbers = spark.range(40 * tasks).select(F.col("id").cast("int").alias("part"))
+    told = numbers.groupBy(F.pmod(F.hash("part"), F.lit(tasks)).alias("to")).agg(F.min("part").alias("part"))
+    found = [r.part for r in told.orderBy("part").collect()]
+    return found + list(range(40 * tasks, 41 * tasks - len(found)))
+
+
 #: Keys with more than one in so many of all rows are joined by broadcast; there
 #: are fewer than that of them.
 SPREAD = 1000

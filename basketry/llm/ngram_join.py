@@ -23,8 +23,12 @@ of each.
 Null text, and text without words, has an empty set and is linked with
 nothing.  Texts are read whole; repeated rows are equal sets; other columns
 are ignored; an empty table gives an empty result.  Hashes have 64 bits for
-sets and classes, and 48 bits in candidate search, where a collision only costs
-a comparison.
+sets and classes.  Candidate search takes 48 bits of each shingle; the places
+of a prefix are those of a document's different 48-bit values, of which two
+linking documents share as many as the bounds ask for whatever collides.
+
+``near_duplicates`` gives the classes that links reach; ``jaccard_links`` gives
+all verified links between documents of different sets, and the membership.
 """
 
 from __future__ import annotations
@@ -39,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from basketry.llm.common import longs, map_texts, release, text_batches
+from basketry.llm.common import even_labels, longs, map_texts, release, text_batches
 from basketry.llm.components import components
 from basketry.llm.shingles import shingle_set, signature
 from basketry.session import materialize
@@ -83,7 +87,9 @@ def _needed(n, other_n):
     their prefixes, at least.
 
     Their overlap is 3/7 of both sizes together or more, and what of it is not
-    in both prefixes lies in one document's rest after its prefix."""
+    in both prefixes lies in one document's rest after its prefix.  If d of a
+    document's shingles collide with others of its own, overlap and rest are
+    both smaller by d at most, so the bound holds for 48-bit values too."""
     rest = lambda size: F.floor((3 * size + 3) / 4) - 1
     return F.greatest(F.lit(1), F.ceil(3 * (n + other_n) / 7) - F.greatest(rest(n), rest(other_n)))
 
@@ -148,14 +154,6 @@ def _sketch(profiled: DataFrame) -> np.ndarray:
     return out.reshape(-1)
 
 
-def _labels(df: DataFrame, tasks: int) -> list[int]:
-    """One number for each of ``tasks`` partitions that Spark deals there, so
-    that ranges of shingles are dealt evenly."""
-    numbers = df.sparkSession.range(40 * tasks).select(F.col("id").cast("int").alias("part"))
-    told = numbers.groupBy(F.pmod(F.hash("part"), F.lit(tasks)).alias("to")).agg(F.min("part").alias("part"))
-    return [r.part for r in told.orderBy("part").collect()]
-
-
 def _dealt(df: DataFrame, sketch: np.ndarray, labels: list[int]) -> DataFrame:
     """Light shingles packed by range, and per document one row with its size,
     its number of light shingles and the heavy ones of its prefix."""
@@ -176,13 +174,13 @@ def _dealt(df: DataFrame, sketch: np.ndarray, labels: list[int]) -> DataFrame:
                     if len(seen) >= REMEMBER:
                         seen.clear()
                     seen.add(sig)
+                    n, own = len(own), np.unique(own & _LOW48)
                     guess = estimate[_bucket(own)]
-                    own = own & _LOW48
                     heavy = guess >= bound
                     rare = own[~heavy]
-                    wanted = max(0, prefix_length(len(own)) - len(rare))
+                    wanted = max(0, prefix_length(n) - len(rare))
                     order = np.lexsort((own[heavy], guess[heavy]))[:wanted]
-                    profiles.append((sig, len(own), len(rare), own[heavy][order].astype(np.int64), guess[heavy][order].astype(np.int64)))
+                    profiles.append((sig, n, len(rare), own[heavy][order].astype(np.int64), guess[heavy][order].astype(np.int64)))
                     owners.append(np.full(len(rare), len(profiles) - 1, dtype=np.int32))
                     light.append(rare)
                 if profiles:
@@ -258,7 +256,7 @@ def _postings(df: DataFrame, sketch: np.ndarray, shingles: int) -> DataFrame:
     """``sig, n, shingle, rank`` of all prefixes, without shingles that occur
     once; ``rank`` and ``shingle`` give the order."""
     tasks = max(1, math.ceil(shingles / TASK_SHINGLES))
-    posted = _dealt(df, sketch, _labels(df, tasks)).repartition(tasks, "part").mapInArrow(_shared_shingles, "sig bigint, n bigint, light bigint, shingle bigint, rank bigint")
+    posted = _dealt(df, sketch, even_labels(df.sparkSession, tasks)).repartition(tasks, "part").mapInArrow(_shared_shingles, "sig bigint, n bigint, light bigint, shingle bigint, rank bigint")
     own = Window.partitionBy("sig")
     along = own.orderBy(F.col("rank").asc_nulls_first(), "shingle").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     told = posted.select("sig", F.max("n").over(own).alias("n"), F.max("light").over(own).alias("light"), "shingle", "rank",
@@ -296,20 +294,32 @@ def _pivots(lists: DataFrame, members: DataFrame, turn: int) -> DataFrame:
     return pairs.where(F.col("first.label") != F.col("label")).select(F.col("first.sig").alias("a"), F.col("sig").alias("b")).distinct()
 
 
+def _short(prefix):
+    """31 bits of each of a prefix's shingles, and how many of them are lost to
+    collisions within the prefix."""
+    short = F.transform(prefix, lambda x: x.bitwiseAND(0x7FFFFFFF).cast("int"))
+    return short.alias("short"), (F.size(prefix) - F.size(F.array_distinct(short))).alias("lost")
+
+
+def _in_common(short, lost, other_short, other_lost):
+    """Shingles that two prefixes have in common, at most: different 31-bit
+    values in common, and what collisions can have merged among them."""
+    return F.size(F.array_intersect(short, other_short)) + F.least(lost, other_lost)
+
+
 def _rest(lists: DataFrame, grouped: DataFrame, members: DataFrame) -> DataFrame:
     """All pairs of documents with different labels whose prefixes have enough
     in common to link."""
     labels = members.groupBy("group").agg(F.min("label").alias("low"), F.max("label").alias("high"))
     marked = lists.join(labels, "group")
     mixed = marked.groupBy("shingle").agg(F.min("low").alias("l"), F.max("high").alias("h")).where("l < h").select("shingle")
-    # 32 bits of each shingle do for counting: a collision only adds a comparison
-    short = grouped.select("group", F.transform("prefix", lambda x: x.bitwiseAND(0x7FFFFFFF).cast("int")).alias("short")).dropDuplicates(["group"])
-    columns = ["shingle", "group", "n", "shared", "at", "low", "high", "short"]
+    short = grouped.select("group", *_short(F.col("prefix"))).dropDuplicates(["group"])
+    columns = ["shingle", "group", "n", "shared", "at", "low", "high", "short", "lost"]
     left = marked.join(mixed, "shingle").join(short, "group").select(*columns)
     right = left.toDF("shingle", *(f"other_{c}" for c in columns[1:]))
     fits = (F.col("group") <= F.col("other_group")) & _may_link(*map(F.col, ("n", "shared", "at", "other_n", "other_shared", "other_at")))
     differ = F.least("low", "other_low") < F.greatest("high", "other_high")
-    enough = F.size(F.array_intersect("short", "other_short")) >= _needed(F.col("n"), F.col("other_n"))
+    enough = _in_common(*map(F.col, ("short", "lost", "other_short", "other_lost"))) >= _needed(F.col("n"), F.col("other_n"))
     groups = left.join(right, (left.shingle == right.shingle) & fits & differ & enough).select("group", "other_group").distinct()
     one = members.select("group", F.col("sig").alias("a"), F.col("label").alias("label_a"))
     two = members.select(F.col("group").alias("other_group"), F.col("sig").alias("b"), F.col("label").alias("label_b"))
@@ -355,7 +365,7 @@ def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = np.zeros(0, dtype=np.uint64)
         for batch in batches:
-            a, b = [], []
+            a, b, shared = [], [], []
             for x, y, raw in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "hashes"))):
                 other = np.frombuffer(raw, dtype="<u8")
                 if y is None:
@@ -365,14 +375,15 @@ def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 if 100 * common >= 75 * (len(own) + len(other) - common):
                     a.append(x)
                     b.append(y)
-            yield pa.RecordBatch.from_arrays([longs(a), longs(b)], ["a", "b"])
+                    shared.append(common)
+            yield pa.RecordBatch.from_arrays([longs(a), longs(b), longs(shared)], ["a", "b", "shared"])
 
-    return met.mapInArrow(run, "a bigint, b bigint")
+    return met.mapInArrow(run, "a bigint, b bigint, shared bigint")
 
 
-def near_duplicates(df: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Per row: ``doc_id, n_shingles, component_id``, the smallest id that
-    links reach."""
+def _prepared(df: DataFrame, id_column: str, text_column: str) -> tuple[DataFrame, ...]:
+    """Per row ``doc_id, sig, n``; groups of prefixes, the lists of their
+    shingles, members with themselves as label, and the members' sets."""
     docs = df.select(F.col(id_column).cast("bigint").alias("doc_id"), F.col(text_column).alias("text"))
     profiled = materialize(_profiled(docs), "profiles")
     known = profiled.where(F.col("place").isNull()).select("doc_id", "sig", "n")
@@ -380,7 +391,36 @@ def near_duplicates(df: DataFrame, id_column: str = "doc_id", text_column: str =
     grouped = materialize(_grouped(materialize(_postings(docs.select("text"), sketch, int(sketch.sum())), "prefixes")), "grouped")
     lists = grouped.dropDuplicates(["group"]).select("group", "n", F.size("prefix").alias("shared"), F.posexplode("prefix").alias("at", "shingle"))
     members = grouped.select("group", "sig", F.col("sig").alias("label"))
-    sets = materialize(_candidate_sets(docs.select("text"), members.select("sig")), "sets")
+    return known, grouped, lists, members, materialize(_candidate_sets(docs.select("text"), members.select("sig")), "sets")
+
+
+def jaccard_links(df: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> tuple[DataFrame, DataFrame]:
+    """The whole join: links ``a, b, n_shared`` (a < b; classes, each named by
+    its smallest id), all verified on whole sets, and the membership ``doc_id,
+    n_shingles, class_id, n_links`` with each row's number of other rows linked
+    directly, rows of its own class included; documents without words are
+    classes of their own without links.
+
+    Every link is an output row, so near copies of one text cost work in
+    proportion to the pairs of their different sets; ``near_duplicates``
+    spares them."""
+    known, grouped, lists, members, sets = _prepared(df, id_column, text_column)
+    found = materialize(_linked(materialize(_rest(lists, grouped, members), "pairs"), sets), "links")
+    classes = materialize(known.where(F.col("sig").isNotNull()).groupBy("sig").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("rows")), "classes")
+    one, two = classes.toDF("a", "class_a", "rows_a"), classes.toDF("b", "class_b", "rows_b")
+    named = found.join(one, "a").join(two, "b")
+    links = named.select(F.least("class_a", "class_b").alias("a"), F.greatest("class_a", "class_b").alias("b"), F.col("shared").alias("n_shared"))
+    both = named.select(F.col("a").alias("sig"), F.col("rows_b").alias("others")).unionByName(named.select(F.col("b").alias("sig"), F.col("rows_a").alias("others")))
+    counted = classes.join(both.groupBy("sig").agg(F.sum("others").alias("others")), "sig", "left")
+    told = known.join(counted.select("sig", "class_id", (F.col("rows") - 1 + F.coalesce("others", F.lit(0))).alias("n_links")), "sig", "left")
+    own = F.col("sig").isNull()
+    return links, told.select("doc_id", F.col("n").alias("n_shingles"), F.when(own, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.when(own, F.lit(0)).otherwise(F.col("n_links")).cast("bigint").alias("n_links"))
+
+
+def near_duplicates(df: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """Per row: ``doc_id, n_shingles, component_id``, the smallest id that
+    links reach."""
+    known, grouped, lists, members, sets = _prepared(df, id_column, text_column)
     labels = None
     for turn in range(PIVOT_ROUNDS + 1):
         pairs = materialize(_pivots(lists, members, turn) if turn < PIVOT_ROUNDS else _rest(lists, grouped, members), "pairs")

@@ -3,7 +3,9 @@
 import random
 import re
 
-from basketry.llm.common import ChunkTable, held_bytes
+from pyspark.sql import functions as F
+
+from basketry.llm.common import ChunkTable, even_labels, held_bytes
 
 
 def texts(pick):
@@ -36,3 +38,10 @@ def test_used_chunks_outlive_the_younger_half():
     for i in range(300):
         table.lookup([f"often x{i} y{i} z{i}"])
     assert seen.count("often") < 10
+
+
+def test_even_labels_go_to_a_partition_each(spark):
+    for tasks in (1, 7, 64):
+        labels = even_labels(spark, tasks)
+        dealt = spark.createDataFrame([(x,) for x in labels], "part int").repartition(tasks, "part").select(F.spark_partition_id().alias("to")).distinct()
+        assert len(set(labels)) == tasks == dealt.count()

@@ -5,6 +5,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from basketry.llm import ngram_join
 from basketry.llm.components import components
@@ -90,6 +91,57 @@ def test_groups_of_copies_of_all_sizes(spark, monkeypatch, heavy):
     assert sorted(map(tuple, got.collect()), key=repr) == brute(table)
 
 
+def plain_links(rows):
+    """Links between classes of equal sets, by their smallest ids, and per row
+    its class and the number of other rows it links with."""
+    sets = [plain_set(t) for _, t in rows]
+    least = {}
+    for (doc_id, _), x in zip(rows, sets):
+        least[frozenset(x)] = min(least.get(frozenset(x), doc_id), doc_id)
+    pairs, n = set(), [0] * len(rows)
+    for i, x in enumerate(sets):
+        for j in range(i):
+            if x and 100 * len(x & sets[j]) >= 75 * len(x | sets[j]):
+                n[i], n[j] = n[i] + 1, n[j] + 1
+                if x != sets[j]:
+                    pairs.add((*sorted((least[frozenset(x)], least[frozenset(sets[j])])), len(x & sets[j])))
+    return sorted(pairs), sorted((rows[i][0], len(x), least[frozenset(x)] if x else rows[i][0], n[i]) for i, x in enumerate(sets))
+
+
+def near_copies(pick):
+    fresh = lambda n: " ".join(f"w{pick.randrange(10 ** 6)}" for _ in range(n))
+    rows = [edited(pick, base, pick.randint(0, 3)) for base in (fresh(pick.randint(6, 120)) for _ in range(8)) for _ in range(pick.randint(8, 16))]
+    rows += rows[:9] + ["a b c", "A  b\nc", None, "", " "]
+    pick.shuffle(rows)
+    return list(enumerate(rows))
+
+
+def test_all_links_and_membership(spark):
+    table = near_copies(random.Random(8))
+    links, members = ngram_join.jaccard_links(spark.createDataFrame(table, "doc_id bigint, text string").repartition(5))
+    pairs, told = plain_links(table)
+    assert len(pairs) > 50 and sorted(map(tuple, links.collect())) == pairs
+    assert sorted(map(tuple, members.collect())) == told
+    links, members = ngram_join.jaccard_links(empty_documents(spark))
+    assert links.count() == 0 and members.count() == 0
+    assert ngram_join.jaccard_links(odd_documents(spark))[1].count() == len(odd_rows())
+
+
+def test_candidates_of_colliding_shingles(spark, monkeypatch):
+    """With 13 bits for 48 many shingles of a text collide; no link is lost."""
+    monkeypatch.setattr(ngram_join, "_LOW48", np.uint64((1 << 13) - 1))
+    table = near_copies(random.Random(4))
+    got = ngram_join.near_duplicates(spark.createDataFrame(table, "doc_id bigint, text string").repartition(5))
+    assert sorted(map(tuple, got.collect()), key=repr) == brute(table)
+
+
+def test_common_shingles_are_never_counted_short(spark):
+    one = spark.createDataFrame([([1, 1 + (1 << 31), 7, 9],)], "p array<bigint>").select(*ngram_join._short(F.col("p")))
+    two = spark.createDataFrame([([1, 1 + (1 << 31), 7, 8],)], "p array<bigint>").select(*ngram_join._short(F.col("p"))).toDF("other_short", "other_lost")
+    columns = map(F.col, ("short", "lost", "other_short", "other_lost"))
+    assert one.join(F.broadcast(two)).select(ngram_join._in_common(*columns)).first()[0] == 3
+
+
 def test_odd_rows(spark):
     got = sorted(map(tuple, ngram_join.near_duplicates(odd_documents(spark)).collect()), key=repr)
     assert got == brute([(r[0], r[1]) for r in odd_rows()])

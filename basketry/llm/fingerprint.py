@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basketry.llm.common import longs, map_texts, text_batches
+from basketry.llm.common import even_labels, longs, map_texts, text_batches
 
 BUCKETS = 1024
 #: Mean difference of two independent codes of 0..3, per bucket.
@@ -77,7 +77,8 @@ def with_following(df: DataFrame, rows_per_bucket: int = 4000) -> DataFrame:
     the first rows of the next one: ``bucket, guest, key, text``.
 
     Bucket bounds are quantiles of the ids alone, so every text is shuffled
-    once.  The driver holds two numbers per bucket, no rows."""
+    once, and each bucket goes to a task of its own.  The driver holds three
+    numbers per bucket, no rows."""
     lowest = -(1 << 63)
     keys = df.select(F.coalesce("doc_id", F.lit(lowest)).alias("key"))
     count = keys.count()
@@ -93,16 +94,21 @@ def with_following(df: DataFrame, rows_per_bucket: int = 4000) -> DataFrame:
     # the first key of each bucket also closes the one before, which need not be
     # the bucket above if that is empty; the very first closes the last
     guest_of: dict[int, int] = {row.top: tops[i - 1].bucket for i, row in enumerate(tops)}
+    tasks = max(1, len(tops))
+    labels = even_labels(df.sparkSession, tasks)
+    label = np.zeros(n + 1, dtype=np.int64)  # of each bucket
+    for i, row in enumerate(tops):
+        label[row.bucket] = labels[i]
 
     @F.pandas_udf("array<int>")
     def buckets(key: pd.Series) -> pd.Series:
         keys = key.to_numpy(np.int64)
         own = np.searchsorted(falling, ~keys, side="right")
-        return pd.Series([[int(b), guest_of[k]] if k in guest_of else [int(b)] for b, k in zip(own, keys.tolist())])
+        return pd.Series([[int(label[b]), int(label[guest_of[k]])] if k in guest_of else [int(label[b])] for b, k in zip(own, keys.tolist())])
 
     placed = df.select("doc_id", "text", F.coalesce("doc_id", F.lit(lowest)).alias("key")).withColumn("to", buckets("key"))
     dealt = placed.select("doc_id", "text", "key", F.posexplode("to").alias("guest", "bucket"))
-    return dealt.repartition(len(tops) or 1, "bucket").sortWithinPartitions("bucket", "guest", F.desc("key"), F.xxhash64("text"), "text")
+    return dealt.repartition(tasks, "bucket").sortWithinPartitions("bucket", "guest", F.desc("key"), F.xxhash64("text"), "text")
 
 
 def edited(text: str, following: str) -> str:

@@ -11,7 +11,7 @@ basket, but:
 * a basket's left products are dealt into blocks of about ``block``, so a task
   meets a bounded number of left products with the basket's right ones;
 * the pairs of a basket are made and counted as numbers in Arrow batches and
-  leave a task as sorted runs (``frequent_pair_counts``);
+  leave a task as sorted runs of packed steps (``frequent_pair_counts``);
 * when a pair was first seen decides ties alone, so it is looked up for the
   pairs that reach the ``limit``-th count and no others.
 """
@@ -59,11 +59,52 @@ def pair_counts(baskets: DataFrame, block: int = 1000) -> DataFrame:
 
 #: A product pair as one number: the smaller number in the upper half.  Multiplied
 #: by an odd number (which can be undone) its upper bits name a partition.
-_ODD = np.uint64(0x9E3779B97F4A7C15)
-_UNDO = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+_ODD = 0x9E3779B97F4A7C15
 PAIRS_AT_ONCE, PAIRS_A_PART = 4_000_000, 4_000_000
 
 
+def _pack(numbers: np.ndarray) -> bytes:
+    """Ascending distinct numbers as steps of 7 bits a byte, the lowest first; the
+    eighth bit says that more bytes follow."""
+    steps = np.diff(numbers, prepend=np.uint64(0))
+    size = np.ones(len(steps), np.int64)
+    for k in range(1, 10):
+        size += steps >= np.uint64(1 << 7 * k)
+    at = np.cumsum(size) - size
+    out = np.empty(int(size.sum()), np.uint8)
+    k = 0
+    while len(steps):
+        more = size > k + 1
+        out[at + k] = (steps & np.uint64(127)).astype(np.uint8) | (more.astype(np.uint8) << np.uint8(7))
+        at, size, steps, k = at[more], size[more], steps[more] >> np.uint64(7), k + 1
+    return out.tobytes()
+
+
+def _unpack(packed: bytes) -> np.ndarray:
+    data = np.frombuffer(packed, np.uint8)
+    last = np.flatnonzero(data < 128)
+    first = np.concatenate([[0], last[:-1] + 1])
+    steps, size, k = np.zeros(len(last), np.uint64), last - first + 1, 0
+    left = np.arange(len(last))
+    while len(left):
+        steps[left] |= (data[first[left] + k] & np.uint8(127)).astype(np.uint64) << np.uint64(7 * k)
+        k += 1
+        left = left[size[left] > k]
+    return np.cumsum(steps, dtype=np.uint64)
+
+
+def _pack_counts(counts: np.ndarray) -> tuple[bytes, bytes]:
+    """Most pairs are counted once in a run: the others' places and counts."""
+    many = np.flatnonzero(counts > 1)
+    return many.astype(np.uint32).tobytes(), counts[many].astype(np.uint32).tobytes()
+
+
+def _unpack_counts(length: int, places: bytes, counts: bytes) -> np.ndarray:
+    n = np.ones(length, np.int64)
+    n[np.frombuffer(places, np.uint32)] = np.frombuffer(counts, np.uint32)
+    return n
+
+
 def _numbered_products(baskets: DataFrame) -> DataFrame:
     """(product, number) with numbers 0, 1, ... in 32 bits."""
     rows = materialize(baskets.select("product").distinct().withColumn("_id", F.monotonically_increasing_id()), "products")
@@ -99,12 +140,18 @@ def frequent_pair_counts(baskets: DataFrame, least: int, block: int = 1000) -> D
 
     Tasks make the pairs of whole baskets, or of two blocks of a large basket's
     products, as numbers, count equal ones and send sorted runs by hash partition;
-    the counts of a partition are added up from its runs."""
+    the counts of a partition are added up from its runs.  A pair has no more bits
+    than two product numbers need, and a run holds the steps from pair to pair in
+    as few bytes as each needs, so that a pair takes two or three bytes."""
     numbers = _numbered_products(baskets)
+    each = max(1, (int(numbers.agg(F.max("number")).first()[0] or 0)).bit_length())
+    half, mask, odd = np.uint64(each), np.uint64((1 << 2 * each) - 1), np.uint64(_ODD & ((1 << 2 * each) - 1))
+    undo = np.uint64(pow(_ODD, -1, 1 << 2 * each))
     sizes = baskets.groupBy("basket").agg(F.count(F.lit(1)).alias("_size"))
     size = F.col("_size").cast("double")
     total = sizes.agg(F.sum(size * (size - 1) / 2)).first()[0]
-    bits = max(4, int((total or 0) // PAIRS_A_PART).bit_length())
+    bits = min(2 * each, max(4, int((total or 0) // PAIRS_A_PART).bit_length()))
+    rest = np.uint64(2 * each - bits)
     large = sizes.where(F.col("_size") > block)
     blocks = F.coalesce(F.ceil(F.col("_size") / block), F.lit(1).cast("bigint"))
     placed = baskets.join(numbers, "product").join(large, "basket", "left").select(
@@ -117,15 +164,17 @@ def frequent_pair_counts(baskets: DataFrame, least: int, block: int = 1000) -> D
 
     def make(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush() -> pa.RecordBatch:
-            x = np.concatenate(waiting) * _ODD
+            x = np.concatenate(waiting)
+            x = ((x >> np.uint64(32) << half | x & np.uint64(0xFFFFFFFF)) * odd) & mask
             x.sort()
             starts = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
             x, n = x[starts], np.diff(starts, append=len(x))
-            edges = np.searchsorted(x >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
+            edges = np.searchsorted(x >> rest, np.arange((1 << bits) + 1, dtype=np.uint64))
             spans = [(p, s, e) for p, (s, e) in enumerate(zip(edges[:-1], edges[1:])) if e > s]
+            counts = [_pack_counts(n[s:e]) for _, s, e in spans]
             return pa.RecordBatch.from_arrays(
-                [pa.array([p for p, _, _ in spans], pa.int32()), pa.array([x[s:e].tobytes() for _, s, e in spans], pa.binary()),
-                 pa.array([n[s:e].astype(np.int64).tobytes() for _, s, e in spans], pa.binary())], names=["part", "pairs", "counts"])
+                [pa.array([p for p, _, _ in spans], pa.int32()), pa.array([_pack(x[s:e] - (np.uint64(p) << rest)) for p, s, e in spans], pa.binary()),
+                 pa.array([c[0] for c in counts], pa.binary()), pa.array([c[1] for c in counts], pa.binary())], names=["part", "pairs", "places", "counts"])
 
         waiting, held, kept = [], 0, None
         for batch in batches:
@@ -156,22 +205,24 @@ def frequent_pair_counts(baskets: DataFrame, least: int, block: int = 1000) -> D
             x, n = x[order], n[order]
             starts = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
             x, n = x[starts], np.add.reduceat(n, starts)
-            x, n = x[n >= least] * _UNDO, n[n >= least]
-            return pa.RecordBatch.from_arrays([pa.array((x >> np.uint64(32)).astype(np.int64)), pa.array((x & np.uint64(0xFFFFFFFF)).astype(np.int64)), pa.array(n)],
+            x, n = ((x[n >= least] + (np.uint64(part) << rest)) * undo) & mask, n[n >= least]
+            low = (np.uint64(1) << half) - np.uint64(1)
+            return pa.RecordBatch.from_arrays([pa.array((x >> half).astype(np.int64)), pa.array((x & low).astype(np.int64)), pa.array(n)],
                                               names=["one", "two", "pair_count"])
 
         part, runs = None, []
         for batch in batches:
-            for p, pairs, counts in zip(*(batch.column(c).to_pylist() for c in ("part", "pairs", "counts"))):
+            for p, pairs, places, counts in zip(*(batch.column(c).to_pylist() for c in ("part", "pairs", "places", "counts"))):
                 if p != part and runs:
                     yield told()
                     runs = []
                 part = p
-                runs.append((np.frombuffer(pairs, np.uint64), np.frombuffer(counts, np.int64)))
+                pairs = _unpack(pairs)
+                runs.append((pairs, _unpack_counts(len(pairs), places, counts)))
         if runs:
             yield told()
 
-    packed = sorted_rows.mapInArrow(make, "part int, pairs binary, counts binary").repartition("part").sortWithinPartitions("part")
+    packed = sorted_rows.mapInArrow(make, "part int, pairs binary, places binary, counts binary").repartition("part").sortWithinPartitions("part")
     counted = packed.mapInArrow(add, "one bigint, two bigint, pair_count bigint")
     named = counted.join(numbers.select(F.col("number").alias("one"), F.col("product").alias("_p")), "one").join(
         numbers.select(F.col("number").alias("two"), F.col("product").alias("_q")), "two")
@@ -193,8 +244,8 @@ def frequent_pairs(baskets: DataFrame, min_support: int) -> DataFrame:
     """Pairs in at least ``min_support`` baskets.  Both products of such a pair
     are in as many, so rarer products are left out before pairs are made."""
     frequent = baskets.groupBy("product").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_support)
-    kept = baskets.join(frequent.select("product"), "product", "left_semi")
-    return pair_counts(kept).filter(F.col("pair_count") >= min_support)
+    kept = materialize(baskets.join(frequent.select("product"), "product", "left_semi"), "baskets")
+    return frequent_pair_counts(kept, min_support)
 
 
 def support_floor(baskets: DataFrame, product_counts: DataFrame, limit: int, candidates: int) -> F.Column:

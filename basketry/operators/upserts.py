@@ -7,7 +7,7 @@ combines map-side and never sorts a whole key group.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -41,13 +41,15 @@ def upsert_with_counter(df: DataFrame, keys: list[str], version: Column | str, c
 
 def enforce_unique(df: DataFrame, keys: list[str], order: Column | str) -> tuple[DataFrame, DataFrame]:
     """(accepted, rejected).  Per key the row with the smallest
-    ``order`` (unique per row) is accepted, every later one rejected."""
+    ``order`` (unique per row) is accepted, every later one rejected.
+
+    Both come from the same sorted rows, which are shuffled once and spill
+    where they are many."""
     o = F.col(order) if isinstance(order, str) else order
-    cols = [c for c in df.columns if c not in keys]
-    first = df.groupBy(*keys).agg(F.min_by(F.struct(*cols), o).alias("_r"))
-    accepted = first.select(*keys, *[F.col("_r")[c].alias(c) for c in cols]).select(*df.columns)
-    rejected = df.exceptAll(accepted)
-    return accepted, rejected
+    sorted_rows = Window.partitionBy(*keys).orderBy(o.asc_nulls_last())
+    # not a row number: a limit on it would give the accepted rows a shuffle of their own
+    marked = df.withColumn("_later", F.lag(F.lit(True), 1, False).over(sorted_rows))
+    return marked.filter(~F.col("_later")).drop("_later"), marked.filter("_later").drop("_later")
 
 
 def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:

@@ -26,3 +26,16 @@ def test_frequent_pairs_are_not_joined_rows(spark):
     want = baskets.pair_counts(table).filter(F.col("pair_count") >= 6)
     told = lambda df: sorted((r.left, r.right, r.pair_count) for r in df.collect())
     assert told(got) == told(want) and got.count() > 0
+
+
+def test_unique_rows_come_from_one_shuffle(spark):
+    from basketry.operators import upserts
+    rows = [(1, 1, 5), (1, 1, 4), (1, 1, 4), (2, None, 1), (2, None, 2), (None, 3, 9), (4, 4, None), (4, 4, 2)]
+    table = spark.createDataFrame(rows, "a int, b int, v int").repartition(3)
+    accepted, rejected = upserts.enforce_unique(table, ["a", "b"], "v")
+    told = lambda df: sorted((tuple(r) for r in df.collect()), key=str)
+    assert told(accepted) == sorted([(1, 1, 4), (2, None, 1), (None, 3, 9), (4, 4, 2)], key=str)
+    assert told(rejected) == sorted([(1, 1, 4), (1, 1, 5), (2, None, 2), (4, 4, None)], key=str)
+    for df in (accepted, rejected):
+        text = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "Generate" not in text and "Aggregate" not in text and "WindowGroupLimit" not in text

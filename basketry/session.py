@@ -47,6 +47,31 @@ def use_utc(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
 
 
+#: Most bytes of shuffled rows or of a table's file that one task reads.
+TASK_BYTES = 16 << 20
+
+
+def bound_tasks(spark: SparkSession, input_bytes: int) -> None:
+    """What a task sorts or aggregates stays the same however large the tables are:
+    scans and shuffles are dealt by bytes, and shuffles begin with so many
+    partitions that those of ``input_bytes`` can be as small.  Smaller settings
+    of the session, and more partitions, are left."""
+    size = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes
+    for name in ("spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.files.maxPartitionBytes"):
+        if size(spark.conf.get(name)) > TASK_BYTES:
+            spark.conf.set(name, str(TASK_BYTES))
+    name = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    # a row's columns may be shuffled several times their size in the table
+    wanted = 4 * input_bytes // TASK_BYTES
+    if wanted > int(spark.conf.get(name, None) or spark.conf.get("spark.sql.shuffle.partitions")):
+        spark.conf.set(name, str(wanted))
+
+
+def stored_bytes(spark: SparkSession, path: str) -> int:
+    fs, of = file_system(spark, path)
+    return fs.getContentSummary(of(path)).getLength()
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by the cluster.
 

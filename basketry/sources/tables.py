@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from basketry.session import use_utc
+from basketry.session import bound_tasks, stored_bytes, use_utc
 
 TABLE_NAMES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem",
@@ -24,6 +24,7 @@ class TableSet:
         self.spark = spark
         self.root = root.rstrip("/")
         self._cache: dict[str, DataFrame] = {}
+        self._bytes = 0
         use_utc(spark)
 
     def path(self, name: str) -> str:
@@ -35,6 +36,8 @@ class TableSet:
         # one relation per table and TableSet: resolved (listed, footers
         # read) once, and identical plans let Spark reuse exchanges
         if name not in self._cache:
+            self._bytes += stored_bytes(self.spark, self.path(name))
+            bound_tasks(self.spark, self._bytes)
             self._cache[name] = self.spark.read.parquet(self.path(name))
         return self._cache[name]
 

@@ -39,3 +39,19 @@ def test_unique_rows_come_from_one_shuffle(spark):
     for df in (accepted, rejected):
         text = df._jdf.queryExecution().optimizedPlan().toString()
         assert "Generate" not in text and "Aggregate" not in text and "WindowGroupLimit" not in text
+
+
+def test_tasks_are_dealt_by_bytes(spark):
+    from basketry.session import TASK_BYTES, bound_tasks
+    names = ["spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.files.maxPartitionBytes", "spark.sql.adaptive.coalescePartitions.initialPartitionNum"]
+    for name in names:
+        spark.conf.unset(name)
+    spark.conf.set(names[1], "1m")
+    try:
+        bound_tasks(spark, 100 * TASK_BYTES)
+        assert [spark.conf.get(n) for n in names] == [str(TASK_BYTES), "1m", "400"]
+        bound_tasks(spark, TASK_BYTES)  # never fewer
+        assert spark.conf.get(names[2]) == "400"
+    finally:
+        for name in names:
+            spark.conf.unset(name)

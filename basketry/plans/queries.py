@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from basketry.functions.timefn import iso_utc
+from basketry.session import materialize
 from basketry.sources.tables import TableSet
 from basketry.sources.views import EVENTS_AS_OF, ORDERS_AS_OF, Views, prop_k
 
@@ -343,7 +344,8 @@ def q_graph_nodes(spark, sf_dir):
 @query("graph_edges")
 def q_graph_edges(spark, sf_dir):
     g = _graph_inputs(views(spark, sf_dir))
-    prefs = _graph.preference_edges(g)
+    # read by the sizes, the edges and the nodes; three rows a customer at most
+    prefs = materialize(_graph.preference_edges(g), "preferences")
     return _graph.positioned_edges(_graph.graph_edges(g, prefs=prefs), _graph.graph_nodes(g, prefs=prefs))
 
 

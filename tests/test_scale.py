@@ -55,3 +55,10 @@ def test_tasks_are_dealt_by_bytes(spark):
     finally:
         for name in names:
             spark.conf.unset(name)
+
+
+def test_preferences_of_graph_edges_are_made_once(spark):
+    from basketry.plans.queries import QUERIES
+    from tests.conftest import SF_SMALL
+    text = QUERIES["graph_edges"](spark, SF_SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_replace" not in text

@@ -49,7 +49,10 @@ def sales_grain(sales: DataFrame) -> DataFrame:
                       F.sum(F.col("revenue").cast(MONEY)).alias("rev"),
                       F.max(F.coalesce("created_at", "event_time") if "event_time" in sales.columns
                             else F.col("created_at")).alias("last_at"),
-                      F.min(order_seen_key()).alias("seen")))
+                      # the product is the same in all rows of a group
+                      F.min(F.struct(*(order_seen_key()[c].alias(c) for c in ("t", "id", "line")))).alias("seen"))
+                 .withColumn("seen", F.struct(F.lit(0).alias("src"), "seen.t", "seen.id", "seen.line",
+                                              F.col("product_id").cast("bigint").alias("pid")).cast(SEEN_TYPE)))
 
 
 def order_category_counts(sales: DataFrame) -> DataFrame:

@@ -62,3 +62,15 @@ def test_preferences_of_graph_edges_are_made_once(spark):
     from tests.conftest import SF_SMALL
     text = QUERIES["graph_edges"](spark, SF_SMALL)._jdf.queryExecution().optimizedPlan().toString()
     assert "regexp_replace" not in text
+
+
+def test_order_grain_sends_no_product_twice(spark):
+    from basketry.operators import behavior
+    from basketry.plans.queries import views
+    from tests.conftest import SF_SMALL
+    sales = views(spark, SF_SMALL).sales()
+    text = behavior.sales_grain(sales)._jdf.queryExecution().optimizedPlan().toString()
+    assert "min(struct(t" in text
+    want = sales.groupBy("customer_id", "product_id", "category").agg(F.min(behavior.order_seen_key()).alias("seen"))
+    got = behavior.sales_grain(sales).select("customer_id", "product_id", "category", "seen")
+    assert got.schema["seen"].dataType == want.schema["seen"].dataType and got.exceptAll(want).count() == 0 == want.exceptAll(got).count()

@@ -1,10 +1,9 @@
 """Customer behaviour.
 
-``sales`` is scanned once and reduced to (customer, product, category)
-grain with a partial+final aggregate; every later step (order totals, top
-products, top categories) works from that much smaller table, and all of
-them are hash-partitioned on customer_id so the final joins reuse the
-partitioning.
+Order totals, top categories and top products are each a partial+final
+aggregate of the order rows by their own key, with the columns they need: a
+common (customer, product, category) grain is as large as the order table and
+would be shuffled for each of them first.
 """
 
 from __future__ import annotations
@@ -59,7 +58,18 @@ def order_category_counts(sales: DataFrame) -> DataFrame:
     """(customer, category) order counts with first-seen key, straight from
     the order rows (for callers that need no other per-product totals)."""
     return (sales.filter(_present("category")).groupBy("customer_id", "category")
-                 .agg(F.count(F.lit(1)).alias("n"), F.min(order_seen_key()).alias("seen")))
+                 .agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*(order_seen_key()[c].alias(c) for c in ("t", "id", "line", "pid")))).alias("seen"))
+                 .withColumn("seen", F.struct(F.lit(0).alias("src"), "seen.t", "seen.id", "seen.line", "seen.pid").cast(SEEN_TYPE)))
+
+
+def order_product_counts(sales: DataFrame) -> DataFrame:
+    """(customer, product) order counts with first-seen key, straight from the order rows."""
+    return (sales.filter(_present("product_id")).groupBy("customer_id", "product_id")
+                 .agg(F.count(F.lit(1)).alias("n"),
+                      # the product is the same in all rows of a group
+                      F.min(F.struct(*(order_seen_key()[c].alias(c) for c in ("t", "id", "line")))).alias("seen"))
+                 .withColumn("seen", F.struct(F.lit(0).alias("src"), "seen.t", "seen.id", "seen.line",
+                                              F.col("product_id").cast("bigint").alias("pid")).cast(SEEN_TYPE)))
 
 
 def ranked_categories(grain: DataFrame, views: DataFrame, k: int = 3) -> DataFrame:
@@ -73,19 +83,17 @@ def ranked_categories(grain: DataFrame, views: DataFrame, k: int = 3) -> DataFra
     return rank_counted(both, ["customer_id"], "category", "n", "seen", k)
 
 
-def ranked_products(grain: DataFrame, k: int = 3) -> DataFrame:
-    per = grain.filter(_present("product_id")).groupBy("customer_id", "product_id").agg(F.sum("n").alias("n"), F.min("seen").alias("seen"))
-    return rank_counted(per, ["customer_id"], "product_id", "n", "seen", k)
+def ranked_products(sales: DataFrame, k: int = 3) -> DataFrame:
+    return rank_counted(order_product_counts(sales), ["customer_id"], "product_id", "n", "seen", k)
 
 
 def customer_behavior(sales: DataFrame, views: DataFrame, as_of: dt.datetime, k: int = 3) -> DataFrame:
     """A4 for every customer that has orders or views (J3 full outer)."""
-    grain = sales_grain(sales)
-    o = (grain.groupBy("customer_id")
-              .agg(F.sum("n").alias("orders"), F.sum("rev").alias("rev"), F.max("last_at").alias("last_at")))
+    ts = F.coalesce("created_at", "event_time") if "event_time" in sales.columns else F.col("created_at")
+    o = sales.groupBy("customer_id").agg(F.count(F.lit(1)).alias("orders"), F.sum(F.col("revenue").cast(MONEY)).alias("rev"), F.max(ts).alias("last_at"))
     v = views.groupBy("customer_id").agg(F.count(F.lit(1)).alias("browse_events"))
-    cats = top_items_array(ranked_categories(grain, views, k), ["customer_id"], "preferred_categories")
-    prods = top_items_array(ranked_products(grain, k), ["customer_id"], "top_products")
+    cats = top_items_array(ranked_categories(order_category_counts(sales), views, k), ["customer_id"], "preferred_categories")
+    prods = top_items_array(ranked_products(sales, k), ["customer_id"], "top_products")
     as_of_col = F.lit(as_of).cast("timestamp")
     recency = F.when(F.col("last_at").isNull(), F.lit(90)).otherwise(
         F.greatest(F.lit(0), whole_days(F.col("last_at"), as_of_col))).cast("bigint")

@@ -1,10 +1,10 @@
 """Customer snapshot (M22): features, rule segment, churn, behaviour and
 relationship count for every customer.
 
-The behaviour table feeds three branches (churn, the snapshot itself and
-the relationship counts share its inputs); it is cut from its lineage with
-a reliable ``checkpoint()`` in the session's shared checkpoint folder, so
-a lost executor re-reads it instead of re-running the sales joins.
+The behaviour table feeds two branches (churn and the snapshot itself); it is
+cut from its lineage with a reliable ``checkpoint()`` in the session's shared
+checkpoint folder, so a lost executor re-reads it instead of re-running the
+sales joins.  The features feed three; they are written once, one row a customer.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from basketry.operators.behavior import customer_behavior
 from basketry.operators.churn import customer_churn, rfm_segments
 from basketry.operators.graph import GraphInputs, relationship_summary
 from basketry.session import checkpoint_dir
+from basketry.session import materialize as write_and_read
 
 
 def customer_snapshot(sales: DataFrame, views: DataFrame, features: DataFrame, as_of,
@@ -24,6 +25,7 @@ def customer_snapshot(sales: DataFrame, views: DataFrame, features: DataFrame, a
     if materialize:
         checkpoint_dir(behavior.sparkSession)
         behavior = behavior.checkpoint(eager=True)
+        features = write_and_read(features, "features")
     churn = customer_churn(behavior, features).select("customer_id", "probability", "risk_band")
     seg = rfm_segments(features)
     rel = relationship_summary(GraphInputs(sales, views)).select("customer_id", "relationship_count")

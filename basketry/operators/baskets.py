@@ -10,8 +10,9 @@ basket, but:
   cannot be in the result and are left out (``support_floor``);
 * a basket's left products are dealt into blocks of about ``block``, so a task
   meets a bounded number of left products with the basket's right ones;
+* baskets are joined with the numbers of the left products once and stored as numbers;
 * the pairs of a basket are made and counted as numbers in Arrow batches and
-  leave a task as sorted runs of packed steps (``frequent_pair_counts``);
+  leave a task as packed sorted runs (``frequent_pair_counts``);
 * when a pair was first seen decides ties alone, so it is looked up for the
   pairs that reach the ``limit``-th count and no others.
 """
@@ -64,33 +65,29 @@ PAIRS_AT_ONCE, PAIRS_A_PART = 4_000_000, 4_000_000
 
 
 def _pack(numbers: np.ndarray) -> bytes:
-    """Ascending distinct numbers as steps of 7 bits a byte, the lowest first; the
-    eighth bit says that more bytes follow."""
-    steps = np.diff(numbers, prepend=np.uint64(0))
-    size = np.ones(len(steps), np.int64)
-    for k in range(1, 10):
-        size += steps >= np.uint64(1 << 7 * k)
-    at = np.cumsum(size) - size
-    out = np.empty(int(size.sum()), np.uint8)
-    k = 0
-    while len(steps):
-        more = size > k + 1
-        out[at + k] = (steps & np.uint64(127)).astype(np.uint8) | (more.astype(np.uint8) << np.uint8(7))
-        at, size, steps, k = at[more], size[more], steps[more] >> np.uint64(7), k + 1
-    return out.tobytes()
+    """Ascending distinct numbers, their low bits as they are and the rest in unary
+    (Elias-Fano): two bits more a number than its share of the range needs."""
+    n = len(numbers)
+    low = max(0, (int(numbers[-1]) // n).bit_length() - 1)
+    bits = np.unpackbits(numbers.astype(">u8").view(np.uint8).reshape(n, 8), axis=1)[:, 64 - low:]
+    high = (numbers >> np.uint64(low)).astype(np.int64) + np.arange(n)
+    unary = np.zeros(int(high[-1]) + 1, np.uint8)
+    unary[high] = 1
+    return n.to_bytes(4, "little") + bytes([low]) + np.packbits(bits).tobytes() + np.packbits(unary).tobytes()
 
 
 def _unpack(packed: bytes) -> np.ndarray:
-    data = np.frombuffer(packed, np.uint8)
-    last = np.flatnonzero(data < 128)
-    first = np.concatenate([[0], last[:-1] + 1])
-    steps, size, k = np.zeros(len(last), np.uint64), last - first + 1, 0
-    left = np.arange(len(last))
-    while len(left):
-        steps[left] |= (data[first[left] + k] & np.uint8(127)).astype(np.uint64) << np.uint64(7 * k)
-        k += 1
-        left = left[size[left] > k]
-    return np.cumsum(steps, dtype=np.uint64)
+    n, low = int.from_bytes(packed[:4], "little"), packed[4]
+    split = 5 + (n * low + 7) // 8
+    bits = np.unpackbits(np.frombuffer(packed[5:split], np.uint8), count=n * low).reshape(n, low)
+    numbers = np.zeros((n, 8), np.uint8)
+    whole = (low + 7) // 8
+    if low:
+        padded = np.zeros((n, 8 * whole), np.uint8)
+        padded[:, 8 * whole - low:] = bits
+        numbers[:, 8 - whole:] = np.packbits(padded, axis=1)
+    high = np.flatnonzero(np.unpackbits(np.frombuffer(packed[split:], np.uint8))) - np.arange(n)
+    return numbers.view(">u8").ravel().astype(np.uint64) | high.astype(np.uint64) << np.uint64(low)
 
 
 def _pack_counts(counts: np.ndarray) -> tuple[bytes, bytes]:
@@ -105,9 +102,9 @@ def _unpack_counts(length: int, places: bytes, counts: bytes) -> np.ndarray:
     return n
 
 
-def _numbered_products(baskets: DataFrame) -> DataFrame:
-    """(product, number) with numbers 0, 1, ... in 32 bits."""
-    rows = materialize(baskets.select("product").distinct().withColumn("_id", F.monotonically_increasing_id()), "products")
+def _numbered_products(products: DataFrame) -> DataFrame:
+    """(product, number) with numbers 0, 1, ... in 32 bits of distinct products."""
+    rows = materialize(products.select("product").withColumn("_id", F.monotonically_increasing_id()), "products")
     part, place = F.shiftright("_id", 33), F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
     sizes = rows.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).orderBy("part").collect()  # a row a partition
     first, items = 0, []
@@ -134,33 +131,36 @@ def _pairs_of(group: np.ndarray, side: np.ndarray, across: np.ndarray, number: n
         far += 1
 
 
-def frequent_pair_counts(baskets: DataFrame, least: int, block: int = 1000) -> DataFrame:
+def frequent_pair_counts(baskets: DataFrame, least: int, block: int = 1000, products: DataFrame | None = None) -> DataFrame:
     """J5 + count: (left, right, pair_count) of the pairs with pair_count >= ``least``
-    and left < right.
+    and left < right, of all products or of those in ``products`` (distinct).
 
     Tasks make the pairs of whole baskets, or of two blocks of a large basket's
     products, as numbers, count equal ones and send sorted runs by hash partition;
     the counts of a partition are added up from its runs.  A pair has no more bits
-    than two product numbers need, and a run holds the steps from pair to pair in
-    as few bytes as each needs, so that a pair takes two or three bytes."""
-    numbers = _numbered_products(baskets)
+    than two product numbers need, and a run holds of each the low bits that its
+    length does not tell, so that a pair takes two or three bytes."""
+    numbers = _numbered_products(baskets.select("product").distinct() if products is None else products)
     each = max(1, (int(numbers.agg(F.max("number")).first()[0] or 0)).bit_length())
     half, mask, odd = np.uint64(each), np.uint64((1 << 2 * each) - 1), np.uint64(_ODD & ((1 << 2 * each) - 1))
     undo = np.uint64(pow(_ODD, -1, 1 << 2 * each))
-    sizes = baskets.groupBy("basket").agg(F.count(F.lit(1)).alias("_size"))
+    held = materialize(baskets.join(numbers, "product").select("basket", "number"), "numbered-baskets")
+    sizes = materialize(held.groupBy("basket").agg(F.count(F.lit(1)).alias("_size")), "basket-sizes")
     size = F.col("_size").cast("double")
     total = sizes.agg(F.sum(size * (size - 1) / 2)).first()[0]
     bits = min(2 * each, max(4, int((total or 0) // PAIRS_A_PART).bit_length()))
     rest = np.uint64(2 * each - bits)
-    large = sizes.where(F.col("_size") > block)
+    # written, so that the baskets are not shuffled to meet the few large ones
+    large = materialize(sizes.where(F.col("_size") > block), "large-baskets")
     blocks = F.coalesce(F.ceil(F.col("_size") / block), F.lit(1).cast("bigint"))
-    placed = baskets.join(numbers, "product").join(large, "basket", "left").select(
-        "basket", "number", blocks.alias("blocks"), F.pmod(F.xxhash64("product"), blocks).alias("own"))
+    placed = held.join(large, "basket", "left").select(
+        "basket", "number", blocks.alias("blocks"), F.pmod(F.xxhash64("number"), blocks).alias("own"))
     dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))).select(
-        F.xxhash64("basket", F.least("own", "other"), F.greatest("own", "other")).alias("deal"), "basket",
-        F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), (F.col("own") <= F.col("other")).alias("first"), "number")
-    sorted_rows = dealt.repartition("deal").sortWithinPartitions("deal", "basket", "a", "b").select(
-        "deal", F.xxhash64(F.lit(3), "basket", "a", "b").alias("again"), (F.col("a") != F.col("b")).alias("across"), "first", "number")
+        "basket", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), (F.col("own") <= F.col("other")).alias("first"), "number")
+    # hashed after the shuffle, which sends no random bytes
+    sorted_rows = dealt.repartition("basket", "a", "b").sortWithinPartitions("basket", "a", "b").select(
+        F.xxhash64("basket", "a", "b").alias("deal"), F.xxhash64(F.lit(3), "basket", "a", "b").alias("again"),
+        (F.col("a") != F.col("b")).alias("across"), "first", "number")
 
     def make(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush() -> pa.RecordBatch:
@@ -231,9 +231,11 @@ def frequent_pair_counts(baskets: DataFrame, least: int, block: int = 1000) -> D
 
 def first_seen(pairs: DataFrame, baskets: DataFrame, orders: DataFrame, basket_key: str) -> DataFrame:
     """``pairs`` (left, right, ...) with ``first_seen``, the key of the first basket
-    that holds both products."""
-    held = pairs.select("left", "right").join(baskets.withColumnRenamed("product", "left"), "left")
-    both = held.join(baskets.withColumnRenamed("product", "right"), ["basket", "right"])
+    that holds both products.  The pairs and what is found of them are written, so
+    that baskets and orders are not shuffled where these are few."""
+    pairs = materialize(pairs, "leading-pairs")
+    held = materialize(pairs.select("left", "right").join(baskets.withColumnRenamed("product", "left"), "left"), "pair-baskets")
+    both = materialize(held.join(baskets.withColumnRenamed("product", "right"), ["basket", "right"]), "pair-baskets")
     known = orders.filter(F.col("product_id").isNotNull()).withColumn("basket", F.col(basket_key))
     first = known.join(both.select("basket").distinct(), "basket", "left_semi").groupBy("basket").agg(F.min(_first_key(orders)).alias("_k"))
     seen = both.join(first, "basket").groupBy("left", "right").agg(F.min("_k").alias("first_seen"))
@@ -244,8 +246,7 @@ def frequent_pairs(baskets: DataFrame, min_support: int) -> DataFrame:
     """Pairs in at least ``min_support`` baskets.  Both products of such a pair
     are in as many, so rarer products are left out before pairs are made."""
     frequent = baskets.groupBy("product").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_support)
-    kept = materialize(baskets.join(frequent.select("product"), "product", "left_semi"), "baskets")
-    return frequent_pair_counts(kept, min_support)
+    return frequent_pair_counts(baskets, min_support, products=frequent)
 
 
 def support_floor(baskets: DataFrame, product_counts: DataFrame, limit: int, candidates: int) -> F.Column:
@@ -279,15 +280,12 @@ def basket_analysis(orders: DataFrame, limit: int = 10, basket_key: str = "custo
     """
     baskets = materialize(basket_sets(orders, basket_key), "baskets")
     one = orders.sparkSession.range(1)
-    product_counts = baskets.groupBy("product").agg(F.count(F.lit(1)).alias("n"))
-    pair_input = baskets
+    # one row a product, read by the bound, the products' numbers and the result
+    product_counts = materialize(baskets.groupBy("product").agg(F.count(F.lit(1)).alias("n")), "product-counts")
     total, floor = one.select(baskets.select(F.count_distinct("basket")).scalar(),
                               support_floor(baskets, product_counts, limit, prune_candidates) if prune_candidates else F.lit(1)).first()
-    if floor > 1:
-        frequent = product_counts.filter(F.col("n") >= floor).select("product")
-        pair_input = materialize(baskets.join(frequent, "product", "left_semi"), "baskets")
     total = F.lit(total)
-    pairs = materialize(frequent_pair_counts(pair_input, floor, block), "pairs")
+    pairs = materialize(frequent_pair_counts(baskets, floor, block, product_counts.filter(F.col("n") >= floor)), "pairs")
     # all pairs that reach the ``limit``-th largest count
     least = pairs.orderBy(F.desc("pair_count")).limit(limit).agg(F.min("pair_count")).first()[0]
     top = pairs.filter(F.col("pair_count") >= F.lit(least))

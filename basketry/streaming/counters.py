@@ -4,9 +4,10 @@ How often a category was seen, and how often a customer bought, up to and with
 each event, over all micro-batches:
 
 * tasks add up their rows of a key before anything is shuffled, so that the
-  state operator (``transformWithStateInPandas``, one value per counter and
-  key in RocksDB) receives sub-totals: a few rows even of a key that every
-  event has.  It keeps the total and tells the one before the batch;
+  state operator (``applyInPandasWithState``, one value per counter and key in
+  RocksDB, which comes and goes with the key's rows) receives sub-totals: a few
+  rows even of a key that every event has.  It keeps the total and tells the
+  one before the batch;
 * the events pass it in buckets by id, on their way to the batch function, which
   ranks them within the batch (``operators.running``, no key in one task) and
   adds the total before.
@@ -24,7 +25,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from basketry.operators.insights import detect_insights
 from basketry.operators.running import running_count, time_bucket
@@ -64,29 +65,23 @@ def sub_totals(norm: DataFrame) -> DataFrame:
     return staged.mapInArrow(run, _PASSED)
 
 
-class Totals(StatefulProcessor):
-    """Per counter and key: the total so far.  Rows of counter 'event' pass."""
-
-    def init(self, handle) -> None:
-        self.total = handle.getValueState("total", "n bigint")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        if key[0] == "event":
-            for part in rows:
-                yield part[["counter", "key", "payload"]].assign(before=0)[["counter", "key", "before", "payload"]]
-            return
-        before = self.total.get()[0] if self.total.exists() else 0
-        self.total.update((before + sum(int(part["add"].sum()) for part in rows),))
+def totals(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Per counter and key: the total so far, told if there was one before the
+    batch.  Rows of counter 'event' pass."""
+    if key[0] == "event":
+        for part in rows:
+            yield part[["counter", "key", "payload"]].assign(before=0)[["counter", "key", "before", "payload"]]
+        return
+    before = state.get[0] if state.exists else 0
+    state.update((before + sum(int(part["add"].sum()) for part in rows),))
+    if before:  # a key that is new has nothing to tell
         yield pd.DataFrame({"counter": [key[0]], "key": [key[1]], "before": [before], "payload": pd.Series([None], dtype=object)})
 
-    def close(self) -> None:
-        pass
-
 
 def carried(norm: DataFrame) -> DataFrame:
-    """The stream's events and, per batch, each key's total before it.  Totals are
+    """The stream's events and, per batch, the total before it of each key seen before.  Totals are
     for all time (trap T9), so the state has no time to live."""
-    return sub_totals(norm).groupBy("counter", "key").transformWithStateInPandas(Totals(), _TOLD, "append", "none")
+    return sub_totals(norm).groupBy("counter", "key").applyInPandasWithState(totals, _TOLD, "n bigint", "append", GroupStateTimeout.NoTimeout)
 
 
 def counted_batch(batch: DataFrame, event_schema) -> tuple[DataFrame, DataFrame]:

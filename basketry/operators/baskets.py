@@ -131,10 +131,15 @@ def _pairs_of(group: np.ndarray, side: np.ndarray, across: np.ndarray, number: n
         far += 1
 
 
-def frequent_pair_counts(baskets: DataFrame, least: int, block: int = 1000, products: DataFrame | None = None) -> DataFrame:
+def frequent_pair_counts(baskets: DataFrame, least: int, block: int = 1000, products: DataFrame | None = None, limit: int | None = None) -> DataFrame:
     """J5 + count: (left, right, pair_count) of the pairs with pair_count >= ``least``
     and left < right, of all products or of those in ``products`` (distinct).
 
+    With ``limit`` a hash partition tells only its pairs that reach its own
+    ``limit``-th largest count.  That is at most the one of all pairs, so every pair
+    that reaches the latter is told, ties included, where ``least`` alone may let all
+    pairs pass: 1 is the bound where the most frequent products seldom meet.
+
     Tasks make the pairs of whole baskets, or of two blocks of a large basket's
     products, as numbers, count equal ones and send sorted runs by hash partition;
     the counts of a partition are added up from its runs.  A pair has no more bits
@@ -205,7 +210,8 @@ def frequent_pair_counts(baskets: DataFrame, least: int, block: int = 1000, prod
             x, n = x[order], n[order]
             starts = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
             x, n = x[starts], np.add.reduceat(n, starts)
-            x, n = ((x[n >= least] + (np.uint64(part) << rest)) * undo) & mask, n[n >= least]
+            reach = max(least, np.partition(n, -limit)[-limit]) if limit and len(n) > limit else least
+            x, n = ((x[n >= reach] + (np.uint64(part) << rest)) * undo) & mask, n[n >= reach]
             low = (np.uint64(1) << half) - np.uint64(1)
             return pa.RecordBatch.from_arrays([pa.array((x >> half).astype(np.int64)), pa.array((x & low).astype(np.int64)), pa.array(n)],
                                               names=["one", "two", "pair_count"])
@@ -276,7 +282,8 @@ def basket_analysis(orders: DataFrame, limit: int = 10, basket_key: str = "custo
     baskets needs both products in >= c baskets, so only products reaching the
     support floor L (``support_floor`` over the ``prune_candidates`` most
     frequent products, <= the true ``limit``-th count) can be in the result.
-    Of the pairs among those, the ones counted L times or more are stored.
+    Of the pairs among those, the ones are stored that are counted L times or more
+    and reach the ``limit``-th largest count of their hash partition.
     """
     baskets = materialize(basket_sets(orders, basket_key), "baskets")
     one = orders.sparkSession.range(1)
@@ -285,7 +292,7 @@ def basket_analysis(orders: DataFrame, limit: int = 10, basket_key: str = "custo
     total, floor = one.select(baskets.select(F.count_distinct("basket")).scalar(),
                               support_floor(baskets, product_counts, limit, prune_candidates) if prune_candidates else F.lit(1)).first()
     total = F.lit(total)
-    pairs = materialize(frequent_pair_counts(baskets, floor, block, product_counts.filter(F.col("n") >= floor)), "pairs")
+    pairs = materialize(frequent_pair_counts(baskets, floor, block, product_counts.filter(F.col("n") >= floor), limit), "pairs")
     # all pairs that reach the ``limit``-th largest count
     least = pairs.orderBy(F.desc("pair_count")).limit(limit).agg(F.min("pair_count")).first()[0]
     top = pairs.filter(F.col("pair_count") >= F.lit(least))

@@ -787,7 +787,7 @@ def q_order_pipeline_orders(spark, sf_dir):
 def _snapshot_job(spark, sf_dir, name):
     v = views(spark, sf_dir)
     base = _topics.fresh_dir(spark, "snapshot")
-    _jobs.intelligence_snapshot(v.sales(), v.views(), v.features(), v.products(), _scored_reviews(spark, sf_dir), ORDERS_AS_OF, base)
+    _jobs.intelligence_snapshot(v.sales(), v.views(), v.features_of, v.products(), _scored_reviews(spark, sf_dir), ORDERS_AS_OF, base)
     return _jobs.output(spark, base, name)
 
 

@@ -1,10 +1,10 @@
 """Customer snapshot (M22): features, rule segment, churn, behaviour and
 relationship count for every customer.
 
-The behaviour table feeds two branches (churn and the snapshot itself); it is
-cut from its lineage with a reliable ``checkpoint()`` in the session's shared
-checkpoint folder, so a lost executor re-reads it instead of re-running the
-sales joins.  The features feed three; they are written once, one row a customer.
+The behaviour table feeds two branches (churn and the snapshot itself), the
+features three.  Both are written once, one row a customer, in the session's shared
+checkpoint folder, so a lost executor re-reads them instead of re-running the
+sales joins.  (``checkpoint()`` would run the behaviour's last step twice.)
 """
 
 from __future__ import annotations
@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from basketry.operators.behavior import customer_behavior
 from basketry.operators.churn import customer_churn, rfm_segments
 from basketry.operators.graph import GraphInputs, relationship_summary
-from basketry.session import checkpoint_dir
 from basketry.session import materialize as write_and_read
 
 
@@ -23,8 +22,7 @@ def customer_snapshot(sales: DataFrame, views: DataFrame, features: DataFrame, a
                       materialize: bool = True) -> DataFrame:
     behavior = customer_behavior(sales, views, as_of)
     if materialize:
-        checkpoint_dir(behavior.sparkSession)
-        behavior = behavior.checkpoint(eager=True)
+        behavior = write_and_read(behavior, "behavior")
         features = write_and_read(features, "features")
     churn = customer_churn(behavior, features).select("customer_id", "probability", "risk_band")
     seg = rfm_segments(features)

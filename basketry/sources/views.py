@@ -222,14 +222,17 @@ class Views:
     @_memo
     def features(self, as_of=ORDERS_AS_OF) -> DataFrame:
         """Scaled customer feature table (one row per customer)."""
-        s = self.sales()
-        per_order = (s.groupBy("customer_id")
-                      .agg(F.max("created_at").alias("last_at"),
-                           F.count_distinct("order_id").alias("orders"),
-                           F.sum(F.col("revenue").cast("decimal(18,2)")).alias("revenue"),
-                           (F.sum(F.col("discount").cast("decimal(18,2)")).cast("double")
-                            / F.count(F.lit(1))).alias("avg_discount")))
-        v = self.views().groupBy("customer_id").agg(F.count(F.lit(1)).alias("views"))
+        return self.features_of(self.sales(), self.views(), as_of)
+
+    def features_of(self, sales: DataFrame, views: DataFrame, as_of=ORDERS_AS_OF) -> DataFrame:
+        """The feature table from given order rows and browse events (stored ones, say)."""
+        per_order = (sales.groupBy("customer_id")
+                          .agg(F.max("created_at").alias("last_at"),
+                               F.count_distinct("order_id").alias("orders"),
+                               F.sum(F.col("revenue").cast("decimal(18,2)")).alias("revenue"),
+                               (F.sum(F.col("discount").cast("decimal(18,2)")).cast("double")
+                                / F.count(F.lit(1))).alias("avg_discount")))
+        v = views.groupBy("customer_id").agg(F.count(F.lit(1)).alias("views"))
         c = self.t.customer.select(F.col("c_custkey").alias("customer_id"))
         from basketry.functions.timefn import whole_days
         j = c.join(per_order, "customer_id", "left").join(v, "customer_id", "left")

@@ -2,7 +2,8 @@
 
 Every text's rolling word k-grams are joined by hash to the positions they
 have in the license templates, and the words behind the hash are compared at
-once.  A hit at word ``pos`` of a text and ``place`` of a template votes for the
+once; grams that hold no template's words are dropped before they become rows.
+A hit at word ``pos`` of a text and ``place`` of a template votes for the
 diagonal ``pos - place``.  The places hit are collected, as bits, per (text,
 template, diagonal); neighbouring diagonals, a few inserted or missing words
 apart, are merged into spans of at most ``SPREAD`` diagonals; a span that holds
@@ -15,8 +16,8 @@ every vote, that is where the phrase's words stand consecutively.  Notices
 have three-word grams and may differ in some words.
 
 Templates are parameters with a few hundred grams and are broadcast; texts are
-never: a text's votes meet by a row number that its own task gave, and one
-marker gram per text keeps texts without hits.
+never: a text's votes meet by a row number that its own task gave, in one
+shuffle, and one marker gram per text keeps texts without hits.
 
 Null text is empty: no words, no finds.  Texts are read whole; repeated rows
 are scanned one by one; other columns are ignored; an empty table gives an
@@ -91,28 +92,40 @@ def template_grams(spark: SparkSession, templates: tuple[Template, ...] = TEMPLA
     return table.withColumn("gram", F.xxhash64("a2", "b2"))
 
 
+def grams(df: DataFrame, templates: tuple[Template, ...] = TEMPLATES, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """Rolling grams whose two first words stand first and second in some gram
+    of a template, and one marker row per text: ``row, doc_id, n_words, at,
+    gram, a, b, c``.  Any other gram meets no template, so it is left in its
+    text; the rows carry three words each, never a text."""
+    texts = df.select(F.monotonically_increasing_id().alias("row"), F.col(id_column).alias("doc_id"), words_of(F.col(text_column)).alias("words"))
+    known = [(w[i], w[i + 1]) for t in templates for w in [t.words] for i in range(len(w) - (1 if t.phrase else 2))]
+    firsts, seconds = (sorted(set(x)) for x in zip(*known, strict=True)) if known else ([], [])
+    size, word = F.size("words"), lambda i: F.get("words", i)
+    every = F.when(size > 1, F.sequence(F.lit(0), size - 2)).otherwise(F.array().cast("array<int>"))
+    some = F.filter(every, lambda i: word(i).isin(firsts) & word(i + 1).isin(seconds))
+    gram = lambda at, a, b, c: F.struct(at.alias("at"), F.xxhash64(a, b).alias("gram"), a.alias("a"), b.alias("b"), c.alias("c"))
+    marker = gram(F.lit(0), F.lit(""), F.lit(""), F.lit(None).cast("string"))
+    met = F.transform(some, lambda i: gram(i, word(i), word(i + 1), word(i + 2)))
+    rolled = texts.select("row", "doc_id", size.cast("bigint").alias("n_words"), F.concat(F.array(marker), met).alias("met"))
+    # never empty; inline() would have Spark make the grams once more to test for that
+    return rolled.select("row", "doc_id", "n_words", F.inline_outer("met"))
+
+
 def hits(df: DataFrame, templates: tuple[Template, ...] = TEMPLATES, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row per gram of a text that stands in a template, and one marker
-    row per text: ``row, doc_id, n_words, template, diagonal, grams``."""
-    texts = df.select(F.monotonically_increasing_id().alias("row"), F.col(id_column).alias("doc_id"), words_of(F.col(text_column)).alias("words"))
-    size = F.size("words")
-    follow = lambda by: F.slice("words", by + 1, F.greatest(size - by, F.lit(0)))
-    pairs = F.zip_with("words", follow(1), lambda a, b: F.struct(F.xxhash64(a, b).alias("gram"), a.alias("a"), b.alias("b")))
-    marker = F.array(F.struct(F.xxhash64(F.lit(""), F.lit("")).alias("gram"), F.lit("").alias("a"), F.lit("").alias("b")))
-    rolled = texts.select("row", "doc_id", size.cast("bigint").alias("n_words"), F.concat(marker, pairs).alias("pairs"), follow(2).alias("third"))
-    grams = rolled.select("row", "doc_id", "n_words", "third", F.posexplode("pairs").alias("at", "pair"))
-    known = F.broadcast(template_grams(df.sparkSession, templates))
-    third = F.expr("try_element_at(third, at)")
-    same = (F.col("pair.gram") == F.col("gram")) & (F.col("pair.a") == F.col("a2")) & (F.col("pair.b") == F.col("b2")) & (F.col("c2").isNull() | (F.col("c2") == third))
-    met = grams.join(known, same)
-    return met.select("row", "doc_id", "n_words", "template", (F.col("at") - 1 - F.col("place")).cast("bigint").alias("diagonal"), "place", "grams")
+    row per text: ``row, doc_id, n_words, template, diagonal, place, grams``."""
+    known = F.broadcast(template_grams(df.sparkSession, templates).withColumnRenamed("gram", "gram2"))
+    same = (F.col("gram") == F.col("gram2")) & (F.col("a") == F.col("a2")) & (F.col("b") == F.col("b2")) & (F.col("c2").isNull() | (F.col("c2") == F.col("c")))
+    met = grams(df, templates, id_column, text_column).join(known, same)
+    return met.select("row", "doc_id", "n_words", "template", (F.col("at") - F.col("place")).cast("bigint").alias("diagonal"), "place", "grams")
 
 
 def spans(hits: DataFrame, templates: tuple[Template, ...] = TEMPLATES, neighbours: int = NEIGHBOURS) -> DataFrame:
     """Merged diagonals: ``row, doc_id, n_words, template, start, cover``; the
     markers' rows have template -1."""
     place = F.expr("shiftleft(1L, place)")
-    voted = hits.groupBy("row", "doc_id", "n_words", "template", "diagonal", "grams").agg(F.bit_or(place).alias("places"))
+    # dealt by text once, which serves every grouping and window below
+    voted = hits.repartition("row").groupBy("row", "doc_id", "n_words", "template", "diagonal", "grams").agg(F.bit_or(place).alias("places"))
     phrases = [i for i, t in enumerate(templates) if t.phrase] + [_MARKER]
     apart = F.col("template").isin(phrases)
     along = Window.partitionBy("row", "template").orderBy("diagonal")

@@ -209,6 +209,22 @@ def test_license_fragments_are_no_notice(spark):
     assert rows[0].score < 0.2 and rows[5].score == 1.0
 
 
+def test_license_rows_are_few_and_carry_no_text(spark):
+    texts = [(0, "some other words " * 3000), (1, None), (2, "a"), (3, "MIT license"), (4, "the gnu general public license, " * 2)]
+    rows = license_scan.grams(spark.createDataFrame(texts, "doc_id bigint, text string"))
+    assert not any(kind.startswith("array") for _, kind in rows.dtypes)
+    got = sorted((r.doc_id, r.n_words, r.at, r.a, r.b, r.c) for r in rows.where("a != ''").collect())
+    gnu = [(4, 10, at + i, a, b, c) for at in (0, 5) for i, a, b, c in ((1, "gnu", "general", "public"), (2, "general", "public", "license"), (3, "public", "license", "the" if at == 0 else None))]
+    assert [r for r in got if r[0] < 4] == [(3, 2, 0, "mit", "license", None)]
+    assert set(gnu) <= set(got)
+    assert sorted(r.doc_id for r in rows.where("a = ''").collect()) == [0, 1, 2, 3, 4]
+
+
+def test_license_texts_are_dealt_once(spark):
+    plan = op7_license_scan(spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
 def test_license_plan_has_no_python(spark):
     plan = op7_license_scan(spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)

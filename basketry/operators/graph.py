@@ -7,18 +7,24 @@ PREFERS (top categories).  All are returned unless ``max_edges`` is given
 customer with very many are numbered over ranges (``operators.ranking``), so
 that they are spread over tasks; ``max_edges`` is a rank filter, planned as a
 WindowGroupLimit that keeps as many rows per customer in every map task.
+
+Edges, nodes and their match are made customer by customer.  ``by_customer``
+stores the inputs that way, after which none of these steps is a shuffle.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from basketry.functions.scoring import churn_components, churn_probability, graph_segment_label
 from basketry.functions.text import currency_label, display_name, initials, percent_label, short_label
-from basketry.operators.ranking import numbered
+from basketry.operators.ranking import GROUP_ROWS, numbered
 from basketry.operators.topk import rank_counted
 from basketry.session import materialize as write_and_read
+from basketry.session import materialize_by
 from basketry.operators.upserts import last_write_wins, upsert_with_counter
 
 
@@ -122,6 +128,35 @@ class GraphInputs:
             self.og, self.vg = order_rows(orders), view_rows(views)
 
 
+ORDER_COLUMNS = ["order_id", "line", "customer_id", "product_id", "product_name", "category", "quantity", "revenue", "created_at"]
+VIEW_COLUMNS = ["event_id", "customer_id", "product_id", "product_name", "category", "dwell_seconds", "created_at"]
+
+
+def by_customer(orders: DataFrame, views: DataFrame, stored_edges: Callable[[DataFrame, DataFrame], DataFrame], tasks: int,
+                k: int = 3, group_rows: int = GROUP_ROWS) -> list[tuple[GraphInputs, DataFrame]]:
+    """The inputs and preferences of all customers, joined once and stored in
+    ``tasks`` buckets by customer: what is made from them is not shuffled.
+
+    Customers of more than ``group_rows`` rows are a second pair, if there are any,
+    stored without buckets: their steps are dealt by all their columns.
+    ``stored_edges`` makes the stored edges from the stored rows."""
+    # the shuffles that join orders are gone from disk before the one by customer
+    joined = write_and_read(orders.select(ORDER_COLUMNS), "graph-rows")
+    tables = [materialize_by(joined, "customer_id", tasks, "graph_orders"),
+              materialize_by(views.select(VIEW_COLUMNS), "customer_id", tasks, "graph_views")]
+    sizes = tables[0].select("customer_id").unionByName(tables[1].select("customer_id")).groupBy("customer_id").agg(F.count(F.lit(1)).alias("_n"))
+    large = write_and_read(sizes.where(F.col("_n") > group_rows).select(F.col("customer_id").alias("_large")), "large-customers")
+    found = []
+    if not large.isEmpty():
+        apart = lambda t, how: t.join(F.broadcast(large), t["customer_id"].eqNullSafe(large["_large"]), how)
+        few = [write_and_read(apart(t, "left_semi"), "large-rows") for t in tables]
+        g = GraphInputs(*few, stored_edges(*few))
+        found = [(g, write_and_read(preference_edges(g, k), "preferences"))]
+        tables = [apart(t, "left_anti") for t in tables]
+    g = GraphInputs(*tables, stored_edges(*tables))
+    return [(g, materialize_by(preference_edges(g, k), "customer_id", tasks, "preferences")), *found]
+
+
 def category_counts(g: GraphInputs) -> DataFrame:
     """Per (customer, category) counts over orders and views with a product,
     nulls kept (they are dropped after ranking, trap T17), first seen."""
@@ -248,13 +283,16 @@ def positioned_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     from the id, so only the target side needs the node table.  Targets are
     matched on id and kind, so a product id equal to a customer id (plain
     integer ids) cannot pick up the customer node."""
-    tgt = nodes.filter(F.col("kind") != "customer").select("customer_id", F.col("node_id").alias("target"), F.col("label").alias("target_label"),
-                       F.col("kind").alias("target_kind"))
     kind = F.when(F.col("type") == "PREFERS", F.lit("segment")).otherwise(F.lit("product"))
-    return (edges.withColumn("source_label", short_label(F.col("source")))
-                 .withColumn("source_kind", F.lit("customer"))
-                 .withColumn("target_kind", kind)
-                 .join(tgt, ["customer_id", "target", "target_kind"], "left"))
+    rows = edges.withColumn("source_label", short_label(F.col("source"))).withColumn("source_kind", F.lit("customer")).withColumn("target_kind", kind)
+    tgt = nodes.filter(F.col("kind") != "customer").select("customer_id", F.col("node_id").alias("target"), F.col("kind").alias("target_kind"),
+                                                           F.col("label").alias("_label"), F.lit(True).alias("_node"))
+    # a node is one row: beside its edges, rows that lie by customer stay where they are, which a join would not leave them
+    met = Window.partitionBy("customer_id", "target", "target_kind")
+    label = F.when(F.col("customer_id").isNotNull(), F.max("_label").over(met))
+    keys = ["customer_id", "target", "target_kind"]
+    return (rows.unionByName(tgt, allowMissingColumns=True).withColumn("target_label", label).filter(F.col("_node").isNull())
+                .select(*keys, *(c for c in rows.columns if c not in keys), "target_label"))
 
 
 def last_event(g: GraphInputs) -> DataFrame:

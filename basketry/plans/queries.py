@@ -8,12 +8,13 @@ compared with an SQL twin.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from basketry.functions.timefn import iso_utc
-from basketry.session import materialize
+from basketry.session import shuffles_removed
 from basketry.sources.tables import TableSet
 from basketry.sources.views import EVENTS_AS_OF, ORDERS_AS_OF, Views, prop_k
 
@@ -326,14 +327,14 @@ def q_view_edges(spark, sf_dir):
     return e.withColumn("event_time", iso_utc(F.col("event_time")))
 
 
-def _stored_edges(v):
-    p = _graph.purchase_edges(v.sales()).select("customer_id", "target", "target_name", "category")
-    w = _graph.view_edges(v.views()).select("customer_id", "target", "target_name", "category")
+def _stored_edges(sales, seen):
+    p = _graph.purchase_edges(sales).select("customer_id", "target", "target_name", "category")
+    w = _graph.view_edges(seen).select("customer_id", "target", "target_name", "category")
     return p.unionByName(w)
 
 
 def _graph_inputs(v, stored=True):
-    return _graph.GraphInputs(v.sales(), v.views(), _stored_edges(v) if stored else None)
+    return _graph.GraphInputs(v.sales(), v.views(), _stored_edges(v.sales(), v.views()) if stored else None)
 
 
 @query("graph_nodes")
@@ -343,10 +344,12 @@ def q_graph_nodes(spark, sf_dir):
 
 @query("graph_edges")
 def q_graph_edges(spark, sf_dir):
-    g = _graph_inputs(views(spark, sf_dir))
-    # read by the sizes, the edges and the nodes; three rows a customer at most
-    prefs = materialize(_graph.preference_edges(g), "preferences")
-    return _graph.positioned_edges(_graph.graph_edges(g, prefs=prefs), _graph.graph_nodes(g, prefs=prefs))
+    v = views(spark, sf_dir)
+    sales, seen = v.sales(), v.views()
+    with shuffles_removed(spark):
+        parts = _graph.by_customer(sales, seen, _stored_edges, v.t.tasks())
+    made = [_graph.positioned_edges(_graph.graph_edges(g, prefs=prefs), _graph.graph_nodes(g, prefs=prefs)) for g, prefs in parts]
+    return reduce(DataFrame.unionByName, made)
 
 
 @query("relationship_summary")

@@ -63,12 +63,16 @@ def bound_tasks(spark: SparkSession, input_bytes: int) -> None:
         if size(spark.conf.get(name)) > TASK_BYTES:
             spark.conf.set(name, str(TASK_BYTES))
     name = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
-    # a row's columns may be shuffled several times their size in the table
-    wanted = 4 * input_bytes // TASK_BYTES
+    wanted = tasks_of(input_bytes)
     if wanted > int(spark.conf.get(name, None) or spark.conf.get("spark.sql.shuffle.partitions")):
         spark.conf.set(name, str(wanted))
 
 
+def tasks_of(input_bytes: int) -> int:
+    # a row's columns may be shuffled several times their size in the table
+    return 4 * input_bytes // TASK_BYTES
+
+
 def stored_bytes(spark: SparkSession, path: str) -> int:
     fs, of = file_system(spark, path)
     return fs.getContentSummary(of(path)).getLength()
@@ -125,6 +129,22 @@ def materialize(df, name: str):
     return spark.read.parquet(path)
 
 
+def materialize_by(df, key: str, tasks: int, name: str):
+    """``materialize`` with the rows dealt by ``key`` into ``tasks`` buckets: what is
+    grouped, numbered or united by columns with ``key`` among them is then not
+    shuffled.  A bucket that a large key fills is written by several tasks."""
+    import uuid
+    spark = df.sparkSession
+    table = f"{name}_{uuid.uuid4().hex[:12]}"
+    path = scratch_path(spark, table)
+    df.hint("rebalance", tasks, key).write.format("parquet").bucketBy(tasks, key).option("path", path).saveAsTable(table)
+    stored = spark.table(table)
+    # buckets are only known of tables; the frame has them now, and the files stay
+    spark.sql(f"DROP TABLE {table}")
+    # a union knows the buckets by columns without the table's name only
+    return stored.select(*(stored[c].alias(c) for c in stored.columns))
+
+
 @contextmanager
 def shuffles_removed(spark: SparkSession) -> Iterator[None]:
     """Shuffle files go with the execution that made them, so that the disk holds

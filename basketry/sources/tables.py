@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from basketry.session import bound_tasks, stored_bytes, use_utc
+from basketry.session import bound_tasks, stored_bytes, tasks_of, use_utc
 
 TABLE_NAMES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem",
@@ -41,6 +41,10 @@ class TableSet:
             self._cache[name] = self.spark.read.parquet(self.path(name))
         return self._cache[name]
 
+    def tasks(self) -> int:
+        """Into how many parts rows joined from the tables opened so far are dealt."""
+        return max(tasks_of(self._bytes), self.spark.sparkContext.defaultParallelism)
+
     def __getattr__(self, name: str) -> DataFrame:
         if name in TABLE_NAMES:
             return self.table(name)
